@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -58,11 +59,11 @@ def binomial_upper(successes: int, trials: int, p: float) -> float:
     return incomplete_beta(float(successes), float(trials - successes + 1), p)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_upper_column(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(x) else f_upper(x, a, b) for x, a, b in zip(f, df1, df2)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_upper_column(successes: pd.Series, trials: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([binomial_upper(int(k), int(n), q) for k, n, q in zip(successes, trials, p)], dtype="float64")
