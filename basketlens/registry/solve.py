@@ -95,3 +95,42 @@ def coefficient_rows(name: str, names: Sequence[str]) -> str:
              f"FROM {name}" for i, t in enumerate(names)]
     return (f"SELECT term, estimate, std_error, estimate / std_error AS statistic, "
             f"{t_two_sided_sql('(estimate / std_error)', 'v')} AS p_value FROM ({' UNION ALL '.join(rows)})")
+
+
+def correlation_cte(name: str, source: str, names: Sequence[str]) -> str:
+    """Long correlation matrix (i, j, v) of named columns."""
+    cells = " UNION ALL ".join(
+        f"SELECT {i} AS i, {j} AS j, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS v FROM {source}"
+        for i, a in enumerate(names) for j, b in enumerate(names))
+    return f"{name} AS MATERIALIZED ({cells})"
+
+
+def principal_components(name: str, matrix: str, k: int, squarings: int = 22) -> str:
+    """CTE ``name`` (pc, i, loading, eigenvalue) of a long symmetric matrix.
+
+    Repeated squaring turns the matrix into the projector on its first component, which is
+    then taken out before the next one. Each component's largest loading is positive.
+    """
+    ctes, current = [], matrix
+    for c in range(k):
+        s = current
+        for t in range(squarings):
+            step = f"{name}_{c}_{t}"
+            ctes.append(
+                f"{step} AS MATERIALIZED (SELECT i, j, v / sum(CASE WHEN i = j THEN v END) OVER () AS v FROM "
+                f"(SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {s} a JOIN {s} b ON a.j = b.i GROUP BY 1, 2))")
+            s = step
+        raw, vec, nxt = f"{name}_{c}_raw", f"{name}_{c}_vec", f"{name}_{c}_rest"
+        ctes.append(
+            f"{raw} AS MATERIALIZED (SELECT s.i, s.v / sqrt(d.v) AS x FROM {s} s JOIN "
+            f"(SELECT i, v FROM {s} WHERE i = j ORDER BY v DESC, i LIMIT 1) d ON s.j = d.i)")
+        ctes.append(
+            f"{vec} AS MATERIALIZED (SELECT i, x * (SELECT sign(x) FROM {raw} ORDER BY abs(x) - 1e-9 * i DESC LIMIT 1) AS x, "
+            f"(SELECT sum(a.x * m.v * b.x) FROM {matrix} m JOIN {raw} a ON a.i = m.i JOIN {raw} b ON b.i = m.j) AS e FROM {raw})")
+        ctes.append(
+            f"{nxt} AS MATERIALIZED (SELECT m.i, m.j, m.v - a.e * a.x * b.x AS v FROM {current} m "
+            f"JOIN {vec} a ON a.i = m.i JOIN {vec} b ON b.i = m.j)")
+        current = nxt
+    union = " UNION ALL ".join(f"SELECT {c + 1} AS pc, i, x AS loading, e AS eigenvalue FROM {name}_{c}_vec" for c in range(k))
+    ctes.append(f"{name} AS MATERIALIZED ({union})")
+    return ",\n".join(ctes)
