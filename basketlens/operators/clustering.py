@@ -24,6 +24,7 @@ from .rfm import crosstab
 
 FEATURES, SCALED = "features", "scaled"
 MICRO_CLUSTERS = 200
+MAX_ITERATIONS = 20
 RESTARTS = (1, 5, 10, 25, 50, 100)
 
 
@@ -73,7 +74,7 @@ def total_sum_of_squares(scaled: DataFrame, dimensions: int) -> float:
 
 
 def _fit(scaled: DataFrame, k: int, seed: int, max_iter: int) -> KMeansModel:
-    return KMeans(k=k, seed=seed, featuresCol=SCALED, predictionCol="__cluster", maxIter=max_iter, tol=1e-6).fit(scaled)
+    return KMeans(k=k, seed=seed, featuresCol=SCALED, predictionCol="__cluster", maxIter=max_iter).fit(scaled)
 
 
 def _run_starts(scaled: DataFrame, fits: Sequence[tuple[int, int]], max_iter: int, parallelism: int) -> list[KMeansModel]:
@@ -83,7 +84,7 @@ def _run_starts(scaled: DataFrame, fits: Sequence[tuple[int, int]], max_iter: in
         return pool.map(run, fits)
 
 
-def kmeans_best_of(scaled: DataFrame, k: int, starts: int, seed: int = 1, max_iter: int = 50,
+def kmeans_best_of(scaled: DataFrame, k: int, starts: int, seed: int = 1, max_iter: int = MAX_ITERATIONS,
                    parallelism: int = 4) -> tuple[KMeansModel, float]:
     """Best of several seeded fits. Persist ``scaled``: every fit reads it some tens of times."""
     models = _run_starts(scaled, [(k, seed + i) for i in range(starts)], max_iter, parallelism)
@@ -97,7 +98,7 @@ def elbow(scaled: DataFrame, dimensions: int, k_values: Sequence[int] = tuple(ra
     """Within sum of squares per k, with the absolute and relative reduction to the k before."""
     fits = [(k, seed + i) for k in k_values if k > 1 for i in range(starts)]
     best: dict[int, float] = {1: total_sum_of_squares(scaled, dimensions)}
-    for (k, _), model in zip(fits, _run_starts(scaled, fits, 50, parallelism)):
+    for (k, _), model in zip(fits, _run_starts(scaled, fits, MAX_ITERATIONS, parallelism)):
         best[k] = min(best.get(k, float("inf")), model.summary.trainingCost)
     rows = [(int(k), float(best[k])) for k in k_values]
     table = scaled.sparkSession.createDataFrame(rows, "K int, Total_Within_SS double")
@@ -118,7 +119,7 @@ def restart_stability(scaled: DataFrame, dimensions: int, k: int = 4, restarts:
                       seed: int = 1, parallelism: int = 4) -> DataFrame:
     """Fit quality by number of starts. The starts are nested, so max(restarts) fits cover the ladder."""
     tss = total_sum_of_squares(scaled, dimensions)
-    models = _run_starts(scaled, [(k, seed + i) for i in range(max(restarts))], 50, parallelism)
+    models = _run_starts(scaled, [(k, seed + i) for i in range(max(restarts))], MAX_ITERATIONS, parallelism)
     running = np.minimum.accumulate([m.summary.trainingCost for m in models])
     rows = [(int(n), *_fit_row(running[n - 1], tss)) for n in restarts]
     return scaled.sparkSession.createDataFrame(rows, "Nstart int, " + FIT_SCHEMA)
@@ -215,10 +216,10 @@ def ward_clusters(scaled: DataFrame, k: int = 4, micro: int = MICRO_CLUSTERS, se
             [(list(x), c) for (x, _), c in zip(points, tree.cut(k))], f"__point array<double>, {out} int")
         keyed = scaled.withColumn("__point", vector_to_array(SCALED))
         return keyed.join(F.broadcast(numbers), "__point").drop("__point"), tree
-    model = KMeans(k=micro, seed=seed, featuresCol=SCALED, predictionCol="__micro", maxIter=30).fit(scaled)
+    model = KMeans(k=micro, seed=seed, featuresCol=SCALED, predictionCol="__micro", maxIter=10).fit(scaled)
     sizes = np.array(model.summary.clusterSizes)
     used = np.flatnonzero(sizes > 0)
-    centres = np.array([model.clusterCenters()[i] for i in used])
+    centres = np.array(model.clusterCenters())[used]
     tree = ward_merges(centres, sizes[used])
     numbers = scaled.sparkSession.createDataFrame(
         [(int(i), c) for i, c in zip(used, tree.cut(k))], f"__micro int, {out} int")
@@ -337,6 +338,7 @@ def profile_labelled(profile: DataFrame, labels: DataFrame, cluster: str = "KMea
     return with_labels(profile, labels, cluster).select(cluster, "Cluster_Label", *rest)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Persist vectors that an iterative fit reads many times."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def keep(df: DataFrame, key: str = "CustomerID") -> DataFrame:
+    """Persist vectors that an iterative fit reads many times, spread over the cores by key."""
+    parallelism = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parallelism, key).persist(StorageLevel.MEMORY_AND_DISK)

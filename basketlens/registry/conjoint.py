@@ -194,8 +194,31 @@ for _t, _v in (("part_worth", "Part_Worth"), ("wtp", "WTP")):
 # ------------------------------------------------------------------ respondents
 
 add("respondent_conjoint_partworths", "respondent_id:s; " + WORTH, long_worths, "SELECT * FROM each", EACH)
-add("respondent_panel_partworths", None, lambda s, d: J.respondent_part_worths(
-    J.respondent_coefficients(panel(s, d), SURVEY), SURVEY))
+_families, _at = [], 1
+for _vs in LEVELS.values():
+    _families.append(list(range(_at, _at + len(_vs) - 1)))
+    _at += len(_vs) - 1
+_absent = {0: "FALSE"}
+for _family in _families:
+    _no_base = " + ".join(f"m_{i}" for i in _family) + " > 1 - 1e-12"
+    for _i in _family:
+        _before = " AND ".join(["TRUE", *[f"m_{h} = 0" for h in _family if h < _i]])
+        _absent[_i] = f"(m_{_i} = 0 OR (({_no_base}) AND {_before}))"
+_k = len(X)
+_safe = ", ".join([f"coalesce(a_{i}_{j}, 0) AS a_{i}_{j}" for i in range(_k) for j in range(_k)]
+                  + [f"coalesce(b_{i}_0, 0) AS b_{i}_0" for i in range(_k)]
+                  + [f"coalesce(a_{i}_{i}, 0) AS o_{i}" for i in range(_k)] + [f"{_absent[i]} AS absent_{i}" for i in range(_k)])
+_kept_columns = ["customer_id", *[f"o_{i}" for i in range(_k)], *[f"absent_{i}" for i in range(_k)]]
+PANEL = DESIGN + ",\n" + solve.moments_cte("panel_m", "design", X, ["customer_id"], ["rating"]) + f""",
+panel_i AS (SELECT customer_id, {_safe} FROM panel_m),
+""" + solve.eliminate("panel_s", "panel_i", _k, ["b@_0"], _kept_columns,
+                      guard="(NOT absent_{k} AND o_{k} > 0 AND a_{k}_{k} > 1e-10 * o_{k})") + f""",
+panel_c AS (SELECT customer_id AS respondent_id, {', '.join(
+    f'CASE WHEN absent_{i} THEN 0 WHEN u_{i} THEN b_{i}_0 END AS b_{i}_0' for i in range(_k))} FROM panel_s),
+each_customer AS ({_worth_rows('panel_c', 'respondent_id')})"""
+add("respondent_panel_partworths", "respondent_id:s; Attribute:s; Level:s; Utility:f4; Part_Worth:f4",
+    lambda s, d: J.respondent_part_worths(J.respondent_coefficients(panel(s, d), SURVEY), SURVEY),
+    "SELECT * FROM each_customer", PANEL)
 add("respondent_check", "Respondents:i; Rows:i; Attributes:i; Levels:i", lambda s, d: J.respondent_check(long_worths(s, d), SURVEY),
     "SELECT count(DISTINCT respondent_id) AS Respondents, count(*) AS Rows, count(DISTINCT Attribute) AS Attributes, "
     "count(DISTINCT Level) AS Levels FROM each", EACH)

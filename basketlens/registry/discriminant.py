@@ -72,8 +72,8 @@ _means = ", ".join(f"m_{i}, m_{i} AS b_{i}_0" for i in range(_n))
 _delta = " + ".join(f"b_{i}_0 * (x{i} - m_{i} / 2)" for i in range(_n))
 MODEL = SPLIT + f""",
 train AS (SELECT KMeans_Cluster, {_design} FROM split WHERE is_train),
-{solve.moments_cte('per_class', 'train', [f'x{i}' for i in range(_n)], ['KMeans_Cluster'])},
-pooled AS (SELECT {_pool} FROM per_class),
+{solve.moments_cte('per_class', 'train', [f'x{i}' for i in range(_n)], ['KMeans_Cluster']).replace('AS (', 'AS MATERIALIZED (', 1)},
+pooled AS MATERIALIZED (SELECT {_pool} FROM per_class),
 system AS (SELECT KMeans_Cluster AS cls, n::DOUBLE / (SELECT sum(n) FROM per_class) AS prior, {_means}, pooled.* FROM per_class CROSS JOIN pooled),
 {solve.eliminate('weights', 'system', _n, ['b@_0'], ['cls', 'prior', *[f'm_{i}' for i in range(_n)]])}"""
 
@@ -137,8 +137,25 @@ add("lda_group_means", "Cluster:s; Variable:s; Mean:f", lambda s, d: _unscaled_f
     " UNION ALL ".join(
         f"SELECT KMeans_Cluster AS Cluster, '{v}' AS Variable, avg(x{i}) AS Mean FROM train GROUP BY 1"
         for i, v in enumerate(_names)), SPLIT + f", train AS (SELECT KMeans_Cluster, {_design} FROM split WHERE is_train)")
-add("lda_discriminants", None, lambda s, d: _fitted(s, d)[1].discriminant_table(s))
-add("lda_proportion_of_trace", None, lambda s, d: _fitted(s, d)[1].trace_table(s))
+_inverse = solve.eliminate("inverse", "(SELECT *, " + solve.identity_columns(_n) + " FROM pooled)", _n, solve.identity_rhs(_n), [])
+_long = lambda prefix, sep, src: " UNION ALL ".join(
+    f"SELECT {i} AS i, {j} AS j, {prefix}_{i}{sep}{j} AS v FROM {src}" for i in range(_n) for j in range(_n))
+_gap = lambda i: f"(m_{i} - (SELECT sum(n * m_{i}) / sum(n) FROM per_class))"
+DISCRIMINANTS = MODEL + f""",
+{_inverse},
+metric AS MATERIALIZED ({_long('a', '_', 'pooled')}),
+between_classes AS MATERIALIZED (SELECT {', '.join(f'sum(n * {_gap(i)} * {_gap(j)}) / (count(*) - 1) AS h_{i}_{j}' for i in range(_n) for j in range(_n))} FROM per_class),
+spread AS MATERIALIZED ({_long('h', '_', 'between_classes')}),
+inverse_long AS MATERIALIZED ({_long('e', '__', 'inverse')}),
+target AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM inverse_long a JOIN spread b ON a.j = b.i GROUP BY 1, 2),
+{solve.principal_components('lds', 'target', 4, metric='metric')}"""
+_variables = "(SELECT i, v AS Variable FROM (VALUES " + ", ".join(f"({i}, '{v}')" for i, v in enumerate(_names)) + ") AS t(i, v))"
+add("lda_discriminants", "Variable:s; Discriminant:s; Coefficient:f",
+    lambda s, d: _unscaled_fit(s, d).discriminant_table(s),
+    f"SELECT Variable, concat('LD', pc) AS Discriminant, loading AS Coefficient FROM lds JOIN {_variables} USING (i)", DISCRIMINANTS)
+add("lda_proportion_of_trace", "Discriminant:s; Eigenvalue:f; Trace_Share:f", lambda s, d: _fitted(s, d)[1].trace_table(s),
+    """SELECT concat('LD', pc) AS Discriminant, e AS Eigenvalue, e / sum(e) OVER () AS Trace_Share FROM
+    (SELECT pc, max(eigenvalue) AS e FROM lds GROUP BY 1)""", DISCRIMINANTS)
 add("lda_test_predictions", "CustomerID:i; KMeans_Cluster:i; Predicted_Cluster:i; " + PROBABILITIES, test_predictions,
     "SELECT * FROM tested", TESTED)
 add("lda_confusion_matrix", "Predicted_Cluster:i; Actual_Cluster:i; Customers:i",

@@ -139,7 +139,7 @@ cor AS MATERIALIZED (SELECT a.i, b.i AS j, corr(a.x, b.x) AS v FROM long a JOIN
 
 
 def _vector_clusters(s: SparkSession, d: str) -> DataFrame:
-    x = K.keep(K.standardise(K.cluster_matrix(views.vectors(s, d), [f"v{i}" for i in range(64)])))
+    x = K.keep(K.standardise(K.cluster_matrix(views.vectors(s, d), [f"v{i}" for i in range(64)])), "vec_id")
     model, _ = K.kmeans_best_of(x, 10, 2)
     return K.attach_clusters(x, model).select("vec_id", "label", "KMeans_Cluster")
 

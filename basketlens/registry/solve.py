@@ -20,21 +20,28 @@ def moments_cte(name: str, source: str, names: Sequence[str], keys: Sequence[str
     return f"{name} AS (SELECT {head}{', '.join(cells)} FROM {source}{tail})"
 
 
-def eliminate(name: str, source: str, p: int, rhs: Sequence[str], keep: Sequence[str]) -> str:
-    """Gauss-Jordan steps on a_i_j with right-hand sides ``r_i`` for each r in ``rhs``; solutions keep the names."""
+def eliminate(name: str, source: str, p: int, rhs: Sequence[str], keep: Sequence[str], guard: str = "") -> str:
+    """Gauss-Jordan steps on a_i_j with right-hand sides ``r_i`` for each r in ``rhs``; solutions keep the names.
+
+    ``guard`` names a format with ``{k}`` that says whether column k takes part; one that does
+    not is skipped and remembered as ``u_k``.
+    """
     steps, before = [], source
     for k in range(p):
         cells = list(keep)
+        skip = (lambda new, old: f"CASE WHEN {guard.format(k=k)} THEN {new} ELSE {old} END") if guard else (lambda new, old: new)
+        if guard:
+            cells += [f"u_{i}" for i in range(k)] + [f"{guard.format(k=k)} AS u_{k}"]
         for i in range(p):
             factor = f"a_{i}_{k} / a_{k}_{k}"
             for j in range(k + 1, p):
                 new = f"a_{k}_{j} / a_{k}_{k}" if i == k else f"a_{i}_{j} - {factor} * a_{k}_{j}"
-                cells.append(f"{new} AS a_{i}_{j}")
+                cells.append(f"{skip(new, f'a_{i}_{j}')} AS a_{i}_{j}")
             for r in rhs:
                 stem, _, suffix = r.partition("@")
                 mine, pivot = f"{stem}_{i}{suffix}", f"{stem}_{k}{suffix}"
                 new = f"{pivot} / a_{k}_{k}" if i == k else f"{mine} - {factor} * {pivot}"
-                cells.append(f"{new} AS {mine}")
+                cells.append(f"{skip(new, mine)} AS {mine}")
         after = name if k == p - 1 else f"{name}_{k}"
         steps.append(f"{after} AS (SELECT {', '.join(cells)} FROM {before})")
         before = after
@@ -105,11 +112,12 @@ def correlation_cte(name: str, source: str, names: Sequence[str]) -> str:
     return f"{name} AS MATERIALIZED ({cells})"
 
 
-def principal_components(name: str, matrix: str, k: int, squarings: int = 22) -> str:
-    """CTE ``name`` (pc, i, loading, eigenvalue) of a long symmetric matrix.
+def principal_components(name: str, matrix: str, k: int, squarings: int = 22, metric: str = "") -> str:
+    """CTE ``name`` (pc, i, loading, eigenvalue) of a long matrix with real, distinct eigenvalues.
 
     Repeated squaring turns the matrix into the projector on its first component, which is
-    then taken out before the next one. Each component's largest loading is positive.
+    then taken out before the next one. Vectors have length one in ``metric`` (the identity if
+    none is given) and a positive largest entry.
     """
     ctes, current = [], matrix
     for c in range(k):
@@ -121,15 +129,15 @@ def principal_components(name: str, matrix: str, k: int, squarings: int = 22) ->
                 f"(SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {s} a JOIN {s} b ON a.j = b.i GROUP BY 1, 2))")
             s = step
         raw, vec, nxt = f"{name}_{c}_raw", f"{name}_{c}_vec", f"{name}_{c}_rest"
+        ctes.append(f"{raw} AS MATERIALIZED (SELECT i, v AS x FROM {s} WHERE j = (SELECT i FROM {s} WHERE i = j ORDER BY v DESC, i LIMIT 1))")
+        length = (f"(SELECT sqrt(sum(a.x * m.v * b.x)) FROM {metric} m JOIN {raw} a ON a.i = m.i JOIN {raw} b ON b.i = m.j)"
+                  if metric else f"(SELECT sqrt(sum(x * x)) FROM {raw})")
         ctes.append(
-            f"{raw} AS MATERIALIZED (SELECT s.i, s.v / sqrt(d.v) AS x FROM {s} s JOIN "
-            f"(SELECT i, v FROM {s} WHERE i = j ORDER BY v DESC, i LIMIT 1) d ON s.j = d.i)")
-        ctes.append(
-            f"{vec} AS MATERIALIZED (SELECT i, x * (SELECT sign(x) FROM {raw} ORDER BY abs(x) - 1e-9 * i DESC LIMIT 1) AS x, "
-            f"(SELECT sum(a.x * m.v * b.x) FROM {matrix} m JOIN {raw} a ON a.i = m.i JOIN {raw} b ON b.i = m.j) AS e FROM {raw})")
+            f"{vec} AS MATERIALIZED (SELECT i, x / {length} * (SELECT sign(x) FROM {raw} ORDER BY abs(x) - 1e-9 * i DESC LIMIT 1) AS x, "
+            f"(SELECT sum(m.v * p.v) FROM {matrix} m JOIN {s} p ON p.i = m.j AND p.j = m.i) AS e FROM {raw})")
         ctes.append(
-            f"{nxt} AS MATERIALIZED (SELECT m.i, m.j, m.v - a.e * a.x * b.x AS v FROM {current} m "
-            f"JOIN {vec} a ON a.i = m.i JOIN {vec} b ON b.i = m.j)")
+            f"{nxt} AS MATERIALIZED (SELECT m.i, m.j, m.v - (SELECT max(e) FROM {vec}) * p.v AS v FROM {current} m "
+            f"JOIN {s} p ON p.i = m.i AND p.j = m.j)")
         current = nxt
     union = " UNION ALL ".join(f"SELECT {c + 1} AS pc, i, x AS loading, e AS eigenvalue FROM {name}_{c}_vec" for c in range(k))
     ctes.append(f"{name} AS MATERIALIZED ({union})")

@@ -48,8 +48,18 @@ def read_products(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One parquet table of a star-schema folder."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """One parquet table of a star-schema folder, under its declared schema (no footer inference job)."""
+    reader = spark.read.schema(schemas.STAR_TABLES[name]) if name in schemas.STAR_TABLES else spark.read
+    return reader.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores when the scan yields fewer partitions than that (one small file).
+
+    Large inputs have far more splits than cores and pass through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def describe_table(df: DataFrame) -> DataFrame:

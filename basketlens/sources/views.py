@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .readers import read_table
+from .readers import read_table, spread
 
 FOCUS = "red widget"
 
@@ -45,7 +45,7 @@ def customers(spark: SparkSession, sf: str) -> DataFrame:
 
 def retail(spark: SparkSession, sf: str) -> DataFrame:
     """One row per transaction line."""
-    line = read_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    line = spread(read_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"))
     order = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     part = read_table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice")
     people = customers(spark, sf)
@@ -87,7 +87,8 @@ def prospects(spark: SparkSession, sf: str) -> DataFrame:
 
 def ratings(spark: SparkSession, sf: str, respondent: str = "nation") -> DataFrame:
     """Rated profiles. Respondents are nations (well covered) or customers (some with gaps)."""
-    line = read_table(spark, sf, "lineitem")
+    line = spread(read_table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_returnflag", "l_linestatus", "l_quantity"))
     part = read_table(spark, sf, "part").where(F.col("p_type").isin(RATING_LEVELS["format"]))
     order = read_table(spark, sf, "orders")
     person = read_table(spark, sf, "customer")
@@ -124,7 +125,8 @@ def profiles(spark: SparkSession, sf: str) -> DataFrame:
 
 def products(spark: SparkSession, sf: str) -> DataFrame:
     """One row per brand with averages over its lines."""
-    line = read_table(spark, sf, "lineitem")
+    line = spread(read_table(spark, sf, "lineitem").select(
+        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"))
     part = read_table(spark, sf, "part")
     return (
         line.join(part, F.col("l_partkey") == F.col("p_partkey"))
