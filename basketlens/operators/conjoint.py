@@ -51,7 +51,7 @@ class Survey:
 
     @property
     def terms(self) -> list[str]:
-        return [self.price, *self.dummies()]
+        return [self.price, *[f"{a}{v}" for a, levels in self.levels.items() for v in levels[1:]]]
 
     def level_slots(self) -> list[tuple[str, str, int | None]]:
         """(Attribute, Level, position among the terms); base levels have no term."""
