@@ -170,7 +170,7 @@ def profile_rating_summary(ratings: DataFrame, survey: Survey, strategy: str = "
     return summarise(
         ratings,
         [mean_of(rating).alias("Avg_Rating"), F.stddev_samp(rating).alias("SD_Rating"), F.count(rating).alias("Responses")],
-        {"Median_Rating": survey.rating}, by=keys, strategy=strategy, small_groups=False,
+        {"Median_Rating": survey.rating}, by=keys, strategy=strategy,
     ).orderBy(F.desc("Avg_Rating"), *keys)
 
 

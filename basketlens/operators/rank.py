@@ -19,6 +19,7 @@ from .common import join_on_keys
 
 ACCURACY = 10_000          # sketch error is n / ACCURACY ranks
 SMALL_ROWS = 2_000_000     # checked row count up to which one window task is fine
+MAX_GROUPS = 10_000        # groups up to which a per-group table is broadcast (counted, not assumed)
 MAX_CUTS = 100_000        # groups x edges a scoring may have
 TIE_SAMPLE = 65_536        # tie keys sampled per cut when one value holds many rows
 
@@ -51,6 +52,11 @@ def use_small_path(df: DataFrame, strategy: str, small_rows: int = SMALL_ROWS) -
     return strategy == "local"
 
 
+def few_groups(df: DataFrame, by: Sequence[str], limit: int = MAX_GROUPS) -> bool:
+    """Whether the grouping has at most ``limit`` groups, by counting them (stops at the limit)."""
+    return not by or df.select(*by).distinct().limit(limit + 1).count() <= limit
+
+
 def _number(column: str) -> Column:
     """The column as double, NaN as null."""
     return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
@@ -63,13 +69,8 @@ def exact_quantiles(
     by: Sequence[str] = (),
     strategy: str = "auto",
     accuracy: int = ACCURACY,
-    small_groups: bool = True,
 ) -> DataFrame:
-    """Linear-interpolation quantiles: ``by..., Variable, p, value``.
-
-    Null and NaN are ignored. ``small_groups`` says that the number of groups is fixed by
-    parameters (segments, clusters, levels); otherwise the bracket table is joined by shuffle.
-    """
+    """Linear-interpolation quantiles: ``by..., Variable, p, value``. Null and NaN are ignored."""
     if use_small_path(df, strategy):
         wide = df.groupBy(*by).agg(*[F.percentile(_number(c), list(probs)).alias(c) for c in columns])
         cells = [
@@ -77,12 +78,11 @@ def exact_quantiles(
             for c in columns for i, p in enumerate(probs)
         ]
         return wide.select(*by, F.inline(F.array(*cells)))
-    return _bracket_quantiles(df, columns, probs, by, accuracy, small_groups)
+    return _bracket_quantiles(df, columns, probs, by, accuracy)
 
 
 def _bracket_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str],
-    accuracy: int, small_groups: bool,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str], accuracy: int,
 ) -> DataFrame:
     by, columns, probs = list(by), list(columns), list(probs)
     bounds = [b for p in probs for b in _bracket_probs(p, accuracy)]
@@ -103,7 +103,7 @@ def _bracket_quantiles(
                 F.lit(c).alias("Variable"), F.lit(float(p)).alias("p"), n.alias("n"), key.alias("key"))))
     ids = [*by, "Variable", "p", "n"]
     counts = (
-        join_on_keys(values, brackets, by, small_right=small_groups)
+        join_on_keys(values, brackets, by, small_right=few_groups(df, by))
         .select(*by, F.inline(F.array_compact(F.array(*cells))))
         .groupBy(*ids, "key")
         .agg(F.count(F.lit(1)).alias("cnt"))
@@ -128,10 +128,9 @@ def quantile_columns(
     wanted: Mapping[str, tuple[str, float]],
     by: Sequence[str] = (),
     strategy: str = "auto",
-    small_groups: bool = True,
 ) -> DataFrame:
     """One row per group with a column per wanted ``name -> (column, probability)``."""
-    return summarise(df, [], wanted, by, strategy, small_groups)
+    return summarise(df, [], wanted, by, strategy)
 
 
 def summarise(
@@ -140,7 +139,6 @@ def summarise(
     quantiles: Mapping[str, str | tuple[str, float]] | None = None,
     by: Sequence[str] = (),
     strategy: str = "auto",
-    small_groups: bool = True,
 ) -> DataFrame:
     """Plain aggregates plus exact quantiles, one row per group.
 
@@ -154,14 +152,14 @@ def summarise(
         return df.groupBy(*by).agg(*aggregates, *exact)
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     probs = sorted({p for _, p in wanted.values()})
-    long = _bracket_quantiles(df, columns, probs, by, ACCURACY, small_groups)
+    long = _bracket_quantiles(df, columns, probs, by, ACCURACY)
     wide = long.groupBy(*by).agg(*[
         F.max(F.when((F.col("Variable") == c) & (F.col("p") == float(p)), F.col("value"))).alias(name)
         for name, (c, p) in wanted.items()
     ])
     if not aggregates:
         return wide
-    return join_on_keys(df.groupBy(*by).agg(*aggregates), wide, by, "left", small_right=small_groups)
+    return join_on_keys(df.groupBy(*by).agg(*aggregates), wide, by, "left")
 
 
 # --------------------------------------------------------------------------- n-tiles
@@ -254,7 +252,7 @@ def cut_points(
         cells.append(F.when(keep, F.struct(F.lit(edge).alias("edge"), F.col("n"), key.alias("key"))))
     ids = [*by, "edge", "n"]
     counts = (
-        join_on_keys(rows, brackets, by, small_right=True)
+        join_on_keys(rows, brackets, by, small_right=few_groups(df, by))
         .select(*by, F.inline(F.array_compact(F.array(*cells))))
         .groupBy(*ids, "key")
         .agg(F.count(F.lit(1)).alias("cnt"))

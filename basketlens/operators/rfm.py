@@ -73,8 +73,9 @@ def score_independent(customers: DataFrame, strategy: str = "auto", buckets: int
 
 def score_sequential(customers: DataFrame, strategy: str = "auto", buckets: int = 5) -> DataFrame:
     """Recency over the base, frequency within recency, monetary within both."""
-    specs = [
-        NTile("R_score_seq", "Recency", descending=True, buckets=buckets),
+    recency = [] if "R_score_seq" in customers.columns else [
+        NTile("R_score_seq", "Recency", descending=True, buckets=buckets)]
+    specs = recency + [
         NTile("F_score_seq", "Frequency", by=("R_score_seq",), buckets=buckets),
         NTile("M_score_seq", "Monetary", by=("R_score_seq", "F_score_seq"), buckets=buckets),
     ]
@@ -82,9 +83,10 @@ def score_sequential(customers: DataFrame, strategy: str = "auto", buckets: int
 
 
 def score_both(customers: DataFrame, strategy: str = "auto") -> DataFrame:
-    """Both scorings on one frame: the customer table needs no join to itself."""
+    """Both scorings on one frame: no join of the customer table to itself, recency scored once."""
     strategy = "local" if use_small_path(customers, strategy) else "distributed"
-    return score_sequential(score_independent(customers, strategy), strategy)
+    independent = score_independent(customers, strategy)
+    return score_sequential(independent.withColumn("R_score_seq", F.col("R_score_ind")), strategy)
 
 
 def score_ranges(scored: DataFrame, method: str = INDEPENDENT) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,20 +29,41 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+# The plans below are built once per session and folder; persisting is asked for on every use.
+
+
+@lru_cache(maxsize=8)
 def raw(spark: SparkSession, sf: str) -> DataFrame:
     return views.raw_transactions(spark, sf)
 
 
+@lru_cache(maxsize=8)
+def lines_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Cleaned lines for jobs that read them a single time."""
+    return quality.clean_transactions(raw(spark, sf))
+
+
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    return _kept(quality.clean_transactions(raw(spark, sf)))
+    return _kept(lines_once(spark, sf))
+
+
+@lru_cache(maxsize=8)
+def people_once(spark: SparkSession, sf: str) -> DataFrame:
+    return features.customer_features(lines_once(spark, sf), focus())
 
 
 def people(spark: SparkSession, sf: str) -> DataFrame:
-    return _kept(features.customer_features(lines(spark, sf), focus()))
+    return _kept(people_once(spark, sf))
+
+
+@lru_cache(maxsize=8)
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    return rfm.score_both(people(spark, sf))
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return _kept(rfm.score_both(people(spark, sf)))
+    people(spark, sf)
+    return _kept(_scored(spark, sf))
 
 
 CUSTOMERS_SQL = """

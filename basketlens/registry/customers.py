@@ -33,14 +33,14 @@ def percent_label_sql(column: str) -> str:
 
 add("customer_summary_min",
     "CustomerID:i; Recency:i; Frequency:i; Monetary:f; FocusSpend:f; FocusQuantity:i; FocusBuyer:i",
-    lambda s, d: C.customer_summary_min(B.lines(s, d), B.focus()), "SELECT * FROM people", B.PEOPLE)
-add("customer_features", FEATURES, lambda s, d: C.customer_features(B.lines(s, d), B.focus()),
+    lambda s, d: C.customer_summary_min(B.lines_once(s, d), B.focus()), "SELECT * FROM people", B.PEOPLE)
+add("customer_features", FEATURES, lambda s, d: C.customer_features(B.lines_once(s, d), B.focus()),
     "SELECT * FROM people", B.PEOPLE)
 add("customer_features_initial", FEATURES + "; LogMonetary:f",
-    lambda s, d: C.customer_features_initial(B.lines(s, d), B.focus()),
+    lambda s, d: C.customer_features_initial(B.lines_once(s, d), B.focus()),
     "SELECT *, ln(CAST(Monetary AS DOUBLE)) AS LogMonetary FROM people", B.PEOPLE)
 add("customer_features_after_exclusion", FEATURES,
-    lambda s, d: C.customer_features(B.lines(s, d).where(~B.exclusion()), B.focus()),
+    lambda s, d: C.customer_features(B.lines_once(s, d).where(~B.exclusion()), B.focus()),
     "SELECT * FROM people_without", B.LINES + ",\n" + B.features_cte("people_without", "lines", f"NOT {B.EXCLUDE_SQL}"))
 # demographics that differ from line to line, some of them missing
 _varying = ("CASE WHEN InvoiceNo % 5 = 0 THEN NULL ELSE Income + InvoiceNo % 3 END AS Income",
@@ -48,13 +48,13 @@ _varying = ("CASE WHEN InvoiceNo % 5 = 0 THEN NULL ELSE Income + InvoiceNo % 3 E
 _first = "(first(struct_pack(i := Income, a := Age) ORDER BY InvoiceDate, InvoiceNo, ProductID, Quantity))"
 add("first_row_demographics", "CustomerID:i; Income:f; Age:i",
     lambda s, d: C.first_row_values(
-        B.lines(s, d).selectExpr("CustomerID", "InvoiceDate", "InvoiceNo", "ProductID", "Quantity", *_varying),
+        B.lines_once(s, d).selectExpr("CustomerID", "InvoiceDate", "InvoiceNo", "ProductID", "Quantity", *_varying),
         ["Income", "Age"]),
     f"SELECT CustomerID, {_first}.i AS Income, {_first}.a AS Age FROM varying GROUP BY CustomerID",
     B.LINES + f", varying AS (SELECT CustomerID, InvoiceDate, InvoiceNo, ProductID, Quantity, {', '.join(_varying)} FROM lines)")
 add("varying_demographics", "Variable:s; Customers:i",
     lambda s, d: C.varying_demographics(
-        B.lines(s, d).selectExpr("CustomerID", *_varying, "HouseholdSize"), ["Income", "Age", "HouseholdSize"]),
+        B.lines_once(s, d).selectExpr("CustomerID", *_varying, "HouseholdSize"), ["Income", "Age", "HouseholdSize"]),
     " UNION ALL ".join(
         f"""SELECT '{c}' AS Variable, count(*) FILTER (WHERE k > 1) AS Customers FROM
         (SELECT count(DISTINCT coalesce(CAST({c} AS VARCHAR), '?')) AS k FROM varying GROUP BY CustomerID)"""
@@ -227,7 +227,7 @@ BARS = "Category:s; Value:f; Label:s; SortOrder:i"
 
 def _category_bars(s, d):
     from ..operators.quality import category_sales
-    return V.currency_bars(category_sales(B.lines(s, d)), "ProductCategory", "TotalSales")
+    return V.currency_bars(category_sales(B.lines_once(s, d)), "ProductCategory", "TotalSales")
 
 
 add("bars_category_sales", BARS, _category_bars,

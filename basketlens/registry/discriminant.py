@@ -137,7 +137,7 @@ add("lda_group_means", "Cluster:s; Variable:s; Mean:f", lambda s, d: _unscaled_f
     " UNION ALL ".join(
         f"SELECT KMeans_Cluster AS Cluster, '{v}' AS Variable, avg(x{i}) AS Mean FROM train GROUP BY 1"
         for i, v in enumerate(_names)), SPLIT + f", train AS (SELECT KMeans_Cluster, {_design} FROM split WHERE is_train)")
-_inverse = solve.eliminate("inverse", "(SELECT *, " + solve.identity_columns(_n) + " FROM pooled)", _n, solve.identity_rhs(_n), [])
+_inverse = solve.eliminate("inverse", "(SELECT *, " + solve.identity_columns(_n) + " FROM pooled)", _n, solve.identity_rhs(_n), []).replace("inverse AS (", "inverse AS MATERIALIZED (")
 _long = lambda prefix, sep, src: " UNION ALL ".join(
     f"SELECT {i} AS i, {j} AS j, {prefix}_{i}{sep}{j} AS v FROM {src}" for i in range(_n) for j in range(_n))
 _gap = lambda i: f"(m_{i} - (SELECT sum(n * m_{i}) / sum(n) FROM per_class))"

@@ -23,7 +23,7 @@ def _missing_sql(source: str, columns: list[str]) -> str:
 
 add("missing_profile", "Variable:s; Missing_Count:i", lambda s, d: Q.missing_profile(B.raw(s, d)),
     _missing_sql("raw", RAW_COLUMNS), B.RAW)
-add("missing_profile_clean", "Variable:s; Missing_Count:i", lambda s, d: Q.missing_profile(B.lines(s, d)),
+add("missing_profile_clean", "Variable:s; Missing_Count:i", lambda s, d: Q.missing_profile(B.lines_once(s, d)),
     _missing_sql("lines", RAW_COLUMNS + ["TotalSpend"]), B.LINES)
 add("missing_profile_prospects", "Variable:s; Missing_Count:i", lambda s, d: Q.missing_profile(views.prospects(s, d)),
     _missing_sql("(SELECT * FROM people0 WHERE CustomerID % 5 = 0)", ["CustomerID"] + RAW_COLUMNS[7:]), B.RETAIL)
@@ -48,18 +48,18 @@ add("category_counts", "ProductCategory:s; n:i", lambda s, d: Q.value_counts(B.r
     "SELECT ProductCategory, count(*) AS n FROM raw GROUP BY 1", B.RAW)
 add("nonpositive_profile", "zero_or_negative_price:i; zero_or_negative_quantity:i; zero_or_negative_spend:i",
     lambda s, d: Q.nonpositive_profile(
-        B.lines(s, d).selectExpr("UnitPrice - 905 AS UnitPrice", "Quantity - 3 AS Quantity",
+        B.lines_once(s, d).selectExpr("UnitPrice - 905 AS UnitPrice", "Quantity - 3 AS Quantity",
                                  "(UnitPrice - 905) * (Quantity - 3) AS TotalSpend")),
     """SELECT count(*) FILTER (WHERE UnitPrice - 905 <= 0) AS zero_or_negative_price,
        count(*) FILTER (WHERE Quantity - 3 <= 0) AS zero_or_negative_quantity,
        count(*) FILTER (WHERE (UnitPrice - 905) * (Quantity - 3) <= 0) AS zero_or_negative_spend FROM lines""", B.LINES)
-add("clean_transactions", LINE, lambda s, d: B.lines(s, d), "SELECT * FROM lines", B.LINES)
-add("exclude_rows", LINE, lambda s, d: Q.exclude_rows(B.lines(s, d), B.exclusion()),
+add("clean_transactions", LINE, lambda s, d: B.lines_once(s, d), "SELECT * FROM lines", B.LINES)
+add("exclude_rows", LINE, lambda s, d: Q.exclude_rows(B.lines_once(s, d), B.exclusion()),
     f"SELECT * FROM lines WHERE NOT {B.EXCLUDE_SQL}", B.LINES)
 add("cleaning_summary",
     "Rows_Before:i; Rows_After:i; Rows_Removed:i; Customers_Before:i; Customers_After:i; Sales_Before:f; Sales_After:f; "
     "Sales_Removed:f; Focus_Spend_Before:f; Focus_Spend_After:f; Focus_Spend_Removed:f",
-    lambda s, d: Q.cleaning_summary(B.lines(s, d), B.exclusion(), B.focus()),
+    lambda s, d: Q.cleaning_summary(B.lines_once(s, d), B.exclusion(), B.focus()),
     f"""SELECT *, Rows_Before - Rows_After AS Rows_Removed, Sales_Before - Sales_After AS Sales_Removed,
        Focus_Spend_Before - Focus_Spend_After AS Focus_Spend_Removed FROM (
        SELECT count(*) AS Rows_Before, count(*) FILTER (WHERE NOT {B.EXCLUDE_SQL}) AS Rows_After,
@@ -77,13 +77,13 @@ add("transaction_summary",
        count(DISTINCT ProductCategory) AS unique_categories, sum(TotalSpend) AS total_sales,
        {B.avg_sql('TotalSpend')} AS average_line_spend, median(CAST(TotalSpend AS DOUBLE)) AS median_line_spend,
        max(Quantity) AS max_quantity, max(TotalSpend) AS max_line_spend FROM lines""", B.LINES)
-add("top_lines", LINE, lambda s, d: Q.top_lines(B.lines(s, d), 20),
+add("top_lines", LINE, lambda s, d: Q.top_lines(B.lines_once(s, d), 20),
     "SELECT * FROM lines ORDER BY TotalSpend DESC, CustomerID, InvoiceNo, ProductID, Quantity LIMIT 20", B.LINES)
-add("category_sales", "ProductCategory:s; TotalSales:f; CategoryRank:i", lambda s, d: Q.category_sales(B.lines(s, d)),
+add("category_sales", "ProductCategory:s; TotalSales:f; CategoryRank:i", lambda s, d: Q.category_sales(B.lines_once(s, d)),
     """SELECT *, row_number() OVER (ORDER BY TotalSales DESC, ProductCategory) AS CategoryRank
        FROM (SELECT ProductCategory, sum(TotalSpend) AS TotalSales FROM lines GROUP BY 1)""", B.LINES)
 add("category_position", "Category:s; CategorySales:f; CategoryRank:i",
-    lambda s, d: Q.category_position(B.lines(s, d), views.FOCUS),
+    lambda s, d: Q.category_position(B.lines_once(s, d), views.FOCUS),
     f"""SELECT ProductCategory AS Category, TotalSales AS CategorySales, CategoryRank FROM (
        SELECT *, row_number() OVER (ORDER BY TotalSales DESC, ProductCategory) AS CategoryRank
        FROM (SELECT ProductCategory, sum(TotalSpend) AS TotalSales FROM lines GROUP BY 1)) WHERE {B.FOCUS_SQL}""", B.LINES)
@@ -93,7 +93,7 @@ add("table_structure", "position:i; column_name:s; type:s; row_count:i; column_c
        (VALUES (0,'c_custkey','bigint'),(1,'c_name','string'),(2,'c_nationkey','int'),(3,'c_acctbal','double'),
                (4,'c_mktsegment','string')) AS t(position, column_name, type)""")
 add("numeric_summary", "Variable:s; min:f; mean:f; max:f; sd:f",
-    lambda s, d: readers.numeric_summary(B.lines(s, d), ["UnitPrice", "Quantity", "Income"]),
+    lambda s, d: readers.numeric_summary(B.lines_once(s, d), ["UnitPrice", "Quantity", "Income"]),
     " UNION ALL ".join(
         f"""SELECT '{c}' AS Variable, min({c}) AS min, avg(CAST({c} AS DOUBLE)) AS mean, max({c}) AS max,
         stddev_samp(CAST({c} AS DOUBLE)) AS sd FROM lines""" for c in ("UnitPrice", "Quantity", "Income")), B.LINES)

@@ -30,7 +30,7 @@ def test_quantiles_match_numpy(skewed, strategy):
 
 def test_quantile_brackets_are_used_and_exact(skewed):
     # accuracy far below the row count: only the bracket around each target is ranked
-    got = R._bracket_quantiles(skewed, ["m", "f"], [0.5, 0.99], [], 200, True).collect()
+    got = R._bracket_quantiles(skewed, ["m", "f"], [0.5, 0.99], [], 200).collect()
     data = skewed.toPandas()
     for r in got:
         assert r.value == pytest.approx(np.quantile(data[r.Variable], r.p), rel=1e-12)
