@@ -67,15 +67,15 @@ def customer_features(
     The distinct counts expand to one narrow row per counted column and combine by
     (customer, value) before they meet by customer, so a customer with a third of all lines
     is spread over the cluster. Both aggregates end partitioned by customer and join in place.
+    The lines are read three times (measures, first rows, last date): persist or write them first.
     """
-    zero_safe_spend = F.when(focus, F.col("InvoiceNo"))
     per_customer = lines.groupBy("CustomerID").agg(
         F.min("InvoiceDate").alias("first_purchase_date"),
         F.max("InvoiceDate").alias("last_purchase_date"),
         F.sum("Quantity").alias("TotalQuantity"),
         F.count_distinct("ProductCategory").alias("CategoryDiversity"),
         F.count_distinct("ProductID").alias("ProductDiversity"),
-        F.count_distinct(zero_safe_spend).alias("FocusInvoices"),
+        F.count_distinct(F.when(focus, F.col("InvoiceNo"))).alias("FocusInvoices"),
         *[c.alias(k) for k, c in _measures(focus).items()],
     )
     dated = per_customer.crossJoin(F.broadcast(_analysis_date(lines)))

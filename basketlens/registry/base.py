@@ -48,12 +48,13 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @lru_cache(maxsize=8)
-def people_once(spark: SparkSession, sf: str) -> DataFrame:
-    return features.customer_features(lines_once(spark, sf), focus())
+def _people(spark: SparkSession, sf: str) -> DataFrame:
+    return features.customer_features(lines(spark, sf), focus())
 
 
 def people(spark: SparkSession, sf: str) -> DataFrame:
-    return _kept(people_once(spark, sf))
+    lines(spark, sf)
+    return _kept(_people(spark, sf))
 
 
 @lru_cache(maxsize=8)

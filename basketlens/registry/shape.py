@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import guard_against_skew
+
 
 def parse(columns: str) -> list[tuple[str, str, int]]:
     parsed = []
@@ -56,7 +58,12 @@ class Book:
             sql: str | None = None, ctes: str = "") -> None:
         if name in self.queries:
             raise ValueError(f"duplicate query {name}")
-        self.queries[name] = (lambda spark, sf: shape_frame(job(spark, sf), columns)) if columns else job
+
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            result = job(guard_against_skew(spark), sf)
+            return shape_frame(result, columns) if columns else result
+
+        self.queries[name] = run
         if sql:
             if not columns:
                 raise ValueError("a query with SQL needs a column list")

@@ -8,6 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+# Settings the jobs count on. The last two keep a hot key from pinning its rows to one task:
+# an aggregate re-shuffles on all its keys instead of inheriting a join's partitioning, and
+# a skewed join is split even when that costs a later shuffle.
+SKEW_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.requireAllClusterKeysForDistribution": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
 
 def build_session(app: str = "basketlens", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, skew-join handling and UTC dates.
@@ -17,11 +28,10 @@ def build_session(app: str = "basketlens", master: str | None = None, **conf: st
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    for key, value in SKEW_SETTINGS.items():
+        builder = builder.config(key, value)
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -29,6 +39,13 @@ def build_session(app: str = "basketlens", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def guard_against_skew(spark: SparkSession) -> SparkSession:
+    """Apply the settings to a session that was built elsewhere."""
+    for key, value in SKEW_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder: the cluster's shared one, or a scratch one in local mode."""
     context = spark.sparkContext

@@ -6,7 +6,7 @@ import json
 import os
 import time
 
-from basketlens.registry import all_queries
+from basketlens.registry import all_queries, forget
 from basketlens.session import build_session
 
 HEADLINE = [
@@ -35,6 +35,7 @@ def main() -> None:
         times = []
         for _ in range(runs):
             spark.catalog.clearCache()  # every query starts from the files
+            forget()
             start = time.perf_counter()
             queries[name](spark, folder).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
