@@ -59,3 +59,14 @@ def test_crosstabs_cover_every_customer(spark):
     for name, key in (("rfm_segment_crosstab", "RFM_segment_ind"), ("kmeans_ward_crosstab", "KMeans_Cluster")):
         df = QUERIES[name](spark, FOLDER)
         assert sum(v for r in df.collect() for k, v in r.asDict().items() if k != key) == n
+
+
+def test_segments_at_the_documented_scale(spark):
+    """Figures worked out by hand for the 60,000-line tables."""
+    folder = "/root/testdata/sf0.01"
+    got = {r["RFM_segment_ind"]: r for r in QUERIES["rfm_independent_segment_summary"](spark, folder).collect()}
+    assert got["Champions"]["Customers"] == 252 and got["Champions"]["Total_Monetary"] == 336501466.50
+    assert got["Low-value inactive"]["Focus_Buyers"] == 100 and got["Promising"]["Median_Monetary"] == 1224204.85
+    assert got["At-risk high-value"]["Avg_Frequency"] == pytest.approx(12.9259, abs=1e-4)
+    assert sum(r["Customers"] for r in got.values()) == 1500
+    assert QUERIES["clean_transactions"](spark, folder).count() == 58_781
