@@ -153,20 +153,19 @@ class LdaFit:
 
         The class is the first one with the highest score; all are null if a predictor is.
         """
-        scored = df.withColumn("__d", F.array(*self.score_columns()))
-        best = F.array_max("__d")
-        known = F.forall("__d", lambda d: d.isNotNull())
-        weights = F.transform("__d", lambda d: F.exp(d - best))
-        total = F.aggregate("__w", F.lit(0.0), lambda a, w: a + w)
-        labels = F.array(*[F.lit(c) for c in self.classes])
-        out = scored.withColumn("__best", F.when(known, F.array_position("__d", best).cast("int")))
-        out = out.withColumn("__w", F.when(known, weights)).withColumn("__t", total)
-        posterior = {f"{prefix}{c}": F.get("__w", F.lit(i)) / F.col("__t") for i, c in enumerate(self.classes)}
-        return out.withColumns({
-            "Predicted_Cluster": F.get(labels, F.col("__best") - 1),
-            **posterior,
-            "Max_Cluster_Probability": F.array_max("__w") / F.col("__t"),
-        }).drop("__d", "__best", "__w", "__t")
+        k = range(len(self.classes))
+        scored = df.withColumns({f"__d{i}": c for i, c in enumerate(self.score_columns())})
+        scored = scored.withColumn("__best", F.greatest(*[f"__d{i}" for i in k]))
+        scored = scored.withColumns({f"__w{i}": F.exp(F.col(f"__d{i}") - F.col("__best")) for i in k})
+        scored = scored.withColumn("__total", add_up([F.col(f"__w{i}") for i in k]))
+        first_best = F.when(F.col("__d0") == F.col("__best"), F.lit(self.classes[0]))
+        for i in k[1:]:
+            first_best = first_best.when(F.col(f"__d{i}") == F.col("__best"), F.lit(self.classes[i]))
+        return scored.withColumns({
+            "Predicted_Cluster": first_best,
+            **{f"{prefix}{c}": F.col(f"__w{i}") / F.col("__total") for i, c in enumerate(self.classes)},
+            "Max_Cluster_Probability": F.greatest(*[f"__w{i}" for i in k]) / F.col("__total"),
+        }).drop("__best", "__total", *[f"__{x}{i}" for x in "dw" for i in k])
 
     def prior_table(self, spark: SparkSession) -> DataFrame:
         rows = [(str(c), int(n), float(p)) for c, n, p in zip(self.classes, self.counts, self.priors)]
