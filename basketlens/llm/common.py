@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -82,3 +83,24 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         seen = tuple(mark)
     stars = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def tell_workers(spark: SparkSession) -> None:
+    """Lets Python workers that share the driver's disk import this package; on a cluster it is shipped with --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
+
+
+def in_chunks(rows: list, size, most: int):
+    """Consecutive slices of rows whose sizes add up to about `most`; a larger row is a slice of its own."""
+    start = total = 0
+    for i, row in enumerate(rows):
+        n = size(row)
+        if i > start and total + n > most:
+            yield rows[start:i]
+            start, total = i, 0
+        total += n
+    if start < len(rows):
+        yield rows[start:]
