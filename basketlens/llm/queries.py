@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.llm import bpe, chat, mixing
+from basketlens.llm import bpe, chat, minhash, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": chat.op1_chat,
+    "op3_minhash": minhash.op3_minhash,
     "op4_mixing": mixing.op4_mixing,
     "op6_bpe": bpe.op6_bpe,
 }
