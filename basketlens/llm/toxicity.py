@@ -137,7 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return pd.DataFrame({"bias": [model.bias], "i": [model.index.tobytes()], "w": [model.weight.tobytes()]})
 
     examples = rows.mapInPandas(extract, "id long, h long, y int, found binary")
-    fitted = examples.groupBy(F.lit(1)).applyInPandas(train, "bias double, i binary, w binary").first()
+    fitted = examples.groupBy().applyInPandas(train, "bias double, i binary, w binary").first()
     if fitted is None:
         return Model(0.0, np.empty(0, np.uint32), np.empty(0))
     return Model(fitted["bias"], np.frombuffer(fitted["i"], np.uint32), np.frombuffer(fitted["w"]))
