@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.llm import bpe, chat, minhash, mixing, toxicity
+from basketlens.llm import bpe, chat, minhash, mixing, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": chat.op1_chat,
     "op3_minhash": minhash.op3_minhash,
     "op4_mixing": mixing.op4_mixing,
+    "op5_pii": pii.op5_pii,
     "op6_bpe": bpe.op6_bpe,
     "op9_toxicity": toxicity.op9_toxicity,
 }
