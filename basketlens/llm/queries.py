@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.llm import bpe, chat, minhash, mixing, pii, repeats, toxicity
+from basketlens.llm import bpe, chat, minhash, mixing, neighbours, pii, repeats, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": chat.op1_chat,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": pii.op5_pii,
     "op6_bpe": bpe.op6_bpe,
     "op7_repeats": repeats.op7_repeats,
+    "op8_neighbours": neighbours.op8_neighbours,
     "op9_toxicity": toxicity.op9_toxicity,
 }
 SQL: dict[str, str] = {"op1_chat": chat.SQL, "op4_mixing": mixing.SQL}
