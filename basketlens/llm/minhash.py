@@ -6,9 +6,10 @@ by the exact Jaccard similarity of their full shingle sets.
 
 Documents with equal sets are one class from the start and only the class's smallest doc_id goes on. Within a band's group
 nobody meets everybody: in each round every member whose component differs from that of the group's centre is compared with the
-centre (another member each round), components are joined, and the groups that hold one component are done. After the rounds
-the members outside a group's largest component are compared with the whole group, which completes it: no pair of a group that
-is in two components stays untested.
+centre (another member each round), and components are joined; groups that hold one component are done. What is left is
+completed without loss: small groups by all their pairs across components, the members of large ones by the prefix filter,
+which lets only those pairs meet across components that share one of their rarest shingles, and early enough, as every pair
+over the threshold does.
 
 Bands of 5 values, 28 of them: a pair at the threshold 0.85 is missed with probability (1 - 0.85^5)^28 < 1e-7, at 0.80 < 2e-5.
 
@@ -21,15 +22,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from basketlens.llm.common import components, in_chunks, table, tell_workers, written
 from basketlens.llm.words import ODD, lower_words, mixed, shingles
 
 ROWS, BANDS, WORDS = 5, 28, 5
 PERMUTATIONS = ROWS * BANDS // 2
-#: Rounds in which groups are compared with a centre before what is left is compared in full.
-ROUNDS = 2
+#: Rounds in which groups are compared with a centre; then groups of up to FEW members are completed by their own pairs.
+ROUNDS, FEW = 2, 16
 #: Bytes of text whose signatures are computed at once.
 CHUNK = 4_000_000
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -138,26 +140,64 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = WORDS) -> DataF
 def linked_components(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(id, component) of the members of band groups (id, n, band) that have a link."""
     labels = None
-    near = lambda x, y: (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))  # noqa: E731  else the sizes alone forbid it
-    for turn in range(ROUNDS + 1):
-        now = groups.withColumn("c", F.col("id")) if labels is None else (
-            groups.join(labels.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        )
-        if turn < ROUNDS:
-            centre = now.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))).alias("x"))
-            pairs = now.join(centre, "band").select("id", "n", "c", "x.b", "x.nb", "x.cb").where((F.col("c") != F.col("cb")) & near("n", "nb"))
-        else:
-            now = written(now)
-            sizes = now.groupBy("band", "c").agg(F.count("*").alias("m"))
-            split = sizes.groupBy("band").agg(F.max(F.struct("m", F.col("c").alias("main"))).alias("x"), F.count("*").alias("k")).where("k > 1").select("band", "x.main")
-            left = now.join(split, "band")
-            few = left.where("c <> main").select("band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            pairs = left.join(few, "band").where((F.col("c") != F.col("cb")) & near("n", "nb"))
-        pairs = pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        links = written(_linked(pairs, sets, percent))
-        known = links if labels is None else links.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
-        labels = components(known)
-    return labels
+    for turn in range(ROUNDS):
+        now = _labelled(groups, labels)
+        centre = now.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))).alias("x"))
+        labels = _joined(now.join(centre, "band").select("id", "n", "c", "x.b", "x.nb", "x.cb"), sets, percent, labels)
+    now = written(_labelled(groups, labels))
+    split = now.groupBy("band", "c").agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("m"), F.count("*").alias("cs")).where("cs > 1")
+    now = written(now.join(split.select("band", "m"), "band"))
+    few = _across(now.where(F.col("m") <= FEW).drop("m"), "band")
+    many = now.where(F.col("m") > FEW).select("id", "n", "c").distinct()
+    # what two sets can share from their first common shingle on must reach the overlap that the threshold asks for
+    at_most = 1 + F.least(F.col("n") - F.col("rank"), F.col("nb") - F.col("rank_b"))
+    enough = at_most * (100 + percent) >= F.lit(percent) * (F.col("n") + F.col("nb"))
+    return _joined(few.unionByName(_across(_rare_tokens(many, sets, percent), "token", enough)), sets, percent, labels)
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows with `c`, the component of their id so far."""
+    if labels is None:
+        return rows.withColumn("c", F.col("id"))
+    return rows.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+
+
+def _joined(pairs: DataFrame, sets: DataFrame, percent: int, labels: DataFrame | None) -> DataFrame:
+    """The components after those of the pairs (id, n, c) and (b, nb, cb) that lie in two components and are close."""
+    near = F.lit(100) * F.least("n", "nb") >= F.lit(percent) * F.greatest("n", "nb")  # else the sizes alone forbid it
+    pairs = pairs.where((F.col("c") != F.col("cb")) & near)
+    links = written(_linked(pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), sets, percent))
+    if labels is not None:
+        links = links.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    return components(links)
+
+
+def _across(rows: DataFrame, key: str, also: Column | None = None) -> DataFrame:
+    """Pairs that share a key and lie in two components: the members outside the key's largest component, with all others."""
+    largest = rows.groupBy(key, "c").agg(F.count("*").alias("k")).groupBy(key).agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("cs"))
+    left = rows.join(largest.where("cs > 1").select(key, "main"), key)
+    other = {"id": "b", "n": "nb", "c": "cb", "rank": "rank_b"}
+    outer = left.where("c <> main").select(F.col(key).alias("key_b"), *(F.col(x).alias(y) for x, y in other.items() if x in rows.columns))
+    same = (F.col(key) == F.col("key_b")) & (F.col("c") != F.col("cb"))
+    return left.join(outer, same if also is None else same & also).select("id", "n", "c", "b", "nb", "cb")
+
+
+def _rare_tokens(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, n, c, token, rank): each member's rarest shingles, as many as two sets over the threshold must share one of (the prefix
+    filter, exact for any order that all sets share; here by the number of members that have the shingle)."""
+
+    def each(batches):
+        for batch in batches:
+            found = [np.frombuffer(x, np.int64) for x in batch["set"]]
+            size = [len(x) for x in found]
+            yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), size), "token": np.concatenate(found) if found else np.empty(0, np.int64)})
+
+    tokens = written(sets.join(members.select("id"), "id").select("id", "set").mapInPandas(each, "id long, token long"))
+    frequent = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    placed = tokens.join(frequent, "token").withColumn("rank", rank).join(members, "id")
+    return placed.where((F.col("rank") <= prefix) & (F.col("df") > 1)).select("id", "n", "c", "token", "rank")
 
 
 def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
