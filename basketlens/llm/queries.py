@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.llm import bpe, chat, minhash, mixing, neighbours, pii, repeats, toxicity
+from basketlens.llm import bpe, chat, minhash, mixing, neighbours, pii, repeats, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": chat.op1_chat,
@@ -17,5 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_repeats": repeats.op7_repeats,
     "op8_neighbours": neighbours.op8_neighbours,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_topk": topk.op10_topk,
 }
-SQL: dict[str, str] = {"op1_chat": chat.SQL, "op4_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op1_chat": chat.SQL, "op4_mixing": mixing.SQL, "op10_topk": topk.SQL}
