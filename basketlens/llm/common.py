@@ -28,11 +28,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
-    """df, written to the shared folder and read from there: its lineage is cut and lost executors repeat nothing before it."""
-    spark = df.sparkSession
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read from there: its lineage is cut and lost executors repeat nothing before it. The
+    shuffle files of the job go when it ends, since the table takes their place."""
+    spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(clean, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
