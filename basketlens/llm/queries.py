@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.llm import bpe, chat, minhash, mixing, neighbours, pii, repeats, topk, toxicity
+from basketlens.llm import bpe, chat, minhash, mixing, neighbours, pii, repeats, shards, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": chat.op1_chat,
+    "op2_shards": shards.op2_shards,
     "op3_minhash": minhash.op3_minhash,
     "op4_mixing": mixing.op4_mixing,
     "op5_pii": pii.op5_pii,
