@@ -229,6 +229,21 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return _texts(docs).mapInPandas(run, "doc_id long, ids array<int>, offsets array<long>")
 
 
+def checked(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids, exact) of every text; exact: the decoded ids are the text again."""
+    tell_workers(docs.sparkSession)
+    path = vocabulary or default_vocabulary()
+
+    def run(batches):
+        c = codec(path)
+        for batch in batches:
+            texts = batch["text"].tolist()
+            ids = list(c.encode(texts))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": list(map(len, ids)), "ids": ids, "exact": [c.decode(x) == t.encode() for x, t in zip(ids, texts)]})
+
+    return _texts(docs).mapInPandas(run, "doc_id long, n_tokens long, ids array<int>, exact boolean")
+
+
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, bytes) of encoded ids."""
     tell_workers(encoded.sparkSession)

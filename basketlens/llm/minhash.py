@@ -66,23 +66,23 @@ def set_key(s: np.ndarray) -> bytes:
 
 
 def described(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """(doc_id, n, key, bands): set size, a 128-bit hash of the set (null if empty) and its band keys."""
+    """(doc_id, t, n, key, bands): a hash of the text, set size, a 128-bit hash of the set (null if empty) and its band keys."""
     tell_workers(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            for part in in_chunks(list(zip(batch["doc_id"], batch["text"])), lambda r: len(r[1]), CHUNK):
-                sets = [shingles(lower_words(t), k) for _, t in part]
+            for part in in_chunks(list(zip(batch["doc_id"], batch["t"], batch["text"])), lambda r: len(r[2]), CHUNK):
+                sets = [shingles(lower_words(r[2]), k) for r in part]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys, bands = [None] * len(part), [None] * len(part)
                 if full:
                     found = band_keys(signatures([sets[i] for i in full]))
                     for i, b in zip(full, found):
                         keys[i], bands[i] = set_key(sets[i]), b
-                yield pd.DataFrame({"doc_id": pd.array([d for d, _ in part], "Int64"), "n": [len(s) for s in sets], "key": keys, "bands": bands})
+                yield pd.DataFrame({"doc_id": pd.array([r[0] for r in part], "Int64"), "t": [r[1] for r in part], "n": [len(s) for s in sets], "key": keys, "bands": bands})
 
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return texts.mapInPandas(run, "doc_id long, n long, key binary, bands array<long>")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("t"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return texts.mapInPandas(run, "doc_id long, t long, n long, key binary, bands array<long>")
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
@@ -114,7 +114,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs."""
+    """(doc_id, n_shingles, component_id, kept) of every row of docs, and t, the hash of its text."""
     all_rows = written(described(docs, k))
     classes = all_rows.where("key is not null and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     classes = written(classes)
@@ -128,15 +128,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = WORDS) -> DataF
     sets = written(sets)
     found = linked_components(groups, sets, percent)
     label = classes.join(found, "id", "left").select("key", "n", F.coalesce("component", "id").alias("component"))
-    rows = all_rows.select("doc_id", "n", "key").alias("r")
+    rows = all_rows.select("doc_id", "t", "n", "key")
     out = rows.join(label, ["key", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "t",
     )
 
 
+def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """docs with one row of each component; rows without doc_id stay, of rows that repeat id and text one stays."""
+    gone = near_duplicates(docs, percent).where("not kept").select("doc_id", F.col("t").alias("__t")).distinct()
+    keyed = docs.withColumn("__t", F.xxhash64("text"))
+    named = keyed.where("doc_id is not null").join(gone, ["doc_id", "__t"], "left_anti").dropDuplicates(["doc_id", "__t"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def linked_components(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(id, component) of the members of band groups (id, n, band) that have a link."""
     labels = None
@@ -201,4 +209,4 @@ def _rare_tokens(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(table(spark, folder, "documents"))
+    return near_duplicates(table(spark, folder, "documents")).drop("t")

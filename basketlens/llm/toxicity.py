@@ -161,6 +161,11 @@ def scorer(model: Model):
     return lambda text: score(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
+    """The rows of docs whose text scores under the limit."""
+    return docs.where(scorer(learn(docs, labels))(F.col("text")) < limit)
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     score = scorer(learn(docs, table(spark, folder, "labels")))
