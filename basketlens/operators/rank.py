@@ -1,9 +1,10 @@
-"""Exact quantiles and tie-stable n-tiles without ever sorting the data in one task.
+"""Exact quantiles and tie-stable n-tiles without sorting the data in one task.
 
-Both rest on the same idea. A mergeable sketch brackets the wanted order statistic; rows
-below the bracket are only counted (they collapse map-side), rows above are dropped, and
-the few distinct values inside are ranked exactly. Nothing is approximate in the result:
-a bracket that missed its target fails the job instead of returning a wrong number.
+One way for every size: the rows of an order are range-partitioned into slices, sorted inside
+their slice and written once. What precedes a slice is the sum over the slices before it, so a
+rank or running count is that sum plus the row's place in its own slice. Only one row per
+(group, slice) is ever summed in one place, and ties are split by the key that completes the
+order. Nothing is approximate, sampled or collected.
 """
 
 from __future__ import annotations
@@ -15,122 +16,75 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
 from .common import join_on_keys
 
-ACCURACY = 10_000          # sketch error is n / ACCURACY ranks
-SMALL_ROWS = 2_000_000     # checked row count up to which one window task is fine
-MAX_GROUPS = 10_000        # groups up to which a per-group table is broadcast (counted, not assumed)
-MAX_CUTS = 100_000        # groups x edges a scoring may have
-TIE_SAMPLE = 65_536        # tie keys sampled per cut when one value holds many rows
 
-
-def _bracket_probs(p: float, accuracy: int) -> tuple[float, float]:
-    margin = 5.0 / accuracy
-    return max(0.0, p - margin), min(1.0, p + margin)
-
-
-def _running_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    order = W.partitionBy(*keys).orderBy(F.col("key").asc_nulls_first())
-    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    return counts.withColumn("cum", F.sum("cnt").over(upto))
-
-
-def _or_fail(found: Column, n: Column) -> Column:
-    message = F.lit("rank bracket missed its target; raise the sketch accuracy")
-    return F.when(found.isNull() & (n > 0), F.raise_error(message)).otherwise(found)
+def _number(column: str) -> Column:
+    """The column as double, NaN as null."""
+    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
 
 
-def use_small_path(df: DataFrame, strategy: str, small_rows: int = SMALL_ROWS) -> bool:
-    """Whether one task may hold the whole input. ``auto`` counts rows; persist ``df`` beforehand.
+def running(df: DataFrame, ids: Sequence[str], order: Sequence[str], amount: Column, slices: int | None = None) -> DataFrame:
+    """``df`` with ``cum``, the sum of ``amount`` up to and with the row, and ``n``, that of its group.
 
-    ``local`` and ``distributed`` skip the count. Both paths return the same numbers.
+    ``order`` must tell the rows of a group apart. ``slices`` is left to adaptive execution unless
+    given.
     """
-    if strategy == "auto":
-        return df.count() <= small_rows
-    if strategy not in ("local", "distributed"):
-        raise ValueError(f"unknown strategy {strategy!r}")
-    return strategy == "local"
-
-
-def few_groups(df: DataFrame, by: Sequence[str], limit: int = MAX_GROUPS) -> bool:
-    """Whether the grouping has at most ``limit`` groups, by counting them (stops at the limit)."""
-    return not by or df.select(*by).distinct().limit(limit + 1).count() <= limit
-
-
-def _number(column: str) -> Column:
-    """The column as double, NaN as null."""
-    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    ids, keys = list(ids), [*map(F.col, ids), *map(F.col, order)]
+    spread = df.withColumn("__amount", amount)
+    spread = spread.repartitionByRange(slices, *keys) if slices else spread.repartitionByRange(*keys)
+    parts = written(spread.withColumn("__slice", F.spark_partition_id()))
+    inside = W.partitionBy(*ids, "__slice").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = parts.withColumn("__local", F.sum("__amount").over(inside))
+    totals = parts.groupBy(*ids, "__slice").agg(F.sum("__amount").alias("__sum"))
+    group = W.partitionBy(*ids)
+    before = group.orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(
+        *ids, "__slice", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"),
+        F.sum("__sum").over(group).alias("n"))
+    placed = join_on_keys(local, offsets, [*ids, "__slice"])
+    return placed.withColumn("cum", F.col("__local") + F.col("__before")).drop("__amount", "__slice", "__local", "__before")
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    strategy: str = "auto",
-    accuracy: int = ACCURACY,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), slices: int | None = None,
 ) -> DataFrame:
-    """Linear-interpolation quantiles: ``by..., Variable, p, value``. Null and NaN are ignored."""
-    if use_small_path(df, strategy):
-        wide = df.groupBy(*by).agg(*[F.percentile(_number(c), list(probs)).alias(c) for c in columns])
-        cells = [
-            F.struct(F.lit(c).alias("Variable"), F.lit(float(p)).alias("p"), F.get(c, F.lit(i)).alias("value"))
-            for c in columns for i, p in enumerate(probs)
-        ]
-        return wide.select(*by, F.inline(F.array(*cells)))
-    return _bracket_quantiles(df, columns, probs, by, accuracy)
+    """Linear-interpolation quantiles: ``by..., Variable, p, value``. Null and NaN are ignored.
 
-
-def _bracket_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str], accuracy: int,
-) -> DataFrame:
-    by, columns, probs = list(by), list(columns), list(probs)
-    bounds = [b for p in probs for b in _bracket_probs(p, accuracy)]
-    values = df.select(*by, *[_number(c).alias(c) for c in columns])
-    brackets = values.groupBy(*by).agg(
-        *[F.percentile_approx(c, bounds, accuracy).alias(f"__b_{c}") for c in columns],
-        *[F.count(c).alias(f"__n_{c}") for c in columns],
-    )
-    cells = []
-    for c in columns:
-        n = F.col(f"__n_{c}")
-        for i, p in enumerate(probs):
-            low = F.when(n > accuracy, F.get(f"__b_{c}", F.lit(2 * i)))
-            high = F.when(n > accuracy, F.get(f"__b_{c}", F.lit(2 * i + 1)))
-            keep = F.col(c).isNotNull() & F.coalesce(F.col(c) <= high, F.lit(True))
-            key = F.when(F.coalesce(F.col(c) >= low, F.lit(True)), F.col(c))
-            cells.append(F.when(keep, F.struct(
-                F.lit(c).alias("Variable"), F.lit(float(p)).alias("p"), n.alias("n"), key.alias("key"))))
-    ids = [*by, "Variable", "p", "n"]
-    counts = (
-        join_on_keys(values, brackets, by, small_right=few_groups(df, by))
-        .select(*by, F.inline(F.array_compact(F.array(*cells))))
-        .groupBy(*ids, "key")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
-    ranked = _running_counts(counts, ids)
+    Equal values are counted where they lie, so that what is put in order is one row per distinct
+    value. A group without values has nulls.
+    """
+    cells = [F.struct(F.lit(c).alias("Variable"), _number(c).alias("key")) for c in columns]
+    ids = [*by, "Variable"]
+    values = df.select(*by, F.inline(F.array(*cells))).groupBy(*ids, "key").agg(F.count("key").alias("cnt"))
+    ranked = running(values, ids, ["key"], F.col("cnt"), slices)
+    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
+    ranked = ranked.select(*ids, "key", "cnt", "cum", "n", wanted)
     position = (F.col("n") - 1) * F.col("p")
     first = F.floor(position + 1e-9) + 1
     second = F.least(first + 1, F.col("n"))
     weight = F.greatest(position - (first - 1), F.lit(0.0))
     holds = lambda r: (F.col("cum") >= r) & (F.col("cum") - F.col("cnt") < r)
-    picked = ranked.groupBy(*ids).agg(
+    picked = ranked.groupBy(*ids, "p", "n").agg(
         F.max(F.when(holds(first), F.col("key"))).alias("__lo"),
         F.max(F.when(holds(second), F.col("key"))).alias("__hi"),
     )
-    lo, hi = _or_fail(F.col("__lo"), F.col("n")), _or_fail(F.col("__hi"), F.col("n"))
+    lo, hi = F.col("__lo"), F.col("__hi")
     value = F.when((lo == hi) | (weight < 1e-9), lo).otherwise((1 - weight) * lo + weight * hi)
     return picked.select(*by, "Variable", "p", value.alias("value"))
 
 
 def quantile_columns(
-    df: DataFrame,
-    wanted: Mapping[str, tuple[str, float]],
-    by: Sequence[str] = (),
-    strategy: str = "auto",
+    df: DataFrame, wanted: Mapping[str, tuple[str, float]], by: Sequence[str] = (), slices: int | None = None,
 ) -> DataFrame:
     """One row per group with a column per wanted ``name -> (column, probability)``."""
-    return summarise(df, [], wanted, by, strategy)
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    probs = sorted({p for _, p in wanted.values()})
+    return exact_quantiles(df, columns, probs, by, slices).groupBy(*by).agg(*[
+        F.max(F.when((F.col("Variable") == c) & (F.col("p") == float(p)), F.col("value"))).alias(name)
+        for name, (c, p) in wanted.items()
+    ])
 
 
 def summarise(
@@ -138,7 +92,6 @@ def summarise(
     aggregates: Sequence[Column],
     quantiles: Mapping[str, str | tuple[str, float]] | None = None,
     by: Sequence[str] = (),
-    strategy: str = "auto",
 ) -> DataFrame:
     """Plain aggregates plus exact quantiles, one row per group.
 
@@ -147,19 +100,8 @@ def summarise(
     wanted = {k: (v, 0.5) if isinstance(v, str) else v for k, v in (quantiles or {}).items()}
     if not wanted:
         return df.groupBy(*by).agg(*aggregates)
-    if use_small_path(df, strategy):
-        exact = [F.percentile(_number(c), p).alias(k) for k, (c, p) in wanted.items()]
-        return df.groupBy(*by).agg(*aggregates, *exact)
-    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
-    probs = sorted({p for _, p in wanted.values()})
-    long = _bracket_quantiles(df, columns, probs, by, ACCURACY)
-    wide = long.groupBy(*by).agg(*[
-        F.max(F.when((F.col("Variable") == c) & (F.col("p") == float(p)), F.col("value"))).alias(name)
-        for name, (c, p) in wanted.items()
-    ])
-    if not aggregates:
-        return wide
-    return join_on_keys(df.groupBy(*by).agg(*aggregates), wide, by, "left")
+    wide = quantile_columns(df, wanted, by)
+    return join_on_keys(df.groupBy(*by).agg(*aggregates), wide, by, "left") if aggregates else wide
 
 
 # --------------------------------------------------------------------------- n-tiles
@@ -176,146 +118,40 @@ class NTile:
     buckets: int = 5
 
 
-def add_ntiles(
-    df: DataFrame,
-    specs: Sequence[NTile],
-    tie: str,
-    strategy: str = "auto",
-    accuracy: int = ACCURACY,
-) -> DataFrame:
+def add_ntiles(df: DataFrame, specs: Sequence[NTile], tie: str, slices: int | None = None) -> DataFrame:
     """Add n-tile scores; ties are ordered by the unique key ``tie``; null values score null.
 
-    A spec may group by the score of an earlier one. The small path is a plain window, the
-    distributed one finds the few cut points exactly and scores by comparison, without a sort.
+    A spec may group by the score of an earlier one; specs that do not are scored in one pass.
     """
-    small = use_small_path(df, strategy)
+    level: list[NTile] = []
     for spec in specs:
-        df = _ntile_window(df, spec, tie) if small else _ntile_cuts(df, spec, tie, accuracy)
-    return df
-
-
-def _ntile_window(df: DataFrame, spec: NTile, tie: str) -> DataFrame:
-    value = F.col(spec.value)
-    ordering = value.desc() if spec.descending else value.asc()
-    window = W.partitionBy(*spec.by, value.isNull()).orderBy(ordering, F.col(tie).asc())
-    return df.withColumn(spec.out, F.when(value.isNotNull(), F.ntile(spec.buckets).over(window)))
-
-
-def _ntile_cuts(df: DataFrame, spec: NTile, tie: str, accuracy: int) -> DataFrame:
-    signed = -F.col(spec.value) if spec.descending else F.col(spec.value)
-    edges = list(range(1, spec.buckets))
-    q, r = F.floor(F.col("n") / spec.buckets), F.col("n") % spec.buckets
-    rank = F.col("edge") * q + F.least(F.col("edge").cast("bigint"), r)
-    cuts = cut_points(
-        df, signed, tie, spec.by, {e: e / spec.buckets for e in edges}, rank, accuracy
-    )
-    # one row per group: sorted array of (edge, cut value, cut key)
-    packed = cuts.groupBy(*spec.by).agg(F.sort_array(F.collect_list(F.struct("edge", "cut", "cut_tie"))).alias("__cuts"))
-    above = F.lit(0)
-    for i in range(len(edges)):
-        edge = F.get("__cuts", F.lit(i))
-        beyond_tie = edge["cut_tie"].isNotNull() & (F.col(tie) > edge["cut_tie"])
-        above = above + F.when((F.col("__x") > edge["cut"]) | ((F.col("__x") == edge["cut"]) & beyond_tie), 1).otherwise(0)
-    scored = join_on_keys(df.withColumn("__x", signed), packed, spec.by, "left", small_right=True)
-    return scored.withColumn(spec.out, F.when(F.col("__x").isNotNull(), above + 1)).drop("__x", "__cuts")
-
-
-def cut_points(
-    df: DataFrame,
-    value: Column,
-    tie: str,
-    by: Sequence[str],
-    edges: Mapping[int, float],
-    rank: Column,
-    accuracy: int = ACCURACY,
-) -> DataFrame:
-    """The rows that sit at given ranks of the order ``(value, tie)``: ``by..., edge, cut, cut_tie``.
-
-    ``edges`` maps an edge number to its rough share of the group, ``rank`` computes the exact
-    rank from ``n`` and ``edge``. ``cut_tie`` is null when every row equal to ``cut`` lies at or
-    below the rank. Used where one value may hold a third of the rows: ties are split by a
-    second selection on the key instead of being gathered.
-    """
-    by = list(by)
-    shares = list(edges.items())
-    bounds = [b for _, s in shares for b in _bracket_probs(s, accuracy)]
-    rows = df.select(*by, value.alias("__x"), F.col(tie).alias("__tie")).where("__x is not null")
-    brackets = rows.groupBy(*by).agg(
-        F.percentile_approx("__x", bounds, accuracy).alias("__b"), F.count("__x").alias("n")
-    )
-    cells = []
-    for i, (edge, _) in enumerate(shares):
-        low = F.when(F.col("n") > accuracy, F.get("__b", F.lit(2 * i)))
-        high = F.when(F.col("n") > accuracy, F.get("__b", F.lit(2 * i + 1)))
-        keep = F.coalesce(F.col("__x") <= high, F.lit(True))
-        key = F.when(F.coalesce(F.col("__x") >= low, F.lit(True)), F.col("__x"))
-        cells.append(F.when(keep, F.struct(F.lit(edge).alias("edge"), F.col("n"), key.alias("key"))))
-    ids = [*by, "edge", "n"]
-    counts = (
-        join_on_keys(rows, brackets, by, small_right=few_groups(df, by))
-        .select(*by, F.inline(F.array_compact(F.array(*cells))))
-        .groupBy(*ids, "key")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
-    ranked = _running_counts(counts, ids).withColumn("__r", rank)
-    inside = (F.col("cum") >= F.col("__r")) & (F.col("cum") - F.col("cnt") < F.col("__r"))
-    found = ranked.groupBy(*ids).agg(
-        
-        F.max(F.when(inside, F.struct("key", (F.col("__r") - F.col("cum") + F.col("cnt")).alias("need"), "cnt"))).alias("at"),
-    )
-    values = _small_table(found.select(
-        *by, "edge", _or_fail(F.col("at")["key"], F.col("n")).alias("cut"),
-        F.col("at")["need"].alias("need"), F.col("at")["cnt"].alias("ties"),
-    ))
-    tied = _small_table(_split_ties(rows, values.where(F.col("need") < F.col("ties")), by))
-    return join_on_keys(values, tied, [*by, "edge"], "left", small_right=True).select(*by, "edge", "cut", "cut_tie")
-
-
-def _small_table(df: DataFrame, limit: int = MAX_CUTS) -> DataFrame:
-    """Run a job whose result has one row per group and edge and go on from its result."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} cut points; score within fewer groups")
-    return df.sparkSession.createDataFrame(rows, df.schema)
+        if level and (spec.by != level[0].by or {s.out for s in level} & set(spec.by)):
+            df, level = _add_level(df, level, tie, slices), []
+        level.append(spec)
+    return _add_level(df, level, tie, slices) if level else df
+
+
+def _add_level(df: DataFrame, specs: Sequence[NTile], tie: str, slices: int | None) -> DataFrame:
+    by = list(specs[0].by)
+    cells = [
+        F.struct(F.lit(i).alias("__spec"), (-F.col(s.value) if s.descending else F.col(s.value)).alias("__x"))
+        for i, s in enumerate(specs)
+    ]
+    rows = df.select(*by, tie, F.inline(F.array(*cells))).where("__x is not null")
+    ranked = running(rows, [*by, "__spec"], ["__x", tie], F.lit(1), slices)
+    buckets = F.element_at(F.array(*[F.lit(s.buckets) for s in specs]), F.col("__spec") + 1)
+    size, larger = F.floor(F.col("n") / buckets), F.col("n") % buckets
+    edge = larger * (size + 1)  # the first n % buckets tiles hold one more
+    tile = F.when(F.col("cum") <= edge, F.ceil(F.col("cum") / (size + 1))).otherwise(
+        larger + F.ceil((F.col("cum") - edge) / F.greatest(size, F.lit(1))))
+    scores = ranked.withColumn("__tile", tile.cast("int")).groupBy(tie).agg(*[
+        F.max(F.when(F.col("__spec") == i, F.col("__tile"))).alias(s.out) for i, s in enumerate(specs)
+    ])
+    kept = df.drop(*[s.out for s in specs])
+    return join_on_keys(kept, scores, [tie], "left")
 
 
-def _split_ties(rows: DataFrame, tied_edges: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The ``need``-th smallest key among the rows equal to each cut value."""
-    ids = [*by, "edge"]
-    small = F.broadcast(tied_edges.select(*[F.col(k).alias(f"__{k}") for k in by],
-                                          "edge", "cut", "need", "ties"))
-    condition = F.col("__x") == F.col("cut")
-    for k in by:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    tied = rows.join(small, condition).select(*by, "edge", "need", "ties", "__tie")
-    # a hash-chosen sample of keys places the wanted key within six standard errors
-    every = F.greatest(F.ceil(F.col("ties") / TIE_SAMPLE), F.lit(1))
-    sampled = (
-        tied.where(F.pmod(F.xxhash64("__tie"), every) == 0)
-        .groupBy(*ids, "need", "ties")
-        .agg(F.sort_array(F.collect_list("__tie")).alias("s"))
-    )
-    m = F.size("s")
-    centre = F.col("need") / F.col("ties") * m
-    spread = 6 * F.sqrt(m.cast("double")) + 2
-    whole = F.col("ties") <= TIE_SAMPLE
-    lower = F.when(~whole & (centre - spread >= 1), F.get("s", F.floor(centre - spread).cast("int") - 1))
-    upper = F.when(~whole & (centre + spread <= m), F.get("s", F.ceil(centre + spread).cast("int") - 1))
-    direct = F.when(whole, F.get("s", F.col("need").cast("int") - 1))
-    window = sampled.select(*ids, direct.alias("direct"), lower.alias("lo"), upper.alias("hi"))
-    large = join_on_keys(tied, window, ids, small_right=True).where(F.col("direct").isNull())
-    counts = (
-        large.where(F.coalesce(F.col("__tie") <= F.col("hi"), F.lit(True)))
-        .withColumn("key", F.when(F.coalesce(F.col("__tie") >= F.col("lo"), F.lit(True)), F.col("__tie")))
-        .groupBy(*ids, "need", "key")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
-    exact = (
-        _running_counts(counts, ids)
-        .where((F.col("cum") >= F.col("need")) & (F.col("cum") - F.col("cnt") < F.col("need")))
-        .select(*ids, F.col("key").alias("exact"))
-    )
-    message = F.lit("tie bracket missed its target; raise TIE_SAMPLE")
-    return join_on_keys(window.select(*ids, "direct"), exact, ids, "left", small_right=True).select(
-        *ids, F.coalesce("direct", "exact", F.raise_error(message)).alias("cut_tie")
-    )
+def lowest_share(df: DataFrame, by: str, order: Sequence[str], share: float, out: str, slices: int | None = None) -> DataFrame:
+    """``df`` with ``out``: whether the row is among the ceil(share * n) lowest of its group."""
+    ranked = running(df, [by], order, F.lit(1), slices)
+    return ranked.withColumn(out, F.col("cum") <= F.ceil(F.col("n") * F.lit(share))).drop("cum", "n")

@@ -1,12 +1,16 @@
-"""Session settings and lineage cutting."""
+"""Session settings, and tables that cut lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 # Settings the jobs count on. The last two keep a hot key from pinning its rows to one task:
 # an aggregate re-shuffles on all its keys instead of inheriting a join's partitioning, and
@@ -39,32 +43,43 @@ def build_session(app: str = "basketlens", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def guard_against_skew(spark: SparkSession) -> SparkSession:
-    """Apply the settings to a session that was built elsewhere."""
-    for key, value in SKEW_SETTINGS.items():
-        spark.conf.set(key, value)
-    return spark
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside the block only."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder: the cluster's shared one, or a scratch one in local mode."""
+    In one process (master ``local[...]``, as in tests) a scratch folder takes its place where it
+    is unset; on a cluster it has to be set.
+    """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="basketlens-checkpoint-")
-    context.setCheckpointDir(folder)
-    return folder
+        folder = tempfile.mkdtemp(prefix="basketlens-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written copy.
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there.
 
-    Losing executors afterwards costs a re-read of the file, never a recomputation.
+    Losing executors afterwards costs a re-read of the file, never a recomputation. The shuffle
+    files of the job go when it ends, since the table takes their place.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    with settings(spark, {CLEANUP_KEY: "true"}):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

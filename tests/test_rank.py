@@ -1,7 +1,10 @@
-"""Exact quantiles and n-tiles: both paths against numpy and against each other."""
+"""Exact quantiles and n-tiles against numpy and plain windows, with the order cut into slices."""
+
+import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basketlens.operators import rank as R
@@ -18,9 +21,9 @@ def skewed(spark):
     ).persist()
 
 
-@pytest.mark.parametrize("strategy", ["local", "distributed"])
-def test_quantiles_match_numpy(skewed, strategy):
-    got = R.exact_quantiles(skewed, ["f", "m"], [0.0, 0.01, 0.5, 0.99, 0.999, 1.0], ["g"], strategy=strategy).collect()
+@pytest.mark.parametrize("slices", [None, 1, 9])
+def test_quantiles_match_numpy(skewed, slices):
+    got = R.exact_quantiles(skewed, ["f", "m"], [0.0, 0.01, 0.5, 0.99, 0.999, 1.0], ["g"], slices).collect()
     data = skewed.toPandas()
     assert len(got) == data.g.nunique() * 2 * 6
     for r in got:
@@ -28,19 +31,23 @@ def test_quantiles_match_numpy(skewed, strategy):
         assert r.value == pytest.approx(expected, rel=1e-12)
 
 
-def test_quantile_brackets_are_used_and_exact(skewed):
-    # accuracy far below the row count: only the bracket around each target is ranked
-    got = R._bracket_quantiles(skewed, ["m", "f"], [0.5, 0.99], [], 200).collect()
-    data = skewed.toPandas()
-    for r in got:
-        assert r.value == pytest.approx(np.quantile(data[r.Variable], r.p), rel=1e-12)
+def test_no_slice_holds_a_hot_group(skewed):
+    ranked = R.running(skewed.select("g", "m", "id"), ["g"], ["m", "id"], F.lit(1), 9)
+    sizes = skewed.groupBy("g").count().collect()
+    assert {r.g: r.n for r in ranked.groupBy("g").agg(F.max("cum").alias("n")).collect()} == {r["g"]: r["count"] for r in sizes}
+    assert ranked.select("g", "cum").distinct().count() == skewed.count()
 
 
 def test_quantiles_ignore_missing_and_keep_infinity(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (float("inf"),), (3.0,)], "x double")
-    for strategy in ("local", "distributed"):
-        got = {r.p: r.value for r in R.exact_quantiles(df, ["x"], [0.0, 0.5, 1.0], strategy=strategy).collect()}
-        assert got == {0.0: 1.0, 0.5: 3.0, 1.0: float("inf")}
+    got = {r.p: r.value for r in R.exact_quantiles(df, ["x"], [0.0, 0.5, 1.0]).collect()}
+    assert got == {0.0: 1.0, 0.5: 3.0, 1.0: float("inf")}
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([(None,)], "x double")
+    assert [r.value for r in R.exact_quantiles(df, ["x"], [0.5]).collect()] == [None]
+    assert R.quantile_columns(df.where("false"), {"q": ("x", 0.5)}).collect()[0].q is None
 
 
 SPECS = [
@@ -49,39 +56,43 @@ SPECS = [
 ]
 
 
-@pytest.mark.parametrize("accuracy,sample", [(R.ACCURACY, R.TIE_SAMPLE), (500, 1_000)])
-def test_both_ntile_paths_agree_on_heavy_ties(skewed, monkeypatch, accuracy, sample):
-    monkeypatch.setattr(R, "TIE_SAMPLE", sample)
+@pytest.mark.parametrize("slices", [None, 7])
+def test_ntiles_are_those_of_a_window(skewed, slices):
     names = ["id", *[s.out for s in SPECS]]
-    local = R.add_ntiles(skewed, SPECS, "id", "local").select(*names)
-    distributed = R.add_ntiles(skewed, SPECS, "id", "distributed", accuracy).select(*names)
-    assert local.exceptAll(distributed).count() == 0
-    assert distributed.count() == skewed.count()
+    plain = skewed
+    for s in SPECS:
+        order = F.col(s.value).desc() if s.descending else F.col(s.value)
+        plain = plain.withColumn(s.out, F.ntile(s.buckets).over(W.partitionBy(*s.by).orderBy(order, "id")))
+    got = R.add_ntiles(skewed, SPECS, "id", slices).select(*names)
+    assert plain.select(*names).exceptAll(got).count() == 0
+    assert got.count() == skewed.count()
 
 
 def test_ntile_text_keys(spark):
     df = spark.range(5_000).select(F.concat(F.lit("C"), F.lpad("id", 6, "0")).alias("id"), F.lit(1).alias("f"))
-    local = R.add_ntiles(df, [R.NTile("s", "f")], "id", "local")
-    distributed = R.add_ntiles(df, [R.NTile("s", "f")], "id", "distributed")
-    assert local.exceptAll(distributed).count() == 0
+    got = R.add_ntiles(df, [R.NTile("s", "f")], "id", 5)
+    plain = df.withColumn("s", F.ntile(5).over(W.orderBy("f", "id")))
+    assert plain.select("id", "s").exceptAll(got.select("id", "s")).count() == 0
 
 
-@pytest.mark.parametrize("strategy", ["local", "distributed"])
-def test_ntile_sizes_and_tie_order(spark, strategy):
+def test_ntile_sizes_and_tie_order(spark):
     # eleven customers, seven with equal frequency: sizes 3,2,2,2,2, ties in key order
     data = [(i, 1 if i < 7 else i) for i in range(11)]
     df = spark.createDataFrame(data, "id long, f int")
-    got = {r.id: r.s for r in R.add_ntiles(df, [R.NTile("s", "f")], "id", strategy).collect()}
+    got = {r.id: r.s for r in R.add_ntiles(df, [R.NTile("s", "f")], "id", 3).collect()}
     assert [got[i] for i in range(11)] == [1, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
 
 
-@pytest.mark.parametrize("strategy", ["local", "distributed"])
-def test_ntile_fewer_rows_than_buckets_and_nulls(spark, strategy):
+def test_ntile_fewer_rows_than_buckets_and_nulls(spark):
     df = spark.createDataFrame([(1, 10), (2, 20), (3, 30), (4, None)], "id long, f int")
-    got = {r.id: r.s for r in R.add_ntiles(df, [R.NTile("s", "f")], "id", strategy).collect()}
+    got = {r.id: r.s for r in R.add_ntiles(df, [R.NTile("s", "f")], "id").collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: None}
 
 
-def test_unknown_strategy(spark):
-    with pytest.raises(ValueError):
-        R.use_small_path(spark.range(1), "fast")
+def test_lowest_share_splits_ties_by_key(spark):
+    df = spark.range(1_000).select("id", (F.col("id") % 3).alias("c"), F.lit(5).alias("k"))
+    got = R.lowest_share(df, "c", ["k", "id"], 0.7, "low", 4)
+    for c in range(3):
+        ids = sorted(r.id for r in got.where(f"c = {c} and low").collect())
+        own = [i for i in range(1_000) if i % 3 == c]
+        assert ids == own[: math.ceil(0.7 * len(own))]
