@@ -9,8 +9,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_COLUMNS = 64
-
 
 def pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
@@ -44,8 +42,6 @@ def as_doubles(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) ->
 
 def collect_moments(df: DataFrame, names: Sequence[str]) -> Moments:
     names = list(names)
-    if len(names) > MAX_COLUMNS:
-        raise ValueError(f"{len(names)} columns; use the MLlib path beyond {MAX_COLUMNS}")
     row = as_doubles(df, names).agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.avg(c) for c in names]).alias("mean"),
@@ -57,9 +53,9 @@ def collect_moments(df: DataFrame, names: Sequence[str]) -> Moments:
 
 
 def collect_group_moments(
-    df: DataFrame, group: str, names: Sequence[str], max_groups: int = 200
+    df: DataFrame, group: str, names: Sequence[str]
 ) -> dict[object, Moments]:
-    """Moments per group level. One row per level reaches the driver, never more than ``max_groups``."""
+    """Moments per class of a model. One row per class reaches the driver."""
     names = list(names)
     rows = (
         as_doubles(df, names, keep=[group])
@@ -71,11 +67,8 @@ def collect_group_moments(
             covariance_array(names).alias("cov"),
         )
         .orderBy(group)
-        .limit(max_groups + 1)
         .collect()
     )
-    if len(rows) > max_groups:
-        raise ValueError(f"more than {max_groups} levels in {group}")
     return {
         r[group]: Moments(names, r["n"], np.array(r["mean"], dtype=float), unpack_symmetric(r["cov"], len(names)))
         for r in rows

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -70,3 +71,8 @@ def first_matching_label(column: Column, rules: Sequence[tuple[str, str]], defau
         test = column.rlike(f"(?i){pattern}")
         chain = F.when(test, F.lit(label)) if chain is None else chain.when(test, F.lit(label))
     return chain.otherwise(F.lit(default))
+
+
+def total_of(column: str) -> Column:
+    """Sum of a column over all rows of a result with one row per group of a fixed list."""
+    return F.sum(column).over(W.partitionBy())

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
+import pandas as pd
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import presets
-from ..functions.scalars import mean_of, ratio
+from ..functions.scalars import mean_of, ratio, total_of
+from ..session import written
+from ..sources.readers import numeric_summary
 from .common import join_on_keys
 from .features import group_shares
 from .rank import summarise
@@ -24,7 +24,9 @@ from .rfm import crosstab
 
 FEATURES, SCALED = "features", "scaled"
 MICRO_CLUSTERS = 200
-MAX_ITERATIONS = 20
+MAX_ITERATIONS, MICRO_ITERATIONS = 100, 10
+START_ROWS = 4_000  # rows that starts are drawn from
+# The ladder of restarts.
 RESTARTS = (1, 5, 10, 25, 50, 100)
 
 
@@ -54,13 +56,9 @@ def standardise(matrix: DataFrame) -> DataFrame:
 
 
 def scaled_summary(scaled: DataFrame, variables: Sequence[str]) -> DataFrame:
-    """Min, mean, max, deviation of every scaled variable in one scan."""
-    x = scaled.select(vector_to_array(SCALED).alias("x"))
-    stats = {"min": F.min, "mean": F.avg, "max": F.max, "sd": F.stddev_samp}
-    wide = x.agg(*[F.struct(*[f(F.get("x", F.lit(i))).alias(k) for k, f in stats.items()]).alias(f"s{i}")
-                   for i in range(len(variables))])
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(v).alias("Variable"), *[F.col(f"s{i}")[k].alias(k) for k in stats]) for i, v in enumerate(variables)])))
+    """Min, quartiles, mean, max, deviation of every scaled variable."""
+    x = vector_to_array(SCALED)
+    return numeric_summary(scaled.select(*[F.get(x, F.lit(i)).alias(v) for i, v in enumerate(variables)]), list(variables))
 
 
 def total_sum_of_squares(scaled: DataFrame, dimensions: int) -> float:
@@ -73,33 +71,114 @@ def total_sum_of_squares(scaled: DataFrame, dimensions: int) -> float:
 # --------------------------------------------------------------------------- K-means
 
 
-def _fit(scaled: DataFrame, k: int, seed: int, max_iter: int) -> KMeansModel:
-    return KMeans(k=k, seed=seed, featuresCol=SCALED, predictionCol="__cluster", maxIter=max_iter).fit(scaled)
+@dataclass(frozen=True)
+class KMeansFit:
+    """Centres of one start and its within sum of squares."""
+
+    centres: np.ndarray
+    cost: float
+    sizes: np.ndarray
 
 
-def _run_starts(scaled: DataFrame, fits: Sequence[tuple[int, int]], max_iter: int, parallelism: int) -> list[KMeansModel]:
-    """Fit every (k, seed) pair, a few at a time, so small late iterations do not leave the cluster idle."""
-    run = inheritable_thread_target(scaled.sparkSession)(lambda fit: _fit(scaled, *fit, max_iter))
-    with ThreadPool(max(1, min(parallelism, len(fits)))) as pool:
-        return pool.map(run, fits)
+def _points(scaled: DataFrame) -> DataFrame:
+    return scaled.select(vector_to_array(SCALED).alias("x"))
 
 
-def kmeans_best_of(scaled: DataFrame, k: int, starts: int, seed: int = 1, max_iter: int = MAX_ITERATIONS,
-                   parallelism: int = 4) -> tuple[KMeansModel, float]:
-    """Best of several seeded fits. Persist ``scaled``: every fit reads it some tens of times."""
-    models = _run_starts(scaled, [(k, seed + i) for i in range(starts)], max_iter, parallelism)
-    costs = [m.summary.trainingCost for m in models]
-    best = int(np.argmin(costs))
-    return models[best], float(costs[best])
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of and squared distance to the nearest centre of each row."""
+    squared = (x * x).sum(1)[:, None] - 2.0 * x @ centres.T + (centres * centres).sum(1)[None]
+    best = squared.argmin(1)
+    return best, ((x - centres[best]) ** 2).sum(1)
 
 
-def elbow(scaled: DataFrame, dimensions: int, k_values: Sequence[int] = tuple(range(1, 11)), starts: int = 25, seed: int = 1,
-          parallelism: int = 4) -> DataFrame:
+def _assign_all(points: DataFrame, starts: Mapping[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """One pass over the rows for all starts: start -> (sums per cluster, sizes, cost).
+
+    Each task sends one row per start and cluster; they are added up before they reach the driver,
+    so what it sees is as large as the centres.
+    """
+
+    def run(batches):
+        totals = {}
+        for batch in batches:
+            x = np.array(batch["x"].tolist(), dtype=float)
+            for s, centres in starts.items():
+                if not len(x):
+                    continue
+                best, squared = _nearest(x, centres)
+                member = np.zeros((len(centres), len(x)))
+                member[best, np.arange(len(x))] = 1.0
+                sums, sizes, costs = totals.setdefault(s, (np.zeros(centres.shape), np.zeros(len(centres)), np.zeros(len(centres))))
+                sums += member @ x
+                sizes += member.sum(1)
+                costs += member @ squared
+        rows = [(s, c, [*sums[c].tolist(), float(sizes[c]), float(costs[c])])
+                for s, (sums, sizes, costs) in totals.items() for c in range(len(sizes))]
+        yield pd.DataFrame(rows, columns=["start", "cluster", "v"])
+
+    width = next(iter(starts.values())).shape[1] + 2
+    parts = points.mapInPandas(run, "start int, cluster int, v array<double>")
+    added = parts.groupBy("start", "cluster").agg(F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(width)]).alias("v"))
+    out = {s: (np.zeros(c.shape), np.zeros(len(c)), 0.0) for s, c in starts.items()}
+    for r in added.collect():
+        sums, sizes, cost = out[r["start"]]
+        sums[r["cluster"]], sizes[r["cluster"]] = r["v"][:-2], r["v"][-2]
+        out[r["start"]] = (sums, sizes, cost + r["v"][-1])
+    return out
+
+
+def _start_rows(points: DataFrame, limit: int = START_ROWS) -> np.ndarray:
+    """Distinct rows of the lowest hash, at most ``limit``: the rows that starts are drawn from."""
+    rows = points.select("x", F.xxhash64("x").alias("h")).distinct().orderBy("h", "x").limit(limit).collect()
+    return np.array([r["x"] for r in rows], dtype=float)
+
+
+def _spread_start(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k of the rows, each drawn with probability proportional to its squared distance to those before."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    chosen = [int(rng.integers(len(rows)))]
+    squared = ((rows - rows[chosen[0]]) ** 2).sum(1)
+    for _ in range(1, min(k, len(rows))):
+        chosen.append(int(rng.choice(len(rows), p=squared / squared.sum())))
+        squared = np.minimum(squared, ((rows - rows[chosen[-1]]) ** 2).sum(1))
+    return rows[chosen]
+
+
+def lloyd(points: DataFrame, centres: Sequence[np.ndarray], max_iter: int = MAX_ITERATIONS) -> list[KMeansFit]:
+    """Lloyd iterations of all starts together: one pass over the rows moves the centres of every start that still moves."""
+    now, done = dict(enumerate(centres)), {}
+    for turn in range(max_iter + 1):
+        for s, (sums, sizes, cost) in _assign_all(points, now).items():
+            moved = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1.0)[:, None], now[s])
+            if turn == max_iter or np.allclose(moved, now[s], rtol=0.0, atol=1e-12):
+                done[s] = KMeansFit(now.pop(s), cost, sizes)
+            else:
+                now[s] = moved
+        if not now:
+            break
+    return [done[s] for s in range(len(centres))]
+
+
+def run_starts(scaled: DataFrame, fits: Sequence[tuple[int, int]], max_iter: int = MAX_ITERATIONS) -> list[KMeansFit]:
+    """A fit for every (k, seed) pair, all in the same passes. Write ``scaled`` first: each pass reads it."""
+    points = _points(scaled)
+    rows = _start_rows(points)
+    return lloyd(points, [_spread_start(rows, k, seed) for k, seed in fits], max_iter)
+
+
+def kmeans_best_of(scaled: DataFrame, k: int, starts: int, seed: int = 1, max_iter: int = MAX_ITERATIONS) -> tuple[KMeansFit, float]:
+    """Best of several seeded starts."""
+    fits = run_starts(scaled, [(k, seed + i) for i in range(starts)], max_iter)
+    best = min(fits, key=lambda f: f.cost)
+    return best, best.cost
+
+
+def elbow(scaled: DataFrame, dimensions: int, k_values: Sequence[int] = tuple(range(1, 11)), starts: int = 25, seed: int = 1) -> DataFrame:
     """Within sum of squares per k, with the absolute and relative reduction to the k before."""
     fits = [(k, seed + i) for k in k_values if k > 1 for i in range(starts)]
     best: dict[int, float] = {1: total_sum_of_squares(scaled, dimensions)}
-    for (k, _), model in zip(fits, _run_starts(scaled, fits, MAX_ITERATIONS, parallelism)):
-        best[k] = min(best.get(k, float("inf")), model.summary.trainingCost)
+    for (k, _), fit in zip(fits, run_starts(scaled, fits)):
+        best[k] = min(best.get(k, float("inf")), fit.cost)
     rows = [(int(k), float(best[k])) for k in k_values]
     table = scaled.sparkSession.createDataFrame(rows, "K int, Total_Within_SS double")
     before = F.lag("Total_Within_SS").over(W.orderBy("K"))
@@ -115,13 +194,12 @@ def _fit_row(wss: float, tss: float) -> tuple[float, float, float, float]:
     return float(wss), float(tss - wss), float(tss), float((tss - wss) / tss)
 
 
-def restart_stability(scaled: DataFrame, dimensions: int, k: int = 4, restarts: Sequence[int] = RESTARTS,
-                      seed: int = 1, parallelism: int = 4) -> DataFrame:
+def restart_stability(scaled: DataFrame, dimensions: int, k: int = 4, restarts: Sequence[int] = RESTARTS, seed: int = 1) -> DataFrame:
     """Fit quality by number of starts. The starts are nested, so max(restarts) fits cover the ladder."""
     tss = total_sum_of_squares(scaled, dimensions)
-    models = _run_starts(scaled, [(k, seed + i) for i in range(max(restarts))], MAX_ITERATIONS, parallelism)
-    running = np.minimum.accumulate([m.summary.trainingCost for m in models])
-    rows = [(int(n), *_fit_row(running[n - 1], tss)) for n in restarts]
+    fits = run_starts(scaled, [(k, seed + i) for i in range(max(restarts))])
+    running_best = np.minimum.accumulate([f.cost for f in fits])
+    rows = [(int(n), *_fit_row(running_best[n - 1], tss)) for n in restarts]
     return scaled.sparkSession.createDataFrame(rows, "Nstart int, " + FIT_SCHEMA)
 
 
@@ -129,16 +207,45 @@ def fit_summary(spark: SparkSession, k: int, wss: float, tss: float) -> DataFram
     return spark.createDataFrame([(k, *_fit_row(wss, tss))], "K int, " + FIT_SCHEMA)
 
 
-def attach_clusters(scaled: DataFrame, model: KMeansModel, out: str = "KMeans_Cluster") -> DataFrame:
-    """Cluster number 1..k per row, numbered by the model's centres."""
-    return model.transform(scaled).withColumn(out, F.col("__cluster") + 1).drop("__cluster")
+def nearest_centre(centres: np.ndarray) -> Callable[[Column], Column]:
+    """A column function: number (from 0) of the centre nearest to a vector."""
+
+    @F.pandas_udf("int")
+    def number(x: pd.Series) -> pd.Series:
+        return pd.Series(_nearest(np.array(x.tolist(), dtype=float), centres)[0].astype("int32") if len(x) else [], dtype="int32")
+
+    return lambda vector: number(vector_to_array(vector))
+
+
+def attach_clusters(scaled: DataFrame, fit: KMeansFit, out: str = "KMeans_Cluster") -> DataFrame:
+    """Cluster number 1..k per row, numbered by the fit's centres."""
+    return scaled.withColumn(out, nearest_centre(fit.centres)(F.col(SCALED)) + 1)
+
+
+def fit_check(clustered: DataFrame, fit: KMeansFit, dimensions: int) -> DataFrame:
+    """What must hold for a converged fit whatever its seed: members nearest to their own centre, centres at the mean of their
+    members, sums of squares that add up."""
+    x = clustered.select("KMeans_Cluster", *[F.get(vector_to_array(SCALED), F.lit(i)).alias(f"x{i}") for i in range(dimensions)])
+    names = [f"x{i}" for i in range(dimensions)]
+    groups = x.groupBy("KMeans_Cluster").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in names], *[F.var_pop(c).alias(f"v_{c}") for c in names])
+    within = F.sum(F.col("n") * sum((F.col(f"v_{c}") for c in names), F.lit(0.0)))
+    between = F.sum(F.col("n") * sum((F.col(f"m_{c}") * F.col(f"m_{c}") for c in names), F.lit(0.0)))
+    total = total_sum_of_squares(clustered, dimensions)
+    centres = clustered.sparkSession.createDataFrame(
+        [(i + 1, [float(v) for v in c]) for i, c in enumerate(fit.centres)], "cluster int, centre array<double>")
+    off = sum((F.abs(F.col(f"m_{c}") - F.get("centre", F.lit(i))) for i, c in enumerate(names)), F.lit(0.0))
+    checked = groups.join(centres, F.col("KMeans_Cluster") == F.col("cluster"))
+    return checked.agg(
+        F.sum("n").alias("Customers"), F.count(F.lit(1)).alias("Clusters"), F.lit(total).alias("Total_SS"),
+        (within + between - F.lit(total)).alias("SS_Gap"), (within - F.lit(fit.cost)).alias("Cost_Gap"), F.max(off).alias("Off_Centre"))
 
 
 def renumber_by_value(clustered: DataFrame, cluster: str = "KMeans_Cluster", value: str = "Monetary") -> DataFrame:
     """Number clusters 1.. by falling mean value, so numbers do not depend on the seed."""
     order = clustered.groupBy(cluster).agg(mean_of(F.col(value)).alias("__m")).select(
         cluster, F.row_number().over(W.orderBy(F.desc("__m"), cluster)).alias("__new"))
-    return clustered.join(F.broadcast(order), cluster).withColumn(cluster, F.col("__new")).drop("__new")
+    return clustered.join(order, cluster).withColumn(cluster, F.col("__new")).drop("__new")
 
 
 # --------------------------------------------------------------------------- Ward
@@ -200,30 +307,23 @@ def ward_merges(centroids: np.ndarray, sizes: np.ndarray) -> WardTree:
     return WardTree(centroids, sizes, merges)
 
 
-def ward_clusters(scaled: DataFrame, k: int = 4, micro: int = MICRO_CLUSTERS, seed: int = 1,
+def ward_clusters(scaled: DataFrame, k: int = 4, micro: int = MICRO_CLUSTERS,
                   out: str = "Hierarchical_Cluster") -> tuple[DataFrame, WardTree]:
     """Ward clusters of all rows by way of at most ``micro`` weighted micro-clusters.
 
-    Exact when the data has no more distinct rows than micro-clusters, approximate beyond.
-    Rows meet only their micro-cluster's number; the driver sees ``micro`` centres.
+    The micro-clusters are a Lloyd fit that starts from ``micro`` distinct rows, chosen by hash. With
+    no more distinct rows than that each is its own micro-cluster and the tree is exact; beyond, it
+    is the tree of the micro-clusters' centres and sizes. Rows meet only their micro-cluster's
+    number; the driver sees ``micro`` centres.
     """
-    many = scaled.select(SCALED).limit(20 * micro).distinct().count() > micro
-    distinct = [] if many else scaled.groupBy(SCALED).agg(F.count(F.lit(1)).alias("n")).limit(micro + 1).collect()
-    if not many and len(distinct) <= micro:
-        points = sorted((tuple(r[SCALED].toArray().tolist()), r["n"]) for r in distinct)
-        tree = ward_merges(np.array([x for x, _ in points]), np.array([n for _, n in points]))
-        numbers = scaled.sparkSession.createDataFrame(
-            [(list(x), c) for (x, _), c in zip(points, tree.cut(k))], f"__point array<double>, {out} int")
-        keyed = scaled.withColumn("__point", vector_to_array(SCALED))
-        return keyed.join(F.broadcast(numbers), "__point").drop("__point"), tree
-    model = KMeans(k=micro, seed=seed, featuresCol=SCALED, predictionCol="__micro", maxIter=10).fit(scaled)
-    sizes = np.array(model.summary.clusterSizes)
-    used = np.flatnonzero(sizes > 0)
-    centres = np.array(model.clusterCenters())[used]
-    tree = ward_merges(centres, sizes[used])
-    numbers = scaled.sparkSession.createDataFrame(
-        [(int(i), c) for i, c in zip(used, tree.cut(k))], f"__micro int, {out} int")
-    return model.transform(scaled).join(F.broadcast(numbers), "__micro").drop("__micro"), tree
+    points = _points(scaled)
+    fit = lloyd(points, [_start_rows(points, micro)], MICRO_ITERATIONS)[0]
+    used = np.flatnonzero(fit.sizes > 0)
+    order = used[np.lexsort(fit.centres[used].T[::-1])]
+    centres = fit.centres[order]
+    tree = ward_merges(centres, fit.sizes[order])
+    cluster_of = F.array(*[F.lit(c) for c in tree.cut(k)])
+    return scaled.withColumn(out, F.get(cluster_of, nearest_centre(centres)(F.col(SCALED)))), tree
 
 
 # --------------------------------------------------------------------------- profiles
@@ -237,7 +337,7 @@ def cluster_crosstab(df: DataFrame, k: int, rows: str = "KMeans_Cluster", column
     return crosstab(df, rows, columns, list(range(1, k + 1)))
 
 
-def cluster_profile(df: DataFrame, cluster: str = "KMeans_Cluster", strategy: str = "auto") -> DataFrame:
+def cluster_profile(df: DataFrame, cluster: str = "KMeans_Cluster") -> DataFrame:
     """Twenty-one measures per cluster, highest average value first."""
     means = {
         "Avg_Recency": "Recency", "Avg_Frequency": "Frequency", "Avg_Monetary": "Monetary",
@@ -254,11 +354,10 @@ def cluster_profile(df: DataFrame, cluster: str = "KMeans_Cluster", strategy: st
         df,
         [F.count(F.lit(1)).alias("Customers"), F.sum("Monetary").alias("Total_Monetary"),
          F.sum("FocusBuyer").alias("Focus_Buyers"), *[mean_of(F.col(c)).alias(k) for k, c in means.items()]],
-        medians, by=[cluster], strategy=strategy,
+        medians, by=[cluster],
     )
-    total = df.agg(F.count(F.lit(1)).alias("__all"))
-    return groups.crossJoin(F.broadcast(total)).select(
-        cluster, "Customers", ratio(F.col("Customers"), F.col("__all")).alias("Customer_Share"),
+    return groups.select(
+        cluster, "Customers", ratio(F.col("Customers"), total_of("Customers")).alias("Customer_Share"),
         "Avg_Recency", "Median_Recency", "Avg_Frequency", "Median_Frequency", "Avg_Monetary", "Median_Monetary",
         "Total_Monetary", "Avg_Basket_Value", "Avg_Category_Diversity", "Avg_Product_Diversity", "Focus_Buyers",
         "Focus_Buyer_Rate", "Avg_Focus_Spend", "Median_Focus_Spend", "Avg_Focus_Share", "Median_Age", "Median_Income",
@@ -279,6 +378,7 @@ def cluster_segment_mix_wide(mix: DataFrame, levels: Sequence[str], cluster: str
     return mix.groupBy(cluster).pivot(segment, list(levels)).agg(F.sum("Customers")).fillna(0, list(levels))
 
 
+# The measures of the heatmap, in order.
 HEATMAP_MEASURES = {
     "Recency": "Recency", "Frequency": "Frequency", "Monetary": "Monetary", "AvgBasketValue": "AvgBasketValue",
     "CategoryDiversity": "CategoryDiversity", "ProductDiversity": "ProductDiversity", "FocusBuyerRate": "FocusBuyer",
@@ -338,7 +438,6 @@ def profile_labelled(profile: DataFrame, labels: DataFrame, cluster: str = "KMea
     return with_labels(profile, labels, cluster).select(cluster, "Cluster_Label", *rest)
 
 
-def keep(df: DataFrame, key: str = "CustomerID") -> DataFrame:
-    """Persist vectors that an iterative fit reads many times, spread over the cores by key."""
-    parallelism = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(parallelism, key).persist(StorageLevel.MEMORY_AND_DISK)
+def keep(df: DataFrame) -> DataFrame:
+    """Vectors that an iterative fit reads many times, written once."""
+    return written(df)

@@ -7,6 +7,7 @@ follows from a cluster column is also run on a column SQL can form: the monetary
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import presets
@@ -14,8 +15,9 @@ from ..operators import anova as A
 from ..operators import charts as V
 from ..operators import clustering as K
 from ..operators import features as C
-from ..operators import positioning as P
 from ..operators import rfm as R
+from ..session import written
+from ..sources import views
 from . import base as B
 from . import solve
 from .customers import BARS, IND_SUMMARY_SQL, _bars_sql, money_label_sql, percent_label_sql  # noqa: F401
@@ -25,7 +27,7 @@ book = Book()
 add = book.add
 avg = B.avg_sql
 X = presets.CLUSTER_VARIABLES
-STARTS = 5
+STARTS = 50
 
 
 def base_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,13 +60,14 @@ LOGS = B.PEOPLE + """, logs AS (SELECT *, ln(CAST(Monetary AS DOUBLE)) AS LogMon
 add("cluster_missing_check", "Customers:i; Missing_Values:i", lambda s, d: K.missing_check(base_table(s, d), X),
     "SELECT count(*) AS Customers, " + " + ".join(f"count(*) FILTER (WHERE {x} IS NULL)" for x in X)
     + " AS Missing_Values FROM logs", LOGS)
-add("cluster_scaled_summary", "Variable:s; min:f; mean:f; max:f; sd:f", lambda s, d: K.scaled_summary(scaled(s, d), X),
+add("cluster_scaled_summary", "Variable:s; min:f; q1:f; median:f; q3:f; mean:f; max:f; sd:f", lambda s, d: K.scaled_summary(scaled(s, d), X),
     " UNION ALL ".join(
-        f"""SELECT '{x}' AS Variable, min(z) AS min, avg(z) AS mean, max(z) AS max, stddev_samp(z) AS sd FROM
+        f"""SELECT '{x}' AS Variable, min(z) AS min, quantile_cont(z, 0.25) AS q1, median(z) AS median, quantile_cont(z, 0.75) AS q3,
+        avg(z) AS mean, max(z) AS max, stddev_samp(z) AS sd FROM
         (SELECT (CAST({x} AS DOUBLE) - avg(CAST({x} AS DOUBLE)) OVER ()) / stddev_samp(CAST({x} AS DOUBLE)) OVER () AS z FROM logs)"""
         for x in X), LOGS)
-add("kmeans_elbow", None, lambda s, d: K.elbow(scaled(s, d), len(X), starts=2))
-add("kmeans_restart_stability", None, lambda s, d: K.restart_stability(scaled(s, d), len(X), restarts=(1, 5, 10)))
+add("kmeans_elbow", None, lambda s, d: K.elbow(scaled(s, d), len(X)))
+add("kmeans_restart_stability", None, lambda s, d: K.restart_stability(scaled(s, d), len(X)))
 
 
 def _fit_summary(s: SparkSession, d: str) -> DataFrame:
@@ -79,7 +82,58 @@ add("ward_clusters", None, lambda s, d: K.ward_clusters(scaled(s, d), 4)[0].sele
 add("ward_merge_heights", None, lambda s, d: K.ward_clusters(scaled(s, d), 4)[1].heights(s))
 add("kmeans_ward_crosstab", None, lambda s, d: K.cluster_crosstab(
     K.ward_clusters(K.keep(clustered(s, d)), 4)[0], 4))
-add("cluster_pca_scores", None, lambda s, d: P.cluster_scores(clustered(s, d), "CustomerID"))
+
+# Fits depend on their seeds, but these figures do not: SQL knows them without a fit.
+
+
+def _fit_check(s: SparkSession, d: str) -> DataFrame:
+    x = scaled(s, d)
+    fit, _ = K.kmeans_best_of(x, 4, STARTS)
+    return K.fit_check(K.attach_clusters(x, fit), fit, len(X))
+
+
+def _steps(table: DataFrame, order: str, tolerance: float = 1e-9) -> DataFrame:
+    """Rows of a small table and how often its within sum of squares rises."""
+    before = F.lag("Total_Within_SS").over(W.orderBy(order))
+    rises = table.withColumn("up", F.col("Total_Within_SS") > before * (1 + tolerance))
+    return rises.agg(F.count(F.lit(1)).alias("Steps"), F.count_if("up").alias("Rises"), F.max("Total_Within_SS").alias("Largest"))
+
+
+def _one_variable(s: SparkSession, d: str) -> DataFrame:
+    x = K.keep(K.standardise(K.cluster_matrix(base_table(s, d), ["LogMonetary"])))
+    return s.createDataFrame([(K.kmeans_best_of(x, 2, STARTS)[1],)], "Total_Within_SS double")
+
+
+def _ward_check(s: SparkSession, d: str) -> DataFrame:
+    """Ward on the brands, where every row is its own micro-cluster."""
+    x = K.keep(K.standardise(K.cluster_matrix(written(views.products(s, d)), views.PRODUCT_VARIABLES)))
+    heights = K.ward_clusters(x, 4)[1].heights(s)
+    falls = F.col("height") < F.lag("height").over(W.orderBy("step")) * (1 - 1e-9)
+    return heights.withColumn("down", falls).agg(
+        F.count(F.lit(1)).alias("Merges"), (F.sum(F.col("height") * F.col("height")) / 2).alias("Height_SS"),
+        F.count_if("down").alias("Falls"), F.min("height").alias("First_Height"))
+
+
+def _ward_sizes(s: SparkSession, d: str) -> DataFrame:
+    return K.cluster_sizes(K.ward_clusters(scaled(s, d), 4)[0], "Hierarchical_Cluster")
+
+
+_total = f"(count(*) - 1) * {len(X)}"
+add("kmeans_fit_check", "Customers:i; Clusters:i; Total_SS:f4; SS_Gap:f4; Cost_Gap:f4; Off_Centre:f4", _fit_check,
+    f"SELECT count(*) AS Customers, 4 AS Clusters, {_total} AS Total_SS, 0 AS SS_Gap, 0 AS Cost_Gap, 0 AS Off_Centre FROM logs", LOGS)
+add("kmeans_ladder_check", "Steps:i; Rises:i", lambda s, d: _steps(K.restart_stability(scaled(s, d), len(X)), "Nstart"),
+    "SELECT 6 AS Steps, 0 AS Rises FROM logs LIMIT 1", LOGS)
+add("kmeans_elbow_check", "Steps:i; Rises:i; Largest:f4", lambda s, d: _steps(K.elbow(scaled(s, d), len(X)), "K"),
+    f"SELECT 10 AS Steps, 0 AS Rises, {_total} AS Largest FROM logs", LOGS)
+add("kmeans_best_split", "Total_Within_SS:f4", _one_variable, """SELECT min(s2 - s * s / i + (t2 - s2) - (t - s) * (t - s) / (n - i))
+    AS Total_Within_SS FROM (SELECT row_number() OVER o AS i, count(*) OVER () AS n, sum(z) OVER o AS s, sum(z * z) OVER o AS s2,
+    sum(z) OVER () AS t, sum(z * z) OVER () AS t2 FROM (SELECT CustomerID,
+    (LogMonetary - avg(LogMonetary) OVER ()) / stddev_samp(LogMonetary) OVER () AS z FROM logs)
+    WINDOW o AS (ORDER BY z, CustomerID ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE i < n""", LOGS)
+add("ward_cluster_sizes", None, _ward_sizes)
+add("ward_size_check", "Customers:i; Clusters:i",
+    lambda s, d: _ward_sizes(s, d).agg(F.sum("n").alias("Customers"), F.count(F.lit(1)).alias("Clusters")),
+    "SELECT count(*) AS Customers, 4 AS Clusters FROM logs", LOGS)
 
 add("cluster_sizes", "KMeans_Cluster:i; n:i; Share:f; Label:s", lambda s, d: K.cluster_sizes(tiered(s, d)),
     f"""SELECT *, concat(n, chr(10), '(', {percent_label_sql('Share')}, ')') AS Label FROM
@@ -127,10 +181,10 @@ named AS (SELECT *, CASE Role {' '.join(f"WHEN '{r}' THEN '{t}'" for r, t in _la
 add("label_clusters", "KMeans_Cluster:i; Role:s; Cluster_Label:s", lambda s, d: K.label_clusters(tiered(s, d)),
     "SELECT * FROM named", LABELS)
 add("cluster_profile_summary", "Cluster_Label:s; " + PROFILE,
-    lambda s, d: K.profile_labelled(K.cluster_profile(tiered(s, d)), K.label_clusters(tiered(s, d))),
+    lambda s, d: (lambda t: K.profile_labelled(K.cluster_profile(t), K.label_clusters(t)))(tiered(s, d)),
     f"SELECT * FROM ({PROFILE_SQL}) LEFT JOIN named USING (KMeans_Cluster)", LABELS)
 add("customer_data_clustered", "CustomerID:i; KMeans_Cluster:i; Cluster_Label:s; Monetary:f; RFM_segment_ind:s",
-    lambda s, d: K.with_labels(tiered(s, d), K.label_clusters(tiered(s, d))),
+    lambda s, d: (lambda t: K.with_labels(t, K.label_clusters(t)))(tiered(s, d)),
     "SELECT * FROM tiered LEFT JOIN named USING (KMeans_Cluster)", LABELS)
 add("bars_cluster_value", BARS,
     lambda s, d: V.currency_bars(K.cluster_profile(tiered(s, d)), "KMeans_Cluster", "Avg_Monetary"),

@@ -20,6 +20,12 @@ def test_tails():
     assert tails.f_upper(13.0, 2, 6) == pytest.approx((6 / (6 + 2 * 13.0)) ** 3, rel=1e-12)
     exact = sum(math.comb(20, k) * 0.55**k * 0.45 ** (20 - k) for k in range(15, 21))
     assert tails.binomial_upper(15, 20, 0.55) == pytest.approx(exact, rel=1e-12)
+    for n in (10**6, 10**9, 10**11):  # closed forms: half and half the middle term; (df2 / (df2 + 2 f)) ^ (df2 / 2)
+        middle = math.exp(-0.5 * math.log(math.pi * n / 2) - 1 / (4 * n))
+        assert tails.binomial_upper(n // 2, n, 0.5) == pytest.approx(0.5 + middle / 2, rel=1e-9)
+        assert tails.f_upper(3.0, 2, n) == pytest.approx(math.exp(-n / 2 * math.log1p(6.0 / n)), rel=1e-9)
+        assert tails.t_two_sided(2.0, n) == pytest.approx(tails.f_upper(4.0, 1, n), rel=1e-9)
+        assert tails.t_two_sided(1.959963984540054, n) == pytest.approx(0.05 + 0.2773 / n, rel=1e-9)
     assert tails.binomial_upper(0, 20, 0.5) == 1.0 and tails.f_upper(0.0, 2, 5) == 1.0
 
 
@@ -104,24 +110,30 @@ def test_lda_text_predictors_and_missing(spark):
     assert missing.Predicted_Cluster is None and missing.Max_Cluster_Probability is None
 
 
-@pytest.mark.parametrize("strategy", ["local", "distributed"])
-def test_split_is_exact_per_class(spark, strategy):
+@pytest.mark.parametrize("slices", [None, 6])
+def test_split_is_exact_per_class(spark, slices):
     df = spark.range(1_003).select(F.col("id").alias("CustomerID"), F.when(F.col("id") % 10 < 7, 1).otherwise(2).alias("c"))
-    got = discriminant.stratified_split(df, "c", "CustomerID", 0.7, strategy=strategy).groupBy("c").agg(
+    got = discriminant.stratified_split(df, "c", "CustomerID", 0.7, slices=slices).groupBy("c").agg(
         F.count_if("is_train").alias("train"), F.count("*").alias("n")).collect()
     assert sum(r.n for r in got) == 1_003
     for r in got:
         assert r.train == math.ceil(0.7 * r.n)
 
 
-def test_split_paths_agree(spark):
+def test_split_does_not_depend_on_slices(spark):
     df = spark.range(4_000).select(F.col("id").alias("CustomerID"), (F.col("id") % 3).alias("c"))
     key = F.col("CustomerID") % 11  # heavy ties on the key
-    a = discriminant.stratified_split(df, "c", "CustomerID", key=key, strategy="local")
-    b = discriminant.stratified_split(df, "c", "CustomerID", key=key, strategy="distributed")
+    a = discriminant.stratified_split(df, "c", "CustomerID", key=key, slices=1)
+    b = discriminant.stratified_split(df, "c", "CustomerID", key=key, slices=8)
     assert a.select("CustomerID", "is_train").exceptAll(b.select("CustomerID", "is_train")).count() == 0
 
 
+def test_confusion_keeps_rows_without_a_listed_class(spark):
+    predictions = spark.createDataFrame([(1, 1), (2, 1), (None, 2), (3, 2)], "Predicted_Cluster int, KMeans_Cluster int")
+    cells = discriminant.confusion_matrix(predictions, [1, 2]).collect()
+    assert sum(r.Customers for r in cells) == 4 and len(cells) == 6
+
+
 def test_confusion_metrics(spark):
     # rows predicted: [[8, 2], [3, 7]]
     cells = spark.createDataFrame([(1, 1, 8), (1, 2, 2), (2, 1, 3), (2, 2, 7)],
@@ -216,6 +228,18 @@ def test_kmeans_ladder(spark):
     assert sizes == [30, 30, 30, 30] and cost == pytest.approx(min(r.Total_Within_SS for r in ladder), rel=1e-3)
 
 
+def test_all_starts_share_their_passes(spark):
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(200, 2)) + np.repeat([[0, 0], [9, 0], [0, 9], [9, 9]], 50, axis=0)
+    df = clustering.keep(spark.createDataFrame([(i, Vectors.dense(p.tolist())) for i, p in enumerate(points)], ["id", "scaled"]))
+    fits = clustering.run_starts(df, [(4, s) for s in range(6)] + [(2, 9), (500, 1)])
+    for fit in fits[:7]:
+        label = ((points[:, None] - fit.centres[None]) ** 2).sum(2).argmin(1)
+        assert fit.cost == pytest.approx(((points - fit.centres[label]) ** 2).sum())
+        assert fit.centres == pytest.approx(np.array([points[label == c].mean(0) for c in range(len(fit.centres))]))
+    assert fits[7].cost == pytest.approx(0.0, abs=1e-9) and len(fits[7].centres) == 200
+
+
 def test_cluster_matrix_refuses_missing(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, 3.0)], "a double, b double")
     with pytest.raises(Exception):
