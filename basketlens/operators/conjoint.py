@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions import presets
 from ..functions.moments import as_doubles, covariance_array, pairs
 from ..functions.scalars import currency_label, mean_of, percent_label, quotient_with_infinity, ratio
+from ..session import written
 from .common import join_on_keys
 from .outliers import trim_percentile
 from .rank import summarise
@@ -68,9 +69,9 @@ class Survey:
 # --------------------------------------------------------------------------- design
 
 
-def design_levels(spark: SparkSession, survey: Survey, price_levels: int) -> DataFrame:
-    rows = [(PRICE, price_levels)] + [(survey.attribute_name(a), len(v)) for a, v in survey.levels.items()]
-    return spark.createDataFrame(rows, "Attribute string, Levels int")
+def design_levels(profiles: DataFrame, survey: Survey) -> DataFrame:
+    """Levels of every attribute that the profiles show, price included."""
+    return level_balance(profiles, survey).where("Level is not null").groupBy("Attribute").agg(F.count(F.lit(1)).alias("Levels"))
 
 
 def design_efficiency(profiles: DataFrame, levels: DataFrame) -> DataFrame:
@@ -163,14 +164,14 @@ def ratings_check(ratings: DataFrame, survey: Survey) -> DataFrame:
     )
 
 
-def profile_rating_summary(ratings: DataFrame, survey: Survey, strategy: str = "auto") -> DataFrame:
+def profile_rating_summary(ratings: DataFrame, survey: Survey) -> DataFrame:
     """Mean, median, deviation and number of ratings per profile, best first."""
     keys = [survey.profile, survey.price, *survey.levels]
     rating = F.col(survey.rating)
     return summarise(
         ratings,
         [mean_of(rating).alias("Avg_Rating"), F.stddev_samp(rating).alias("SD_Rating"), F.count(rating).alias("Responses")],
-        {"Median_Rating": survey.rating}, by=keys, strategy=strategy,
+        {"Median_Rating": survey.rating}, by=keys,
     ).orderBy(F.desc("Avg_Rating"), *keys)
 
 
@@ -288,14 +289,14 @@ def respondent_check(worths: DataFrame, survey: Survey) -> DataFrame:
         F.count_distinct("Attribute").alias("Attributes"), F.count_distinct("Level").alias("Levels"))
 
 
-def part_worth_summary(worths: DataFrame, strategy: str = "auto") -> DataFrame:
+def part_worth_summary(worths: DataFrame) -> DataFrame:
     """Mean, median, deviation, min and max over respondents per level."""
     w = F.col("Part_Worth")
     return summarise(
         worths,
         [F.avg(w).alias("Mean_Part_Worth"), F.stddev_samp(w).alias("SD_Part_Worth"),
          F.min(w).alias("Min_Part_Worth"), F.max(w).alias("Max_Part_Worth")],
-        {"Median_Part_Worth": "Part_Worth"}, by=["Attribute", "Level"], strategy=strategy,
+        {"Median_Part_Worth": "Part_Worth"}, by=["Attribute", "Level"],
     ).orderBy("Attribute", F.desc("Mean_Part_Worth"), "Level")
 
 
@@ -334,16 +335,16 @@ def respondent_wtp_joined(worths: DataFrame, survey: Survey) -> DataFrame:
     return rest.withColumn("WTP", quotient_with_infinity(F.col("Part_Worth"), F.abs("Price_Coefficient")))
 
 
-def trimmed_wtp(wtp: DataFrame, strategy: str = "auto") -> DataFrame:
+def trimmed_wtp(wtp: DataFrame) -> DataFrame:
     """Willingness to pay between the overall 1st and 99th percentile."""
-    return trim_percentile(wtp, "WTP", 0.01, 0.99, strategy)
+    return trim_percentile(wtp, "WTP", 0.01, 0.99)
 
 
-def wtp_summary(clean: DataFrame, strategy: str = "auto") -> DataFrame:
+def wtp_summary(clean: DataFrame) -> DataFrame:
     w = F.col("WTP")
     return summarise(
         clean, [F.avg(w).alias("Mean_WTP"), F.stddev_samp(w).alias("SD_WTP")], {"Median_WTP": "WTP"},
-        by=["Attribute", "Level"], strategy=strategy,
+        by=["Attribute", "Level"],
     ).orderBy("Attribute", F.desc("Mean_WTP"), "Level")
 
 
@@ -394,29 +395,34 @@ def predict_utility(profiles: DataFrame, fit: OlsFit, survey: Survey) -> DataFra
 def logit_share(utilities: DataFrame, sets: Sequence[str] = (), utility: str = "Predicted_Utility") -> DataFrame:
     """Share of each alternative in its choice set, by the logit rule shifted by the set's best.
 
-    Two small aggregates per set and a join; no set is ever gathered into one task.
+    The utilities are written once, whatever they come from. Exponents are added per whole part of
+    the utility first, so one small table per set holds its best and its total, and one join
+    brings them back; no set is ever gathered into one task.
     """
-    u = F.col(utility)
-    best = utilities.groupBy(*sets).agg(F.max(u).alias("__best"))
-    shifted = join_on_keys(utilities, best, sets).withColumn("Exp_Utility", F.exp(u - F.col("__best")))
-    total = shifted.groupBy(*sets).agg(F.sum("Exp_Utility").alias("__total"))
-    share = ratio(F.col("Exp_Utility"), F.col("__total"))
-    out = join_on_keys(shifted, total, sets).withColumn("Predicted_Market_Share", share)
+    kept, u = written(utilities), F.col(utility)
+    parts = kept.where(u.isNotNull()).withColumn("__whole", F.floor(u)).groupBy(*sets, "__whole").agg(F.sum(F.exp(u - F.col("__whole"))).alias("__part"))
+    whole = F.struct(F.col("__whole").alias("w"), F.col("__part").alias("p"))
+    scale = parts.groupBy(*sets).agg(F.max("__whole").alias("__best"), F.collect_list(whole).alias("__parts"))
+    # a utility's whole parts are few: their number is bounded by the range of utilities, not by the set's size
+    summed = F.aggregate("__parts", F.lit(0.0), lambda a, x: a + x["p"] * F.exp((x["w"] - F.col("__best")).cast("double")))
+    total = scale.withColumn("__total", summed).drop("__parts")
+    share = ratio(F.exp(u - F.col("__best")), F.col("__total"))
+    out = join_on_keys(kept, total, sets).withColumn("Predicted_Market_Share", share)
     return out.withColumns({
         "Exp_Utility": F.exp(u),
         "Predicted_Market_Share_Percent": percent_label(F.col("Predicted_Market_Share")),
     }).drop("__best", "__total")
 
 
-def share_report(shares: DataFrame, description: str = "Description") -> DataFrame:
+def share_report(shares: DataFrame, description: str = "Description", sets: Sequence[str] = ()) -> DataFrame:
     return shares.select(
-        "Product", description, F.round("Predicted_Utility", 3).alias("Predicted utility"),
+        *sets, "Product", description, F.round("Predicted_Utility", 3).alias("Predicted utility"),
         F.col("Predicted_Market_Share_Percent").alias("Predicted market share"))
 
 
-def proposed_share(shares: DataFrame, proposed: str) -> DataFrame:
+def proposed_share(shares: DataFrame, proposed: str, sets: Sequence[str] = ()) -> DataFrame:
     return shares.where(F.col("Product") == proposed).select(
-        "Product", "Predicted_Utility", "Predicted_Market_Share", "Predicted_Market_Share_Percent")
+        *sets, "Product", "Predicted_Utility", "Predicted_Market_Share", "Predicted_Market_Share_Percent")
 
 
 def utility_gap(shares: DataFrame, proposed: str, price_slope: float, sets: Sequence[str] = ()) -> DataFrame:
@@ -437,8 +443,9 @@ def closest_competitor(gaps: DataFrame, proposed: str, sets: Sequence[str] = ())
     return best.select(*sets, "b.*")
 
 
-def gap_report(closest: DataFrame) -> DataFrame:
+def gap_report(closest: DataFrame, sets: Sequence[str] = ()) -> DataFrame:
     return closest.select(
+        *sets,
         F.col("Product").alias("Closest competitor"),
         F.round("Predicted_Utility", 3).alias("Competitor utility"),
         F.round("Utility_Gap_vs_Proposed", 3).alias("Utility advantage of proposed product"),

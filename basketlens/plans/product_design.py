@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import presets
 from ..operators import conjoint, positioning
-from ..session import cut_lineage
+from ..session import written
 
 
 def conjoint_tables(
@@ -19,16 +19,16 @@ def conjoint_tables(
 ) -> dict[str, DataFrame]:
     """All conjoint result tables. ``market`` holds the alternatives of each choice set."""
     spark = raw_ratings.sparkSession
-    ratings = cut_lineage(conjoint.prepare_ratings(raw_ratings, survey))
+    ratings = written(conjoint.prepare_ratings(raw_ratings, survey))
     fit = conjoint.pooled_fit(ratings, survey)
     average = conjoint.part_worths(spark, fit, survey)
-    coefficients = cut_lineage(conjoint.respondent_coefficients(ratings, survey))
+    coefficients = written(conjoint.respondent_coefficients(ratings, survey))
     worths = conjoint.respondent_part_worths(coefficients, survey)
     worth_summary = conjoint.part_worth_summary(worths)
-    clean_wtp = cut_lineage(conjoint.trimmed_wtp(conjoint.respondent_wtp(coefficients, survey)))
+    clean_wtp = written(conjoint.trimmed_wtp(conjoint.respondent_wtp(coefficients, survey)))
     money_summary = conjoint.wtp_summary(clean_wtp)
     importance = conjoint.attribute_importance(average, ratings, survey)
-    shares = cut_lineage(conjoint.logit_share(conjoint.predict_utility(market, fit, survey), sets))
+    shares = written(conjoint.logit_share(conjoint.predict_utility(market, fit, survey), sets))
     gaps = conjoint.utility_gap(shares, proposed, fit.coefficient(survey.price), sets)
     order = [F.desc("Predicted_Market_Share"), "Product"]
     return {
@@ -43,10 +43,10 @@ def conjoint_tables(
         "conjoint_attribute_importance": importance,
         "conjoint_attribute_importance_report_table": conjoint.importance_report(importance),
         "conjoint_market_share_gap_analysis": gaps,
-        "closest_competitor_gap_report_table": conjoint.gap_report(conjoint.closest_competitor(gaps, proposed, sets)),
+        "closest_competitor_gap_report_table": conjoint.gap_report(conjoint.closest_competitor(gaps, proposed, sets), sets),
         "conjoint_market_share_prediction": shares.orderBy(*order),
-        "conjoint_market_share_report_table": conjoint.share_report(shares.orderBy(*order), description),
-        "proposed_product_market_share": conjoint.proposed_share(shares, proposed),
+        "conjoint_market_share_report_table": conjoint.share_report(shares.orderBy(*order), description, sets),
+        "proposed_product_market_share": conjoint.proposed_share(shares, proposed, sets),
     }
 
 

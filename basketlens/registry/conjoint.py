@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from ..operators import conjoint as J
 from ..operators import quality as Q
 from ..operators.regression import OlsFit
 from ..sources import views
+from ..session import written
 from . import base as B
 from . import solve
 from .customers import BARS, _bars_sql, money_label_sql, percent_label_sql
@@ -25,18 +24,26 @@ PROPOSED = "LARGE / N / O / F"
 SLOTS = SURVEY.level_slots()
 
 
+def prepared(s: SparkSession, d: str) -> DataFrame:
+    return J.prepare_ratings(views.ratings(s, d), SURVEY)
+
+
 def ratings(s: SparkSession, d: str) -> DataFrame:
-    return B._kept(J.prepare_ratings(views.ratings(s, d), SURVEY))
+    """The ratings, written once for the steps of one query."""
+    return written(prepared(s, d))
+
+
+def profiles(s: SparkSession, d: str) -> DataFrame:
+    return written(views.profiles(prepared(s, d)))
 
 
 def panel(s: SparkSession, d: str) -> DataFrame:
     """Ratings by customer: about twenty-six each, some without all levels."""
-    return B._kept(J.prepare_ratings(views.ratings(s, d, "customer"), SURVEY))
+    return J.prepare_ratings(views.ratings(s, d, "customer"), SURVEY)
 
 
-@lru_cache(maxsize=8)
 def pooled(s: SparkSession, d: str) -> OlsFit:
-    return J.pooled_fit(ratings(s, d), SURVEY)
+    return J.pooled_fit(prepared(s, d), SURVEY)
 
 
 def worths(s: SparkSession, d: str) -> DataFrame:
@@ -44,35 +51,42 @@ def worths(s: SparkSession, d: str) -> DataFrame:
 
 
 def coefficients(s: SparkSession, d: str) -> DataFrame:
-    return J.respondent_coefficients(ratings(s, d), SURVEY)
+    return J.respondent_coefficients(prepared(s, d), SURVEY)
 
 
 def long_worths(s: SparkSession, d: str) -> DataFrame:
-    return B._kept(J.respondent_part_worths(coefficients(s, d), SURVEY))
+    return written(J.respondent_part_worths(coefficients(s, d), SURVEY))
 
 
 def wtp(s: SparkSession, d: str) -> DataFrame:
-    return B._kept(J.respondent_wtp(coefficients(s, d), SURVEY))
+    return written(J.respondent_wtp(coefficients(s, d), SURVEY))
+
+
+def _utilities(s: SparkSession, d: str) -> tuple[DataFrame, OlsFit]:
+    """Profiles with utilities and the model: the joined lines are read once."""
+    rated = ratings(s, d)
+    fit = J.pooled_fit(rated, SURVEY)
+    return J.predict_utility(views.profiles(rated), fit, SURVEY), fit
 
 
 def utilities(s: SparkSession, d: str) -> DataFrame:
-    return J.predict_utility(views.profiles(s, d), pooled(s, d), SURVEY)
+    return _utilities(s, d)[0]
 
 
 def shares(s: SparkSession, d: str) -> DataFrame:
     return J.logit_share(utilities(s, d))
 
 
-def gaps(s: SparkSession, d: str) -> DataFrame:
-    return J.utility_gap(shares(s, d), PROPOSED, pooled(s, d).coefficient("price"))
+def gaps(s: SparkSession, d: str, sets: tuple[str, ...] = ()) -> DataFrame:
+    rows, fit = _utilities(s, d)
+    return J.utility_gap(written(J.logit_share(rows, sets)), PROPOSED, fit.coefficient("price"), sets)
 
 
 RATINGS = """ratings AS (
   SELECT CAST(c_nationkey AS VARCHAR) AS respondent_id, CAST(o_custkey AS VARCHAR) AS customer_id, CAST(l_partkey AS INT) AS productNo,
          p_retailprice AS price, p_type AS format, l_returnflag AS strength, o_orderstatus AS origin,
          l_linestatus AS sustainability, l_quantity AS rating
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey
-  WHERE p_type IN ('ECONOMY', 'LARGE', 'PROMO', 'STANDARD'))"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey)"""
 TERMS = SURVEY.terms
 _dummies = [f"CASE WHEN {a} = '{v}' THEN 1.0 ELSE 0.0 END" for a, vs in LEVELS.items() for v in vs[1:]]
 _design = ", ".join(f"CAST({e} AS DOUBLE) AS x{i}" for i, e in enumerate(["price", *_dummies]))
@@ -117,20 +131,31 @@ gaps AS (SELECT *, own - Predicted_Utility AS Utility_Gap_vs_Proposed, (own - Pr
 # ------------------------------------------------------------------ design
 
 add("conjoint_missing_profile", "Variable:s; Missing_Count:i",
-    lambda s, d: Q.missing_profile(ratings(s, d)),
+    lambda s, d: Q.missing_profile(prepared(s, d)),
     " UNION ALL ".join(f"SELECT '{c}' AS Variable, count(*) FILTER (WHERE {c} IS NULL) AS Missing_Count FROM ratings" for c in (
         "respondent_id", "productNo", "price", "format", "strength", "origin", "sustainability", "rating")), RATINGS)
-add("conjoint_design_levels", "Attribute:s; Levels:i",
-    lambda s, d: J.design_levels(s, SURVEY, 4).join(
-        F.broadcast(J.level_balance(views.profiles(s, d), SURVEY).select("Attribute").distinct()), "Attribute", "left_semi"),
-    """SELECT 'Price' AS Attribute, 4 AS Levels UNION ALL SELECT 'Format', count(DISTINCT format) FROM profiles
-    UNION ALL SELECT 'Strength', count(DISTINCT strength) FROM profiles UNION ALL SELECT 'Origin', count(DISTINCT origin) FROM profiles
-    UNION ALL SELECT 'Sustainability', count(DISTINCT sustainability) FROM profiles""", PROFILES)
+_levels = " UNION ALL ".join(f"SELECT '{n}' AS Attribute, count(DISTINCT {c}) AS Levels FROM profiles" for n, c in (
+    ("Price", "price"), *((a.capitalize(), a) for a in LEVELS)))
+_full = "(SELECT CAST(round(product(Levels)) AS BIGINT) FROM (" + _levels + "))"
+
+
+def _efficiency(p: DataFrame) -> DataFrame:
+    return J.design_efficiency(p, J.design_levels(p, SURVEY))
+
+
+add("profiles_missing_profile", "Variable:s; Missing_Count:i", lambda s, d: Q.missing_profile(profiles(s, d)),
+    " UNION ALL ".join(f"SELECT '{c}' AS Variable, count(*) FILTER (WHERE {c} IS NULL) AS Missing_Count FROM profiles" for c in (
+        "Product", "price", "format", "strength", "origin", "sustainability")), PROFILES)
+for _name, _frame, _source, _ctes in (
+        ("ratings", prepared, "(SELECT * EXCLUDE (customer_id) FROM ratings)", RATINGS), ("profiles", profiles, "profiles", PROFILES)):
+    add(f"duplicate_count_{_name}", "n_duplicates:i", lambda s, d, f=_frame: Q.duplicate_count(f(s, d)),
+        f"SELECT (SELECT count(*) FROM {_source}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {_source})) AS n_duplicates", _ctes)
+add("conjoint_design_levels", "Attribute:s; Levels:i", lambda s, d: J.design_levels(profiles(s, d), SURVEY), _levels, PROFILES)
 add("design_efficiency", "Full_Factorial_Profiles:i; Selected_Profiles:i; Profiles_Not_Shown:i; Reduction_Percent:f",
-    lambda s, d: J.design_efficiency(views.profiles(s, d), J.design_levels(s, SURVEY, 4)),
-    """SELECT 288 AS Full_Factorial_Profiles, count(*) AS Selected_Profiles, 288 - count(*) AS Profiles_Not_Shown,
-    1 - count(*) / 288.0::DOUBLE AS Reduction_Percent FROM profiles""", PROFILES)
-add("design_level_balance", "Attribute:s; Level:s; n:i", lambda s, d: J.level_balance(views.profiles(s, d), SURVEY),
+    lambda s, d: _efficiency(profiles(s, d)),
+    f"""SELECT f AS Full_Factorial_Profiles, n AS Selected_Profiles, f - n AS Profiles_Not_Shown,
+    1 - n / f::DOUBLE AS Reduction_Percent FROM (SELECT count(*) AS n, {_full} AS f FROM profiles)""", PROFILES)
+add("design_level_balance", "Attribute:s; Level:s; n:i", lambda s, d: J.level_balance(profiles(s, d), SURVEY),
     "SELECT 'Price' AS Attribute, CAST(CAST(price AS BIGINT) AS VARCHAR) AS Level, count(*) AS n FROM profiles GROUP BY 2"
     + "".join(f" UNION ALL SELECT '{a.capitalize()}', {a}, count(*) FROM profiles GROUP BY 2" for a in LEVELS), PROFILES)
 _cor_names = [("price", "price")] + [
@@ -138,21 +163,19 @@ _cor_names = [("price", "price")] + [
 _corr = " UNION ALL ".join(
     f"SELECT '{a}' AS \"Row\", '{b}' AS \"Column\", corr({x}, {y}) AS Correlation FROM profiles"
     for a, x in _cor_names for b, y in _cor_names)
-add("design_correlation", "Row:s; Column:s; Correlation:f", lambda s, d: J.design_correlation(views.profiles(s, d), SURVEY),
+add("design_correlation", "Row:s; Column:s; Correlation:f", lambda s, d: J.design_correlation(profiles(s, d), SURVEY),
     _corr, PROFILES)
 add("design_quality",
     "Profiles_Selected:i; Full_Factorial_Profiles:i; Reduction_Percent:s; Maximum_Absolute_Correlation:f",
-    lambda s, d: J.design_quality(
-        J.design_efficiency(views.profiles(s, d), J.design_levels(s, SURVEY, 4)),
-        J.design_correlation(views.profiles(s, d), SURVEY)),
-    f"""SELECT n AS Profiles_Selected, 288 AS Full_Factorial_Profiles, {percent_label_sql('1 - n / 288.0')} AS Reduction_Percent,
-    round(m, 3) AS Maximum_Absolute_Correlation FROM (SELECT count(*) AS n FROM profiles) CROSS JOIN
+    lambda s, d: (lambda p: J.design_quality(_efficiency(p), J.design_correlation(p, SURVEY)))(profiles(s, d)),
+    f"""SELECT n AS Profiles_Selected, f AS Full_Factorial_Profiles, {percent_label_sql('1 - n / f::DOUBLE')} AS Reduction_Percent,
+    round(m, 3) AS Maximum_Absolute_Correlation FROM (SELECT count(*) AS n, {_full} AS f FROM profiles) CROSS JOIN
     (SELECT max(abs(Correlation)) AS m FROM ({_corr}) WHERE "Row" <> "Column")""", PROFILES)
 
 # ------------------------------------------------------------------ ratings and pooled model
 
 add("prepare_ratings",
-    "respondent_id:s; productNo:i; price:f; format:s; strength:s; origin:s; sustainability:s; rating:f", ratings,
+    "respondent_id:s; productNo:i; price:f; format:s; strength:s; origin:s; sustainability:s; rating:f", prepared,
     "SELECT * FROM ratings", RATINGS)
 add("prepare_ratings_unknown_level", "origin:s; n:i",
     lambda s, d: Q.value_counts(J.prepare_ratings(views.ratings(s, d), J.Survey(levels={**LEVELS, "origin": ["F", "O"]})), "origin"),
@@ -237,10 +260,10 @@ add("respondent_wtp_joined", WTP_COLUMNS, lambda s, d: J.respondent_wtp_joined(l
 add("respondent_level_wtp_clean", WTP_COLUMNS, lambda s, d: J.trimmed_wtp(wtp(s, d)), "SELECT * FROM clean", WTP)
 _wsum = """SELECT Attribute, Level, avg(WTP) AS Mean_WTP, median(WTP) AS Median_WTP, stddev_samp(WTP) AS SD_WTP FROM clean GROUP BY ALL"""
 add("respondent_wtp_summary", "Attribute:s; Level:s; Mean_WTP:f3; Median_WTP:f3; SD_WTP:f3",
-    lambda s, d: J.wtp_summary(B._kept(J.trimmed_wtp(wtp(s, d)))), _wsum, WTP)
+    lambda s, d: J.wtp_summary(written(J.trimmed_wtp(wtp(s, d)))), _wsum, WTP)
 _signed = lambda c: f"CASE WHEN {c} < 0 THEN concat('-', {money_label_sql(f'abs({c})', 2)}) ELSE {money_label_sql(c, 2)} END"
 add("wtp_report_table", "Attribute:s; Level:s; Mean WTP (£):s; Median WTP (£):s; SD WTP:f",
-    lambda s, d: J.wtp_report(J.wtp_summary(B._kept(J.trimmed_wtp(wtp(s, d))))),
+    lambda s, d: J.wtp_report(J.wtp_summary(written(J.trimmed_wtp(wtp(s, d))))),
     f"""SELECT Attribute, Level, {_signed('Mean_WTP')} AS "Mean WTP (£)", {_signed('Median_WTP')} AS "Median WTP (£)",
     round(SD_WTP, 3) AS "SD WTP" FROM ({_wsum})""", WTP)
 
@@ -254,7 +277,8 @@ IMPORTANCE_SQL = """SELECT *, Utility_Range / sum(Utility_Range) OVER () AS Impo
 
 
 def importance(s: SparkSession, d: str) -> DataFrame:
-    return J.attribute_importance(worths(s, d), ratings(s, d), SURVEY)
+    rated = ratings(s, d)
+    return J.attribute_importance(J.part_worths(s, J.pooled_fit(rated, SURVEY), SURVEY), rated, SURVEY)
 
 
 add("conjoint_attribute_importance",
@@ -284,6 +308,17 @@ add("proposed_product_market_share",
     lambda s, d: J.proposed_share(shares(s, d), PROPOSED),
     f"""SELECT *, {percent_label_sql('Predicted_Market_Share')} AS Predicted_Market_Share_Percent FROM shares
     WHERE Product = '{PROPOSED}'""", SHARES)
+add("share_report_by_choice_set", "format:s; Product:s; origin:s; Predicted utility:f; Predicted market share:s",
+    lambda s, d: J.share_report(J.logit_share(utilities(s, d), ["format"]), "origin", ["format"]),
+    f"""SELECT format, Product, origin, round(Predicted_Utility, 3) AS "Predicted utility",
+    {percent_label_sql('Predicted_Market_Share')} AS "Predicted market share" FROM {_set_share}""", SHARES)
+add("proposed_share_by_choice_set", "format:s; Product:s; Predicted_Utility:f; Predicted_Market_Share:f",
+    lambda s, d: J.proposed_share(J.logit_share(utilities(s, d), ["format"]), PROPOSED, ["format"]),
+    f"SELECT * FROM {_set_share} WHERE Product = '{PROPOSED}'", SHARES)
+add("gap_report_by_choice_set", "format:s; Closest competitor:s; Competitor utility:f",
+    lambda s, d: J.gap_report(J.closest_competitor(gaps(s, d), PROPOSED, ["format"]), ["format"]),
+    f"""SELECT format, Product AS "Closest competitor", round(Predicted_Utility, 3) AS "Competitor utility" FROM (SELECT *, row_number()
+    OVER (PARTITION BY format ORDER BY Predicted_Utility DESC, Product) AS k FROM gaps WHERE Product <> '{PROPOSED}') WHERE k = 1""", SHARES)
 add("conjoint_market_share_gap_analysis",
     PRODUCT + "Predicted_Market_Share:f; Utility_Gap_vs_Proposed:f; WTP_Equivalent_Gap:f3", gaps, "SELECT * FROM gaps", SHARES)
 _closest = f"(SELECT * FROM gaps WHERE Product <> '{PROPOSED}' ORDER BY Predicted_Utility DESC, Product LIMIT 1)"

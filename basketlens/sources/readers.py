@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.rank import exact_quantiles
 from . import schemas
 
 
@@ -53,15 +54,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return reader.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows over all cores when the scan yields fewer partitions than that (one small file).
-
-    Large inputs have far more splits than cores and pass through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def describe_table(df: DataFrame) -> DataFrame:
     """Structure check: row and column counts, names and types, one row per column."""
     fields = df.sparkSession.createDataFrame(
@@ -73,10 +65,12 @@ def describe_table(df: DataFrame) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Min, mean, max and sample deviation per numeric column, one row each, one scan."""
+    """Min, quartiles, mean, max and sample deviation per numeric column, one row each."""
     stats = {"min": F.min, "mean": F.avg, "max": F.max, "sd": F.stddev_samp}
     wide = df.agg(*[
         F.struct(*[f(F.col(c).cast("double")).alias(k) for k, f in stats.items()]).alias(c) for c in columns
     ])
     rows = [F.struct(F.lit(c).alias("Variable"), *[F.col(c)[k].alias(k) for k in stats]) for c in columns]
-    return wide.select(F.inline(F.array(*rows)))
+    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75]).groupBy("Variable").agg(*[
+        F.max(F.when(F.col("p") == p, F.col("value"))).alias(k) for k, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    return wide.select(F.inline(F.array(*rows))).join(quartiles, "Variable", "left")

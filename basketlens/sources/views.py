@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .readers import read_table, spread
+from .readers import read_table
 
 FOCUS = "red widget"
 
 # Level lists of the ratings view; the first level is the regression base.
 RATING_LEVELS = {
-    "format": ["ECONOMY", "LARGE", "PROMO", "STANDARD"],
+    "format": ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"],
     "strength": ["A", "N", "R"],
     "origin": ["F", "O", "P"],
     "sustainability": ["F", "O"],
@@ -45,7 +45,7 @@ def customers(spark: SparkSession, sf: str) -> DataFrame:
 
 def retail(spark: SparkSession, sf: str) -> DataFrame:
     """One row per transaction line."""
-    line = spread(read_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"))
+    line = read_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     order = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     part = read_table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice")
     people = customers(spark, sf)
@@ -87,9 +87,9 @@ def prospects(spark: SparkSession, sf: str) -> DataFrame:
 
 def ratings(spark: SparkSession, sf: str, respondent: str = "nation") -> DataFrame:
     """Rated profiles. Respondents are nations (well covered) or customers (some with gaps)."""
-    line = spread(read_table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_returnflag", "l_linestatus", "l_quantity"))
-    part = read_table(spark, sf, "part").where(F.col("p_type").isin(RATING_LEVELS["format"]))
+    line = read_table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_returnflag", "l_linestatus", "l_quantity")
+    part = read_table(spark, sf, "part")
     order = read_table(spark, sf, "orders")
     person = read_table(spark, sf, "customer")
     joined = (
@@ -113,11 +113,10 @@ def ratings(spark: SparkSession, sf: str, respondent: str = "nation") -> DataFra
     )
 
 
-def profiles(spark: SparkSession, sf: str) -> DataFrame:
+def profiles(rated: DataFrame) -> DataFrame:
     """Each attribute combination that was rated, at its average price in whole units."""
     return (
-        ratings(spark, sf)
-        .groupBy("format", "strength", "origin", "sustainability")
+        rated.groupBy("format", "strength", "origin", "sustainability")
         .agg(F.round(F.avg("price")).alias("price"))
         .withColumn("Product", F.concat_ws(" / ", "format", "strength", "origin", "sustainability"))
     )
@@ -125,8 +124,8 @@ def profiles(spark: SparkSession, sf: str) -> DataFrame:
 
 def products(spark: SparkSession, sf: str) -> DataFrame:
     """One row per brand with averages over its lines."""
-    line = spread(read_table(spark, sf, "lineitem").select(
-        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"))
+    line = read_table(spark, sf, "lineitem").select(
+        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
     part = read_table(spark, sf, "part")
     return (
         line.join(part, F.col("l_partkey") == F.col("p_partkey"))

@@ -5,12 +5,23 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """CSV with header; missing values written as ``NA``. ``single_file`` is for k-row report tables."""
+def write_csv(df: DataFrame, path: str, single_file: bool = False, quote_text: bool = False) -> None:
+    """CSV with header; missing values written as ``NA``. ``single_file`` is for k-row report tables.
+
+    ``quote_text`` puts every name and text value in quotes and leaves numbers and ``NA`` bare.
+    """
+    options = {"header": True, "nullValue": "NA", "escape": '"'}
+    if quote_text:
+        quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+        df = df.select(*[
+            (quoted(F.col(f"`{n}`")) if t == "string" else F.col(f"`{n}`")).alias('"' + n.replace('"', '""') + '"')
+            for n, t in df.dtypes])
+        options |= {"quote": "\u0000", "escapeQuotes": False}
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").options(header=True, nullValue="NA", quoteAll=False, escape='"').csv(path)
+    out.write.mode("overwrite").options(**options).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> None:

@@ -31,7 +31,7 @@ def full(spark):
 
 def test_design(spark, full, rows):
     profiles = full.where("respondent_id = 'r1'").select("price", *SURVEY_LEVELS)
-    got = rows(conjoint.design_efficiency(profiles, conjoint.design_levels(spark, SURVEY, 4)))[0]
+    got = rows(conjoint.design_efficiency(profiles, conjoint.design_levels(profiles, SURVEY)))[0]
     assert got == {"Full_Factorial_Profiles": 288, "Selected_Profiles": 288, "Profiles_Not_Shown": 0, "Reduction_Percent": 0.0}
     balance = {(r["Attribute"], r["Level"]): r["n"] for r in rows(conjoint.level_balance(profiles, SURVEY))}
     assert balance[("Price", "3")] == 72 and balance[("Sustainability", "Yes")] == 144 and len(balance) == 16
