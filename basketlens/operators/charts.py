@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import currency_label, percent_label, ratio
+from .rank import running
 
 
 def fixed_count_histogram(df: DataFrame, column: str, bins: int = 35) -> DataFrame:
@@ -50,17 +51,10 @@ def fixed_width_histogram(
 
 
 def ordered_bars(table: DataFrame, category: str, value: str, label: Column | None = None) -> DataFrame:
-    """Bars of a result table in ascending order of value, with the order as a column.
-
-    ``table`` is a result with one row per category, so one ordering window holds it.
-    """
+    """Bars of a result table in ascending order of value, with the order as a column."""
     text = label if label is not None else F.col(value).cast("string")
-    return table.select(
-        F.col(category).alias("Category"),
-        F.col(value).alias("Value"),
-        text.alias("Label"),
-        F.row_number().over(W.orderBy(F.col(value), F.col(category))).alias("SortOrder"),
-    )
+    bars = table.select(F.col(category).alias("Category"), F.col(value).alias("Value"), text.alias("Label"))
+    return running(bars, [], ["Value", "Category"], F.lit(1)).withColumnRenamed("cum", "SortOrder").drop("n")
 
 
 def currency_bars(table: DataFrame, category: str, value: str) -> DataFrame:
@@ -92,9 +86,3 @@ def facets(part_worths: DataFrame, value: str, attributes: Sequence[str], label:
     out = part_worths.where(F.col("Attribute").isin(list(attributes))).select(
         "Attribute", "Level", value, position.alias("AttributeOrder"), F.row_number().over(levels).alias("LevelOrder"))
     return out.withColumn("Label", currency_label(F.col(value), 2)) if label else out
-
-
-def scatter_sample(points: DataFrame, max_points: int, seed: int = 7) -> DataFrame:
-    """Points for drawing: all of them up to the limit, a random share beyond it."""
-    n = points.count()
-    return points if n <= max_points else points.sample(fraction=max_points / n, seed=seed)

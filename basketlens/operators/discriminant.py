@@ -12,15 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import presets
 from ..functions.moments import collect_group_moments, invert_spd
-from ..functions.scalars import mean_of, percent_label, ratio
+from ..functions.scalars import mean_of, percent_label, ratio, total_of
 from ..functions.tails import binomial_upper_column
 from .features import group_shares
-from .rank import cut_points, summarise, use_small_path
+from .rank import lowest_share, summarise
 from .regression import add_up
 
-MAX_TEXT_LEVELS = 100
-
-
 # --------------------------------------------------------------------------- input
 
 
@@ -44,23 +41,14 @@ def hash_key(id_column: str, seed: int) -> Column:
 
 def stratified_split(
     df: DataFrame, label: str, id_column: str, p: float = 0.70, key: Column | None = None, seed: int = 1,
-    strategy: str = "auto",
+    slices: int | None = None,
 ) -> DataFrame:
     """Add ``is_train``: per class the ceil(p*n) rows with the lowest hash key, ties by id.
 
-    Exact and repeatable. Large inputs find one cut per class instead of ranking the class.
+    Exact and repeatable.
     """
     ordered = df.withColumn("__key", key if key is not None else hash_key(id_column, seed))
-    if use_small_path(df, strategy):
-        cls = W.partitionBy(label)
-        rank = F.row_number().over(cls.orderBy("__key", id_column))
-        return ordered.withColumn("is_train", rank <= F.ceil(F.count(F.lit(1)).over(cls) * F.lit(p))).drop("__key")
-    cuts = cut_points(ordered, F.col("__key"), id_column, [label], {1: p}, F.ceil(F.col("n") * F.lit(p)))
-    cuts = cuts.select(F.col(label).alias("__label"), "cut", "cut_tie")
-    below = (F.col("__key") < F.col("cut")) | (
-        (F.col("__key") == F.col("cut")) & (F.col("cut_tie").isNull() | (F.col(id_column) <= F.col("cut_tie"))))
-    marked = ordered.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("__label")))
-    return marked.withColumn("is_train", below).drop("__key", "__label", "cut", "cut_tie")
+    return lowest_share(ordered, label, ["__key", id_column], p, "is_train", slices).drop("__key")
 
 
 def class_shares(df: DataFrame, label: str = "KMeans_Cluster") -> DataFrame:
@@ -98,14 +86,11 @@ def fit_scaler(train: DataFrame, variables: Sequence[str]) -> Scaler:
 
 
 def text_levels(train: DataFrame, variables: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted levels of the text predictors; the first is the base. Refuses open-ended text."""
+    """Sorted levels of the text predictors; the first is the base. Each level is a column of the model."""
     text = [v for v in variables if dict(train.dtypes)[v] == "string"]
     levels = {}
     for v in text:
-        rows = train.select(v).where(F.col(v).isNotNull()).distinct().orderBy(v).limit(MAX_TEXT_LEVELS + 1).collect()
-        if len(rows) > MAX_TEXT_LEVELS:
-            raise ValueError(f"{v} has more than {MAX_TEXT_LEVELS} levels")
-        levels[v] = [r[0] for r in rows]
+        levels[v] = [r[0] for r in train.select(v).where(F.col(v).isNotNull()).distinct().orderBy(v).collect()]
     return levels
 
 
@@ -226,13 +211,15 @@ def lda_fit(train: DataFrame, label: str, variables: Sequence[str],
 
 def confusion_matrix(predictions: DataFrame, classes: Sequence, actual: str = "KMeans_Cluster",
                      predicted: str = "Predicted_Cluster") -> DataFrame:
-    """Customers per (predicted, actual), every cell present."""
+    """Customers per (predicted, actual), every cell of the classes present, others (such as no prediction) as they occur."""
     counts = predictions.groupBy(F.col(predicted).alias("Predicted_Cluster"), F.col(actual).alias("Actual_Cluster")).agg(
         F.count(F.lit(1)).alias("Customers"))
     kind = predictions.schema[actual].dataType.simpleString()
     grid = predictions.sparkSession.createDataFrame(
         [(p, a) for a in classes for p in classes], f"Predicted_Cluster {kind}, Actual_Cluster {kind}")
-    return grid.join(F.broadcast(counts), ["Predicted_Cluster", "Actual_Cluster"], "left").fillna(0, ["Customers"])
+    known = grid.join(counts, ["Predicted_Cluster", "Actual_Cluster"], "left").fillna(0, ["Customers"])
+    listed = lambda c: F.coalesce(F.col(c).isin(list(classes)), F.lit(False))
+    return known.unionByName(counts.where(~(listed("Predicted_Cluster") & listed("Actual_Cluster"))))
 
 
 def overall_metrics(cells: DataFrame) -> DataFrame:
@@ -305,23 +292,22 @@ def target_priority(scored: DataFrame, labels: Mapping[str, str] | None = None)
     )
 
 
-def prospect_summary(scored: DataFrame, keys: Sequence[str], strategy: str = "auto") -> DataFrame:
+def prospect_summary(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Prospects, share, mean top probability and median attributes per group."""
     groups = summarise(
         scored,
         [F.count(F.lit(1)).alias("Prospects"), mean_of(F.col("Max_Cluster_Probability")).alias("Avg_Max_Probability")],
         {"Median_Income": "Income", "Median_Age": "Age", "Median_HouseholdSize": "HouseholdSize"},
-        by=list(keys), strategy=strategy,
+        by=list(keys),
     )
-    total = scored.agg(F.count(F.lit(1)).alias("__all"))
-    return groups.crossJoin(F.broadcast(total)).select(
-        *keys, "Prospects", ratio(F.col("Prospects"), F.col("__all")).alias("Prospect_Share"), "Avg_Max_Probability",
+    return groups.select(
+        *keys, "Prospects", ratio(F.col("Prospects"), total_of("Prospects")).alias("Prospect_Share"), "Avg_Max_Probability",
         "Median_Income", "Median_Age", "Median_HouseholdSize",
     ).orderBy(F.desc("Prospects"), *keys)
 
 
-def prospect_cluster_summary(scored: DataFrame, strategy: str = "auto") -> DataFrame:
-    return prospect_summary(scored, ["Predicted_Cluster", "Predicted_Cluster_Label"], strategy)
+def prospect_cluster_summary(scored: DataFrame) -> DataFrame:
+    return prospect_summary(scored, ["Predicted_Cluster", "Predicted_Cluster_Label"])
 
 
 def prospect_report(summary: DataFrame) -> DataFrame:
@@ -337,8 +323,8 @@ def prospect_report(summary: DataFrame) -> DataFrame:
     )
 
 
-def priority_summary(targeted: DataFrame, strategy: str = "auto") -> DataFrame:
-    return prospect_summary(targeted, ["Target_Priority"], strategy)
+def priority_summary(targeted: DataFrame) -> DataFrame:
+    return prospect_summary(targeted, ["Target_Priority"])
 
 
 TARGET_COLUMNS = [

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import count_label, mean_of, ratio, safe_log
+from ..functions.scalars import count_label, mean_of, ratio, safe_log, total_of
 from .rank import summarise
 
+# The demographic columns and the order that tells which line is first.
 DEMOGRAPHIC_COLUMNS = ["Married", "HouseholdSize", "Income", "Age", "ZipCode", "Work", "Education"]
 FIRST_ROW_ORDER = ["InvoiceDate", "InvoiceNo", "ProductID", "Quantity"]
 
@@ -19,11 +20,6 @@ def focus_category(category: str, column: str = "ProductCategory") -> Column:
     return F.col(column) == category
 
 
-def _analysis_date(lines: DataFrame) -> DataFrame:
-    """Day after the last purchase, as a one-row table."""
-    return lines.agg(F.date_add(F.max("InvoiceDate"), 1).alias("__analysis_date"))
-
-
 def _measures(focus: Column) -> dict[str, Column]:
     spend = F.col("TotalSpend")
     zero = F.lit(0)
@@ -47,7 +43,8 @@ def customer_summary_min(lines: DataFrame, focus: Column) -> DataFrame:
     """Recency, frequency, spend and focus measures per customer."""
     per_customer = lines.groupBy("CustomerID").agg(
         F.max("InvoiceDate").alias("last_purchase_date"), *[c.alias(k) for k, c in _measures(focus).items()])
-    return per_customer.crossJoin(F.broadcast(_analysis_date(lines))).select(
+    last = per_customer.agg(F.date_add(F.max("last_purchase_date"), 1).alias("__analysis_date"))
+    return per_customer.crossJoin(F.broadcast(last)).select(
         "CustomerID", _recency().alias("Recency"), "Frequency", "Monetary", "FocusSpend", "FocusQuantity",
         _buyer().alias("FocusBuyer"),
     )
@@ -64,13 +61,14 @@ def customer_features(
 ) -> DataFrame:
     """One row per customer: purchase dates, RFM measures, diversity, focus measures, demographics.
 
-    Lines combine to (customer, invoice) and to (customer, product, category) first, map-side
-    and then over the cluster, so the invoice counts need no distinct and a customer with a
-    third of all lines is spread over many tasks. The parts end partitioned by customer and
-    join in place. The lines are read four times: persist or write them first.
+    Lines combine once to (customer, invoice, product, category), map-side and then over the
+    cluster; everything else groups those rows further, so the lines are read a single time, the
+    counts need no distinct and a customer with a third of all lines is spread over many tasks.
     """
     spend, quantity = F.col("TotalSpend"), F.col("Quantity")
-    invoices = lines.groupBy("CustomerID", "InvoiceNo").agg(
+    order = F.struct(*FIRST_ROW_ORDER)
+    first = [F.min_by(F.struct(*demographics), order).alias("demo")] if demographics else []
+    detail = lines.groupBy("CustomerID", "InvoiceNo", "ProductID", "ProductCategory").agg(
         F.min("InvoiceDate").alias("first"),
         F.max("InvoiceDate").alias("last"),
         F.sum(spend).alias("spend"),
@@ -78,6 +76,17 @@ def customer_features(
         F.sum(F.when(focus, spend)).alias("focus_spend"),
         F.sum(F.when(focus, quantity)).alias("focus_quantity"),
         F.max(focus).alias("has_focus"),
+        F.min(order).alias("at"),
+        *first,
+    )
+    again = [F.min_by("demo", "at").alias("demo")] if demographics else []
+    invoices = detail.groupBy("CustomerID", "InvoiceNo").agg(
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+        *[F.sum(c).alias(c) for c in ("spend", "quantity", "focus_spend", "focus_quantity")],
+        F.max("has_focus").alias("has_focus"),
+        F.min("at").alias("at"),
+        *again,
     )
     per_customer = invoices.groupBy("CustomerID").agg(
         F.min("first").alias("first_purchase_date"),
@@ -88,14 +97,16 @@ def customer_features(
         F.coalesce(F.sum("focus_spend"), F.lit(0).cast("decimal(18,2)")).alias("FocusSpend"),
         F.coalesce(F.sum("focus_quantity"), F.lit(0)).alias("FocusQuantity"),
         F.count(F.when(F.col("has_focus"), F.col("InvoiceNo"))).alias("FocusInvoices"),
+        *again,
     )
-    variety = lines.select("CustomerID", "ProductID", "ProductCategory").distinct().groupBy("CustomerID").agg(
-        F.count_distinct("ProductCategory").alias("CategoryDiversity"),
-        F.count_distinct("ProductID").alias("ProductDiversity"),
-    )
-    dated = per_customer.join(variety, "CustomerID", "left").crossJoin(F.broadcast(_analysis_date(lines)))
+    variety = [
+        detail.groupBy("CustomerID", c).agg(F.max("last").alias("__x")).groupBy("CustomerID").agg(F.count(c).alias(name))
+        for c, name in (("ProductCategory", "CategoryDiversity"), ("ProductID", "ProductDiversity"))
+    ]
+    dated = per_customer.join(variety[0], "CustomerID", "left").join(variety[1], "CustomerID", "left").crossJoin(
+        F.broadcast(per_customer.agg(F.date_add(F.max("last_purchase_date"), 1).alias("__analysis_date"))))
     if demographics:
-        dated = dated.join(first_row_values(lines, demographics), "CustomerID", "left")
+        dated = dated.select("*", "demo.*")
     return dated.select(
         "CustomerID",
         "first_purchase_date",
@@ -134,7 +145,7 @@ def varying_demographics(lines: DataFrame, columns: Sequence[str] = tuple(DEMOGR
     return counts.unpivot([], list(columns), "Variable", "Customers")
 
 
-def customer_base_summary(customers: DataFrame, strategy: str = "auto") -> DataFrame:
+def customer_base_summary(customers: DataFrame) -> DataFrame:
     """Size, value, frequency, recency and focus figures of the customer base."""
     buyer_spend = F.when(F.col("FocusBuyer") == 1, F.col("FocusSpend"))
     return summarise(
@@ -153,7 +164,6 @@ def customer_base_summary(customers: DataFrame, strategy: str = "auto") -> DataF
             "Median_Monetary": "Monetary", "Median_Frequency": "Frequency", "Median_Recency": "Recency",
             "Median_Focus_Spend_Buyers": "__buyer_spend",
         },
-        strategy=strategy,
     )
 
 
@@ -174,10 +184,9 @@ def buyer_group(focus_name: str = "Focus") -> Column:
 
 
 def group_shares(df: DataFrame, *keys: str, share: str = "Share", label: str | None = "Label") -> DataFrame:
-    """Rows per group, share of all rows and a bar label. The total is one broadcast row."""
+    """Rows per group, share of all rows and a bar label. The total is the sum of the result rows."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
-    out = counts.crossJoin(F.broadcast(total)).withColumn(share, ratio(F.col("n"), F.col("__total"))).drop("__total")
+    out = counts.withColumn(share, ratio(F.col("n"), total_of("n")))
     return out.withColumn(label, count_label(F.col("n"), F.col(share))) if label else out
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mean_of, ratio
-from .features import customer_summary_min
+from ..session import written
 from .quality import LINE_COLUMNS
 from .rank import exact_quantiles, quantile_columns, summarise
 
@@ -17,21 +17,21 @@ THRESHOLDS = (0.99, 0.995, 0.999)
 
 def percentile_thresholds(
     df: DataFrame, columns: Sequence[str] = ("Quantity", "TotalSpend"),
-    probs: Sequence[float] = THRESHOLDS, strategy: str = "auto",
+    probs: Sequence[float] = THRESHOLDS,
 ) -> DataFrame:
     """One row per percentile, one column per variable."""
-    long = exact_quantiles(df, columns, probs, strategy=strategy)
+    long = exact_quantiles(df, columns, probs)
     wide = long.groupBy("p").agg(*[F.max(F.when(F.col("Variable") == c, F.col("value"))).alias(c) for c in columns])
     name = F.concat(F.regexp_replace(F.format_string("%.1f", F.col("p") * 100), r"\.0$", ""), F.lit("th percentile"))
     return wide.select(name.alias("Threshold"), *columns).orderBy("Threshold")
 
 
-def flag_outliers(df: DataFrame, strategy: str = "auto") -> DataFrame:
+def flag_outliers(df: DataFrame) -> DataFrame:
     """Lines above the 99th percentile of quantity or spend, with the 99 and 99.9 flags."""
     cuts = quantile_columns(df, {
         "__q99": ("Quantity", 0.99), "__q999": ("Quantity", 0.999),
         "__s99": ("TotalSpend", 0.99), "__s999": ("TotalSpend", 0.999),
-    }, strategy=strategy)
+    })
     quantity, spend = F.col("Quantity").cast("double"), F.col("TotalSpend").cast("double")
     flagged = df.crossJoin(F.broadcast(cuts)).withColumns({
         "Quantity_Outlier_99": quantity > F.col("__q99"),
@@ -71,29 +71,38 @@ def outlier_by_category(outliers: DataFrame) -> DataFrame:
     )
 
 
-def cap_at_percentile(df: DataFrame, column: str, p: float = 0.95, strategy: str = "auto") -> DataFrame:
+def cap_at_percentile(df: DataFrame, column: str, p: float = 0.95) -> DataFrame:
     """Rows at or below the percentile."""
-    cut = quantile_columns(df, {"__cap": (column, p)}, strategy=strategy)
+    cut = quantile_columns(df, {"__cap": (column, p)})
     return df.crossJoin(F.broadcast(cut)).where(F.col(column).cast("double") <= F.col("__cap")).drop("__cap")
 
 
-def trim_percentile(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99,
-                    strategy: str = "auto") -> DataFrame:
+def trim_percentile(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows between two percentiles of the whole column, both ends included."""
-    cut = quantile_columns(df, {"__low": (column, low), "__high": (column, high)}, strategy=strategy)
+    cut = quantile_columns(df, {"__low": (column, low), "__high": (column, high)})
     x = F.col(column).cast("double")
     return df.crossJoin(F.broadcast(cut)).where(x.between(F.col("__low"), F.col("__high"))).drop("__low", "__high")
 
 
-def sensitivity_summary(lines: DataFrame, predicate: Column, focus: Column, names: tuple[str, str] = ("With", "Without"),
-                        strategy: str = "auto") -> DataFrame:
-    """Customer value figures with and without the rows of an exclusion, side by side."""
-    versions = [
-        customer_summary_min(part, focus).withColumn("Version", F.lit(name))
-        for part, name in zip((lines, lines.where(~predicate)), names)
-    ]
-    both = versions[0].unionByName(versions[1]).withColumn(
-        "__buyer_spend", F.when(F.col("FocusBuyer") == 1, F.col("FocusSpend")))
+def outlier_review(outliers: DataFrame, n: int | None = None) -> DataFrame:
+    """The flagged lines, highest spend first; all of them unless ``n`` is given."""
+    ranked = outliers.orderBy(F.desc("TotalSpend"), "CustomerID", "InvoiceNo", "ProductID", "Quantity")
+    return ranked.limit(n) if n is not None else ranked
+
+
+def sensitivity_summary(lines: DataFrame, predicate: Column, focus: Column, names: tuple[str, str] = ("With", "Without")) -> DataFrame:
+    """Customer value figures with and without the rows of an exclusion, side by side, from one grouping of the lines."""
+    spend, zero = F.col("TotalSpend"), F.lit(0).cast("decimal(18,2)")
+
+    def version(name: str, rows: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("Version"), F.count_if(rows).alias("__lines"), F.sum(F.when(rows, spend)).alias("Monetary"),
+            F.coalesce(F.sum(F.when(rows & focus, spend)), zero).alias("FocusSpend"))
+
+    each = lines.groupBy("CustomerID").agg(
+        version(names[0], F.lit(True)).alias("a"), version(names[1], F.coalesce(~predicate, F.lit(False))).alias("b"))
+    both = written(each.select("CustomerID", F.inline(F.array("a", "b"))).where("__lines > 0"))
+    both = both.withColumn("__buyer_spend", F.when(F.col("FocusSpend") > 0, F.col("FocusSpend")))
     return summarise(
         both,
         [
@@ -107,5 +116,4 @@ def sensitivity_summary(lines: DataFrame, predicate: Column, focus: Column, name
         ],
         {"Median_Monetary": "Monetary", "Median_Focus_Spend_Buyers": "__buyer_spend"},
         by=["Version"],
-        strategy=strategy,
     )

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_missing, mean_of
-from .rank import summarise
+from .rank import running, summarise
 
 
 def _blank_aware(name: str, dtype: str, blank_is_missing: bool) -> Column:
@@ -36,19 +35,24 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     )
 
 
-def distinct_with_null(column: Column | str, approx: bool = False) -> Column:
-    """Distinct values, a null counting as one more value."""
-    c = F.col(column) if isinstance(column, str) else column
-    n = F.approx_count_distinct(c) if approx else F.count_distinct(c)
-    return n + F.coalesce(F.max(F.when(c.isNull(), 1)), F.lit(0))
+def distinct_counts(df: DataFrame, columns: dict[str, str], nulls: bool = False) -> DataFrame:
+    """One row: the distinct values of each ``output name -> column``, a null counting as one more if ``nulls``.
+
+    The used combinations are grouped once, then each column's values on their own: no row is
+    expanded once per counted column.
+    """
+    used = df.groupBy(*dict.fromkeys(columns.values())).agg(F.count(F.lit(1)).alias("__n"))
+    out = None
+    for name, c in columns.items():
+        counted = F.count(F.lit(1)) if nulls else F.count(c)
+        one = used.groupBy(c).agg(F.sum("__n").alias("__n")).agg(counted.alias(name))
+        out = one if out is None else out.crossJoin(F.broadcast(one))
+    return out
 
 
-def cardinality_profile(df: DataFrame, columns: dict[str, str], approx: bool = False) -> DataFrame:
+def cardinality_profile(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Row count and distinct counts; ``columns`` maps output name to column."""
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[distinct_with_null(c, approx).alias(name) for name, c in columns.items()],
-    )
+    return df.agg(F.count(F.lit(1)).alias("rows")).crossJoin(F.broadcast(distinct_counts(df, columns, nulls=True)))
 
 
 def range_profile(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -107,13 +111,19 @@ def cleaning_summary(before: DataFrame, predicate: Column, focus: Column) -> Dat
         "Sales": (F.sum(spend), F.sum(F.when(kept, spend))),
         "Focus_Spend": (F.sum(F.when(focus, spend)), F.sum(F.when(kept & focus, spend))),
     }
-    counts = before.agg(
-        F.count(F.lit(1)).alias("Rows_Before"),
-        F.count_if(kept).alias("Rows_After"),
-        F.count_distinct("CustomerID").alias("Customers_Before"),
-        F.count_distinct(F.when(kept, F.col("CustomerID"))).alias("Customers_After"),
+    # sums per customer first, so that the customers are counted without a distinct
+    each = before.groupBy("CustomerID").agg(
+        F.count(F.lit(1)).alias("__rows"), F.count_if(kept).alias("__kept"),
         *[c.alias(f"{k}_{side}") for k, both in sums.items() for c, side in zip(both, ("Before", "After"))],
     )
+    known = F.col("CustomerID").isNotNull()
+    counts = each.agg(
+        F.coalesce(F.sum("__rows"), F.lit(0)).alias("Rows_Before"),
+        F.coalesce(F.sum("__kept"), F.lit(0)).alias("Rows_After"),
+        F.count_if(known).alias("Customers_Before"),
+        F.count_if(known & (F.col("__kept") > 0)).alias("Customers_After"),
+        *[F.sum(f"{k}_{side}").alias(f"{k}_{side}") for k in sums for side in ("Before", "After")],
+    )
     return counts.select(
         "Rows_Before", "Rows_After", (F.col("Rows_Before") - F.col("Rows_After")).alias("Rows_Removed"),
         "Customers_Before", "Customers_After",
@@ -122,25 +132,25 @@ def cleaning_summary(before: DataFrame, predicate: Column, focus: Column) -> Dat
     )
 
 
-def transaction_summary(df: DataFrame, strategy: str = "auto") -> DataFrame:
-    return summarise(
+def transaction_summary(df: DataFrame) -> DataFrame:
+    totals = summarise(
         df,
         [
             F.count(F.lit(1)).alias("rows"),
-            F.count_distinct("CustomerID").alias("unique_customers"),
-            F.count_distinct("InvoiceNo").alias("unique_invoices"),
-            F.count_distinct("ProductID").alias("unique_products"),
-            F.count_distinct("ProductCategory").alias("unique_categories"),
             F.sum("TotalSpend").alias("total_sales"),
             mean_of(F.col("TotalSpend")).alias("average_line_spend"),
             F.max("Quantity").alias("max_quantity"),
             F.max("TotalSpend").alias("max_line_spend"),
         ],
         {"median_line_spend": "TotalSpend"},
-        strategy=strategy,
     )
+    unique = distinct_counts(df, {
+        "unique_customers": "CustomerID", "unique_invoices": "InvoiceNo", "unique_products": "ProductID",
+        "unique_categories": "ProductCategory"})
+    return totals.crossJoin(F.broadcast(unique))
 
 
+# The columns of a reported line, in order.
 LINE_COLUMNS = [
     "InvoiceNo", "InvoiceDate", "CustomerID", "ProductID", "ProductCategory", "UnitPrice", "Quantity", "TotalSpend",
 ]
@@ -153,10 +163,10 @@ def top_lines(df: DataFrame, n: int = 20, columns: Sequence[str] = tuple(LINE_CO
 
 
 def category_sales(df: DataFrame) -> DataFrame:
-    """Sales per category with rank. The rank runs over one row per category."""
+    """Sales per category with rank, by slices of the order whatever the number of categories."""
     sales = df.groupBy("ProductCategory").agg(F.sum("TotalSpend").alias("TotalSales"))
-    order = W.orderBy(F.desc("TotalSales"), "ProductCategory")
-    return sales.withColumn("CategoryRank", F.row_number().over(order))
+    ranked = running(sales.withColumn("__down", -F.col("TotalSales")), [], ["__down", "ProductCategory"], F.lit(1))
+    return ranked.withColumn("CategoryRank", F.col("cum").cast("int")).drop("__down", "cum", "n")
 
 
 def category_position(df: DataFrame, category: str) -> DataFrame:

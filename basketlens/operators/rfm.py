@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import currency_label, mean_of, percent_label, ratio
+from ..functions.scalars import currency_label, mean_of, percent_label, ratio, total_of
 from .features import group_shares
-from .rank import NTile, add_ntiles, summarise, use_small_path
+from .rank import NTile, add_ntiles, summarise
 
 BASE_COLUMNS = [
     "CustomerID", "Recency", "Frequency", "Monetary", "FocusSpend", "FocusBuyer", "FocusShare",
@@ -27,13 +27,13 @@ def rfm_base(customers: DataFrame) -> DataFrame:
     return customers.select(*BASE_COLUMNS)
 
 
-def rfm_distribution(base: DataFrame, strategy: str = "auto") -> DataFrame:
+def rfm_distribution(base: DataFrame) -> DataFrame:
     """Customer count and min / median / mean / max of the three measures."""
     measures = ["Recency", "Frequency", "Monetary"]
     plain = [F.count(F.lit(1)).alias("Customers")]
     for m in measures:
         plain += [F.min(m).alias(f"Min_{m}"), mean_of(F.col(m)).alias(f"Mean_{m}"), F.max(m).alias(f"Max_{m}")]
-    return summarise(base, plain, {f"Median_{m}": m for m in measures}, strategy=strategy)
+    return summarise(base, plain, {f"Median_{m}": m for m in measures})
 
 
 def segment_of(r: Column, f: Column, m: Column) -> Column:
@@ -61,17 +61,17 @@ def _with_totals(scored: DataFrame, method: str) -> DataFrame:
     })
 
 
-def score_independent(customers: DataFrame, strategy: str = "auto", buckets: int = 5) -> DataFrame:
+def score_independent(customers: DataFrame, buckets: int = 5, slices: int | None = None) -> DataFrame:
     """Each measure scored over the whole base; the most recent customers score highest."""
     specs = [
         NTile("R_score_ind", "Recency", descending=True, buckets=buckets),
         NTile("F_score_ind", "Frequency", buckets=buckets),
         NTile("M_score_ind", "Monetary", buckets=buckets),
     ]
-    return _with_totals(add_ntiles(customers, specs, "CustomerID", strategy), INDEPENDENT)
+    return _with_totals(add_ntiles(customers, specs, "CustomerID", slices), INDEPENDENT)
 
 
-def score_sequential(customers: DataFrame, strategy: str = "auto", buckets: int = 5) -> DataFrame:
+def score_sequential(customers: DataFrame, buckets: int = 5) -> DataFrame:
     """Recency over the base, frequency within recency, monetary within both."""
     recency = [] if "R_score_seq" in customers.columns else [
         NTile("R_score_seq", "Recency", descending=True, buckets=buckets)]
@@ -79,14 +79,13 @@ def score_sequential(customers: DataFrame, strategy: str = "auto", buckets: int
         NTile("F_score_seq", "Frequency", by=("R_score_seq",), buckets=buckets),
         NTile("M_score_seq", "Monetary", by=("R_score_seq", "F_score_seq"), buckets=buckets),
     ]
-    return _with_totals(add_ntiles(customers, specs, "CustomerID", strategy), SEQUENTIAL)
+    return _with_totals(add_ntiles(customers, specs, "CustomerID"), SEQUENTIAL)
 
 
-def score_both(customers: DataFrame, strategy: str = "auto") -> DataFrame:
+def score_both(customers: DataFrame) -> DataFrame:
     """Both scorings on one frame: no join of the customer table to itself, recency scored once."""
-    strategy = "local" if use_small_path(customers, strategy) else "distributed"
-    independent = score_independent(customers, strategy)
-    return score_sequential(independent.withColumn("R_score_seq", F.col("R_score_ind")), strategy)
+    independent = score_independent(customers)
+    return score_sequential(independent.withColumn("R_score_seq", F.col("R_score_ind")))
 
 
 def score_ranges(scored: DataFrame, method: str = INDEPENDENT) -> DataFrame:
@@ -116,7 +115,7 @@ def segment_counts(scored: DataFrame, method: str = INDEPENDENT) -> DataFrame:
     return scored.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key)
 
 
-def segment_summary(scored: DataFrame, method: str = INDEPENDENT, strategy: str = "auto") -> DataFrame:
+def segment_summary(scored: DataFrame, method: str = INDEPENDENT) -> DataFrame:
     """Twelve measures per segment, highest average value first."""
     key = f"RFM_segment_{method}"
     groups = summarise(
@@ -133,13 +132,10 @@ def segment_summary(scored: DataFrame, method: str = INDEPENDENT, strategy: str
         ],
         {"Median_Monetary": "Monetary", "Median_Age": "Age", "Median_Income": "Income"},
         by=[key],
-        strategy=strategy,
     )
-    total = scored.agg(F.count(F.lit(1)).alias("__all"))
     return (
-        groups.crossJoin(F.broadcast(total))
-        .select(
-            key, "Customers", ratio(F.col("Customers"), F.col("__all")).alias("Customer_Share"),
+        groups.select(
+            key, "Customers", ratio(F.col("Customers"), total_of("Customers")).alias("Customer_Share"),
             "Avg_Recency", "Avg_Frequency", "Avg_Monetary", "Median_Monetary", "Total_Monetary",
             "Focus_Buyers", "Focus_Buyer_Rate", "Avg_Focus_Spend", "Median_Age", "Median_Income",
         )
@@ -170,7 +166,7 @@ def crosstab(df: DataFrame, rows: str, columns: str, levels: list[str], row_leve
     if row_levels is None:
         return cells
     grid = df.sparkSession.createDataFrame([(v,) for v in row_levels], [rows])
-    return grid.join(F.broadcast(cells), rows, "left").fillna(0, [str(v) for v in levels])
+    return grid.join(cells, rows, "left").fillna(0, [str(v) for v in levels])
 
 
 def segment_crosstab(comparison: DataFrame, levels: list[str] | None = None) -> DataFrame:

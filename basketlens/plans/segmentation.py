@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 
 from ..functions import presets
 from ..operators import clustering, features, quality, regression, rfm
-from ..session import cut_lineage
+from ..session import written
 
 
 @dataclass(frozen=True)
@@ -52,19 +52,18 @@ def segment_customers(raw: DataFrame, settings: SegmentationSettings) -> Segment
     clean = quality.clean_transactions(raw)
     if settings.exclusion is not None:
         clean = quality.exclude_rows(clean, settings.exclusion)
-    lines = cut_lineage(clean)
-    customers = cut_lineage(features.customer_features(lines, settings.focus))
-    scored = cut_lineage(rfm.score_both(customers))
+    lines = written(clean)
+    customers = written(features.customer_features(lines, settings.focus))
+    scored = written(rfm.score_both(customers))
     comparison = rfm.compare_methods(scored)
     summaries = {m: rfm.segment_summary(scored, m) for m in (rfm.INDEPENDENT, rfm.SEQUENTIAL)}
 
     scaled = clustering.keep(clustering.standardise(
         clustering.cluster_matrix(features.log_features(scored), settings.variables)))
     model, _ = clustering.kmeans_best_of(scaled, settings.clusters, settings.starts, settings.seed)
-    with_kmeans = clustering.renumber_by_value(clustering.attach_clusters(scaled, model))
-    with_ward, _ = clustering.ward_clusters(with_kmeans, settings.clusters, settings.micro_clusters, settings.seed)
-    clustered = cut_lineage(with_ward.drop(clustering.FEATURES, clustering.SCALED))
-    scaled.unpersist()
+    with_kmeans = written(clustering.renumber_by_value(clustering.attach_clusters(scaled, model)))
+    with_ward, _ = clustering.ward_clusters(with_kmeans, settings.clusters, settings.micro_clusters)
+    clustered = written(with_ward.drop(clustering.FEATURES, clustering.SCALED))
     labels = clustering.label_clusters(clustered, labels=presets.cluster_labels(settings.focus_name))
     labelled = clustering.with_labels(clustered, labels)
 

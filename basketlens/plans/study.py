@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 
 from ..functions import presets
 from ..operators import conjoint
-from ..session import guard_against_skew
 from ..sources.writers import write_tables
 from .product_design import conjoint_tables
 from .segmentation import SegmentationSettings, segment_customers
@@ -21,7 +20,7 @@ REPORT_TABLES = (
     "lda_confusion_matrix", "lda_class_metrics", "prospect_cluster_summary", "prospect_priority_summary",
     "average_conjoint_partworths", "respondent_partworth_summary", "average_wtp", "respondent_wtp_summary",
     "partworth_report_table", "wtp_report_table", "conjoint_attribute_importance",
-    "conjoint_attribute_importance_report_table", "closest_competitor_gap_report_table",
+    "conjoint_attribute_importance_report_table",
 )
 
 
@@ -31,7 +30,6 @@ def run_study(
     description: str = "Description",
 ) -> dict[str, DataFrame]:
     """The thirty-three result tables by name."""
-    guard_against_skew(transactions.sparkSession)
     segmentation = segment_customers(transactions, settings)
     targeting = target_prospects(
         segmentation.clustered, prospects, segmentation.labels, seed=settings.seed,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import presets
 from ..operators import anova, discriminant
-from ..session import cut_lineage
+from ..session import written
 
 
 def target_prospects(
@@ -18,14 +18,14 @@ def target_prospects(
     """ANOVA of the clusters, a discriminant model with its test results, and scored prospects."""
     separation = anova.anova_oneway(clustered, "KMeans_Cluster", presets.ANOVA_VARIABLES)
     members = discriminant.lda_input(clustered, variables)
-    split = cut_lineage(discriminant.stratified_split(members, "KMeans_Cluster", "CustomerID", train_share, seed=seed))
+    split = written(discriminant.stratified_split(members, "KMeans_Cluster", "CustomerID", train_share, seed=seed))
     train, test = split.where("is_train"), split.where("not is_train")
     scaler = discriminant.fit_scaler(train, variables)
     fit = discriminant.lda_fit(scaler.apply(train), "KMeans_Cluster", variables)
-    predictions = cut_lineage(fit.predict(scaler.apply(test)).drop("is_train"))
+    predictions = written(fit.predict(scaler.apply(test)).drop("is_train"))
     cells = discriminant.confusion_matrix(predictions, fit.classes)
     scored = discriminant.score_prospects(prospects, fit, scaler, labels)
-    targeted = cut_lineage(discriminant.target_priority(scored, label_names))
+    targeted = written(discriminant.target_priority(scored, label_names))
     return {
         "anova_cluster_separation_results": separation,
         "anova_report_table": anova.anova_report(separation),

@@ -28,11 +28,3 @@ def all_sql() -> dict[str, str]:
     for module in (lines, customers, clusters, regression, discriminant, conjoint, positioning):
         merged.update(module.SQL)
     return merged
-
-
-def forget() -> None:
-    """Drop plans and fitted models kept from earlier calls, so the next call starts from the files."""
-    from . import base, conjoint, discriminant, positioning
-
-    for kept in (base.raw, base.lines_once, base._people, base._scored, conjoint.pooled, discriminant._fitted, positioning.fitted):
-        kept.cache_clear()

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features, quality, rfm
+from ..session import written
 from ..sources import views
 
 FOCUS_SQL = f"ProductCategory = '{views.FOCUS}'"
@@ -24,47 +22,22 @@ def exclusion() -> Column:
     return (F.col("ProductID") == 7) & (F.col("Quantity") >= 25)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Keep a frame that several steps read; lost partitions are recomputed from their source."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-# The plans below are built once per session and folder; persisting is asked for on every use.
-
-
-@lru_cache(maxsize=8)
 def raw(spark: SparkSession, sf: str) -> DataFrame:
     return views.raw_transactions(spark, sf)
 
 
-@lru_cache(maxsize=8)
-def lines_once(spark: SparkSession, sf: str) -> DataFrame:
-    """Cleaned lines for jobs that read them a single time."""
-    return quality.clean_transactions(raw(spark, sf))
-
-
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    return _kept(lines_once(spark, sf))
-
-
-@lru_cache(maxsize=8)
-def _people(spark: SparkSession, sf: str) -> DataFrame:
-    return features.customer_features(lines(spark, sf), focus())
+    """Cleaned lines."""
+    return quality.clean_transactions(raw(spark, sf))
 
 
 def people(spark: SparkSession, sf: str) -> DataFrame:
-    lines(spark, sf)
-    return _kept(_people(spark, sf))
-
-
-@lru_cache(maxsize=8)
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return rfm.score_both(people(spark, sf))
+    """Customers with their features, written once for the steps of one query."""
+    return written(features.customer_features(lines(spark, sf), focus()))
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    people(spark, sf)
-    return _kept(_scored(spark, sf))
+    return written(rfm.score_both(people(spark, sf)))
 
 
 CUSTOMERS_SQL = """

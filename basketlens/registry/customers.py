@@ -8,6 +8,7 @@ from ..operators import charts as V
 from ..operators import features as C
 from ..operators import outliers as U
 from ..operators import rfm as R
+from ..operators.rank import NTile, add_ntiles
 from . import base as B
 from .shape import Book
 
@@ -33,7 +34,7 @@ def percent_label_sql(column: str) -> str:
 
 add("customer_summary_min",
     "CustomerID:i; Recency:i; Frequency:i; Monetary:f; FocusSpend:f; FocusQuantity:i; FocusBuyer:i",
-    lambda s, d: C.customer_summary_min(B.lines_once(s, d), B.focus()), "SELECT * FROM people", B.PEOPLE)
+    lambda s, d: C.customer_summary_min(B.lines(s, d), B.focus()), "SELECT * FROM people", B.PEOPLE)
 add("customer_features", FEATURES, lambda s, d: C.customer_features(B.lines(s, d), B.focus()),
     "SELECT * FROM people", B.PEOPLE)
 add("customer_features_initial", FEATURES + "; LogMonetary:f",
@@ -48,13 +49,13 @@ _varying = ("CASE WHEN InvoiceNo % 5 = 0 THEN NULL ELSE Income + InvoiceNo % 3 E
 _first = "(first(struct_pack(i := Income, a := Age) ORDER BY InvoiceDate, InvoiceNo, ProductID, Quantity))"
 add("first_row_demographics", "CustomerID:i; Income:f; Age:i",
     lambda s, d: C.first_row_values(
-        B.lines_once(s, d).selectExpr("CustomerID", "InvoiceDate", "InvoiceNo", "ProductID", "Quantity", *_varying),
+        B.lines(s, d).selectExpr("CustomerID", "InvoiceDate", "InvoiceNo", "ProductID", "Quantity", *_varying),
         ["Income", "Age"]),
     f"SELECT CustomerID, {_first}.i AS Income, {_first}.a AS Age FROM varying GROUP BY CustomerID",
     B.LINES + f", varying AS (SELECT CustomerID, InvoiceDate, InvoiceNo, ProductID, Quantity, {', '.join(_varying)} FROM lines)")
 add("varying_demographics", "Variable:s; Customers:i",
     lambda s, d: C.varying_demographics(
-        B.lines_once(s, d).selectExpr("CustomerID", *_varying, "HouseholdSize"), ["Income", "Age", "HouseholdSize"]),
+        B.lines(s, d).selectExpr("CustomerID", *_varying, "HouseholdSize"), ["Income", "Age", "HouseholdSize"]),
     " UNION ALL ".join(
         f"""SELECT '{c}' AS Variable, count(*) FILTER (WHERE k > 1) AS Customers FROM
         (SELECT count(DISTINCT coalesce(CAST({c} AS VARCHAR), '?')) AS k FROM varying GROUP BY CustomerID)"""
@@ -105,7 +106,12 @@ add("rfm_independent", "CustomerID:i; " + _scores("ind"), lambda s, d: R.score_i
 add("rfm_sequential", "CustomerID:i; " + _scores("seq"), lambda s, d: R.score_sequential(B.people(s, d)),
     "SELECT * FROM scored", B.SCORED)
 add("rfm_scores_by_cut_points", "CustomerID:i; " + _scores("ind"),
-    lambda s, d: R.score_independent(B.people(s, d), strategy="distributed"), "SELECT * FROM scored", B.SCORED)
+    lambda s, d: R.score_independent(B.people(s, d), slices=7), "SELECT * FROM scored", B.SCORED)
+add("ntile_heavy_ties", "CustomerID:i; tile:i; inner_tile:i",
+    lambda s, d: add_ntiles(B.people(s, d).withColumn("few", F.col("CustomerID") % 3), [
+        NTile("tile", "few", buckets=7), NTile("inner_tile", "few", descending=True, by=("tile",), buckets=4)], "CustomerID", slices=6),
+    """SELECT CustomerID, tile, ntile(4) OVER (PARTITION BY tile ORDER BY CustomerID % 3 DESC, CustomerID) AS inner_tile
+    FROM (SELECT CustomerID, ntile(7) OVER (ORDER BY CustomerID % 3, CustomerID) AS tile FROM people)""", B.PEOPLE)
 for _m in ("ind", "seq"):
     _name = {"ind": "independent", "seq": "sequential"}[_m]
     _key = f"RFM_segment_{_m}"
@@ -170,7 +176,7 @@ add("rfm_profile_long", "RFM_segment_ind:s; Metric:s; Value:f",
 add("customer_data_rfm", FEATURES + "; " + _scores("ind") + "; " + _scores("seq"), lambda s, d: B.scored(s, d),
     "SELECT * FROM scored", B.SCORED)
 add("customer_data_rfm_joined", FEATURES + "; " + _scores("ind") + "; " + _scores("seq"),
-    lambda s, d: R.join_scores(B.people(s, d), R.score_independent(B.people(s, d)), R.score_sequential(B.people(s, d))),
+    lambda s, d: (lambda p: R.join_scores(p, R.score_independent(p), R.score_sequential(p)))(B.people(s, d)),
     "SELECT * FROM scored", B.SCORED)
 add("rfm_method_facts",
     "Method:s; Champions:i; Largest_Segment:s; Largest_Customers:i; Largest_Share:f; Same_Segment_Count:i; Same_Segment_Rate:f",
@@ -227,7 +233,7 @@ BARS = "Category:s; Value:f; Label:s; SortOrder:i"
 
 def _category_bars(s, d):
     from ..operators.quality import category_sales
-    return V.currency_bars(category_sales(B.lines_once(s, d)), "ProductCategory", "TotalSales")
+    return V.currency_bars(category_sales(B.lines(s, d)), "ProductCategory", "TotalSales")
 
 
 add("bars_category_sales", BARS, _category_bars,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from ..operators import charts as V
 from ..operators import clustering as K
 from ..operators import discriminant as D
 from ..sources import views
+from ..session import written
 from . import base as B
 from . import solve
 from .clusters import LABELS, tiered
@@ -28,36 +29,50 @@ DESIGN = {"Married": "Married", "HouseholdSize": "HouseholdSize", "Income": "Inc
 NUMERIC = ["Married", "HouseholdSize", "Income", "Age", "Education"]
 
 
-def labels(s: SparkSession, d: str) -> DataFrame:
-    return K.label_clusters(tiered(s, d))
+def members_of(t: DataFrame, names: DataFrame) -> DataFrame:
+    """Current customers with class and label."""
+    return D.lda_input(K.with_labels(t.where(F.col("CustomerID") % 5 != 0), names))
 
 
 def members(s: SparkSession, d: str) -> DataFrame:
-    """Current customers with class and label."""
-    known = tiered(s, d).where(F.col("CustomerID") % 5 != 0)
-    return D.lda_input(K.with_labels(known, labels(s, d)))
+    t = tiered(s, d)
+    return members_of(t, K.label_clusters(t))
 
 
-def split(s: SparkSession, d: str, strategy: str = "auto") -> DataFrame:
+def _split(known: DataFrame, slices: int | None = None) -> DataFrame:
     key = (F.col("CustomerID") * 2654435761) % 1000003
-    return D.stratified_split(members(s, d), "KMeans_Cluster", "CustomerID", P, key, strategy=strategy)
+    return D.stratified_split(known, "KMeans_Cluster", "CustomerID", P, key, slices=slices)
+
+
+def split(s: SparkSession, d: str, slices: int | None = None) -> DataFrame:
+    return _split(members(s, d), slices)
+
+
+class Fitted(NamedTuple):
+    split: DataFrame
+    labels: DataFrame
+    scaler: D.Scaler
+    fit: D.LdaFit
 
 
-@lru_cache(maxsize=8)
-def _fitted(s: SparkSession, d: str) -> tuple[D.Scaler, D.LdaFit]:
-    train = B._kept(split(s, d)).where("is_train")
+def fitted(s: SparkSession, d: str) -> Fitted:
+    """The split, the labels and the model of one query: each part is made once."""
+    t = tiered(s, d)
+    names = written(K.label_clusters(t))
+    parts = written(_split(members_of(t, names)))
+    train = parts.where("is_train")
     scaler = D.fit_scaler(train, X)
-    return scaler, D.lda_fit(scaler.apply(train), "KMeans_Cluster", X)
+    return Fitted(parts, names, scaler, D.lda_fit(scaler.apply(train), "KMeans_Cluster", X))
 
 
 def test_predictions(s: SparkSession, d: str) -> DataFrame:
-    scaler, fit = _fitted(s, d)
-    return fit.predict(scaler.apply(B._kept(split(s, d)).where("not is_train")))
+    f = fitted(s, d)
+    return f.fit.predict(f.scaler.apply(f.split.where("not is_train")))
 
 
 def targeted(s: SparkSession, d: str) -> DataFrame:
-    scaler, fit = _fitted(s, d)
-    return D.target_priority(D.score_prospects(views.prospects(s, d), fit, scaler, labels(s, d)))
+    f = fitted(s, d)
+    return D.target_priority(D.score_prospects(views.prospects(s, d), f.fit, f.scaler, f.labels))
 
 
 SPLIT = LABELS + f""",
@@ -113,24 +128,24 @@ add("prospect_input_check", "Prospects:i; Missing_Values:i",
     + " AS Missing_Values FROM people0 WHERE CustomerID % 5 = 0", B.RETAIL)
 add("stratified_split", "CustomerID:i; KMeans_Cluster:i; is_train:b", split, "SELECT * FROM split", SPLIT)
 add("stratified_split_by_cut_points", "CustomerID:i; KMeans_Cluster:i; is_train:b",
-    lambda s, d: split(s, d, "distributed"), "SELECT * FROM split", SPLIT)
+    lambda s, d: split(s, d, 7), "SELECT * FROM split", SPLIT)
 for _part, _test in (("train", "is_train"), ("test", "NOT is_train")):
     add(f"lda_class_shares_{_part}", "KMeans_Cluster:i; n:i; Share:f",
         lambda s, d, t=_test: D.class_shares(split(s, d).where(t)),
         f"""SELECT KMeans_Cluster, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM split WHERE {_test}) AS Share
         FROM split WHERE {_test} GROUP BY 1""", SPLIT)
 add("lda_scaled_train", "CustomerID:i; " + "; ".join(f"{x}:f" for x in NUMERIC),
-    lambda s, d: _fitted(s, d)[0].apply(split(s, d).where("is_train")),
+    lambda s, d: (lambda f: f.scaler.apply(f.split.where("is_train")))(fitted(s, d)),
     "SELECT CustomerID, " + ", ".join(
         f"({x} - (SELECT avg({x}) FROM split WHERE is_train)) / (SELECT stddev_samp({x}) FROM split WHERE is_train) AS {x}"
         for x in NUMERIC) + " FROM split WHERE is_train", SPLIT)
-add("lda_priors", "Cluster:s; n:i; Prior:f", lambda s, d: _fitted(s, d)[1].prior_table(s),
+add("lda_priors", "Cluster:s; n:i; Prior:f", lambda s, d: fitted(s, d).fit.prior_table(s),
     """SELECT KMeans_Cluster AS Cluster, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM split WHERE is_train) AS Prior
     FROM split WHERE is_train GROUP BY 1""", SPLIT)
 
 
 def _unscaled_fit(s: SparkSession, d: str) -> D.LdaFit:
-    return D.lda_fit(B._kept(split(s, d)).where("is_train"), "KMeans_Cluster", X)
+    return D.lda_fit(written(split(s, d)).where("is_train"), "KMeans_Cluster", X)
 
 
 add("lda_group_means", "Cluster:s; Variable:s; Mean:f", lambda s, d: _unscaled_fit(s, d).mean_table(s),
@@ -153,7 +168,7 @@ _variables = "(SELECT i, v AS Variable FROM (VALUES " + ", ".join(f"({i}, '{v}')
 add("lda_discriminants", "Variable:s; Discriminant:s; Coefficient:f",
     lambda s, d: _unscaled_fit(s, d).discriminant_table(s),
     f"SELECT Variable, concat('LD', pc) AS Discriminant, loading AS Coefficient FROM lds JOIN {_variables} USING (i)", DISCRIMINANTS)
-add("lda_proportion_of_trace", "Discriminant:s; Eigenvalue:f; Trace_Share:f", lambda s, d: _fitted(s, d)[1].trace_table(s),
+add("lda_proportion_of_trace", "Discriminant:s; Eigenvalue:f; Trace_Share:f", lambda s, d: fitted(s, d).fit.trace_table(s),
     """SELECT concat('LD', pc) AS Discriminant, e AS Eigenvalue, e / sum(e) OVER () AS Trace_Share FROM
     (SELECT pc, max(eigenvalue) AS e FROM lds GROUP BY 1)""", DISCRIMINANTS)
 add("lda_test_predictions", "CustomerID:i; KMeans_Cluster:i; Predicted_Cluster:i; " + PROBABILITIES, test_predictions,
@@ -200,17 +215,17 @@ def _summary_sql(keys: str) -> str:
 _measures = "Prospects:i; Prospect_Share:f; Avg_Max_Probability:f; Median_Income:f; Median_Age:f; Median_HouseholdSize:f"
 _by_cluster = _summary_sql("Predicted_Cluster, Predicted_Cluster_Label")
 add("prospect_cluster_summary", f"Predicted_Cluster:i; Predicted_Cluster_Label:s; {_measures}",
-    lambda s, d: D.prospect_cluster_summary(B._kept(targeted(s, d))), _by_cluster, TARGETED)
+    lambda s, d: D.prospect_cluster_summary(written(targeted(s, d))), _by_cluster, TARGETED)
 add("prospect_cluster_report",
     "Predicted cluster:i; Cluster label:s; Prospects:i; Share:s; Avg prediction probability:s; Median income (£000s):f; "
     "Median age:f; Median household size:f",
-    lambda s, d: D.prospect_report(D.prospect_cluster_summary(B._kept(targeted(s, d)))),
+    lambda s, d: D.prospect_report(D.prospect_cluster_summary(written(targeted(s, d)))),
     f"""SELECT Predicted_Cluster AS "Predicted cluster", Predicted_Cluster_Label AS "Cluster label", Prospects,
     {percent_label_sql('Prospect_Share')} AS Share, {percent_label_sql('Avg_Max_Probability')} AS "Avg prediction probability",
     Median_Income AS "Median income (£000s)", Median_Age AS "Median age", Median_HouseholdSize AS "Median household size"
     FROM ({_by_cluster})""", TARGETED)
 add("prospect_priority_summary", f"Target_Priority:s; {_measures}",
-    lambda s, d: D.priority_summary(B._kept(targeted(s, d))), _summary_sql("Target_Priority"), TARGETED)
+    lambda s, d: D.priority_summary(written(targeted(s, d))), _summary_sql("Target_Priority"), TARGETED)
 _top = ("CustomerID:i; Target_Priority:s; Predicted_Cluster:i; Predicted_Cluster_Label:s; Max_Cluster_Probability:f; Income:f; "
         "Age:i; HouseholdSize:i; Married:i; Work:s; Education:i")
 add("top_prospect_targets", _top, lambda s, d: D.top_targets(targeted(s, d)),
@@ -219,7 +234,7 @@ add("top_prospect_targets_head", _top, lambda s, d: D.top_targets(targeted(s, d)
     """SELECT * FROM targeted WHERE Target_Priority <> 'Lower priority'
     ORDER BY Target_Priority, Max_Cluster_Probability DESC, CustomerID LIMIT 30""", TARGETED)
 add("bars_prospect_priority", BARS,
-    lambda s, d: V.count_share_bars(D.priority_summary(B._kept(targeted(s, d))), "Target_Priority", "Prospects", "Prospect_Share"),
+    lambda s, d: V.count_share_bars(D.priority_summary(written(targeted(s, d))), "Target_Priority", "Prospects", "Prospect_Share"),
     _bars_sql(_summary_sql("Target_Priority"), "Target_Priority", "Prospects",
               f"concat(Prospects, ' (', {percent_label_sql('Prospect_Share')}, ')')"), TARGETED)
 

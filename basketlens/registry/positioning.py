@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from ..operators import clustering as K
 from ..operators import positioning as P
 from ..operators import quality as Q
 from ..sources import views
+from ..session import written
 from . import base as B
 from . import clusters as C
 from . import solve
@@ -25,10 +24,9 @@ RULES = [("brand#1", "Ones"), ("BRAND#2", "Twos")]
 
 
 def products(s: SparkSession, d: str) -> DataFrame:
-    return B._kept(views.products(s, d))
+    return written(views.products(s, d))
 
 
-@lru_cache(maxsize=8)
 def fitted(s: SparkSession, d: str) -> P.PcaFit:
     return P.pca_fit(products(s, d), X)
 
@@ -38,12 +36,18 @@ def loadings(s: SparkSession, d: str) -> DataFrame:
 
 
 def scores(s: SparkSession, d: str) -> DataFrame:
-    return P.product_scores(products(s, d), fitted(s, d))
+    kept = products(s, d)
+    return P.product_scores(kept, P.pca_fit(kept, X))
+
+
+def _projected(s: SparkSession, d: str) -> DataFrame:
+    kept = products(s, d)
+    return P.product_scores(proposed(kept), P.pca_fit(kept, X))
 
 
-def proposed(s: SparkSession, d: str) -> DataFrame:
+def proposed(kept: DataFrame) -> DataFrame:
     """A new product with the highest value of every attribute."""
-    return products(s, d).agg(F.lit("Proposed").alias("product_name"), *[F.max(v).alias(v) for v in X])
+    return kept.agg(F.lit("Proposed").alias("product_name"), *[F.max(v).alias(v) for v in X])
 
 
 PRODUCTS = """products AS (
@@ -73,6 +77,8 @@ PCS = "; ".join(f"PC{c + 1}:f" for c in range(N))
 
 add("product_missing_check", "Variable:s; Missing:i", lambda s, d: P.missing_by_variable(products(s, d), X),
     " UNION ALL ".join(f"SELECT '{v}' AS Variable, count(*) FILTER (WHERE {v} IS NULL) AS Missing FROM products" for v in X), PRODUCTS)
+add("duplicate_count_products", "n_duplicates:i", lambda s, d: Q.duplicate_count(products(s, d)),
+    "SELECT (SELECT count(*) FROM products) - (SELECT count(*) FROM (SELECT DISTINCT * FROM products)) AS n_duplicates", PRODUCTS)
 add("product_missing_profile", "Variable:s; Missing_Count:i", lambda s, d: Q.missing_profile(products(s, d)),
     " UNION ALL ".join(f"SELECT '{v}' AS Variable, count(*) FILTER (WHERE {v} IS NULL) AS Missing_Count FROM products"
                        for v in ["product_name", *X]), PRODUCTS)
@@ -104,7 +110,7 @@ add("product_brands_by_prefix", "product_name:s; Brand:s; PC1:f; PC2:f", lambda
 add("product_brands_by_rules", "product_name:s; Brand:s; PC1:f; PC2:f", lambda s, d: P.brand_by_rules(scores(s, d), RULES),
     """SELECT *, CASE WHEN product_name ILIKE '%brand#1%' THEN 'Ones' WHEN product_name ILIKE '%brand#2%' THEN 'Twos'
     ELSE 'Other' END AS Brand FROM scores""", SCORES)
-add("project_new_product", "product_name:s; " + PCS, lambda s, d: P.product_scores(proposed(s, d), fitted(s, d)),
+add("project_new_product", "product_name:s; " + PCS, _projected,
     "SELECT * FROM projected", FIT + ",\nnew AS (SELECT 'Proposed' AS product_name, "
     + ", ".join(f"max({v}) AS {v}" for v in X) + " FROM products),\nprojected AS ("
     + score_sql("new", "product_name", X, "products", "pcs", N) + ")")
@@ -126,12 +132,21 @@ def customer_scores(s: SparkSession, d: str) -> DataFrame:
     return P.cluster_scores(C.scaled(s, d).withColumn("KMeans_Cluster", F.lit(1)), "CustomerID")
 
 
-add("customer_pca_scores", "CustomerID:i; PC1:f; PC2:f", customer_scores, "SELECT * FROM scores",
+_customer_scores = (
     C.LOGS + ",\n" + solve.correlation_cte("cor", "logs", CLUSTER_VARIABLES) + ",\n"
     + solve.principal_components("pcs", "cor", 2) + ",\nscores AS ("
     + score_sql("logs", "CustomerID", CLUSTER_VARIABLES, "logs", "pcs", 2) + ")")
+add("customer_pca_scores", "CustomerID:i; PC1:f; PC2:f", customer_scores, "SELECT * FROM scores", _customer_scores)
+add("cluster_pca_scores", "CustomerID:i; PC1:f; PC2:f", lambda s, d: P.cluster_scores(C.clustered(s, d), "CustomerID"),
+    "SELECT * FROM scores", _customer_scores)
+add("ward_merge_check", "Merges:i; Height_SS:f4; Falls:i; First_Height:f4", C._ward_check,
+    f"""SELECT (SELECT count(*) - 1 FROM products) AS Merges, (SELECT (count(*) - 1) * {N} FROM products) AS Height_SS, 0 AS Falls,
+    (SELECT min(d) FROM (SELECT sqrt(sum((a.z - b.z) * (a.z - b.z))) AS d FROM z a JOIN z b ON a.i = b.i AND a.product_name < b.product_name
+    GROUP BY a.product_name, b.product_name)) AS First_Height""",
+    PRODUCTS + ",\nz AS (" + " UNION ALL ".join(f"""SELECT product_name, {i} AS i, ({v} - avg({v}) OVER ()) / stddev_samp({v}) OVER () AS z
+    FROM products""" for i, v in enumerate(X)) + ")")
 add("vector_pve", "PC:s; Eigenvalue:f; PVE:f",
-    lambda s, d: P.pca_fit(B._kept(views.vectors(s, d)), [f"v{i}" for i in range(64)], 4).pve(s),
+    lambda s, d: P.pca_fit(written(views.vectors(s, d)), [f"v{i}" for i in range(64)], 4).pve(s),
     "SELECT concat('PC', pc) AS PC, max(eigenvalue) AS Eigenvalue, max(eigenvalue) / 64 AS PVE FROM pcs GROUP BY 1",
     """long AS MATERIALIZED (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
 cor AS MATERIALIZED (SELECT a.i, b.i AS j, corr(a.x, b.x) AS v FROM long a JOIN long b USING (vec_id) GROUP BY 1, 2),
@@ -139,8 +154,8 @@ cor AS MATERIALIZED (SELECT a.i, b.i AS j, corr(a.x, b.x) AS v FROM long a JOIN
 
 
 def _vector_clusters(s: SparkSession, d: str) -> DataFrame:
-    x = K.keep(K.standardise(K.cluster_matrix(views.vectors(s, d), [f"v{i}" for i in range(64)])), "vec_id")
-    model, _ = K.kmeans_best_of(x, 10, 2)
+    x = K.keep(K.standardise(K.cluster_matrix(views.vectors(s, d), [f"v{i}" for i in range(64)])))
+    model, _ = K.kmeans_best_of(x, 10, 25)
     return K.attach_clusters(x, model).select("vec_id", "label", "KMeans_Cluster")
 
 

@@ -11,8 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import guard_against_skew
-
 
 def parse(columns: str) -> list[tuple[str, str, int]]:
     parsed = []
@@ -60,7 +58,7 @@ class Book:
             raise ValueError(f"duplicate query {name}")
 
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            result = job(guard_against_skew(spark), sf)
+            result = job(spark, sf)
             return shape_frame(result, columns) if columns else result
 
         self.queries[name] = run

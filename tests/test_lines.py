@@ -113,11 +113,10 @@ def test_outliers_and_sensitivity(lines, rows):
     assert versions["Without"]["Median_Focus_Spend_Buyers"] == pytest.approx(5.0)
 
 
-@pytest.mark.parametrize("strategy", ["local", "distributed"])
-def test_trim_and_cap(spark, strategy):
+def test_trim_and_cap(spark):
     df = spark.range(1, 101).select(F.col("id").cast("double").alias("x"))
-    assert outliers.trim_percentile(df, "x", 0.01, 0.99, strategy).count() == 98
-    assert outliers.cap_at_percentile(df, "x", 0.95, strategy).count() == 95
+    assert outliers.trim_percentile(df, "x", 0.01, 0.99).count() == 98
+    assert outliers.cap_at_percentile(df, "x", 0.95).count() == 95
 
 
 def test_histograms(spark, rows):

@@ -18,7 +18,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 def test_study_writes_every_table(spark, tmp_path):
     survey = conjoint.Survey(levels=views.RATING_LEVELS)
-    market = views.profiles(spark, FOLDER).withColumn("Description", F.col("Product"))
+    market = views.profiles(views.ratings(spark, FOLDER)).withColumn("Description", F.col("Product"))
     proposed = market.orderBy("Product").first()["Product"]
     raw = views.raw_transactions(spark, FOLDER).withColumn("Work", F.length("Work"))
     people = views.prospects(spark, FOLDER).withColumn("Work", F.length("Work"))
@@ -69,6 +69,6 @@ def test_product_reader_renames_misspelt_column(spark, tmp_path):
     assert "sustainability_claim" in readers.read_products(spark, str(path)).columns
 
 
-def test_cut_lineage_keeps_rows(spark):
-    df = session.cut_lineage(spark.range(10).where("id > 3"))
+def test_written_keeps_rows(spark):
+    df = session.written(spark.range(10).where("id > 3"))
     assert df.count() == 6
