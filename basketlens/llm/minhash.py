@@ -31,7 +31,7 @@ from basketlens.llm.words import ODD, lower_words, mixed, shingles
 ROWS, BANDS, WORDS = 5, 28, 5
 PERMUTATIONS = ROWS * BANDS // 2
 #: Rounds in which groups are compared with a centre; then groups of up to FEW members are completed by their own pairs.
-ROUNDS, FEW = 2, 16
+ROUNDS, FEW = 3, 16
 #: Bytes of text whose signatures are computed at once.
 CHUNK = 4_000_000
 _rng = np.random.Generator(np.random.PCG64(20240229))
