@@ -20,4 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_topk": topk.op10_topk,
 }
-SQL: dict[str, str] = {"op1_chat": chat.SQL, "op4_mixing": mixing.SQL, "op10_topk": topk.SQL}
+SQL: dict[str, str] = {
+    "op1_chat": chat.SQL, "op3_minhash": minhash.SQL, "op4_mixing": mixing.SQL, "op7_repeats": repeats.SQL,
+    "op8_neighbours": neighbours.SQL, "op10_topk": topk.SQL,
+}

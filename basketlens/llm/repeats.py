@@ -277,3 +277,22 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
     left = without_repeats(table(spark, folder, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+g AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM w JOIN f USING (s) WHERE doc_id > first),
+u AS (SELECT doc_id, i, sum(CASE WHEN step <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM u GROUP BY 1, 2),
+k AS (
+  SELECT doc_id, a, substr(h, 2 * p + 1, 2 * (a - p)) AS piece FROM (
+    SELECT doc_id, h, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p
+    FROM (SELECT doc_id, a, b FROM r UNION ALL SELECT doc_id, len(h) // 2, len(h) // 2 FROM d) JOIN d USING (doc_id))),
+t AS (SELECT doc_id, string_agg(piece, '' ORDER BY a) AS kept FROM k GROUP BY 1),
+m AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM r GROUP BY 1)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
