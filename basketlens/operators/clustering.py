@@ -339,6 +339,7 @@ def cluster_crosstab(df: DataFrame, k: int, rows: str = "KMeans_Cluster", column
 
 def cluster_profile(df: DataFrame, cluster: str = "KMeans_Cluster") -> DataFrame:
     """Twenty-one measures per cluster, highest average value first."""
+    # The measures of the profile and the columns behind them.
     means = {
         "Avg_Recency": "Recency", "Avg_Frequency": "Frequency", "Avg_Monetary": "Monetary",
         "Avg_Category_Diversity": "CategoryDiversity", "Avg_Product_Diversity": "ProductDiversity",

@@ -327,6 +327,7 @@ def priority_summary(targeted: DataFrame) -> DataFrame:
     return prospect_summary(targeted, ["Target_Priority"])
 
 
+# The reported columns of a target, in order.
 TARGET_COLUMNS = [
     "CustomerID", "Target_Priority", "Predicted_Cluster", "Predicted_Cluster_Label", "Max_Cluster_Probability",
     "Income", "Age", "HouseholdSize", "Married", "Work", "Education",

@@ -123,6 +123,7 @@ def cooks_distance(df: DataFrame, fit: OlsFit) -> DataFrame:
     })
 
 
+# The reported columns of the influence check, in order.
 INFLUENCE_COLUMNS = [
     "CustomerID", "Monetary", "Frequency", "Recency", "FocusSpend", "FocusQuantity", "FocusShare",
     "Cooks_Distance", "Influence_4_over_n", "Influence_gt_1",

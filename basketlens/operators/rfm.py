@@ -9,6 +9,7 @@ from ..functions.scalars import currency_label, mean_of, percent_label, ratio, t
 from .features import group_shares
 from .rank import NTile, add_ntiles, summarise
 
+# The columns of the scoring base, in order.
 BASE_COLUMNS = [
     "CustomerID", "Recency", "Frequency", "Monetary", "FocusSpend", "FocusBuyer", "FocusShare",
     "Income", "Age", "HouseholdSize", "Married", "Work", "Education",
@@ -38,6 +39,7 @@ def rfm_distribution(base: DataFrame) -> DataFrame:
 
 def segment_of(r: Column, f: Column, m: Column) -> Column:
     """First matching rule; specific behaviour before total score."""
+    # The thresholds, names and order of the segments.
     total = r + f + m
     return (
         F.when((r >= 4) & (f >= 4) & (m >= 4), "Champions")
