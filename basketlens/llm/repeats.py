@@ -1,14 +1,14 @@
 """Suffix-array dedup: bytes of a text that lie in a stretch of `LENGTH` bytes which an earlier document holds too are removed.
 
 Sorting every suffix of the corpus would shuffle many times its size, so suffixes are sorted only where a repeat can be. Of the
-16-byte strings in a window of LENGTH bytes the one with the smallest hash (the leftmost of equal ones) is the window's anchor;
+24-byte strings in a window of LENGTH bytes the one with the smallest hash (the leftmost of equal ones) is the window's anchor;
 equal windows have equal anchors, and neighbouring windows mostly share theirs. Then
 
 1. anchors that two documents hold are found from their hashes alone, a row for each anchor and group of documents;
 2. each run of windows with such an anchor becomes a context: the run's bytes. Contexts that are equal as a whole are settled by
    the smallest doc_id that has them;
 3. different contexts with one anchor are cut into suffixes, which are put in order by deep-shallow sorting: multikey quicksort
-   over words of eight bytes to a depth of 24, then, for what still ties, blind tries. Suffixes that agree in LENGTH bytes are
+   over words of eight bytes to a depth of 40, then, for what still ties, blind tries. Suffixes that agree in LENGTH bytes are
    neighbours, and all but those of the smallest doc_id are covered. Anchors with very many contexts (the edges of a passage
    that a third of all documents quote) are cut into windows that are settled one by one, spread over all tasks;
 4. each document drops the union of its covered windows.
@@ -30,22 +30,29 @@ from pyspark.sql.window import Window
 from basketlens.llm.common import table, tell_workers, written
 from basketlens.llm.words import mixed
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
+HALF = (LENGTH - GRAM) // 2
 #: Bytes of text in a group of documents, contexts of one anchor that are sorted together at most, contexts sorted at once.
 GROUP, MANY, SORTED = 2 << 20, 256, 40_000
-SHALLOW = 3  # words of eight bytes
+SHALLOW = 5  # words of eight bytes
 _rng = np.random.Generator(np.random.PCG64(7))
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C15
 
 
 def gram_hashes(text: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from every position, by doubling."""
+    """Hash of the GRAM bytes from every position: of 1, 2, 4, ... bytes by doubling, the rest from an overlap-free pair."""
     h, power, n = BYTE[text], BASE, 1
-    while n < GRAM:
+    whole, length = None, 0
+    while True:
+        if GRAM & n:  # the GRAM bytes are this stretch and those of the lower bits of GRAM before it
+            size = len(text) - length - n + 1
+            whole = h if whole is None else whole[:size] * np.uint64(power) + h[length : length + size]
+            length += n
+        if 2 * n > GRAM:
+            return mixed(whole)
         h = h[:-n] * np.uint64(power) + h[n:]
         power, n = power * power % (1 << 64), 2 * n
-    return mixed(h)
 
 
 def window_anchors(h: np.ndarray) -> np.ndarray:
@@ -115,12 +122,19 @@ def deep_shallow(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         new[two[differ.any(1)] + 1] = True
         swap = two[a[line, first] > b[line, first]]
         order[swap], order[swap + 1] = order[swap + 1].copy(), order[swap].copy()
-    for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+    more = np.flatnonzero(np.repeat(sizes > 2, sizes))  # places in groups of three and more
+    if len(more):
+        rest = words[order[more], SHALLOW:]
+        differ = np.append((rest[1:] != rest[:-1]).any(1), False)
+        heads = np.flatnonzero(new[more])
+        differ[np.append(heads[1:] - 1, len(more) - 1)] = False
+        mixed_up = np.logical_or.reduceat(differ, heads)  # else all strings of the group are equal
+    else:
+        heads = mixed_up = np.empty(0, bool)
+    big = sizes[sizes > 2]
+    for head, start, size in zip(heads[mixed_up].tolist(), starts[sizes > 2][mixed_up].tolist(), big[mixed_up].tolist()):
         rows = order[start : start + size]
-        rest = words[rows, SHALLOW:]
-        if (rest == rest[0]).all():
-            continue
-        groups = blind_trie([r.tobytes() for r in rest.astype(">u8")])
+        groups = blind_trie([r.tobytes() for r in rest[head : head + size].astype(">u8")])
         order[start : start + size] = rows[np.concatenate([np.array(g) for g in groups])]
         new[start + np.cumsum([len(g) for g in groups[:-1]])] = True
     return order, new
@@ -128,6 +142,8 @@ def deep_shallow(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def covered(contexts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, from, to): the stretches of each context that lie in a window which a context of a smaller doc holds."""
+    if not len(contexts):
+        return (np.empty(0, np.int64),) * 3
     sizes = np.array([len(c) for c in contexts])
     joined = np.frombuffer(b"".join(contexts) + bytes(8), np.uint8)
     count = sizes - LENGTH + 1
@@ -191,16 +207,37 @@ def _contexts_of_group(texts: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame
         place = window_anchors(h)
         heads = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         tails = np.append(heads[1:], len(place)) + LENGTH - 1
+        leads = place[heads] - heads
         own = h[place[heads]]
         use = wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
-        for anchor, a, b in zip(own[use].view(np.int64).tolist(), heads[use].tolist(), tails[use].tolist()):
+        for anchor, a, b, lead in zip(own[use].view(np.int64).tolist(), heads[use].tolist(), tails[use].tolist(), leads[use].tolist()):
             context = text[a:b]
             settled = first.setdefault(context, doc) < doc
-            out.append((g, doc, t, a, b, anchor, None if settled else context))
-    return pd.DataFrame(out, columns=["g", "doc_id", "t", "a", "b", "anchor", "context"])
+            out.append((g, doc, t, a, b, anchor, lead, None if settled else context))
+    return pd.DataFrame(out, columns=["g", "doc_id", "t", "a", "b", "anchor", "lead", "context"])
+
+
+def _beside(rows: pd.DataFrame) -> np.ndarray:
+    """Which contexts may share a window with another one of their anchor: a window reaches HALF bytes or more beyond the
+    anchor on one side, so two that share it agree there."""
+    n = len(rows)
+    lead, sizes = rows["lead"].to_numpy(np.int64), rows["context"].map(len).to_numpy(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    joined = np.frombuffer(b"".join(rows["context"].tolist()) + bytes(8), np.uint8)
+    eight = np.lib.stride_tricks.sliding_window_view(joined, 8)
+    anchor, out = rows["anchor"].to_numpy(np.int64).view(np.uint64), np.zeros(n, bool)
+    for side, first in ((lead >= HALF, starts + lead - HALF), (sizes - lead - GRAM >= HALF, starts + lead + GRAM)):
+        at = np.flatnonzero(side)
+        key = anchor[at]
+        for k in sorted({*range(0, HALF - 7, 8), HALF - 8}):
+            key = mixed(key * np.uint64(BASE) + np.ascontiguousarray(eight[first[at] + k]).view(np.uint64)[:, 0])
+        _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
+        out[at[counts[inverse] > 1]] = True
+    return out
 
 
 def _sorted_contexts(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows[_beside(rows)]
     of, low, high = covered(rows["context"].tolist(), rows["doc_id"].to_numpy(np.int64))
     rows = rows.iloc[of]
     return pd.DataFrame({"g": rows["g"], "doc_id": rows["doc_id"], "t": rows["t"], "a": rows["a"] + low, "b": rows["a"] + high})
@@ -248,7 +285,7 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_anchor = Window.partitionBy("anchor")
     shared = written(anchors.withColumn("n", F.count("*").over(by_anchor)).withColumn("m", F.max("many").over(by_anchor)).where("n > 1 or m").select("g", "anchor"))
     asked = copies.unionByName(shared.select("g", F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("t"), F.col("anchor").alias("a"), F.lit(-2).cast("long").alias("b")))
-    found = written(grouped(asked, _contexts_of_group, NOTE + ", anchor long, context binary"))
+    found = written(grouped(asked, _contexts_of_group, NOTE + ", anchor long, lead long, context binary"))
     local = found.where("context is null").select("g", "doc_id", "t", "a", "b")
     equal = found.where("context is not null").withColumn("least", F.min("doc_id").over(Window.partitionBy("context")))
     equal = written(equal)
@@ -258,7 +295,7 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = written(rest.join(sizes.where("n > 1"), "anchor"))
     few = rest.where(F.col("n") <= MANY)
     buckets = max(1, few.count() // SORTED + 1)
-    in_order = few.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).select("bucket", "g", "doc_id", "t", "a", "context").groupBy("bucket").applyInPandas(_sorted_contexts, NOTE)
+    in_order = few.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).select("bucket", "g", "doc_id", "t", "a", "anchor", "lead", "context").groupBy("bucket").applyInPandas(_sorted_contexts, NOTE)
     windows = rest.where(F.col("n") > MANY).select("g", "doc_id", "t", "a", "context", F.explode(F.sequence(F.lit(0), F.octet_length("context") - LENGTH)).alias("i"))
     windows = windows.select("g", "doc_id", "t", (F.col("a") + F.col("i")).alias("a"), F.col("context").substr(F.col("i") + 1, F.lit(LENGTH)).alias("w"))
     least = windows.groupBy("w").agg(F.min("doc_id").alias("least"))
