@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from basketlens.session import shared_folder, written
+
 #: Words of a text: maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,31 +17,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or where it is unset (tests) a scratch folder that becomes it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="basketlens-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read from there: its lineage is cut and lost executors repeat nothing before it. The
-    shuffle files of the job go when it ends, since the table takes their place."""
-    spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(clean, "false")
-    spark.conf.set(clean, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(clean, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """df with its rows numbered from 0 in the given order. Rows are range-partitioned and sorted once and written; only one row
     count per partition is summed in one place."""
@@ -63,34 +38,29 @@ def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(id, component) for every id in an edge; the component is the smallest id that its links reach. Rounds of large-star and
-    small-star hooking, each written to the shared folder, until no edge changes; never a neighbourhood in one row."""
-    e = (
-        edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
-        .where("u <> v")
-        .distinct()
+    small-star hooking, each written to the shared folder, until all edges are stars; never a neighbourhood in one row."""
+    e = written(
+        edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct()
     )
-    e, seen = written(e), None
-    while True:
+    while not _are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(lows, "u")
-            .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-            .select("x.u", "x.v")
-            .where("u <> v")
-            .distinct()
-        )
-        e = written(small)
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen:
-            break
-        seen = tuple(mark)
+        hooked = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(lows, "u").select(F.explode(hooked).alias("x")).select("x.u", "x.v")
+        e = written(small.where("u <> v").distinct())
     stars = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def _are_stars(e: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u: then every v is the smallest id of its component."""
+    several = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    inner = e.join(e.select(F.col("v").alias("u")), "u", "left_semi").select("u")
+    return several.unionByName(inner).isEmpty()
+
+
 def tell_workers(spark: SparkSession) -> None:
     """Lets Python workers that share the driver's disk import this package; on a cluster it is shipped with --py-files."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
