@@ -98,7 +98,7 @@ def _round(graph: DataFrame, known: DataFrame) -> DataFrame:
     lists = lists.withColumn("any", F.max("new").over(Window.partitionBy("v"))).where("any").drop("any")
     full = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("kth"))
     limit = full.select(F.col("u").alias("x"), F.when(F.col("n") >= K, F.col("kth")).otherwise(-2.0).alias("kth"))
-    vectors = known.select(F.col("id").alias("x"), F.col("v").alias("vector")).join(limit, "x", "left").withColumn("kth", F.coalesce("kth", F.lit(-2.0)))
+    vectors = known.select(F.col("id").alias("x"), F.col("v").alias("vector"), F.size("v").alias("d")).join(limit, "x", "left").withColumn("kth", F.coalesce("kth", F.lit(-2.0)))
     buckets = F.lit(max(1, graph.count() // 20_000))
     gathered = lists.join(vectors, "x").withColumn("bucket", F.pmod(F.xxhash64("v"), buckets))
 
@@ -119,7 +119,7 @@ def _round(graph: DataFrame, known: DataFrame) -> DataFrame:
         out = pd.DataFrame({"u": np.concatenate(us), "w": np.concatenate(ws), "sim": np.concatenate(sims)})
         return out.drop_duplicates(["u", "w"])
 
-    return gathered.groupBy("bucket").applyInPandas(meet, "u long, w long, sim double")
+    return gathered.groupBy("d", "bucket").applyInPandas(meet, "u long, w long, sim double")
 
 
 def graph_of(known: DataFrame, total: int, attempt: int, start: DataFrame | None = None) -> DataFrame:
