@@ -24,7 +24,7 @@ from basketlens.llm.common import in_chunks, table, tell_workers
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters scanned at once, characters of a scan's block, and slices whose ids a worker keeps.
-CHUNK, BLOCK, CACHE = 2_000_000, 256, 400_000
+CHUNK, BLOCK, CACHE = 1_000_000, 256, 150_000
 
 # Symbols that the scanner reads. A space or other white space is `last` if something that is not white space follows it; an
 # apostrophe is `one` or `two` if that many letters of a contraction follow it. Symbols of a text's first character come after.
@@ -222,9 +222,9 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
-            ids = list(c.encode(batch["text"].tolist()))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "offsets": [c.offsets(x) for x in ids]})
+        for docs, texts in _pieces(batches):
+            ids = list(c.encode(texts))
+            yield pd.DataFrame({"doc_id": docs, "ids": ids, "offsets": [c.offsets(x) for x in ids]})
 
     return _texts(docs).mapInPandas(run, "doc_id long, ids array<int>, offsets array<long>")
 
@@ -236,10 +236,9 @@ def checked(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
-            texts = batch["text"].tolist()
+        for docs, texts in _pieces(batches):
             ids = list(c.encode(texts))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": list(map(len, ids)), "ids": ids, "exact": [c.decode(x) == t.encode() for x, t in zip(ids, texts)]})
+            yield pd.DataFrame({"doc_id": docs, "n_tokens": list(map(len, ids)), "ids": ids, "exact": [c.decode(x) == t.encode() for x, t in zip(ids, texts)]})
 
     return _texts(docs).mapInPandas(run, "doc_id long, n_tokens long, ids array<int>, exact boolean")
 
@@ -264,18 +263,27 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
+        for docs, texts in _pieces(batches):
             rows = []
-            for ids in c.encode(batch["text"].tolist()):
+            for ids in c.encode(texts):
                 listed = ",".join(map(str, ids)).encode()
                 rows.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].array)
+            out.insert(0, "doc_id", docs.array)
             yield out
 
     return _texts(docs).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def _pieces(batches):
+    """(ids, texts) of about CHUNK characters at a time, so that a batch's results are never held at once."""
+    for batch in batches:
+        at = 0
+        for part in in_chunks(batch["text"].tolist(), len, CHUNK):
+            yield batch["doc_id"].iloc[at : at + len(part)].reset_index(drop=True), part
+            at += len(part)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 

@@ -7,8 +7,8 @@ few coordinates have a weight and the model is a short list that is sent with th
 sample of labelled rows, chosen by a hash of doc_id (`sample`); every document is scored on its whole text.
 
 A null or empty text has no features and gets the bias. Labels without doc_id or value are ignored, of several labels of a
-document the largest holds. With no labels to learn from, every score is that of the bias, 0 by default: 0.5, and such
-documents are not predicted as toxic. Extra columns and repeated rows change nothing.
+document the largest holds. Without examples of both labels nothing can be learned: every score is that of the bias UNKNOWN,
+under 0.5, so that no document is rejected. Extra columns and repeated rows change nothing.
 """
 
 from collections.abc import Iterator
@@ -24,15 +24,17 @@ from basketlens.llm.words import mixed
 
 BITS = 22
 #: At most so many labelled documents are learned from, in so many passes; coordinates in fewer documents than RARE are left out.
-SAMPLE, EPOCHS, RARE = 12_000, 4, 3
+SAMPLE, EPOCHS, RARE = 6_000, 4, 3
 #: FTRL-proximal: rate, its smoothing, L1 and L2; and how often an example of label 1 counts.
 ALPHA, BETA, L1, L2, POSITIVE = 0.3, 1.0, 6.0, 0.1, 3.0
 BEGINNINGS = (3, 4, 5, 6, 7)
+#: The bias at most: a text without any weighted feature is never taken for toxic.
+UNKNOWN = -1.0
 #: A-Z to a-z, other ASCII but a-z and 0-9 to a space.
 CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 SHIFT, ODD = np.uint64(64 - BITS), np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hashes a worker keeps from text to text.
-CACHE = 200_000
+CACHE = 80_000
 
 
 class Model(NamedTuple):
@@ -82,6 +84,8 @@ def features(text: bytes) -> np.ndarray:
 
 def fit(examples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rare: int = RARE) -> Model:
     """Passes over (label, distinct coordinates, counts), example by example; place 0 of the state is the bias."""
+    if len({y for y, _, _ in examples}) < 2:
+        return Model(UNKNOWN, np.empty(0, np.uint32), np.empty(0))
     common = np.zeros(1 << BITS, np.int32)
     for _, found, _ in examples:
         common[found] += 1
@@ -102,7 +106,8 @@ def fit(examples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS
             n[i] = ni + g * g
     w = _weights(z, np.sqrt(n))
     used = np.flatnonzero(w[1:])
-    return Model(float(-z[0] / ((BETA + np.sqrt(n[0])) / ALPHA)), used.astype(np.uint32), w[1:][used])
+    bias = float(-z[0] / ((BETA + np.sqrt(n[0])) / ALPHA))
+    return Model(min(bias, UNKNOWN), used.astype(np.uint32), w[1:][used])
 
 
 def _weights(z: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -139,7 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     examples = rows.mapInPandas(extract, "id long, h long, y int, found binary")
     fitted = examples.groupBy().applyInPandas(train, "bias double, i binary, w binary").first()
     if fitted is None:
-        return Model(0.0, np.empty(0, np.uint32), np.empty(0))
+        return Model(UNKNOWN, np.empty(0, np.uint32), np.empty(0))
     return Model(fitted["bias"], np.frombuffer(fitted["i"], np.uint32), np.frombuffer(fitted["w"]))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes a worker keeps.
-CACHE = 500_000
+CACHE = 150_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
