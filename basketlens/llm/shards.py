@@ -1,15 +1,20 @@
 """Token-id output in training order: fixed-stride binary shards filled by a keyed permutation of all sequences.
 
-Sequences are numbered densely in the order of (doc_id, part, payload). A Feistel network over the smallest even number of bits
-that holds their count permutes the numbers under a key; numbers that leave the range are sent through again until they are
-back in it (cycle-walking), so every sequence gets a slot of 0 .. count - 1 and the order is the same in every rerun. Slots are
-range-partitioned into shards of `slots` rows of equal length, so that the bytes of a slot are at slot % slots * stride and a
-reader goes on anywhere by seeking. A shard is written under another name and then renamed: a task that is run again after the
-loss of an executor writes the same bytes, and a half-written shard is never seen.
-
-A text's ids, then the id that ends a document, are cut into parts of `length` ids; the last part is filled up with that id. A
-null or empty text is one part that holds only the end. A null doc_id is numbered first. Rows that repeat get a slot each. An
-empty table writes no shard.
+Sequences are numbered densely. A Feistel network over the smallest even number of bits that holds their count permutes the
+numbers under a key; numbers that leave the range are sent through again until they are back in it (cycle-walking), so every
+sequence gets a slot of 0 .. count - 1 and the order is the same in every rerun. Slots are range-partitioned into shards of
+`slots` rows of equal length, so that the bytes of a slot are at slot % slots * stride and a reader goes on anywhere by seeking.
+A shard is written under another name and then renamed: a task that is run again after the loss of an executor writes the same
+bytes, and a half-written shard is never seen.
+
+A text's ids, then the id that ends a document, are cut into parts of `length` ids; the last part is filled up with that id.
+Two kinds of ids are offered. Byte ids (`byte_slots`, one byte each, for documents read from files) are a text's UTF-8 bytes;
+255, which UTF-8 never uses, ends a document. They are numbered in the order of the files and their rows, from one count per
+file split, so that the parts themselves are shuffled once, to their slots. BPE ids (`sequences`, two bytes each, for any
+documents) go to `slotted`, which numbers them in the order of (doc_id, part, payload).
+
+A null or empty text is one part that holds only the end. A null doc_id is kept (first in order for `slotted`). Rows that repeat
+get a slot each. An empty table writes no shard. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from basketlens.llm import bpe
 from basketlens.llm.common import numbered, shared_folder, table, tell_workers, written
 
-LENGTH, SLOTS, END, KEY = 512, 4096, 50256, 20240229
+LENGTH, SLOTS, KEY = 512, 4096, 20240229
+END, BYTE_END = 50256, 255
 ROUNDS = 6
 
 
@@ -38,8 +44,18 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder if re.match(r"\w+:", folder) else f"file://{folder}")
 
 
+def packed(part: bytes) -> bytes:
+    """A part as it is shuffled. Parts of many documents meet in a shuffle block, so each is deflated on its own."""
+    deflate = zlib.compressobj(1, zlib.DEFLATED, -15)
+    return deflate.compress(part) + deflate.flush()
+
+
+def unpacked(payload: bytes) -> bytes:
+    return zlib.decompress(payload, -15)
+
+
 def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, part, n_tokens, payload): parts of `length` little-endian 16-bit ids; n_tokens counts them without the filling."""
+    """(doc_id, part, n_tokens, payload): parts of `length` little-endian 16-bit ids, packed; n_tokens counts them without the filling."""
     tell_workers(docs.sparkSession)
     path = vocabulary or bpe.default_vocabulary()
 
@@ -52,7 +68,7 @@ def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = No
                 n = len(ids)
                 padded = np.full(-(-n // length) * length, END, "<u2")
                 padded[:n] = ids
-                rows += [(doc, i, min(length, n - i * length), padded[i * length : (i + 1) * length].tobytes()) for i in range(len(padded) // length)]
+                rows += [(doc, i, min(length, n - i * length), packed(padded[i * length : (i + 1) * length].tobytes())) for i in range(len(padded) // length)]
             yield pd.DataFrame(rows, columns=["doc_id", "part", "n_tokens", "payload"]).astype({"doc_id": "Int64"})
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -78,9 +94,41 @@ def permuted(x: np.ndarray, count: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def byte_slots(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> tuple[DataFrame, int]:
+    """((doc_id, part, n_tokens, slot, payload) of all parts of documents read from files, payload packed; number of parts)."""
+    tell_workers(docs.sparkSession)
+    place = ["file_path", "file_block_start", "file_block_length"]
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = docs.select("doc_id", text.alias("text"), *[F.col(f"_metadata.{c}").alias(c) for c in place])
+    parts = F.ceil((F.octet_length("text") + 1) / length)
+    splits = rows.groupBy(*place).agg(F.sum(parts).alias("n")).orderBy(*place).collect()  # a row for each split of the files
+    before, count = {}, 0
+    for r in splits:
+        before[tuple(r[c] for c in place)] = count
+        count += r["n"]
+
+    def run(batches):
+        at = {}
+        for batch in batches:
+            rows, slots = [], []
+            for doc, text, *split in zip(batch["doc_id"], batch["text"], *(batch[c] for c in place)):
+                n = len(text) + 1
+                padded = text + bytes([BYTE_END]) * (-(-n // length) * length - len(text))
+                first = at.setdefault(tuple(split), before[tuple(split)])
+                k = len(padded) // length
+                at[tuple(split)] = first + k
+                slots.append(np.arange(first, first + k))
+                rows += [(doc, i, min(length, n - i * length), packed(padded[i * length : (i + 1) * length])) for i in range(k)]
+            out = pd.DataFrame(rows, columns=["doc_id", "part", "n_tokens", "payload"]).astype({"doc_id": "Int64"})
+            out.insert(3, "slot", permuted(np.concatenate(slots), count, key) if slots else [])
+            yield out
+
+    return rows.mapInPandas(run, "doc_id long, part long, n_tokens long, slot long, payload binary"), count
+
+
 def slotted(rows: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
     """(rows with their slot, number of rows)."""
-    placed = numbered(rows, "index", F.col("doc_id").asc_nulls_first(), F.col("part"), F.col("payload"))
+    placed = numbered(written(rows), "index", F.col("doc_id").asc_nulls_first(), F.col("part"), F.col("payload"))
     count = placed.agg(F.max("index")).first()[0]
     count = 0 if count is None else count + 1
 
@@ -92,10 +140,11 @@ def slotted(rows: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
 
 
 def write_shards(rows: DataFrame, folder: str, count: int, slots: int = SLOTS) -> DataFrame:
-    """Writes the shards of rows (slot, payload, ...) and returns where each row is: shard, at (its first byte), n_bytes and a
+    """Writes the shards of rows (slot, packed payload, ...) and returns where each row is: shard, at (its first byte), n_bytes and a
     checksum in place of payload."""
     shards = max(1, -(-count // slots))
-    placed = rows.withColumn("shard", F.floor(F.col("slot") / slots)).repartitionByRange(shards, "shard").sortWithinPartitions("slot")
+    shard = F.floor(F.col("slot") / slots)  # a range of slots; all of its rows go to one task, in order
+    placed = rows.repartition(shards, shard).sortWithinPartitions("slot").withColumn("shard", shard)
     keep = [f for f in rows.schema.fields if f.name != "payload"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep) + ", shard long, at long, n_bytes long, crc long"
 
@@ -110,17 +159,19 @@ def write_shards(rows: DataFrame, folder: str, count: int, slots: int = SLOTS) -
 
         task = TaskContext.get().taskAttemptId()
         for batch in batches:
-            at = []
-            for number, payload in zip(batch["shard"].tolist(), batch["payload"].tolist()):
+            at, sizes, sums = [], [], []
+            for number, payload in zip(batch["shard"].tolist(), map(unpacked, batch["payload"].tolist())):
                 if number != shard:
                     finish()
                     shard, name, offset = number, posixpath.join(base, f"shard-{number:08d}.bin"), 0
                     stream = store.open_output_stream(f"{name}.part-{task}")
                 stream.write(payload)
                 at.append(offset)
+                sizes.append(len(payload))
+                sums.append(zlib.crc32(payload))
                 offset += len(payload)
             out = batch.drop(columns=["payload"])
-            out["at"], out["n_bytes"], out["crc"] = at, [len(p) for p in batch["payload"]], [zlib.crc32(p) for p in batch["payload"]]
+            out["at"], out["n_bytes"], out["crc"] = at, sizes, sums
             yield out
         finish()
 
@@ -128,25 +179,29 @@ def write_shards(rows: DataFrame, folder: str, count: int, slots: int = SLOTS) -
     return placed.mapInPandas(run, schema)
 
 
-def read_slots(folder: str, first: int, n: int, slots: int = SLOTS, length: int = LENGTH) -> np.ndarray:
-    """n sequences from slot `first` on, in training order, by one seek a shard."""
+def read_slots(folder: str, first: int, n: int, slots: int = SLOTS, length: int = LENGTH, kind: str = "<u1") -> np.ndarray:
+    """n sequences from slot `first` on, in training order, by one seek a shard; kind is <u1 for byte ids, <u2 for BPE ids."""
     store, base = _store(folder)
-    stride, out = 2 * length, []
+    stride, out = np.dtype(kind).itemsize * length, []
     while n > 0:
-        with store.open_input_file(posixpath.join(base, f"shard-{first // slots:08d}.bin")) as f:
+        name = posixpath.join(base, f"shard-{first // slots:08d}.bin")
+        if store.get_file_info(name).type.name == "NotFound":
+            break
+        with store.open_input_file(name) as f:
             f.seek(first % slots * stride)
             got = f.read(min(n, slots - first % slots) * stride)
         if not got:
             break
-        out.append(np.frombuffer(got, "<u2").reshape(-1, length))
+        out.append(np.frombuffer(got, kind).reshape(-1, length))
         first, n = first + len(out[-1]), n - len(out[-1])
-    return np.concatenate(out) if out else np.empty((0, length), np.uint16)
+    return np.concatenate(out) if out else np.empty((0, length), kind)
 
 
 def op2_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """Where each sequence of all documents is: (slot, shard, at, n_bytes, crc, doc_id, part, n_tokens)."""
+    """Where each sequence of all documents is: (slot, shard, at, n_bytes, crc, doc_id, part, n_tokens). The shards are written
+    when the result is; a second action writes the same bytes again."""
     target = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
     store, base = _store(target)
     store.create_dir(base, recursive=True)
-    rows, count = slotted(sequences(table(spark, folder, "documents")))
-    return written(write_shards(rows, target, count))
+    rows, count = byte_slots(table(spark, folder, "documents"))
+    return write_shards(rows, target, count)
