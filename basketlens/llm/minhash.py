@@ -5,8 +5,8 @@ costs p evaluations. Rows of the signature are banded; documents that agree on a
 by the exact Jaccard similarity of their full shingle sets.
 
 Documents with equal sets are one class from the start and only the class's smallest doc_id goes on. Within a band's group
-nobody meets everybody: in each round every member whose component differs from that of the group's centre is compared with the
-centre (another member each round), and components are joined; groups that hold one component are done. What is left is
+nobody meets everybody: in each round every member whose component differs from that of a centre of the group is compared
+with it (other members each round), and components are joined; groups that hold one component are done. What is left is
 completed without loss: small groups by all their pairs across components, the members of large ones by the prefix filter,
 which lets only those pairs meet across components that share one of their rarest shingles, and early enough, as every pair
 over the threshold does.
@@ -30,8 +30,8 @@ from basketlens.llm.words import ODD, lower_words, mixed, shingles
 
 ROWS, BANDS, WORDS = 5, 28, 5
 PERMUTATIONS = ROWS * BANDS // 2
-#: Rounds in which groups are compared with a centre; then groups of up to FEW members are completed by their own pairs.
-ROUNDS, FEW = 3, 16
+#: Centres that groups are compared with, round by round; then groups of up to FEW members are completed by their own pairs.
+CENTRES, FEW = (2, 1), 16
 #: Bytes of text whose signatures are computed at once.
 CHUNK = 4_000_000
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -148,10 +148,14 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 def linked_components(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(id, component) of the members of band groups (id, n, band) that have a link."""
     labels = None
-    for turn in range(ROUNDS):
+    for turn, many in enumerate(CENTRES):
         now = _labelled(groups, labels)
-        centre = now.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))).alias("x"))
-        labels = _joined(now.join(centre, "band").select("id", "n", "c", "x.b", "x.nb", "x.cb"), sets, percent, labels)
+        chosen = [
+            F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(i), "id").alias("h"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")))
+            for i in range(many)
+        ]
+        centres = now.groupBy("band").agg(F.array_distinct(F.array(*chosen)).alias("x")).select("band", F.inline("x"))
+        labels = _joined(now.join(centres, "band").select("id", "n", "c", "b", "nb", "cb"), sets, percent, labels)
     now = written(_labelled(groups, labels))
     split = now.groupBy("band", "c").agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("m"), F.count("*").alias("cs")).where("cs > 1")
     now = written(now.join(split.select("band", "m"), "band"))
