@@ -24,7 +24,9 @@ from basketlens.llm.common import in_chunks, table, tell_workers
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters scanned at once, characters of a scan's block, and slices whose ids a worker keeps.
-CHUNK, BLOCK, CACHE = 1_000_000, 256, 150_000
+CHUNK, BLOCK, CACHE = 1_000_000, 256, 400_000
+#: A worker keeps a cache of up to so many slices from task to task; a larger one goes when its task ends.
+KEPT = 150_000
 
 # Symbols that the scanner reads. A space or other white space is `last` if something that is not white space follows it; an
 # apostrophe is `one` or `two` if that many letters of a contraction follow it. Symbols of a text's first character come after.
@@ -222,7 +224,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches):
         c = codec(path)
-        for docs, texts in _pieces(batches):
+        for docs, texts in _pieces(batches, c):
             ids = list(c.encode(texts))
             yield pd.DataFrame({"doc_id": docs, "ids": ids, "offsets": [c.offsets(x) for x in ids]})
 
@@ -236,7 +238,7 @@ def checked(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches):
         c = codec(path)
-        for docs, texts in _pieces(batches):
+        for docs, texts in _pieces(batches, c):
             ids = list(c.encode(texts))
             yield pd.DataFrame({"doc_id": docs, "n_tokens": list(map(len, ids)), "ids": ids, "exact": [c.decode(x) == t.encode() for x, t in zip(ids, texts)]})
 
@@ -263,7 +265,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches):
         c = codec(path)
-        for docs, texts in _pieces(batches):
+        for docs, texts in _pieces(batches, c):
             rows = []
             for ids in c.encode(texts):
                 listed = ",".join(map(str, ids)).encode()
@@ -275,13 +277,15 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return _texts(docs).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _pieces(batches):
+def _pieces(batches, c: Codec):
     """(ids, texts) of about CHUNK characters at a time, so that a batch's results are never held at once."""
     for batch in batches:
         at = 0
         for part in in_chunks(batch["text"].tolist(), len, CHUNK):
             yield batch["doc_id"].iloc[at : at + len(part)].reset_index(drop=True), part
             at += len(part)
+    if len(c) > KEPT:
+        c.clear()
 
 
 def _texts(docs: DataFrame) -> DataFrame:
