@@ -37,8 +37,9 @@ LOOSE = {
     "card": r"(?<![0-9])[0-9](?:[\x20._-]{0,2}[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9])(?:(?:\+|00)[\x20]?)?(?:[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
 }
-#: Without a match of its gate a text has none of the kind.
+#: Without a match of its gate a text has none of the kind. A strict phone may hold groups of one or two digits only.
 GATE = {"email": r"@|[aA][tT][)\]}]", "ip": r"[0-9]\x20?[.\[(]", "card": r"[0-9](?:[\x20._-]{0,2}[0-9]){12}", "phone": r"[0-9]{3}"}
+STRICT_GATE = GATE | {"phone": r"\+[0-9]"}
 CUES = r"(?i)\b(?:e-?mail|mail|phone|tel|call|fax|mobile|ip|host|server|card|credit|visa|account|contact)\b"
 CONTEXT = 24
 PRECISION, ROUNDS, RATE, FOLDS = 0.98, 40, 0.3, 5
@@ -85,7 +86,7 @@ def base_spans(text: Column) -> Column:
     """array<struct<kind, start, end>>, by kind and start."""
 
     def of(kind):
-        good = F.filter(F.when(text.rlike(GATE[kind]), _matches(text, STRICT[kind])), lambda s: CHECKS[kind](s["m"]))
+        good = F.filter(F.when(text.rlike(STRICT_GATE[kind]), _matches(text, STRICT[kind])), lambda s: CHECKS[kind](s["m"]))
         return F.coalesce(F.transform(good, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), F.array())
 
     return F.concat(*map(of, KINDS))

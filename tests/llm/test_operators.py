@@ -217,6 +217,15 @@ def test_redaction(spark):
     assert got == {1: "x [EMAIL] y [IP]", 2: None, 3: "", 4: "clean é text", 5: "\U0001f642 [PHONE]!"}
 
 
+def test_phones_of_short_groups(spark):
+    rows = [(1, "+33 6 12 34 56 78"), (2, "call +45 12 34 56 78 or +4 (5) 6-7.8 9 0 1!"), (3, "+1 2 3"), (4, "12 34 56 78"), (5, "+1 2" + " 34" * 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in df.select("doc_id", pii.listed(pii.base_spans(F.col("text"))).alias("base")).collect()}
+    assert [got[i].base.count("phone") for i, _ in rows] == [1, 2, 0, 0, 0]
+    assert all(got[i].base == ",".join(brute.pii(t)["base"]) for i, t in rows)
+    assert dict(texts_of(pii.redacted(df))) == dict(rows) | {1: "[PHONE]", 2: "call [PHONE] or [PHONE]!"}
+
+
 # ------------------------------------------------------------------ BPE
 
 
