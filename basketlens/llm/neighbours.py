@@ -4,8 +4,9 @@ Vectors meet only within a label and a dimension (a `space`). Equal vectors are
 from blocks of bounded size: vectors that lie on one side of as many random planes as their space needs, large blocks split at
 random. A round then brings together, at every node, its neighbours and the nodes it is a neighbour of; pairs of them that beat
 a current list enter it. Rounds end when few entries change. A node whose whole list reaches the threshold is saturated: its
-list is enlarged to all of its component, compared in pairs of blocks of which only counts leave a task. The recall of links is
-audited against brute force for a sample of nodes, and while it is low the graph gets further blocks and rounds.
+list is enlarged to all of its component and of every other component with saturated nodes that a bound on centres and radii
+does not rule out, compared in pairs of blocks of which only counts leave a task; components that so meet become one. The recall
+of links is audited against brute force for a sample of nodes, and while it is low the graph gets further blocks and rounds.
 
 Links are those of cosine >= threshold in double precision. A row is left alone (no links, a component of its own) if its
 vec_id, label or vector is null, or the vector is empty, zero, or holds a null or non-finite component; without vec_id the
@@ -24,6 +25,8 @@ from pyspark.sql.window import Window
 from basketlens.llm.common import components, table, tell_workers, written
 
 K, TABLES, PLANES, BLOCK = 12, 4, 24, 256
+#: Parts of components whose centres are compared at a time; what rounding may add to an angle.
+BALLS, SLACK = 1024, 1e-6
 #: Rounds end at this share of changed entries, at the latest after ROUNDS; nodes audited, recall asked for, attempts to reach it.
 CHANGED, ROUNDS, AUDITED, RECALL, ATTEMPTS = 0.002, 8, 500, 0.98, 3
 
@@ -136,6 +139,41 @@ def graph_of(known: DataFrame, total: int, attempt: int, start: DataFrame | None
     return graph.drop("new")
 
 
+def _near_balls(inside: DataFrame, threshold: float) -> DataFrame:
+    """(c, i, d, j): the parts of components that hold two vectors at the threshold, if any two of their vectors do: parts of one
+    component, and those of others whose centres are no further apart than both radii and the threshold's angle."""
+
+    def ball(rows: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(rows["v"])
+        centre = x.sum(0)
+        centre = centre / np.linalg.norm(centre) if np.linalg.norm(centre) > 1e-9 else x[0]
+        radius = float(np.arccos(np.clip((x @ centre).min(), -1, 1)))
+        first = rows.iloc[0]
+        return pd.DataFrame({"space": [first["space"]], "c": [first["component"]], "i": [first["part"]], "centre": [centre.tolist()], "radius": [radius], "asks": [bool(rows["asks"].any())]})
+
+    balls = inside.groupBy("component", "part").applyInPandas(ball, "space string, c long, i int, centre array<double>, radius double, asks boolean")
+    balls = written(balls)
+    sizes = balls.groupBy("space").agg(F.ceil(F.count("*") / BALLS).cast("int").alias("groups"))
+    dealt = balls.join(sizes, "space").withColumn("g", F.pmod(F.xxhash64("c", "i"), "groups").cast("int"))
+    sides = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    fields = ["space", "c", "i", "centre", "radius"]
+    mine = sides.where("asks").select(*fields, F.col("g").alias("p"), F.col("other").alias("q"), F.lit(True).alias("ask"))
+    theirs = sides.select(*fields, F.col("other").alias("p"), F.col("g").alias("q"), F.lit(False).alias("ask"))
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + SLACK
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        ask = rows["ask"].to_numpy()
+        a, b = rows[ask], rows[~ask]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"c": [], "i": [], "d": [], "j": []}).astype("int64")
+        apart = np.arccos(np.clip(np.array(a["centre"].tolist()) @ np.array(b["centre"].tolist()).T, -1, 1))
+        near = apart <= a["radius"].to_numpy()[:, None] + b["radius"].to_numpy()[None] + reach
+        x, y = np.nonzero(near | (a["c"].to_numpy()[:, None] == b["c"].to_numpy()[None]))
+        return pd.DataFrame({"c": a["c"].to_numpy()[x], "i": a["i"].to_numpy()[x], "d": b["c"].to_numpy()[y], "j": b["i"].to_numpy()[y]})
+
+    return mine.unionByName(theirs).groupBy("space", "p", "q").applyInPandas(meet, "c long, i int, d long, j int")
+
+
 def links_of(graph: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """(id, others, component) of every node that has a link: the vectors it is linked with, copies of other nodes included."""
     close = graph.where(F.col("sim") >= threshold)
@@ -144,21 +182,30 @@ def links_of(graph: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     weights = known.select(F.col("id").alias("w"), "m")
     listed = both.join(weights, "w").groupBy(F.col("u").alias("id")).agg(F.sum("m").alias("others"))
     saturated = close.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= K).select("id", F.lit(True).alias("asks"))
-    placed = written(label.join(saturated, "id", "left").join(known, "id"))
+    placed = written(label.join(saturated, "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False))).join(known, "id"))
     asked = placed.groupBy("component").agg(F.max("asks").alias("some"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("some").drop("some")
-    inside = placed.join(asked, "component").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-    sides = inside.select("component", "id", "v", "m", "asks", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "part")
-    mine = sides.where("asks").select("component", F.col("part").alias("i"), F.col("other").alias("j"), "id", "v", "m", F.lit(True).alias("ask"))
-    theirs = sides.select("component", F.col("other").alias("i"), F.col("part").alias("j"), "id", "v", "m", F.lit(False).alias("ask"))
+    inside = written(placed.join(asked, "component").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")))
+    pairs = written(_near_balls(inside, threshold))
+    sides = inside.select("component", "part", "id", "v", "m", "asks")
+    mine = sides.where("asks").withColumnsRenamed({"component": "c", "part": "i"}).join(pairs, ["c", "i"]).withColumn("mine", F.lit(True))
+    theirs = sides.withColumnsRenamed({"component": "d", "part": "j"}).join(pairs, ["d", "j"]).withColumn("mine", F.lit(False))
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        ask = rows["ask"].to_numpy()
-        x, ids, m = _unit(rows["v"]), rows["id"].to_numpy(), rows["m"].to_numpy()
+        ask, c, d = rows["mine"].to_numpy(), rows["c"].iat[0], rows["d"].iat[0]
+        x, ids, m, own = _unit(rows["v"]), rows["id"].to_numpy(), rows["m"].to_numpy(), rows["asks"].to_numpy()
         near = (x[ask] @ x[~ask].T >= threshold) & (ids[ask][:, None] != ids[~ask][None])
-        return pd.DataFrame({"id": ids[ask], "all": near @ m[~ask]})
-
-    counted = mine.unionByName(theirs).groupBy("component", "i", "j").applyInPandas(count, "id long, all long").groupBy("id").agg(F.sum("all").alias("all"))
-    return label.join(listed, "id").join(counted, "id", "left").select("id", F.coalesce("all", "others").alias("others"), "component")
+        out = pd.DataFrame({"id": ids[ask], "all": near @ m[~ask], "more": 0})
+        if c != d:  # a node that does not ask lists no node of another component
+            out = pd.concat([out, pd.DataFrame({"id": ids[~ask], "all": 0, "more": m[ask] @ near})[~own[~ask] & near.any(0)]])
+        return out.assign(c=c, d=d, met=bool(near.any()))
+
+    met = written(mine.unionByName(theirs).groupBy("c", "i", "d", "j").applyInPandas(count, "id long, all long, more long, c long, d long, met boolean"))
+    counted = met.groupBy("id").agg(F.sum("all").alias("all"), F.sum("more").alias("more")).join(saturated, "id", "left")
+    counted = counted.select("id", F.when(F.col("asks"), F.col("all")).alias("all"), "more")
+    joined = components(met.where("met AND c <> d").select("c", "d").distinct(), "c", "d").select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    label = label.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+    others = F.coalesce("all", F.col("others") + F.coalesce("more", F.lit(0))).alias("others")
+    return label.join(listed, "id").join(counted, "id", "left").select("id", others, "component")
 
 
 def recall(found: DataFrame, known: DataFrame, threshold: float, audited: int = AUDITED) -> float:

@@ -330,6 +330,24 @@ def test_links_of_vectors(spark):
     assert all(r.kept == (want[i] == i) for i, r in got.items())
 
 
+def test_tight_groups_link_beyond_full_lists(spark):
+    rng = np.random.default_rng(8)
+    a, b = np.linalg.qr(rng.normal(size=(24, 2)))[0].T
+    rows = []
+    for label, cosine in ((0, 0.985), (1, 0.9)):  # groups that meet, groups that do not
+        for centre in (a, cosine * a + math.sqrt(1 - cosine**2) * b):
+            for _ in range(40):
+                rows.append((len(rows), [float(v) for v in (centre + rng.normal(size=24) * 0.003).astype(np.float32)], label))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.98) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows])) & ~np.eye(len(rows), dtype=bool)
+    want = brute.closure([r[0] for r in rows], [(int(i), int(j)) for i, j in zip(*np.nonzero(near))])
+    got = {r.vec_id: r for r in neighbours.near_vectors(df).collect()}
+    assert len(set(want.values())) == 3
+    assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (near[i].sum(), c, c == i) for i, c in want.items()}
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(7)
     rows = [(i, [float(v) for v in (rng.normal(size=12) if i % 9 else np.ones(12)).astype(np.float32)], 0) for i in range(700)]
