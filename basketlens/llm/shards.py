@@ -8,10 +8,10 @@ A shard is written under another name and then renamed: a task that is run again
 bytes, and a half-written shard is never seen.
 
 A text's ids, then the id that ends a document, are cut into parts of `length` ids; the last part is filled up with that id.
-Two kinds of ids are offered. Byte ids (`byte_slots`, one byte each, for documents read from files) are a text's UTF-8 bytes;
-255, which UTF-8 never uses, ends a document. They are numbered in the order of the files and their rows, from one count per
-file split, so that the parts themselves are shuffled once, to their slots. BPE ids (`sequences`, two bytes each, for any
-documents) go to `slotted`, which numbers them in the order of (doc_id, part, payload).
+Two kinds of ids are offered. BPE ids (two bytes each) are the registered ones: `bpe_slots`, for documents read from files,
+encodes once and numbers the parts in the order of the files and their rows, from one count per file split; `sequences` and
+`slotted`, for any documents, number them in the order of (doc_id, part, payload). Byte ids (`byte_slots`, one byte each, for
+documents read from files) are an option: a text's UTF-8 bytes; 255, which UTF-8 never uses, ends a document.
 
 A null or empty text is one part that holds only the end. A null doc_id is kept (first in order for `slotted`). Rows that repeat
 get a slot each. An empty table writes no shard. Extra columns are ignored.
@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from basketlens.llm import bpe
 from basketlens.llm.common import numbered, shared_folder, table, tell_workers, written
@@ -35,6 +36,8 @@ from basketlens.llm.common import numbered, shared_folder, table, tell_workers,
 LENGTH, SLOTS, KEY = 512, 4096, 20240229
 END, BYTE_END = 50256, 255
 ROUNDS = 6
+#: What names a split of the files.
+PLACE = ["file_path", "file_block_start", "file_block_length"]
 
 
 def _store(folder: str):
@@ -54,6 +57,14 @@ def unpacked(payload: bytes) -> bytes:
     return zlib.decompress(payload, -15)
 
 
+def _parts(doc, ids: list, length: int) -> list:
+    ids.append(END)
+    n = len(ids)
+    padded = np.full(-(-n // length) * length, END, "<u2")
+    padded[:n] = ids
+    return [(doc, i, min(length, n - i * length), packed(padded[i * length : (i + 1) * length].tobytes())) for i in range(len(padded) // length)]
+
+
 def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, part, n_tokens, payload): parts of `length` little-endian 16-bit ids, packed; n_tokens counts them without the filling."""
     tell_workers(docs.sparkSession)
@@ -64,17 +75,45 @@ def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = No
         for batch in batches:
             rows = []
             for doc, ids in zip(batch["doc_id"], c.encode(batch["text"].tolist())):
-                ids.append(END)
-                n = len(ids)
-                padded = np.full(-(-n // length) * length, END, "<u2")
-                padded[:n] = ids
-                rows += [(doc, i, min(length, n - i * length), packed(padded[i * length : (i + 1) * length].tobytes())) for i in range(len(padded) // length)]
+                rows += _parts(doc, ids, length)
             yield pd.DataFrame(rows, columns=["doc_id", "part", "n_tokens", "payload"]).astype({"doc_id": "Int64"})
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInPandas(run, "doc_id long, part long, n_tokens long, payload binary")
 
 
+def bpe_slots(docs: DataFrame, length: int = LENGTH, key: int = KEY, vocabulary: str | None = None) -> tuple[DataFrame, int]:
+    """((doc_id, part, n_tokens, payload, slot) of all parts of documents read from files, payload packed; number of parts). Texts are
+    encoded once and written; parts are numbered from one count per file split."""
+    tell_workers(docs.sparkSession)
+    path = vocabulary or bpe.default_vocabulary()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[F.col(f"_metadata.{c}").alias(c) for c in PLACE])
+
+    def run(batches):
+        c, at = bpe.codec(path), {}
+        for batch in batches:
+            rows = []
+            for doc, ids, *split in zip(batch["doc_id"], c.encode(batch["text"].tolist()), *(batch[p] for p in PLACE)):
+                parts, first = _parts(doc, ids, length), at.get(tuple(split), 0)
+                at[tuple(split)] = first + len(parts)
+                rows += [(*part, first + i, *split) for i, part in enumerate(parts)]
+            yield pd.DataFrame(rows, columns=["doc_id", "part", "n_tokens", "payload", "at", *PLACE]).astype({"doc_id": "Int64"})
+
+    schema = "doc_id long, part long, n_tokens long, payload binary, at long, file_path string, file_block_start long, file_block_length long"
+    parts = written(texts.mapInPandas(run, schema))
+    before = Window.orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy(*PLACE).agg(F.count("*").alias("n"))  # a row for each split of the files
+    offsets = written(counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    count = offsets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    @F.pandas_udf("long")
+    def slot(index: pd.Series) -> pd.Series:
+        return pd.Series(permuted(index.to_numpy(), count, key))
+
+    placed = parts.join(F.broadcast(offsets.drop("n")), PLACE).withColumn("slot", slot(F.col("offset") + F.col("at")))
+    return placed.drop("offset", "at", *PLACE), count
+
+
 def permuted(x: np.ndarray, count: int, key: int = KEY) -> np.ndarray:
     """The slot of each number of 0 .. count - 1."""
     half = np.uint64(max(1, -(-(count - 1).bit_length() // 2)))
@@ -97,21 +136,20 @@ def permuted(x: np.ndarray, count: int, key: int = KEY) -> np.ndarray:
 def byte_slots(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> tuple[DataFrame, int]:
     """((doc_id, part, n_tokens, slot, payload) of all parts of documents read from files, payload packed; number of parts)."""
     tell_workers(docs.sparkSession)
-    place = ["file_path", "file_block_start", "file_block_length"]
     text = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select("doc_id", text.alias("text"), *[F.col(f"_metadata.{c}").alias(c) for c in place])
+    rows = docs.select("doc_id", text.alias("text"), *[F.col(f"_metadata.{c}").alias(c) for c in PLACE])
     parts = F.ceil((F.octet_length("text") + 1) / length)
-    splits = rows.groupBy(*place).agg(F.sum(parts).alias("n")).orderBy(*place).collect()  # a row for each split of the files
+    splits = rows.groupBy(*PLACE).agg(F.sum(parts).alias("n")).orderBy(*PLACE).collect()  # a row for each split of the files
     before, count = {}, 0
     for r in splits:
-        before[tuple(r[c] for c in place)] = count
+        before[tuple(r[c] for c in PLACE)] = count
         count += r["n"]
 
     def run(batches):
         at = {}
         for batch in batches:
             rows, slots = [], []
-            for doc, text, *split in zip(batch["doc_id"], batch["text"], *(batch[c] for c in place)):
+            for doc, text, *split in zip(batch["doc_id"], batch["text"], *(batch[c] for c in PLACE)):
                 n = len(text) + 1
                 padded = text + bytes([BYTE_END]) * (-(-n // length) * length - len(text))
                 first = at.setdefault(tuple(split), before[tuple(split)])
@@ -179,7 +217,7 @@ def write_shards(rows: DataFrame, folder: str, count: int, slots: int = SLOTS) -
     return placed.mapInPandas(run, schema)
 
 
-def read_slots(folder: str, first: int, n: int, slots: int = SLOTS, length: int = LENGTH, kind: str = "<u1") -> np.ndarray:
+def read_slots(folder: str, first: int, n: int, slots: int = SLOTS, length: int = LENGTH, kind: str = "<u2") -> np.ndarray:
     """n sequences from slot `first` on, in training order, by one seek a shard; kind is <u1 for byte ids, <u2 for BPE ids."""
     store, base = _store(folder)
     stride, out = np.dtype(kind).itemsize * length, []
@@ -203,5 +241,5 @@ def op2_shards(spark: SparkSession, folder: str) -> DataFrame:
     target = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
     store, base = _store(target)
     store.create_dir(base, recursive=True)
-    rows, count = byte_slots(table(spark, folder, "documents"))
+    rows, count = bpe_slots(table(spark, folder, "documents"))
     return write_shards(rows, target, count)

@@ -101,6 +101,21 @@ def test_shards_read_back(spark, documents, tmp_path, kind):
         assert (ids.tobytes() if kind == "bytes" else codec.decode(ids.tolist())).decode() == (text or "")
 
 
+def test_registered_shards_hold_vocabulary_ids(spark, documents, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "shared_folder", lambda _: str(tmp_path))
+    where = shards.op2_shards(spark, FOLDER).collect()
+    table = shards.read_slots(str(next(tmp_path.glob("shards-*"))), 0, len(where) + 1)
+    assert sorted(r.slot for r in where) == list(range(len(where))) == list(range(len(table)))
+    parts = {}
+    for r in where:
+        assert zlib.crc32(table[r.slot].tobytes()) == r.crc
+        parts.setdefault(r.doc_id, {})[r.part] = table[r.slot][: r.n_tokens].tolist()
+    texts = texts_of(documents)
+    codec = bpe.codec(bpe.default_vocabulary())
+    for (doc, _), ids in zip(texts, codec.encode([t or "" for _, t in texts])):
+        assert sum((parts[doc][i] for i in range(len(parts[doc]))), []) == [*ids, shards.END]
+
+
 # ------------------------------------------------------------------ near duplicates
 
 
