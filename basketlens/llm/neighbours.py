@@ -6,7 +6,8 @@ random. A round then brings together, at every node, its neighbours and the node
 a current list enter it. Rounds end when few entries change. A node whose whole list reaches the threshold is saturated: its
 list is enlarged to all of its component and of every other component with saturated nodes that a bound on centres and radii
 does not rule out, compared in pairs of blocks of which only counts leave a task; components that so meet become one. The recall
-of links is audited against brute force for a sample of nodes, and while it is low the graph gets further blocks and rounds.
+of links is audited against brute force for nodes by hash until SEEN of them have links (all nodes where so few have), and while
+it is low the graph gets further blocks and rounds; if these no longer raise it, the query fails.
 
 Links are those of cosine >= threshold in double precision. A row is left alone (no links, a component of its own) if its
 vec_id, label or vector is null, or the vector is empty, zero, or holds a null or non-finite component; without vec_id the
@@ -16,6 +17,7 @@ component is null and the row is kept. Rows that repeat a vec_id count as vector
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,10 @@ from basketlens.llm.common import components, table, tell_workers, written
 K, TABLES, PLANES, BLOCK = 12, 4, 24, 256
 #: Parts of components whose centres are compared at a time; what rounding may add to an angle.
 BALLS, SLACK = 1024, 1e-6
-#: Rounds end at this share of changed entries, at the latest after ROUNDS; nodes audited, recall asked for, attempts to reach it.
+#: Nodes with links that an audit goes on to see; nodes audited at a time, at most.
+SEEN, MOST_AUDITED = 100, 2000
+#: Rounds end at this share of changed entries, at the latest after ROUNDS; nodes audited at first, recall asked for, attempts
+#: to reach it (more while they raise it).
 CHANGED, ROUNDS, AUDITED, RECALL, ATTEMPTS = 0.002, 8, 500, 0.98, 3
 
 
@@ -209,10 +214,24 @@ def links_of(graph: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
 
 
 def recall(found: DataFrame, known: DataFrame, threshold: float, audited: int = AUDITED) -> float:
-    """Links found over links there, of `audited` nodes (the lowest by hash); their vectors go to every task."""
-    sample = known.orderBy(F.xxhash64("id"), "id").limit(audited).select("id", "space", "v").collect()
-    if not sample:
-        return 1.0
+    """Links found over links there, of blocks of nodes in order of hash, from `audited` nodes on, until SEEN nodes with links are
+    seen or all nodes are; a block's vectors go to every task."""
+    ordered = known.withColumn("h", F.xxhash64("id"))
+    there = hit = seen = 0
+    rest, size = ordered, audited
+    while seen < SEEN:
+        block = rest.orderBy("h", "id").limit(size).select("h", "id", "space", "v").collect()
+        if not block:
+            break
+        h, i = block[-1]["h"], block[-1]["id"]
+        rest, size = ordered.where((F.col("h") > h) | (F.col("h") == h) & (F.col("id") > i)), min(2 * size, MOST_AUDITED)
+        x = _audit(block, found, known, threshold)
+        seen, there, hit = seen + x[0], there + (x[1] or 0), hit + (x[2] or 0)
+    return hit / there if there else 1.0
+
+
+def _audit(sample: list, found: DataFrame, known: DataFrame, threshold: float) -> tuple:
+    """(nodes of the sample with links, their links, those found)."""
     spaces, ids = np.array([r["space"] for r in sample]), np.array([r["id"] for r in sample])
     vectors = {s: _unit(pd.Series([r["v"] for r in sample if r["space"] == s])) for s in set(spaces)}
 
@@ -224,9 +243,8 @@ def recall(found: DataFrame, known: DataFrame, threshold: float, audited: int =
                     near = (vectors[space] @ _unit(rows["v"]).T >= threshold) & (mine[:, None] != rows["id"].to_numpy()[None])
                     yield pd.DataFrame({"id": mine, "n": near @ rows["m"].to_numpy()})
 
-    there = known.mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    x = there.join(found, "id", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("others", F.lit(0))))).first()
-    return x[1] / x[0] if x[0] else 1.0
+    there = known.mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).where("n > 0")
+    return there.join(found, "id", "left").agg(F.count("*"), F.sum("n"), F.sum(F.least("n", F.coalesce("others", F.lit(0))))).first()
 
 
 def near_vectors(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -234,11 +252,16 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     tell_workers(rows.sparkSession)
     members, known = nodes(rows)
     total, graph = known.count(), None
-    for attempt in range(ATTEMPTS):
+    best = 0.0
+    for attempt in count():
         graph = graph_of(known, total, attempt, graph)
         found = written(links_of(graph, known, threshold))
-        if recall(found, known, threshold) >= RECALL:
+        got = recall(found, known, threshold)
+        if got >= RECALL:
             break
+        if attempt >= ATTEMPTS - 1 and got <= best:
+            raise RuntimeError(f"recall of links is {got:.4f} after {attempt + 1} attempts, {RECALL} is asked for")
+        best = max(best, got)
     label = known.select("id", "m").join(found, "id", "left").select("id", (F.coalesce("others", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
     out = members.join(label, "id", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -363,6 +363,22 @@ def test_tight_groups_link_beyond_full_lists(spark):
     assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (near[i].sum(), c, c == i) for i, c in want.items()}
 
 
+def test_audit_goes_on_to_the_links(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1_000, 24))
+    rows = [(i, [float(v) for v in y.astype(np.float32)], 0) for i, y in enumerate([*x, x[500] + 0.001])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    _, known = neighbours.nodes(df)
+    none = spark.createDataFrame([], "id long, others long, component long")
+    assert neighbours.recall(none, known, 0.98, audited=20) == 0
+    pair = spark.createDataFrame([(500, 1, 500), (1_000, 1, 500)], none.schema)
+    assert neighbours.recall(pair, known, 0.98, audited=200) == 1
+    monkeypatch.setattr(neighbours, "ATTEMPTS", 1)
+    monkeypatch.setattr(neighbours, "recall", lambda *_: 0.0)
+    with pytest.raises(RuntimeError, match="recall"):
+        neighbours.near_vectors(df)
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(7)
     rows = [(i, [float(v) for v in (rng.normal(size=12) if i % 9 else np.ones(12)).astype(np.float32)], 0) for i in range(700)]
