@@ -24,13 +24,18 @@ def _turn_hash(seed: int, *more):
 
 def prefix_hashes(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """(conv_id, block, pos, n, h1, h2): of each conversation's first pos turns of n, from 1."""
-    narrow = (
-        turns.select("conv_id", "turn", F.floor(F.col("turn") / block).alias("block"), _turn_hash(1).alias("a"), _turn_hash(2).alias("b"))
-        .distinct()
-    )
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "a", "b")
-    local = written(narrow.withColumn("i", F.row_number().over(inside)))
-    sizes = local.groupBy("conv_id", "block").agg(F.count("*").alias("size"))
+    hashed = turns.select("conv_id", "turn", F.floor(F.col("turn") / block).alias("block"), _turn_hash(1).alias("a"), _turn_hash(2).alias("b"), "role", "text")
+    narrow = hashed.drop("role", "text").distinct()
+    inside = Window.partitionBy("conv_id", "block").orderBy("turn")
+    alike = Window.partitionBy("conv_id", "block", "turn")
+    ranked = written(narrow.withColumn("i", F.rank().over(inside)).withColumn("tied", F.count("*").over(alike) > 1))
+    # only turns of equal number carry their role and text, which order them
+    ties = ranked.where("tied").groupBy(F.col("conv_id").alias("c"), F.col("turn").alias("t")).agg(F.min("i").alias("first"))
+    within = Window.partitionBy("conv_id", "block", "turn").orderBy("role", "text")
+    tied = hashed.join(ties, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t"))).drop("c", "t").distinct()
+    tied = tied.withColumn("i", F.col("first") + F.row_number().over(within) - 1).select("conv_id", "turn", "block", "a", "b", "i")
+    local = ranked.where("NOT tied").drop("tied").unionByName(written(tied))
+    sizes = ranked.groupBy("conv_id", "block").agg(F.count("*").alias("size"))
     whole = Window.partitionBy("conv_id")
     before = whole.orderBy(F.col("block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("n", F.sum("size").over(whole))

@@ -69,6 +69,21 @@ def test_long_conversations_cross_blocks(spark):
     assert "".join(r.rendered for r in kept[1]).count("<|im_start|>") == 90 and [r.segment for r in kept[1]] == list(range(6))
 
 
+def test_snapshots_that_end_inside_a_tied_turn(spark):
+    import duckdb
+
+    rows = []
+    for k in range(0, 60, 2):
+        rows += [(k, 0, "user", f"a{k}"), (k + 1, 0, "user", f"a{k}"), (k + 1, 0, "user", f"b{k}"), (k + 1, 1, "user", "end")]
+    rows += [(100, 0, None, "x"), (101, 0, None, "x"), (101, 0, "user", None), (101, 0, "user", ""), (102, None, "user", "a"), (103, None, "user", "a"),
+             (103, None, "user", "b"), (104, 300, "assistant", "yes"), (105, 300, "assistant", "yes"), (105, 300, "user", "yes"), (None, 0, "user", "q"), (None, 0, "user", "p")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    got = chat.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(con.execute(chat.SQL).fetchall(), key=str)
+
+
 # ------------------------------------------------------------------ shards
 
 
