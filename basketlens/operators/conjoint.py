@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import presets
-from ..functions.moments import as_doubles, covariance_array, pairs
+from ..functions.moments import as_doubles, group_moments, pairs
 from ..functions.scalars import currency_label, mean_of, percent_label, quotient_with_infinity, ratio
 from ..session import written
 from .common import join_on_keys
@@ -248,15 +248,19 @@ def _solver(survey: Survey):
 def respondent_coefficients(ratings: DataFrame, survey: Survey) -> DataFrame:
     """One least-squares fit per respondent: ``respondent, coefficients`` (price first, then dummies).
 
-    The only shuffle carries means and covariances per respondent, combined map-side, so a
+    What is grouped is means, then sums of products per respondent, combined map-side, so a
     respondent with a third of all ratings costs no more than any other. Levels that a
     respondent never saw get 0, terms that their profiles cannot separate get null.
     """
     names = [*survey.terms, survey.rating]
     safe = [f"x{i}" for i in range(len(names))]
     columns = with_terms(ratings, survey).select(survey.respondent, *[F.col(f"`{n}`").alias(s) for n, s in zip(names, safe)])
-    sums = as_doubles(columns, safe, keep=[survey.respondent]).groupBy(survey.respondent).agg(
-        covariance_array(safe).alias("cov"), F.array(*[F.avg(c) for c in safe]).alias("mean"))
+    place, dummies = 1, []  # x0 is the price; the level dummies of an attribute exclude each other
+    for levels in survey.levels.values():
+        dummies.append(safe[place : place + len(levels) - 1])
+        place += len(levels) - 1
+    rows = written(as_doubles(columns, safe, keep=[survey.respondent]))
+    sums = group_moments(rows, survey.respondent, safe, indicators=dummies)
     return sums.select(survey.respondent, _solver(survey)("cov", "mean").alias("coefficients"))
 
 

@@ -92,7 +92,7 @@ class OlsFit:
 def ols_fit(df: DataFrame, target: str, predictors: Sequence[str]) -> OlsFit:
     """Least squares with intercept over the complete rows.
 
-    One aggregate gives means and covariances (updated stably, combined map-side), whatever
+    Means, then sums of products beside them, are added up map-side, whatever
     the number of rows. Dependent or constant predictors raise with their names.
     """
     names = list(predictors)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,14 +73,57 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+# Tables that the innermost `temporary` block owns.
+_OWNED: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there.
 
     Losing executors afterwards costs a re-read of the file, never a recomputation. The shuffle
-    files of the job go when it ends, since the table takes their place.
+    files of the job go when it ends, since the table takes their place. Inside a ``temporary``
+    block the table goes with the block.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    owned = _OWNED.get()
+    if owned is not None:
+        owned.append(path)  # before writing: a write that fails leaves nothing behind either
     with settings(spark, {CLEANUP_KEY: "true"}):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store holds it; nothing happens where there is none."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that ``written`` makes inside the block when it ends, also by an error.
+
+    Nothing that leaves the block may still read them: collect it there, or use ``settled``.
+    """
+    paths: list[str] = []
+    token = _OWNED.set(paths)
+    try:
+        yield
+    finally:
+        _OWNED.reset(token)
+        for path in paths:
+            remove(spark, path)
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """The frame that ``build`` makes, written; the tables that were written on the way are removed."""
+    outer, inner = _OWNED.get(), None
+    with temporary(spark):
+        frame = build()
+        token = _OWNED.set(outer)
+        try:
+            inner = written(frame)
+        finally:
+            _OWNED.reset(token)
+    return inner
