@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import presets
 from ..functions.scalars import mean_of, ratio, total_of
-from ..session import written
+from ..session import temporary, written
 from ..sources.readers import numeric_summary
 from .common import join_on_keys
 from .features import group_shares
@@ -23,9 +24,11 @@ from .rank import summarise
 from .rfm import crosstab
 
 FEATURES, SCALED = "features", "scaled"
-MICRO_CLUSTERS = 200
-MAX_ITERATIONS, MICRO_ITERATIONS = 100, 10
-START_ROWS = 4_000  # rows that starts are drawn from
+MICRO_CLUSTERS = 500
+# Moves of every start, and of the best start of each k.
+ITERATIONS, MAX_ITERATIONS = 10, 100
+# Candidates that a round adds (about), and rounds.
+OVERSAMPLE, ROUNDS = 100, 5
 # The ladder of restarts.
 RESTARTS = (1, 5, 10, 25, 50, 100)
 
@@ -81,73 +84,160 @@ class KMeansFit:
 
 
 def _points(scaled: DataFrame) -> DataFrame:
-    return scaled.select(vector_to_array(SCALED).alias("x"))
+    """The vectors alone, written, each with a number of its own."""
+    return written(scaled.select(vector_to_array(SCALED).alias("x"), F.monotonically_increasing_id().alias("id")))
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of and squared distance to the nearest centre of each row."""
-    squared = (x * x).sum(1)[:, None] - 2.0 * x @ centres.T + (centres * centres).sum(1)[None]
-    best = squared.argmin(1)
+    best = ((centres * centres).sum(1)[None] - 2.0 * x @ centres.T).argmin(1)
     return best, ((x - centres[best]) ** 2).sum(1)
 
 
+BLOCK_ROWS = 2_048
+
+
 def _assign_all(points: DataFrame, starts: Mapping[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
     """One pass over the rows for all starts: start -> (sums per cluster, sizes, cost).
 
-    Each task sends one row per start and cluster; they are added up before they reach the driver,
-    so what it sees is as large as the centres.
+    The centres of all starts are stacked, so that a block of rows meets them in one product. Each task sends one row per start
+    and cluster; they are added up before they reach the driver, so what it sees is as large as the centres.
     """
+    stacked = np.vstack(list(starts.values()))
+    ends = np.cumsum([len(c) for c in starts.values()])
+    spans = [slice(e - len(c), e) for e, c in zip(ends, starts.values())]
+    half = (stacked * stacked).sum(1) / 2
+    width = stacked.shape[1] + 2
 
     def run(batches):
-        totals = {}
+        totals = np.zeros((len(stacked), width))
         for batch in batches:
-            x = np.array(batch["x"].tolist(), dtype=float)
-            for s, centres in starts.items():
-                if not len(x):
-                    continue
-                best, squared = _nearest(x, centres)
-                member = np.zeros((len(centres), len(x)))
-                member[best, np.arange(len(x))] = 1.0
-                sums, sizes, costs = totals.setdefault(s, (np.zeros(centres.shape), np.zeros(len(centres)), np.zeros(len(centres))))
-                sums += member @ x
-                sizes += member.sum(1)
-                costs += member @ squared
-        rows = [(s, c, [*sums[c].tolist(), float(sizes[c]), float(costs[c])])
-                for s, (sums, sizes, costs) in totals.items() for c in range(len(sizes))]
-        yield pd.DataFrame(rows, columns=["start", "cluster", "v"])
-
-    width = next(iter(starts.values())).shape[1] + 2
-    parts = points.mapInPandas(run, "start int, cluster int, v array<double>")
-    added = parts.groupBy("start", "cluster").agg(F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(width)]).alias("v"))
-    out = {s: (np.zeros(c.shape), np.zeros(len(c)), 0.0) for s, c in starts.items()}
+            rows = _matrix(batch)
+            for k in range(0, len(rows), BLOCK_ROWS):
+                x = rows[k : k + BLOCK_ROWS]
+                near = half[None] - x @ stacked.T
+                for span in spans:
+                    best = near[:, span].argmin(1)
+                    centres = stacked[span]
+                    squared = ((x - centres[best]) ** 2).sum(1)
+                    member = (best[None] == np.arange(len(centres))[:, None]).astype(float)
+                    totals[span] += member @ np.column_stack([x, np.ones(len(x)), squared])
+        used = np.flatnonzero(totals[:, -2])
+        yield pa.record_batch([pa.array(used, pa.int32()), pa.FixedSizeListArray.from_arrays(
+            pa.array(totals[used].ravel()), width).cast(pa.list_(pa.float64()))], names=["centre", "v"])
+
+    parts = points.select("x").mapInArrow(run, "centre int, v array<double>")
+    added = parts.groupBy("centre").agg(F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(width)]).alias("v"))
+    totals = np.zeros((len(stacked), width))
     for r in added.collect():
-        sums, sizes, cost = out[r["start"]]
-        sums[r["cluster"]], sizes[r["cluster"]] = r["v"][:-2], r["v"][-2]
-        out[r["start"]] = (sums, sizes, cost + r["v"][-1])
-    return out
+        totals[r["centre"]] = r["v"]
+    return {s: (totals[span, :-2], totals[span, -2], float(totals[span, -1].sum())) for s, span in zip(starts, spans)}
 
 
-def _start_rows(points: DataFrame, limit: int = START_ROWS) -> np.ndarray:
-    """Distinct rows of the lowest hash, at most ``limit``: the rows that starts are drawn from."""
-    rows = points.select("x", F.xxhash64("x").alias("h")).distinct().orderBy("h", "x").limit(limit).collect()
-    return np.array([r["x"] for r in rows], dtype=float)
+def _drawn(points: DataFrame, centres: np.ndarray, expected: float, before: float | None, turn: int) -> tuple[np.ndarray, float]:
+    """Rows drawn with a chance of ``expected`` times their share of the cost ``before``, and the cost of the centres."""
 
+    def run(batches):
+        cost, found = 0.0, []
+        for batch in batches:
+            rows, ids = _matrix(batch), batch["id"].to_numpy().astype(np.uint64)
+            for k in range(0, len(rows), BLOCK_ROWS):
+                x = rows[k : k + BLOCK_ROWS]
+                squared = _nearest(x, centres)[1]
+                cost += float(squared.sum())
+                if before:
+                    chance = _uniform(ids[k : k + BLOCK_ROWS], turn)
+                    found += x[chance * before < expected * squared].tolist()
+        yield pa.record_batch([pa.array([None, *found], pa.list_(pa.float64())), pa.array([cost, *[0.0] * len(found)])], names=["x", "cost"])
+
+    got = points.mapInArrow(run, "x array<double>, cost double")
+    cost, rows = got.groupBy(F.col("x").isNull()).agg(F.sum("cost").alias("cost"), F.collect_set("x").alias("x")).orderBy(F.desc("cost")), []
+    collected = cost.collect()
+    for r in collected:
+        rows += r["x"]
+    return np.array(sorted(rows), dtype=float).reshape(-1, centres.shape[1]), sum(r["cost"] for r in collected)
+
+
+def _uniform(ids: np.ndarray, turn: int) -> np.ndarray:
+    """Numbers in [0, 1) that depend on an id and a turn."""
+    h = (ids + np.uint64(turn + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    for _ in range(2):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(11)).astype(float) / float(1 << 53)
+
+
+@dataclass(frozen=True)
+class Candidates:
+    """Rows that starts are reduced from, and how many rows each is the nearest of."""
 
-def _spread_start(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k of the rows, each drawn with probability proportional to its squared distance to those before."""
+    rows: np.ndarray
+    weights: np.ndarray
+
+
+def candidates(points: DataFrame, largest: int, oversample: int = OVERSAMPLE, rounds: int = ROUNDS) -> Candidates:
+    """Candidates for starts by oversampling rounds over all rows (k-means||).
+
+    A round draws every row with a chance in proportion to its squared distance to the candidates so far, about ``oversample`` in
+    all, so that a few rows far off from the rest are found among any number. Rounds go on until there are as many candidates as
+    the largest k needs, or no row is left beside them. The driver sees the candidates, whose number the parameters set.
+    """
+    first = points.agg(F.min_by("x", F.struct(F.xxhash64("x", "id"), "id")).alias("x")).first()["x"]
+    if first is None:
+        raise ValueError("no rows to cluster")
+    rows, before, turn = np.array([first], dtype=float), None, 0
+    expected = float(max(oversample, 2 * largest))
+    while True:
+        drawn, cost = _drawn(points, rows, expected, before, turn)
+        if before is not None:
+            rows = np.unique(np.vstack([rows, drawn]), axis=0)
+        if cost == 0.0 or (turn >= rounds and len(rows) >= largest):
+            break
+        before, turn = cost, turn + 1
+    return Candidates(rows, _assign_all(points, {0: rows})[0][1])
+
+
+def _reduced(found: Candidates, k: int, seed: int, turns: int = 100) -> np.ndarray:
+    """k centres from the weighted candidates: seeded draws by weighted squared distance, then weighted moves."""
+    rows, weights = found.rows, found.weights
+    if k >= len(rows):
+        return rows
     rng = np.random.Generator(np.random.PCG64(seed))
-    chosen = [int(rng.integers(len(rows)))]
+    chosen = [int(rng.choice(len(rows), p=weights / weights.sum()))]
     squared = ((rows - rows[chosen[0]]) ** 2).sum(1)
-    for _ in range(1, min(k, len(rows))):
-        chosen.append(int(rng.choice(len(rows), p=squared / squared.sum())))
+    while len(chosen) < k:
+        mass = weights * squared
+        chosen.append(int(rng.choice(len(rows), p=mass / mass.sum() if mass.sum() > 0 else (squared > 0) / (squared > 0).sum())))
         squared = np.minimum(squared, ((rows - rows[chosen[-1]]) ** 2).sum(1))
-    return rows[chosen]
+    centres = rows[chosen]
+    for _ in range(turns):
+        member = (_nearest(rows, centres)[0][None] == np.arange(k)[:, None]) * weights
+        sizes = member.sum(1)
+        moved = np.where(sizes[:, None] > 0, member @ rows / np.maximum(sizes, 1e-300)[:, None], centres)
+        if np.allclose(moved, centres, rtol=0.0, atol=1e-12):
+            break
+        centres = moved
+    return centres
+
+
+def _distinct(now: Mapping[int, np.ndarray]) -> dict[int, int]:
+    """Start -> the first start with the same centres in any order."""
+    seen: dict[tuple, int] = {}
+    return {s: seen.setdefault(tuple(map(tuple, np.round(c[np.lexsort(np.round(c, 9).T[::-1])], 9).tolist())), s) for s, c in now.items()}
 
 
 def lloyd(points: DataFrame, centres: Sequence[np.ndarray], max_iter: int = MAX_ITERATIONS) -> list[KMeansFit]:
-    """Lloyd iterations of all starts together: one pass over the rows moves the centres of every start that still moves."""
-    now, done = dict(enumerate(centres)), {}
+    """Lloyd iterations of all starts together: one pass over the rows moves the centres of every start that still moves. Starts
+    that have come to the same centres go on as one, since all that follows is the same."""
+    now, done, same = dict(enumerate(centres)), {}, {}
     for turn in range(max_iter + 1):
+        for s, first in _distinct(now).items():
+            if s != first:
+                same[s] = first
+                del now[s]
         for s, (sums, sizes, cost) in _assign_all(points, now).items():
             moved = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1.0)[:, None], now[s])
             if turn == max_iter or np.allclose(moved, now[s], rtol=0.0, atol=1e-12):
@@ -156,19 +246,58 @@ def lloyd(points: DataFrame, centres: Sequence[np.ndarray], max_iter: int = MAX_
                 now[s] = moved
         if not now:
             break
+    for s in sorted(same):
+        first = s
+        while first in same:
+            first = same[first]
+        done[s] = done[first]
     return [done[s] for s in range(len(centres))]
 
 
-def run_starts(scaled: DataFrame, fits: Sequence[tuple[int, int]], max_iter: int = MAX_ITERATIONS) -> list[KMeansFit]:
-    """A fit for every (k, seed) pair, all in the same passes. Write ``scaled`` first: each pass reads it."""
-    points = _points(scaled)
-    rows = _start_rows(points)
-    return lloyd(points, [_spread_start(rows, k, seed) for k, seed in fits], max_iter)
+def moves_from(scaled: DataFrame, centres: Sequence[np.ndarray], moves: int) -> DataFrame:
+    """So many moves from given centres: per cluster its size, its centre (a row per variable) and its sum of squares."""
+    with temporary(scaled.sparkSession):
+        points, now = _points(scaled), np.array(centres, dtype=float)
+        for _ in range(moves):
+            sums, sizes, _ = _assign_all(points, {0: now})[0]
+            now = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1.0)[:, None], now)
+        each = points.select(nearest_of_arrays(now)(F.col("x")).alias("near"))
+        spread = each.groupBy("near.cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("near.squared").alias("ss")).collect()
+    rows = [(r["cluster"] + 1, r["n"], float(c), r["ss"]) for r in spread for c in now[r["cluster"]]]
+    return scaled.sparkSession.createDataFrame(rows, "Cluster int, Customers long, Centre double, Within_SS double")
+
+
+def nearest_of_arrays(centres: np.ndarray) -> Callable[[Column], Column]:
+    """A column function: number (from 0) of the centre nearest to an array, and its squared distance."""
+
+    @F.pandas_udf("cluster int, squared double")
+    def number(x: pd.Series) -> pd.DataFrame:
+        best, squared = _nearest(np.stack(x.to_numpy()), centres) if len(x) else (np.empty(0), np.empty(0))
+        return pd.DataFrame({"cluster": best.astype("int32"), "squared": squared})
+
+    return number
+
+
+def run_starts(scaled: DataFrame, fits: Sequence[tuple[int, int]], iterations: int = ITERATIONS,
+               max_iter: int = MAX_ITERATIONS) -> list[KMeansFit]:
+    """A fit for every (k, seed) pair, all in the same passes.
+
+    Every start is reduced from the same candidates by its own seed and moves up to ``iterations`` times; the best of each k goes
+    on until it rests, up to ``max_iter`` times.
+    """
+    with temporary(scaled.sparkSession):
+        points = _points(scaled)
+        found = candidates(points, max(k for k, _ in fits))
+        out = lloyd(points, [_reduced(found, k, seed) for k, seed in fits], iterations)
+        best = {k: min((i for i, f in enumerate(fits) if f[0] == k), key=lambda i: out[i].cost) for k, _ in fits}
+        for i, fit in zip(best.values(), lloyd(points, [out[i].centres for i in best.values()], max_iter)):
+            out[i] = fit
+    return out
 
 
 def kmeans_best_of(scaled: DataFrame, k: int, starts: int, seed: int = 1, max_iter: int = MAX_ITERATIONS) -> tuple[KMeansFit, float]:
     """Best of several seeded starts."""
-    fits = run_starts(scaled, [(k, seed + i) for i in range(starts)], max_iter)
+    fits = run_starts(scaled, [(k, seed + i) for i in range(starts)], max_iter=max_iter)
     best = min(fits, key=lambda f: f.cost)
     return best, best.cost
 
@@ -212,7 +341,7 @@ def nearest_centre(centres: np.ndarray) -> Callable[[Column], Column]:
 
     @F.pandas_udf("int")
     def number(x: pd.Series) -> pd.Series:
-        return pd.Series(_nearest(np.array(x.tolist(), dtype=float), centres)[0].astype("int32") if len(x) else [], dtype="int32")
+        return pd.Series(_nearest(np.stack(x.to_numpy()), centres)[0].astype("int32") if len(x) else [], dtype="int32")
 
     return lambda vector: number(vector_to_array(vector))
 
@@ -253,11 +382,18 @@ def renumber_by_value(clustered: DataFrame, cluster: str = "KMeans_Cluster", val
 
 @dataclass(frozen=True)
 class WardTree:
-    """Merge history over micro-clusters: pairs in merge order, heights, and their sizes."""
+    """Merge history over micro-clusters: pairs in merge order, heights, and their sizes.
+
+    ``inside`` is the sum of squares inside the micro-clusters, which the tree does not see: half the squared heights and it add
+    up to the total. ``radius`` bounds the distance of a row to the row its micro-cluster began with; 0 means equal rows only,
+    and then the tree is that of all rows.
+    """
 
     centroids: np.ndarray
     sizes: np.ndarray
     merges: list[tuple[int, int, float]]
+    inside: float = 0.0
+    radius: float = 0.0
 
     def cut(self, k: int) -> list[int]:
         """Cluster number 1..k of each micro-cluster, numbered by first appearance."""
@@ -279,51 +415,144 @@ class WardTree:
 
 
 def ward_merges(centroids: np.ndarray, sizes: np.ndarray) -> WardTree:
-    """Ward merges of weighted points: cost sqrt(2ab/(a+b)) times the centre distance."""
+    """Ward merges of weighted points: cost sqrt(2ab/(a+b)) times the centre distance.
+
+    Follows chains of nearest neighbours: two that are each other's nearest are merged at once, which gives the same tree as
+    always merging the closest pair, without a matrix of all pairs.
+    """
     m = len(sizes)
-    centre = np.vstack([centroids, np.zeros((max(m - 1, 0), centroids.shape[1]))])
-    weight = np.concatenate([sizes.astype(float), np.zeros(max(m - 1, 0))])
-    squared = ((centroids[:, None, :] - centroids[None, :, :]) ** 2).sum(axis=2)
-    cost = np.full((2 * m - 1, 2 * m - 1), np.inf)
-    cost[:m, :m] = squared * 2 * np.outer(sizes, sizes) / np.add.outer(sizes, sizes)
-    np.fill_diagonal(cost, np.inf)
-    alive = np.zeros(2 * m - 1, dtype=bool)
-    alive[:m] = True
+    centre, weight = centroids.astype(float).copy(), sizes.astype(float).copy()
+    name, alive = np.arange(m), np.ones(m, bool)
+    found: list[tuple[int, int, float, float]] = []  # names, cost, place in the order: never before its parts
+    level = [0.0] * m
+    chain: list[int] = []
+    while len(found) < m - 1:
+        if not chain:
+            chain = [int(np.argmax(alive))]
+        top = chain[-1]
+        cost = ((centre - centre[top]) ** 2).sum(1) * (2 * weight * weight[top] / (weight + weight[top]))
+        cost[~alive] = np.inf
+        cost[top] = np.inf
+        near = int(np.argmin(cost))
+        if len(chain) > 1 and cost[chain[-2]] <= cost[near]:
+            near = chain[-2]  # of equal ones the one before, or the chain would not end
+            chain = chain[:-2]
+            a, b = min(top, near), max(top, near)
+            place = max(float(cost[near]), level[name[a]], level[name[b]])
+            found.append((int(name[a]), int(name[b]), float(cost[near]), place))
+            level.append(place)
+            centre[a] = (weight[a] * centre[a] + weight[b] * centre[b]) / (weight[a] + weight[b])
+            weight[a] += weight[b]
+            alive[b] = False
+            name[a] = m + len(found) - 1
+        else:
+            chain.append(near)
+    order = sorted(range(len(found)), key=lambda i: found[i][3])
+    number = {m + i: m + k for k, i in enumerate(order)}
     merges = []
-    for step in range(m - 1):
-        new = m + step
-        a, b = divmod(int(np.argmin(cost[:new, :new])), new)
-        a, b = min(a, b), max(a, b)
-        merges.append((a, b, float(np.sqrt(max(cost[a, b], 0.0)))))
-        weight[new] = weight[a] + weight[b]
-        centre[new] = (weight[a] * centre[a] + weight[b] * centre[b]) / weight[new]
-        cost[[a, b], :] = np.inf
-        cost[:, [a, b]] = np.inf
-        alive[[a, b]] = False
-        others = np.flatnonzero(alive)
-        gap = ((centre[others] - centre[new]) ** 2).sum(axis=1)
-        cost[new, others] = cost[others, new] = gap * 2 * weight[others] * weight[new] / (weight[others] + weight[new])
-        alive[new] = True
+    for i in order:
+        a, b = sorted(number.get(x, x) for x in found[i][:2])
+        merges.append((a, b, float(np.sqrt(max(found[i][2], 0.0)))))
     return WardTree(centroids, sizes, merges)
 
 
+def _condensed(leaders: np.ndarray, radii: np.ndarray, within: float) -> tuple[np.ndarray, np.ndarray]:
+    """Leaders that are farther apart than ``within``, and how far the rows behind them may be off."""
+    kept, reach = [], []
+    rest, r = leaders, radii
+    while len(rest):
+        gap = np.sqrt(((rest - rest[0]) ** 2).sum(1))
+        near = gap <= within
+        kept.append(rest[0])
+        reach.append(float((gap[near] + r[near]).max()))
+        rest, r = rest[~near], r[~near]
+    return np.array(kept).reshape(-1, leaders.shape[1]), np.array(reach)
+
+
+def _fitted(leaders: np.ndarray, radii: np.ndarray, within: float, most: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """At most ``most`` leaders: while there are more, those closer than usual for neighbours are joined."""
+    while len(leaders) > most:
+        some = np.linspace(0, len(leaders) - 1, min(256, len(leaders))).astype(int)
+        gaps = ((leaders * leaders).sum(1)[None] - 2.0 * leaders[some] @ leaders.T + (leaders[some] ** 2).sum(1)[:, None])
+        gaps[np.arange(len(some)), some] = np.inf
+        usual = np.sort(np.sqrt(np.maximum(gaps.min(1), 0.0)))
+        # about two leaders become one where they are closer than that
+        share = min(1.0, 2.0 * (1.0 - most / len(leaders)))
+        within = max(1.1 * within, float(usual[min(len(usual) - 1, int(share * len(usual)))]), 1e-300)
+        leaders, radii = _condensed(leaders, radii, within)
+    return leaders, radii, within
+
+
+def micro_leaders(points: DataFrame, most: int, within: float = 0.0, per_task: int = 2) -> tuple[np.ndarray, float]:
+    """Leaders of micro-clusters: at most ``most`` rows, and a bound on the distance of any row to the nearest.
+
+    Every task keeps the features of its own rows: a row farther than the joining distance from all leaders becomes one, and with
+    more than ``per_task * most`` of them the distance is raised and the leaders are joined. The tasks' leaders are joined in the
+    same way in groups, until the driver gets a few times ``most`` of them.
+    """
+    limit = per_task * most
+
+    def gather(batches):
+        leaders, radii, joined = None, np.empty(0), within
+        for batch in batches:
+            for x in np.array_split(_matrix(batch), max(1, batch.num_rows // BLOCK_ROWS)):
+                x = np.unique(x, axis=0)
+                if leaders is None:
+                    leaders = np.empty((0, x.shape[1]))
+                if len(leaders):
+                    off = np.sqrt(_nearest(x, leaders)[1])
+                    best = _nearest(x, leaders)[0]
+                    np.maximum.at(radii, best[off <= joined], off[off <= joined])
+                    x = x[off > joined]
+                more, reach = _condensed(x, np.zeros(len(x)), joined) if joined > 0 else (x, np.zeros(len(x)))
+                leaders, radii, joined = _fitted(np.vstack([leaders, more]), np.concatenate([radii, reach]), joined, limit)
+        if leaders is not None and len(leaders):
+            yield pa.record_batch([pa.array(leaders.tolist(), pa.list_(pa.float64())), pa.array(radii), pa.array([joined] * len(leaders))],
+                                  names=["x", "radius", "joined"])
+
+    schema = "x array<double>, radius double, joined double"
+    parts = written(points.select("x").mapInArrow(gather, schema))
+    while (count := parts.count()) > 2 * limit:
+        def join(rows: pd.DataFrame) -> pd.DataFrame:
+            x, r, joined = _fitted(np.stack(rows["x"].to_numpy()), rows["radius"].to_numpy(), float(rows["joined"].max()), most)
+            return pd.DataFrame({"x": list(x), "radius": r, "joined": joined})
+
+        groups = -(-count // limit) // 2 + 1
+        parts = written(parts.withColumn("g", F.pmod(F.xxhash64("x"), F.lit(groups))).groupBy("g").applyInPandas(join, schema))
+    rows = parts.orderBy("x").collect()
+    if not rows:
+        raise ValueError("no rows to cluster")
+    x = np.array([r["x"] for r in rows])
+    distinct, first = np.unique(x, axis=0, return_inverse=True)
+    radii = np.zeros(len(distinct))
+    np.maximum.at(radii, first.ravel(), np.array([r["radius"] for r in rows]))
+    leaders, radii, _ = _fitted(distinct, radii, max(r["joined"] for r in rows), most)
+    return leaders, float(radii.max())
+
+
 def ward_clusters(scaled: DataFrame, k: int = 4, micro: int = MICRO_CLUSTERS,
                   out: str = "Hierarchical_Cluster") -> tuple[DataFrame, WardTree]:
     """Ward clusters of all rows by way of at most ``micro`` weighted micro-clusters.
 
-    The micro-clusters are a Lloyd fit that starts from ``micro`` distinct rows, chosen by hash. With
-    no more distinct rows than that each is its own micro-cluster and the tree is exact; beyond, it
-    is the tree of the micro-clusters' centres and sizes. Rows meet only their micro-cluster's
-    number; the driver sees ``micro`` centres.
+    With no more distinct rows than ``micro`` each is its own micro-cluster and the tree is exact. Beyond, rows join the nearest of
+    at most ``micro`` leaders; sizes, centres and heights are exact for the groups that the tree forms, and only which
+    micro-clusters meet first can differ, by what lies inside them (``WardTree.inside``, ``WardTree.radius``). Rows meet only their
+    micro-cluster's number; the driver sees ``micro`` centres.
     """
-    points = _points(scaled)
-    fit = lloyd(points, [_start_rows(points, micro)], MICRO_ITERATIONS)[0]
-    used = np.flatnonzero(fit.sizes > 0)
-    order = used[np.lexsort(fit.centres[used].T[::-1])]
-    centres = fit.centres[order]
-    tree = ward_merges(centres, fit.sizes[order])
+    with temporary(scaled.sparkSession):
+        points = _points(scaled)
+        leaders, radius = micro_leaders(points, micro)
+        sums, sizes, _ = _assign_all(points, {0: leaders})[0]
+        total = float(points.agg(F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("s")).first()["s"])
+    used = np.flatnonzero(sizes > 0)
+    centres = sums[used] / sizes[used][:, None]
+    order = np.lexsort(centres.T[::-1])
+    centres, sizes, leaders = centres[order], sizes[used][order], leaders[used][order]
+    inside = max(0.0, total - float((sizes[:, None] * centres * centres).sum()))
+    tree = ward_merges(centres, sizes)
+    tree = WardTree(centres, sizes, tree.merges, inside, radius)
     cluster_of = F.array(*[F.lit(c) for c in tree.cut(k)])
-    return scaled.withColumn(out, F.get(cluster_of, nearest_centre(centres)(F.col(SCALED)))), tree
+    return scaled.withColumn(out, F.get(cluster_of, nearest_centre(leaders)(F.col(SCALED)))), tree
 
 
 # --------------------------------------------------------------------------- profiles

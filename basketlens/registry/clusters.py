@@ -38,6 +38,12 @@ def scaled(spark: SparkSession, sf: str) -> DataFrame:
     return K.keep(K.standardise(K.cluster_matrix(base_table(spark, sf))))
 
 
+def features(spark: SparkSession, sf: str) -> DataFrame:
+    """The standardised vectors alone: fits need no scores."""
+    return K.keep(K.standardise(K.cluster_matrix(C.log_features(B.people(spark, sf)))).select(
+        "CustomerID", "Monetary", K.SCALED))
+
+
 def clustered(spark: SparkSession, sf: str) -> DataFrame:
     """Fitted K-means clusters, numbered by falling value."""
     x = scaled(spark, sf)
@@ -66,20 +72,20 @@ add("cluster_scaled_summary", "Variable:s; min:f; q1:f; median:f; q3:f; mean:f;
         avg(z) AS mean, max(z) AS max, stddev_samp(z) AS sd FROM
         (SELECT (CAST({x} AS DOUBLE) - avg(CAST({x} AS DOUBLE)) OVER ()) / stddev_samp(CAST({x} AS DOUBLE)) OVER () AS z FROM logs)"""
         for x in X), LOGS)
-add("kmeans_elbow", None, lambda s, d: K.elbow(scaled(s, d), len(X)))
-add("kmeans_restart_stability", None, lambda s, d: K.restart_stability(scaled(s, d), len(X)))
+add("kmeans_elbow", None, lambda s, d: K.elbow(features(s, d), len(X)))
+add("kmeans_restart_stability", None, lambda s, d: K.restart_stability(features(s, d), len(X)))
 
 
 def _fit_summary(s: SparkSession, d: str) -> DataFrame:
-    x = scaled(s, d)
+    x = features(s, d)
     return K.fit_summary(s, 4, K.kmeans_best_of(x, 4, STARTS)[1], K.total_sum_of_squares(x, len(X)))
 
 
 add("kmeans_fit_summary", None, _fit_summary)
 add("kmeans_clusters", None, lambda s, d: clustered(s, d).select("CustomerID", "KMeans_Cluster"))
 add("kmeans_cluster_profile", None, lambda s, d: K.cluster_profile(clustered(s, d)))
-add("ward_clusters", None, lambda s, d: K.ward_clusters(scaled(s, d), 4)[0].select("CustomerID", "Hierarchical_Cluster"))
-add("ward_merge_heights", None, lambda s, d: K.ward_clusters(scaled(s, d), 4)[1].heights(s))
+add("ward_clusters", None, lambda s, d: K.ward_clusters(features(s, d), 4)[0].select("CustomerID", "Hierarchical_Cluster"))
+add("ward_merge_heights", None, lambda s, d: K.ward_clusters(features(s, d), 4)[1].heights(s))
 add("kmeans_ward_crosstab", None, lambda s, d: K.cluster_crosstab(
     K.ward_clusters(K.keep(clustered(s, d)), 4)[0], 4))
 
@@ -87,7 +93,7 @@ add("kmeans_ward_crosstab", None, lambda s, d: K.cluster_crosstab(
 
 
 def _fit_check(s: SparkSession, d: str) -> DataFrame:
-    x = scaled(s, d)
+    x = features(s, d)
     fit, _ = K.kmeans_best_of(x, 4, STARTS)
     return K.fit_check(K.attach_clusters(x, fit), fit, len(X))
 
@@ -100,8 +106,18 @@ def _steps(table: DataFrame, order: str, tolerance: float = 1e-9) -> DataFrame:
 
 
 def _one_variable(s: SparkSession, d: str) -> DataFrame:
-    x = K.keep(K.standardise(K.cluster_matrix(base_table(s, d), ["LogMonetary"])))
-    return s.createDataFrame([(K.kmeans_best_of(x, 2, STARTS)[1],)], "Total_Within_SS double")
+    return s.createDataFrame([(K.kmeans_best_of(_log_value(s, d), 2, STARTS)[1],)], "Total_Within_SS double")
+
+
+def _log_value(s: SparkSession, d: str) -> DataFrame:
+    return K.keep(K.standardise(K.cluster_matrix(C.log_features(B.people(s, d)), ["LogMonetary"])).select("CustomerID", K.SCALED))
+
+
+def _moves(s: SparkSession, d: str) -> DataFrame:
+    """Four moves of two variables from the four customers of lowest number."""
+    customers = C.log_features(B.people(s, d))
+    x = K.keep(K.standardise(K.cluster_matrix(customers, ["LogMonetary", "Recency"])).select("CustomerID", K.SCALED))
+    return K.moves_from(x, [r[K.SCALED].toArray() for r in x.orderBy("CustomerID").limit(4).collect()], 4)
 
 
 def _ward_check(s: SparkSession, d: str) -> DataFrame:
@@ -115,21 +131,43 @@ def _ward_check(s: SparkSession, d: str) -> DataFrame:
 
 
 def _ward_sizes(s: SparkSession, d: str) -> DataFrame:
-    return K.cluster_sizes(K.ward_clusters(scaled(s, d), 4)[0], "Hierarchical_Cluster")
+    return K.cluster_sizes(K.ward_clusters(features(s, d), 4)[0], "Hierarchical_Cluster")
 
 
 _total = f"(count(*) - 1) * {len(X)}"
 add("kmeans_fit_check", "Customers:i; Clusters:i; Total_SS:f4; SS_Gap:f4; Cost_Gap:f4; Off_Centre:f4", _fit_check,
     f"SELECT count(*) AS Customers, 4 AS Clusters, {_total} AS Total_SS, 0 AS SS_Gap, 0 AS Cost_Gap, 0 AS Off_Centre FROM logs", LOGS)
-add("kmeans_ladder_check", "Steps:i; Rises:i", lambda s, d: _steps(K.restart_stability(scaled(s, d), len(X)), "Nstart"),
+add("kmeans_ladder_check", "Steps:i; Rises:i", lambda s, d: _steps(K.restart_stability(features(s, d), len(X)), "Nstart"),
     "SELECT 6 AS Steps, 0 AS Rises FROM logs LIMIT 1", LOGS)
-add("kmeans_elbow_check", "Steps:i; Rises:i; Largest:f4", lambda s, d: _steps(K.elbow(scaled(s, d), len(X)), "K"),
+add("kmeans_elbow_check", "Steps:i; Rises:i; Largest:f4", lambda s, d: _steps(K.elbow(features(s, d), len(X)), "K"),
     f"SELECT 10 AS Steps, 0 AS Rises, {_total} AS Largest FROM logs", LOGS)
 add("kmeans_best_split", "Total_Within_SS:f4", _one_variable, """SELECT min(s2 - s * s / i + (t2 - s2) - (t - s) * (t - s) / (n - i))
     AS Total_Within_SS FROM (SELECT row_number() OVER o AS i, count(*) OVER () AS n, sum(z) OVER o AS s, sum(z * z) OVER o AS s2,
     sum(z) OVER () AS t, sum(z * z) OVER () AS t2 FROM (SELECT CustomerID,
     (LogMonetary - avg(LogMonetary) OVER ()) / stddev_samp(LogMonetary) OVER () AS z FROM logs)
     WINDOW o AS (ORDER BY z, CustomerID ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE i < n""", LOGS)
+_zs = ", ".join(f"({v} - avg(CAST({v} AS DOUBLE)) OVER ()) / stddev_samp(CAST({v} AS DOUBLE)) OVER () AS {z}"
+                for v, z in (("LogMonetary", "z1"), ("Recency", "z2")))
+MOVES = LOGS + f""", z AS (SELECT CustomerID, {_zs} FROM logs),
+centres0 AS (SELECT row_number() OVER (ORDER BY CustomerID) AS c, z1 AS m1, z2 AS m2 FROM z QUALIFY c <= 4)""" + "".join(f""",
+near{i} AS (SELECT CustomerID, z1, z2, c, (z1 - m1) * (z1 - m1) + (z2 - m2) * (z2 - m2) AS d FROM z, centres{i}
+  QUALIFY row_number() OVER (PARTITION BY CustomerID ORDER BY d, c) = 1),
+centres{i + 1} AS (SELECT c, avg(z1) AS m1, avg(z2) AS m2 FROM near{i} GROUP BY c)""" for i in range(5))
+add("kmeans_moves_from_given_centres", "Cluster:i; Customers:i; Centre:f4; Within_SS:f4", _moves,
+    """SELECT c AS Cluster, count(*) AS Customers, unnest([any_value(m1), any_value(m2)]) AS Centre, sum(d) AS Within_SS
+    FROM near4 JOIN centres4 USING (c) GROUP BY c""", MOVES)
+add("kmeans_elbow_one_variable", "K:i; Total_Within_SS:f4; WSS_Reduction:f4; Percent_Reduction:f",
+    lambda s, d: K.elbow(_log_value(s, d), 1, (1, 2, 3)), """
+    SELECT K, Total_Within_SS, lag(Total_Within_SS) OVER (ORDER BY K) - Total_Within_SS AS WSS_Reduction,
+           1 - Total_Within_SS / lag(Total_Within_SS) OVER (ORDER BY K) AS Percent_Reduction FROM (
+      SELECT 1 AS K, t2 - t * t / n AS Total_Within_SS FROM split WHERE i = n
+      UNION ALL SELECT 2, min(s2 - s * s / i + t2 - s2 - (t - s) * (t - s) / (n - i)) FROM split WHERE i < n
+      UNION ALL SELECT 3, min(a.s2 - a.s * a.s / a.i + b.s2 - a.s2 - (b.s - a.s) * (b.s - a.s) / (b.i - a.i)
+                              + b.t2 - b.s2 - (b.t - b.s) * (b.t - b.s) / (b.n - b.i))
+        FROM split AS a JOIN split AS b ON a.i < b.i WHERE b.i < b.n)""", LOGS + """,
+z AS (SELECT CustomerID, (LogMonetary - avg(LogMonetary) OVER ()) / stddev_samp(LogMonetary) OVER () AS z FROM logs),
+split AS (SELECT row_number() OVER o AS i, count(*) OVER () AS n, sum(z) OVER o AS s, sum(z * z) OVER o AS s2,
+  sum(z) OVER () AS t, sum(z * z) OVER () AS t2 FROM z WINDOW o AS (ORDER BY z, CustomerID ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""")
 add("ward_cluster_sizes", None, _ward_sizes)
 add("ward_size_check", "Customers:i; Clusters:i",
     lambda s, d: _ward_sizes(s, d).agg(F.sum("n").alias("Customers"), F.count(F.lit(1)).alias("Clusters")),

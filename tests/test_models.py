@@ -244,3 +244,68 @@ def test_cluster_matrix_refuses_missing(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, 3.0)], "a double, b double")
     with pytest.raises(Exception):
         clustering.cluster_matrix(df, ["a", "b"]).collect()
+
+
+def test_a_few_rows_far_off_are_found(spark):
+    """One row in ten thousand lies far away: a start has to reach them."""
+    rng = np.random.default_rng(11)
+    points = np.vstack([rng.normal(size=(40_000, 2)), rng.normal(size=(4, 2)) + [500.0, 500.0]])
+    df = spark.createDataFrame([(Vectors.dense(p.tolist()),) for p in points], ["scaled"]).repartition(5)
+    found = clustering.candidates(clustering._points(df), 3)
+    assert (found.rows.min(axis=1) > 400).any() and found.weights.sum() == len(points) and len(found.rows) < 1_500
+    fit, _ = clustering.kmeans_best_of(df, 2, 1)
+    assert sorted(fit.sizes) == [4, 40_000]
+
+
+def test_many_equal_rows_do_not_hide_the_rest(spark):
+    points = [(0.0, 0.0)] * 3_000 + [(float(i % 7), 9.0) for i in range(70)]
+    df = spark.createDataFrame([(Vectors.dense(p),) for p in points], ["scaled"]).repartition(4)
+    found = clustering.candidates(clustering._points(df), 8)
+    assert len(found.rows) == 8 and sorted(found.weights) == [10] * 7 + [3_000]
+    fits = clustering.run_starts(df, [(8, 1), (20, 2)])
+    assert [f.cost for f in fits] == pytest.approx([0.0, 0.0], abs=1e-18)
+
+
+def test_equal_starts_go_on_as_one(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(200, 2)) + np.repeat([[0, 0], [9, 0], [0, 9], [9, 9]], 50, axis=0)
+    df = clustering.keep(spark.createDataFrame([(Vectors.dense(p.tolist()),) for p in points], ["scaled"]))
+    seen, plain = [], clustering._assign_all
+    monkeypatch.setattr(clustering, "_assign_all", lambda p, s: seen.append(len(s)) or plain(p, s))
+    fits = clustering.run_starts(df, [(4, s) for s in range(12)])
+    assert len(fits) == 12 and len({round(f.cost, 6) for f in fits}) <= 4 and max(seen[2:]) < 12 and len(seen) < 60
+
+
+def test_nearest_neighbour_chain_equals_brute_force():
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(40, 3))
+    tree = clustering.ward_merges(points, np.ones(40))
+    assert [h for *_, h in tree.merges] == pytest.approx(_brute_ward(points.tolist()))
+    assert sum(h * h for *_, h in tree.merges) / 2 == pytest.approx(((points - points.mean(0)) ** 2).sum())
+    grid = np.array([[x, y] for x in range(4) for y in range(4)], float)  # many ties
+    merges = clustering.ward_merges(grid, np.ones(16)).merges
+    assert len(merges) == 15 and sum(h * h for *_, h in merges) / 2 == pytest.approx(((grid - grid.mean(0)) ** 2).sum())
+    seen = set()
+    for step, (a, b, _) in enumerate(merges):
+        assert a < 16 + step and b < 16 + step and not {a, b} & seen
+        seen |= {a, b}
+
+
+def test_ward_on_five_thousand_rows(spark):
+    """The last merges of the micro-cluster tree against those of the tree of all rows; the rest is bounded by what is inside."""
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(5_000, 3)) + 6 * rng.normal(size=(12, 3))[rng.integers(0, 12, 5_000)]
+    df = clustering.keep(spark.createDataFrame([(i, Vectors.dense(p.tolist())) for i, p in enumerate(points)], ["id", "scaled"]).repartition(6))
+    exact = clustering.ward_merges(points, np.ones(len(points)))
+    out, tree = clustering.ward_clusters(df, 6, micro=600)
+    total = ((points - points.mean(0)) ** 2).sum()
+    assert len(tree.sizes) <= 600 and tree.sizes.sum() == 5_000 and tree.radius > 0
+    assert sum(h * h for *_, h in tree.merges) / 2 + tree.inside == pytest.approx(total)
+    assert tree.inside < 0.05 * total
+    ours, theirs = (np.array([h for *_, h in t.merges[-6:]]) for t in (tree, exact))
+    assert np.abs(ours**2 - theirs**2).max() / 2 <= tree.inside
+    assert np.allclose(ours, theirs, rtol=0.1)
+    assert out.groupBy("Hierarchical_Cluster").count().count() == 6
+    whole, same = clustering.ward_clusters(df, 6, micro=5_000)
+    assert same.radius == 0 and same.inside == pytest.approx(0.0, abs=1e-6)
+    assert [h for *_, h in same.merges[-20:]] == pytest.approx([h for *_, h in exact.merges[-20:]])
