@@ -14,19 +14,21 @@ import base64
 import hashlib
 import heapq
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketlens.llm.common import in_chunks, table, tell_workers
+from basketlens.llm.words import mixed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters scanned at once, characters of a scan's block, and slices whose ids a worker keeps.
 CHUNK, BLOCK, CACHE = 1_000_000, 256, 400_000
 #: A worker keeps a cache of up to so many slices from task to task; a larger one goes when its task ends.
 KEPT = 150_000
+#: Slices of up to so many bytes are handled as numbers; bits of their table, and ids after which it is emptied; no rank.
+SHORT, TABLE, STORED, NONE = 15, 18, 1_500_000, 1 << 40
 
 # Symbols that the scanner reads. A space or other white space is `last` if something that is not white space follows it; an
 # apostrophe is `one` or `two` if that many letters of a contraction follow it. Symbols of a text's first character come after.
@@ -124,8 +126,24 @@ def slice_starts(s: np.ndarray) -> np.ndarray:
     return np.flatnonzero(flags.T.ravel()[:n])
 
 
+def _numbers(raw: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slices of up to SHORT bytes as two numbers: their bytes, the rest zero, and their length in the last byte."""
+    word = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    bits = 8 * sizes.astype(np.uint64)
+    ones = ~np.uint64(0)
+    low = word[at] & np.where(bits >= 64, ones, (np.uint64(1) << np.minimum(bits, np.uint64(63))) - np.uint64(1))
+    rest = np.where(bits > 64, bits - np.minimum(bits, np.uint64(64)), np.uint64(0))
+    high = word[np.minimum(at + 8, len(word) - 1)] & ((np.uint64(1) << rest) - np.uint64(1))
+    return low, high | sizes.astype(np.uint64) << np.uint64(56)
+
+
+def _mixed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return mixed(low * np.uint64(0x9E3779B97F4A7C15) + mixed(high))
+
+
 class Codec(dict):
-    """Slices to their ids, for one vocabulary file; it is its own cache."""
+    """Slices to their ids, for one vocabulary file. Slices of up to SHORT bytes are two numbers, which hold their bytes and their
+    length; a table keeps the ids of those met last, and new ones are merged together. Longer ones are kept in the dictionary."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -135,6 +153,122 @@ class Codec(dict):
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
         self.lengths = np.array([len(x) for x in self.pieces], np.int64)
+        get = self.ranks.get
+        # every pair of pieces that make a piece, as one number, in order, and the rank of what they make
+        pairs = [(a << 32 | b, rank) for piece, rank in self.ranks.items() for k in range(1, len(piece))
+                 if (a := get(piece[:k])) is not None and (b := get(piece[k:])) is not None]
+        self.pairs, self.made = (np.array(x, np.int64) for x in zip(*sorted(pairs)))
+        self.single = np.array([get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.double = self._rank(*np.meshgrid(self.single, self.single, indexing="ij")).ravel()
+        # the short pieces themselves, in the order of their two numbers
+        short = [x for x in self.ranks if len(x) <= SHORT]
+        data = np.frombuffer(b"".join(short) + bytes(16), np.uint8)
+        sizes = np.array([len(x) for x in short], np.int64)
+        low, high = _numbers(data, np.cumsum(sizes) - sizes, sizes)
+        key, rank = _mixed(low, high), np.array([self.ranks[x] for x in short], np.int64)
+        order = np.argsort(key)
+        self.whole = key[order], low[order], high[order], rank[order]
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the table of short slices."""
+        self.low, self.high = np.zeros((2, 1 << TABLE), np.uint64)
+        self.start, self.many = np.zeros((2, 1 << TABLE), np.int64)
+        self.store, self.used = np.zeros(1 << TABLE, np.int64), 0
+
+    def _keep(self, ids: np.ndarray) -> int:
+        """Appends ids to the store; where they start."""
+        if self.used + len(ids) > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros(max(len(ids), len(self.store)), np.int64)])
+        at = self.used
+        self.store[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of what two pieces make, NONE where they make none."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == key) & (left >= 0) & (right >= 0), self.made[at], NONE)
+
+    def merged_together(self, data: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges many slices, a row of bytes each: in every turn each row merges its pair of lowest rank, the leftmost of equal
+        ones. Ids row by row, and how many a row has."""
+        width, many = data.shape[1], many.copy()
+        column = np.arange(width)
+        ids = np.where(column < many[:, None], self.single[data], -1)
+        ranks = np.full(ids.shape, NONE)
+        pairs = self.double[data[:, :-1].astype(np.intp) << 8 | data[:, 1:]]
+        ranks[:, :-1] = np.where(column[1:] < many[:, None], pairs, NONE)
+        rows, out = np.arange(len(ids)), np.full(ids.shape, -1)
+        while len(rows):
+            at = ranks.argmin(1)
+            best = ranks[np.arange(len(rows)), at]
+            done = best == NONE
+            if done.any():
+                out[rows[done], : ids.shape[1]] = ids[done]
+                rows, ids, ranks, at, best = rows[~done], ids[~done], ranks[~done], at[~done], best[~done]
+            # what lies behind the pair moves one place to the left
+            every, back = np.arange(len(rows)), column[: ids.shape[1] - 1] >= at[:, None]
+            fewer, less = ids[:, :-1].copy(), ranks[:, :-1].copy()
+            np.copyto(fewer, ids[:, 1:], where=back)
+            np.copyto(less, ranks[:, 1:], where=back)
+            ids, ranks = fewer, less
+            ids[every, at] = best
+            many[rows] -= 1
+            last = ids.shape[1] - 1
+            after = np.where(at < last, ids[every, np.minimum(at + 1, last)], -1)
+            ranks[every, at] = self._rank(best, after)
+            inner = at > 0
+            ranks[every[inner], at[inner] - 1] = self._rank(ids[every[inner], at[inner] - 1], best[inner])
+        return out, many
+
+    def _new(self, raw: np.ndarray, at: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarray):
+        """Ids of short slices that the table does not hold: (start in the store, how many) of each; they are put into the table."""
+        order = np.lexsort((low, high))
+        low, high, key = low[order], high[order], key[order]
+        first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+        group = np.zeros(len(order), np.int64)
+        group[first[1:]] = 1
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(group)
+        at, sizes, low, high, key = at[order][first], sizes[order][first], low[first], high[first], key[first]
+        keys, lows, highs, ranks = self.whole
+        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        known = (lows[place] == low) & (highs[place] == high)
+        many = np.ones(len(at), np.int64)
+        start = np.empty(len(at), np.int64)
+        start[known] = self._keep(ranks[place[known]]) + np.arange(known.sum())
+        for width in (4, 8, 12, SHORT):  # slices of similar length together
+            some = np.flatnonzero(~known & (sizes <= width) & (sizes > (width - 4 if width != SHORT else 12)))
+            if len(some):
+                ids, many[some] = self.merged_together(raw[at[some][:, None] + np.arange(width)], sizes[some])
+                start[some] = self._keep(ids[np.arange(width) < many[some][:, None]]) + np.cumsum(many[some]) - many[some]
+        slot = (key >> np.uint64(64 - TABLE)).astype(np.int64)
+        self.low[slot], self.high[slot], self.start[slot], self.many[slot] = low, high, start, many
+        return start[inverse], many[inverse]
+
+    def ids_of(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the slices that start at `at` in raw (which ends in 16 zeros), and how many each has."""
+        if self.used > STORED:
+            self.forget()
+        sizes = np.diff(at, append=len(raw) - 16)
+        start, many = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        for k in np.flatnonzero(sizes > SHORT).tolist():
+            ids = self[raw[at[k] : at[k] + sizes[k]].tobytes()]
+            start[k], many[k] = self._keep(np.array(ids, np.int64)), len(ids)
+        short = np.flatnonzero(sizes <= SHORT)
+        low, high = _numbers(raw, at[short], sizes[short])
+        key = _mixed(low, high)
+        slot = (key >> np.uint64(64 - TABLE)).astype(np.int64)
+        start[short], many[short] = self.start[slot], self.many[slot]
+        miss = np.flatnonzero((self.low[slot] != low) | (self.high[slot] != high))
+        if len(miss):
+            new = short[miss]
+            start[new], many[new] = self._new(raw, at[new], sizes[new], low[miss], high[miss], key[miss])
+        total = np.cumsum(many)
+        index = np.repeat(start - total + many, many) + np.arange(total[-1] if len(total) else 0)
+        return self.store[index], many
 
     def __missing__(self, piece: bytes) -> tuple[int, ...]:
         if len(self) >= CACHE:
@@ -172,33 +306,33 @@ class Codec(dict):
 
     def encode(self, texts: list[str]):
         """The ids of each text, in order."""
+        for ids in self.encoded(texts):
+            yield ids.tolist()
+
+    def encoded(self, texts: list[str]):
+        """The ids of each text, in order, as arrays."""
         for part in in_chunks(texts, len, CHUNK):
             joined = "".join(part)
             stops = np.cumsum([len(t) for t in part])
             codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
             if not len(codes):
-                yield from ([] for _ in part)
+                yield from (np.empty(0, np.int64) for _ in part)
                 continue
             first = np.unique(np.concatenate([[0], stops[:-1]]))
             starts = slice_starts(symbols(codes, first[first < len(codes)]))
-            raw = joined.encode()
-            if len(raw) == len(codes):
-                at = starts.tolist()
-            else:
+            raw = np.frombuffer(joined.encode() + bytes(16), np.uint8)
+            at = starts
+            if len(raw) != len(codes) + 16:
                 width = np.ones(len(codes), np.uint8)
                 for bound in (0x80, 0x800, 0x10000):
                     width += codes >= bound
-                at = (np.cumsum(width, dtype=np.int64)[starts] - width[starts]).tolist()
-            slices = map(raw.__getitem__, map(slice, at, [*at[1:], len(raw)]))
-            ids = list(map(self.__getitem__, slices))
-            cuts = np.searchsorted(starts, stops).tolist()
-            low = 0
-            for high in cuts:
-                yield list(chain.from_iterable(ids[low:high]))
-                low = high
+                at = np.cumsum(width, dtype=np.int64)[starts] - width[starts]
+            ids, many = self.ids_of(raw, at)
+            ends = np.concatenate([[0], np.cumsum(many)])
+            yield from np.split(ids, ends[np.searchsorted(starts, stops)][:-1])
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+        return b"".join(map(self.pieces.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
 
     def offsets(self, ids) -> np.ndarray:
         """Where each id's bytes start."""
@@ -225,7 +359,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches):
         c = codec(path)
         for docs, texts in _pieces(batches, c):
-            ids = list(c.encode(texts))
+            ids = list(c.encoded(texts))
             yield pd.DataFrame({"doc_id": docs, "ids": ids, "offsets": [c.offsets(x) for x in ids]})
 
     return _texts(docs).mapInPandas(run, "doc_id long, ids array<int>, offsets array<long>")
@@ -239,7 +373,7 @@ def checked(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches):
         c = codec(path)
         for docs, texts in _pieces(batches, c):
-            ids = list(c.encode(texts))
+            ids = list(c.encoded(texts))
             yield pd.DataFrame({"doc_id": docs, "n_tokens": list(map(len, ids)), "ids": ids, "exact": [c.decode(x) == t.encode() for x, t in zip(ids, texts)]})
 
     return _texts(docs).mapInPandas(run, "doc_id long, n_tokens long, ids array<int>, exact boolean")

@@ -23,17 +23,21 @@ import posixpath
 import re
 import uuid
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from basketlens.llm import bpe
 from basketlens.llm.common import numbered, shared_folder, table, tell_workers, written
+from basketlens.session import settled
 
 LENGTH, SLOTS, KEY = 512, 4096, 20240229
+#: Ranges of shards that are shuffled one after the other.
+WAVES = 6
 END, BYTE_END = 50256, 255
 ROUNDS = 6
 #: What names a split of the files.
@@ -47,26 +51,16 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder if re.match(r"\w+:", folder) else f"file://{folder}")
 
 
-def packed(part: bytes) -> bytes:
-    """A part as it is shuffled. Parts of many documents meet in a shuffle block, so each is deflated on its own."""
-    deflate = zlib.compressobj(1, zlib.DEFLATED, -15)
-    return deflate.compress(part) + deflate.flush()
-
-
-def unpacked(payload: bytes) -> bytes:
-    return zlib.decompress(payload, -15)
-
-
-def _parts(doc, ids: list, length: int) -> list:
-    ids.append(END)
-    n = len(ids)
-    padded = np.full(-(-n // length) * length, END, "<u2")
-    padded[:n] = ids
-    return [(doc, i, min(length, n - i * length), packed(padded[i * length : (i + 1) * length].tobytes())) for i in range(len(padded) // length)]
+def _parts(doc, ids: np.ndarray, length: int, fill: bool) -> list:
+    """(doc, part, ids in it, their bytes) of a document's ids and the end; `fill` fills the last part up."""
+    n = len(ids) + 1
+    all_of = np.full(-(-n // length) * length if fill else n, END, "<u2")
+    all_of[: n - 1] = ids
+    return [(doc, i, min(length, n - i * length), all_of[i * length : (i + 1) * length].tobytes()) for i in range(-(-n // length))]
 
 
 def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, part, n_tokens, payload): parts of `length` little-endian 16-bit ids, packed; n_tokens counts them without the filling."""
+    """(doc_id, part, n_tokens, payload): parts of `length` little-endian 16-bit ids; n_tokens counts them without the filling."""
     tell_workers(docs.sparkSession)
     path = vocabulary or bpe.default_vocabulary()
 
@@ -74,35 +68,40 @@ def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = No
         c = bpe.codec(path)
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch["doc_id"], c.encode(batch["text"].tolist())):
-                rows += _parts(doc, ids, length)
+            for doc, ids in zip(batch["doc_id"], c.encoded(batch["text"].tolist())):
+                rows += _parts(doc, ids, length, fill=True)
             yield pd.DataFrame(rows, columns=["doc_id", "part", "n_tokens", "payload"]).astype({"doc_id": "Int64"})
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInPandas(run, "doc_id long, part long, n_tokens long, payload binary")
 
 
+def _split(docs: DataFrame) -> Column:
+    """A number for the split of a file that a row comes from, whatever columns the table has."""
+    place = docs.metadataColumn("_metadata")
+    return F.xxhash64(*[place.getField(c) for c in PLACE])
+
+
 def bpe_slots(docs: DataFrame, length: int = LENGTH, key: int = KEY, vocabulary: str | None = None) -> tuple[DataFrame, int]:
-    """((doc_id, part, n_tokens, payload, slot) of all parts of documents read from files, payload packed; number of parts). Texts are
-    encoded once and written; parts are numbered from one count per file split."""
+    """((doc_id, part, n_tokens, payload, slot) of all parts of documents read from files, without filling; number of parts). Texts
+    are encoded once and written; parts are numbered from one count per file split."""
     tell_workers(docs.sparkSession)
     path = vocabulary or bpe.default_vocabulary()
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[F.col(f"_metadata.{c}").alias(c) for c in PLACE])
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _split(docs).alias("split"))
 
     def run(batches):
         c, at = bpe.codec(path), {}
         for batch in batches:
             rows = []
-            for doc, ids, *split in zip(batch["doc_id"], c.encode(batch["text"].tolist()), *(batch[p] for p in PLACE)):
-                parts, first = _parts(doc, ids, length), at.get(tuple(split), 0)
-                at[tuple(split)] = first + len(parts)
-                rows += [(*part, first + i, *split) for i, part in enumerate(parts)]
-            yield pd.DataFrame(rows, columns=["doc_id", "part", "n_tokens", "payload", "at", *PLACE]).astype({"doc_id": "Int64"})
-
-    schema = "doc_id long, part long, n_tokens long, payload binary, at long, file_path string, file_block_start long, file_block_length long"
-    parts = written(texts.mapInPandas(run, schema))
-    before = Window.orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, -1)
-    counts = parts.groupBy(*PLACE).agg(F.count("*").alias("n"))  # a row for each split of the files
+            for doc, ids, split in zip(batch["doc_id"], c.encoded(batch["text"].tolist()), batch["split"].tolist()):
+                parts, first = _parts(doc, ids, length, fill=False), at.get(split, 0)
+                at[split] = first + len(parts)
+                rows += [(*part, first + i, split) for i, part in enumerate(parts)]
+            yield pd.DataFrame(rows, columns=["doc_id", "part", "n_tokens", "payload", "at", "split"]).astype({"doc_id": "Int64"})
+
+    parts = written(texts.mapInPandas(run, "doc_id long, part long, n_tokens long, payload binary, at long, split long"))
+    before = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy("split").agg(F.count("*").alias("n"))  # two numbers for each split of the files
     offsets = written(counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))))
     count = offsets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
@@ -110,8 +109,8 @@ def bpe_slots(docs: DataFrame, length: int = LENGTH, key: int = KEY, vocabulary:
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(permuted(index.to_numpy(), count, key))
 
-    placed = parts.join(F.broadcast(offsets.drop("n")), PLACE).withColumn("slot", slot(F.col("offset") + F.col("at")))
-    return placed.drop("offset", "at", *PLACE), count
+    placed = parts.join(F.broadcast(offsets.drop("n")), "split").withColumn("slot", slot(F.col("offset") + F.col("at")))
+    return placed.drop("offset", "at", "split"), count
 
 
 def permuted(x: np.ndarray, count: int, key: int = KEY) -> np.ndarray:
@@ -134,29 +133,28 @@ def permuted(x: np.ndarray, count: int, key: int = KEY) -> np.ndarray:
 
 
 def byte_slots(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> tuple[DataFrame, int]:
-    """((doc_id, part, n_tokens, slot, payload) of all parts of documents read from files, payload packed; number of parts)."""
+    """((doc_id, part, n_tokens, slot, payload) of all parts of documents read from files; number of parts)."""
     tell_workers(docs.sparkSession)
     text = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select("doc_id", text.alias("text"), *[F.col(f"_metadata.{c}").alias(c) for c in PLACE])
+    rows = docs.select("doc_id", text.alias("text"), _split(docs).alias("split"))
     parts = F.ceil((F.octet_length("text") + 1) / length)
-    splits = rows.groupBy(*PLACE).agg(F.sum(parts).alias("n")).orderBy(*PLACE).collect()  # a row for each split of the files
     before, count = {}, 0
-    for r in splits:
-        before[tuple(r[c] for c in PLACE)] = count
+    for r in rows.groupBy("split").agg(F.sum(parts).alias("n")).orderBy("split").collect():  # two numbers for each split of the files
+        before[r["split"]] = count
         count += r["n"]
 
     def run(batches):
         at = {}
         for batch in batches:
             rows, slots = [], []
-            for doc, text, *split in zip(batch["doc_id"], batch["text"], *(batch[c] for c in PLACE)):
+            for doc, text, split in zip(batch["doc_id"], batch["text"], batch["split"].tolist()):
                 n = len(text) + 1
                 padded = text + bytes([BYTE_END]) * (-(-n // length) * length - len(text))
-                first = at.setdefault(tuple(split), before[tuple(split)])
+                first = at.setdefault(split, before[split])
                 k = len(padded) // length
-                at[tuple(split)] = first + k
+                at[split] = first + k
                 slots.append(np.arange(first, first + k))
-                rows += [(doc, i, min(length, n - i * length), packed(padded[i * length : (i + 1) * length])) for i in range(k)]
+                rows += [(doc, i, min(length, n - i * length), padded[i * length : (i + 1) * length]) for i in range(k)]
             out = pd.DataFrame(rows, columns=["doc_id", "part", "n_tokens", "payload"]).astype({"doc_id": "Int64"})
             out.insert(3, "slot", permuted(np.concatenate(slots), count, key) if slots else [])
             yield out
@@ -177,9 +175,9 @@ def slotted(rows: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
     return placed.withColumn("slot", slot("index")).drop("index"), count
 
 
-def write_shards(rows: DataFrame, folder: str, count: int, slots: int = SLOTS) -> DataFrame:
-    """Writes the shards of rows (slot, packed payload, ...) and returns where each row is: shard, at (its first byte), n_bytes and a
-    checksum in place of payload."""
+def write_shards(rows: DataFrame, folder: str, count: int, slots: int = SLOTS, stride: int | None = None, fill: bytes = b"") -> DataFrame:
+    """Writes the shards of rows (slot, payload, ...) and returns where each row is: shard, at (its first byte), n_bytes and a
+    checksum in place of payload. A payload shorter than the stride is filled up."""
     shards = max(1, -(-count // slots))
     shard = F.floor(F.col("slot") / slots)  # a range of slots; all of its rows go to one task, in order
     placed = rows.repartition(shards, shard).sortWithinPartitions("slot").withColumn("shard", shard)
@@ -198,7 +196,9 @@ def write_shards(rows: DataFrame, folder: str, count: int, slots: int = SLOTS) -
         task = TaskContext.get().taskAttemptId()
         for batch in batches:
             at, sizes, sums = [], [], []
-            for number, payload in zip(batch["shard"].tolist(), map(unpacked, batch["payload"].tolist())):
+            for number, payload in zip(batch["shard"].tolist(), batch["payload"].tolist()):
+                if stride and len(payload) < stride:
+                    payload += fill * ((stride - len(payload)) // len(fill))
                 if number != shard:
                     finish()
                     shard, name, offset = number, posixpath.join(base, f"shard-{number:08d}.bin"), 0
@@ -235,11 +235,27 @@ def read_slots(folder: str, first: int, n: int, slots: int = SLOTS, length: int
     return np.concatenate(out) if out else np.empty((0, length), kind)
 
 
+def write_in_waves(rows: DataFrame, folder: str, count: int, slots: int = SLOTS, waves: int = WAVES, **options) -> DataFrame:
+    """`write_shards` for a range of shards after the other, so that only a part of the payload is in a shuffle at any time; the
+    rows, which have to be written, are read once a wave."""
+    shards = max(1, -(-count // slots))
+    step = -(-shards // waves) * slots
+    found = []
+    for first in range(0, max(count, 1), step):
+        some = rows.where((F.col("slot") >= first) & (F.col("slot") < first + step))
+        found.append(written(write_shards(some, folder, min(step, count - first), slots, **options)))
+    return reduce(DataFrame.unionByName, found)
+
+
 def op2_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """Where each sequence of all documents is: (slot, shard, at, n_bytes, crc, doc_id, part, n_tokens). The shards are written
-    when the result is; a second action writes the same bytes again."""
+    """Writes the shards of all documents' BPE ids and gives where each sequence is: (slot, shard, at, n_bytes, crc, doc_id, part,
+    n_tokens). What is written on the way is removed once the shards stand."""
     target = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
     store, base = _store(target)
     store.create_dir(base, recursive=True)
-    rows, count = bpe_slots(table(spark, folder, "documents"))
-    return write_shards(rows, target, count)
+
+    def build() -> DataFrame:
+        rows, count = bpe_slots(table(spark, folder, "documents"))
+        return write_in_waves(rows, target, count, stride=2 * LENGTH, fill=END.to_bytes(2, "little"))
+
+    return settled(spark, build)

@@ -84,6 +84,20 @@ def test_shards_of_odd_rows(spark, odd, tmp_path):
     assert count == 0 and shards.write_shards(rows, str(tmp_path), count).count() == 0
 
 
+def test_bpe_shards_of_odd_rows(spark, odd, tmp_path):
+    odd.withColumn("_metadata", F.lit("clash")).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    rows, count = shards.bpe_slots(docs, length=64)
+    where = shards.write_in_waves(rows, str(tmp_path), count, slots=100, waves=3, stride=128, fill=shards.END.to_bytes(2, "little")).collect()
+    assert sorted(r.slot for r in where) == list(range(count)) and {r.n_bytes for r in where} == {128}
+    got = sorted((str(r.doc_id), r.part, shards.read_slots(str(tmp_path), r.slot, 1, 100, 64)[0][: r.n_tokens].tolist()) for r in where)
+    want = [(str(d), i, [*ids, shards.END][i * 64 : (i + 1) * 64]) for (d, t, *_), ids in zip(ROWS, bpe.codec(bpe.default_vocabulary()).encode([r[1] or "" for r in ROWS]))
+            for i in range(len(ids) // 64 + 1)]
+    assert got == sorted(want)
+    rows, count = shards.bpe_slots(docs.where("false"))
+    assert count == 0 and shards.write_in_waves(rows, str(tmp_path), count).count() == 0
+
+
 def test_chat_edges(spark):
     schema = "conv_id long, turn long, role string, text string, h1 string, block string, pos string"
     rows = [(None, None, None, None, "c", "c", "c"), (1, 0, "user", LONG, "c", "c", "c"), (1, 0, "user", LONG, "c", "c", "c"),
