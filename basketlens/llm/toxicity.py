@@ -28,7 +28,7 @@ SAMPLE, EPOCHS, RARE = 6_000, 4, 3
 #: FTRL-proximal: rate, its smoothing, L1 and L2; and how often an example of label 1 counts.
 ALPHA, BETA, L1, L2, POSITIVE = 0.3, 1.0, 6.0, 0.1, 3.0
 BEGINNINGS = (3, 4, 5, 6, 7)
-#: The bias at most: a text without any weighted feature is never taken for toxic.
+#: The bias of a model that could learn nothing.
 UNKNOWN = -1.0
 #: A-Z to a-z, other ASCII but a-z and 0-9 to a space.
 CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
@@ -107,7 +107,7 @@ def fit(examples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS
     w = _weights(z, np.sqrt(n))
     used = np.flatnonzero(w[1:])
     bias = float(-z[0] / ((BETA + np.sqrt(n[0])) / ALPHA))
-    return Model(min(bias, UNKNOWN), used.astype(np.uint32), w[1:][used])
+    return Model(bias, used.astype(np.uint32), w[1:][used])
 
 
 def _weights(z: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -137,7 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pd.DataFrame({"id": batch["id"], "h": batch["h"], "y": batch["y"], "found": found})
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates(["h", "id"]).sort_values(["h", "id"])
+        part = part.sort_values(["h", "id", "found"]).drop_duplicates(["h", "id"])  # of different texts of an id, the least features
         model = fit([(y, *np.frombuffer(x, np.uint32).reshape(2, -1)) for y, x in zip(part["y"], part["found"])])
         return pd.DataFrame({"bias": [model.bias], "i": [model.index.tobytes()], "w": [model.weight.tobytes()]})
 

@@ -442,3 +442,37 @@ def test_toxicity_learns_words_not_length(spark):
     assert len(wrong) <= 6 and got[None] > 0.5 and got[902] > 0.5 and got[900] == got[901] < 0.5
     nothing = toxicity.learn(df, spark.createDataFrame([], "doc_id long, toxic int"))
     assert nothing.bias == toxicity.UNKNOWN and len(nothing.index) == 0
+
+
+def test_ftrl_against_plain(monkeypatch):
+    """Weights of a plain, coordinate by coordinate FTRL-proximal over the same examples; the bias is as it was fitted."""
+    from basketlens.llm import toxicity
+
+    rng = np.random.default_rng(2)
+    examples = []
+    for _ in range(60):
+        found = np.sort(rng.choice(12, 5, replace=False)).astype(np.uint32)
+        examples.append((int(found[0] < 2 or rng.random() < 0.2), found, rng.integers(1, 4, 5).astype(np.uint32)))
+    monkeypatch.setattr(toxicity, "L1", 0.5)
+    model = toxicity.fit(examples, epochs=3, rare=2)
+    z, n = {}, {}
+
+    def weight(i):
+        l1, l2 = (0.0, 0.0) if i < 0 else (toxicity.L1, toxicity.L2)
+        v = z.get(i, 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((toxicity.BETA + math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA + l2)
+
+    for _ in range(3):
+        for y, found, counts in examples:
+            x = {-1: 1.0, **{int(i): math.log1p(int(c)) for i, c in zip(found, counts)}}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - y) * x[i] * (toxicity.POSITIVE if y else 1.0)
+                rate = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - rate * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    want = {i: weight(i) for i in z if i >= 0 and weight(i)}
+    assert dict(zip(model.index.tolist(), model.weight.tolist())) == pytest.approx(want) and model.bias == pytest.approx(weight(-1))
+    flipped = toxicity.fit([(1, f, c) for _, f, c in examples[:50]] + [(0, f, c) for _, f, c in examples[50:]])
+    assert flipped.bias > toxicity.UNKNOWN  # mostly toxic labels are not held down
