@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import presets
 from ..operators import conjoint
-from ..sources.writers import write_tables
+from ..sources.writers import publish_tables, write_tables
 from .product_design import conjoint_tables
 from .segmentation import SegmentationSettings, segment_customers
 from .targeting import target_prospects
@@ -39,4 +39,10 @@ def run_study(
 
 
 def write_study(tables: dict[str, DataFrame], folder: str, fmt: str = "csv") -> list[str]:
+    """Every table in a folder of its name; see ``publish_study`` for a set that is replaced as a whole."""
     return write_tables(tables, folder, fmt, REPORT_TABLES)
+
+
+def publish_study(tables: dict[str, DataFrame], folder: str, fmt: str = "csv") -> list[str]:
+    """Publishes the tables as one set: readers see all of the new ones or all of the old ones."""
+    return publish_tables(tables, folder, fmt, REPORT_TABLES)
