@@ -155,9 +155,11 @@ class Codec(dict):
         self.lengths = np.array([len(x) for x in self.pieces], np.int64)
         get = self.ranks.get
         # every pair of pieces that make a piece, as one number, in order, and the rank of what they make
-        pairs = [(a << 32 | b, rank) for piece, rank in self.ranks.items() for k in range(1, len(piece))
-                 if (a := get(piece[:k])) is not None and (b := get(piece[k:])) is not None]
-        self.pairs, self.made = (np.array(x, np.int64) for x in zip(*sorted(pairs)))
+        pairs = {a << 32 | b: rank for piece, rank in self.ranks.items() for k in range(1, len(piece))
+                 if (a := get(piece[:k])) is not None and (b := get(piece[k:])) is not None}
+        self.pairs = np.fromiter(pairs, np.int64, len(pairs))
+        order = np.argsort(self.pairs)
+        self.pairs, self.made = self.pairs[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
         self.single = np.array([get(bytes([b]), -1) for b in range(256)], np.int64)
         self.double = self._rank(*np.meshgrid(self.single, self.single, indexing="ij")).ravel()
         # the short pieces themselves, in the order of their two numbers

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from basketlens.llm import bpe
-from basketlens.llm.common import numbered, shared_folder, table, tell_workers, written
+from basketlens.llm.common import in_chunks, numbered, shared_folder, table, tell_workers, written
 from basketlens.session import settled
 
 LENGTH, SLOTS, KEY = 512, 4096, 20240229
@@ -92,12 +92,14 @@ def bpe_slots(docs: DataFrame, length: int = LENGTH, key: int = KEY, vocabulary:
     def run(batches):
         c, at = bpe.codec(path), {}
         for batch in batches:
-            rows = []
-            for doc, ids, split in zip(batch["doc_id"], c.encoded(batch["text"].tolist()), batch["split"].tolist()):
-                parts, first = _parts(doc, ids, length, fill=False), at.get(split, 0)
-                at[split] = first + len(parts)
-                rows += [(*part, first + i, split) for i, part in enumerate(parts)]
-            yield pd.DataFrame(rows, columns=["doc_id", "part", "n_tokens", "payload", "at", "split"]).astype({"doc_id": "Int64"})
+            all_of = list(zip(batch["doc_id"], batch["text"].tolist(), batch["split"].tolist()))
+            for some in in_chunks(all_of, lambda x: len(x[1]), 4 * bpe.CHUNK):
+                rows = []
+                for (doc, _, split), ids in zip(some, c.encoded([x[1] for x in some])):
+                    parts, first = _parts(doc, ids, length, fill=False), at.get(split, 0)
+                    at[split] = first + len(parts)
+                    rows += [(*part, first + i, split) for i, part in enumerate(parts)]
+                yield pd.DataFrame(rows, columns=["doc_id", "part", "n_tokens", "payload", "at", "split"]).astype({"doc_id": "Int64"})
 
     parts = written(texts.mapInPandas(run, "doc_id long, part long, n_tokens long, payload binary, at long, split long"))
     before = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
