@@ -7,8 +7,8 @@ few coordinates have a weight and the model is a short list that is sent with th
 sample of labelled rows, chosen by a hash of doc_id (`sample`); every document is scored on its whole text.
 
 A null or empty text has no features and gets the bias. Labels without doc_id or value are ignored, of several labels of a
-document the largest holds. Without examples of both labels nothing can be learned: every score is that of the bias UNKNOWN,
-under 0.5, so that no document is rejected. Extra columns and repeated rows change nothing.
+document the largest holds. Without examples of both labels, or if no feature earns a weight, nothing is learned: every score is
+that of the bias UNKNOWN, under 0.5, so that no document is rejected. Extra columns and repeated rows change nothing.
 """
 
 from collections.abc import Iterator
@@ -106,6 +106,8 @@ def fit(examples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS
             n[i] = ni + g * g
     w = _weights(z, np.sqrt(n))
     used = np.flatnonzero(w[1:])
+    if not len(used):  # too few examples for any weight: their share of toxic ones says nothing of other texts
+        return Model(UNKNOWN, np.empty(0, np.uint32), np.empty(0))
     bias = float(-z[0] / ((BETA + np.sqrt(n[0])) / ALPHA))
     return Model(bias, used.astype(np.uint32), w[1:][used])
 
