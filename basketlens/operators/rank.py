@@ -1,6 +1,9 @@
 """Exact quantiles and tie-stable n-tiles without sorting the data in one task.
 
-One way for every size: the rows of an order are range-partitioned into slices, sorted inside
+One way for every size. Quantiles are selected: a few passes count the leading bits of the values, then the next bits of those
+that lie where a wanted rank does, until all bits are known. No value is sorted, sent to another task or gathered.
+
+Where every row needs its rank (n-tiles, splits), the rows of an order are range-partitioned into slices, sorted inside
 their slice and written once. What precedes a slice is the sum over the slices before it, so a
 rank or running count is that sum plus the row's place in its own slice. Only one row per
 (group, slice) is ever summed in one place, and ties are split by the key that completes the
@@ -20,11 +23,6 @@ from ..session import written
 from .common import join_on_keys
 
 
-def _number(column: str) -> Column:
-    """The column as double, NaN as null."""
-    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
-
-
 def running(df: DataFrame, ids: Sequence[str], order: Sequence[str], amount: Column, slices: int | None = None) -> DataFrame:
     """``df`` with ``cum``, the sum of ``amount`` up to and with the row, and ``n``, that of its group.
 
@@ -47,41 +45,112 @@ def running(df: DataFrame, ids: Sequence[str], order: Sequence[str], amount: Col
     return placed.withColumn("cum", F.col("__local") + F.col("__before")).drop("__amount", "__slice", "__local", "__before")
 
 
+# --------------------------------------------------------------------------- quantiles
+
+_FRACTION = 1 << 52  # fixed values of the double format: fraction bits, exponent offset, exponent of infinity
+_OFFSET, _TOP = 1023, 2047
+
+
+def order_bits(x: Column) -> Column:
+    """A long in the order of the double ``x``: its bits, negated below zero. Null and NaN have none; both zeros have 0."""
+    a = F.abs(x)
+    guess = F.greatest(F.floor(F.log2(a)).cast("double"), F.lit(1.0 - _OFFSET))
+    power = lambda e: F.pow(F.lit(2.0), e)
+    # the logarithm may be off by its last digit
+    e = F.when(power(guess) > a, F.greatest(guess - 1, F.lit(1.0 - _OFFSET))).when(power(guess + 1) <= a, guess + 1).otherwise(guess)
+    scaled = a / power(e)  # exact: in [1, 2), below 1 for the smallest numbers
+    normal = scaled >= 1
+    magnitude = (
+        F.when(a == 0, F.lit(0).cast("long"))
+        .when(a == float("inf"), F.lit(_TOP * _FRACTION))
+        .otherwise(
+            F.when(normal, e + _OFFSET).otherwise(0).cast("long") * _FRACTION
+            + ((scaled - F.when(normal, 1.0).otherwise(0.0)) * float(_FRACTION)).cast("long")))
+    return F.when(~F.isnan(x), F.when(x < 0, -magnitude).otherwise(magnitude))
+
+
+def from_order_bits(key: Column) -> Column:
+    """The double that ``order_bits`` turned into ``key``."""
+    e = F.shiftright(F.abs(key), 52)
+    fraction = F.abs(key).bitwiseAND(_FRACTION - 1).cast("double") / float(_FRACTION)
+    normal = e > 0
+    power = F.pow(F.lit(2.0), F.when(normal, e - _OFFSET).otherwise(1 - _OFFSET).cast("double"))
+    value = F.when(e == _TOP, F.lit(float("inf"))).otherwise((fraction + F.when(normal, 1.0).otherwise(0.0)) * power)
+    return F.when(key < 0, -value).otherwise(value)
+
+
+def select_ranks(rows: DataFrame, ids: Sequence[str], key: str, wants: Column, bits: int = 22) -> DataFrame:
+    """``ids..., key, wants``: the long at wanted ranks of each group, by radix selection.
+
+    ``wants`` is an array of structs with a rank ``r`` (from 1), formed from ``n``, the number of keys of the group. Each pass
+    counts the next ``bits`` bits of the keys that share all higher ones with a wanted key, which tells those bits of the wanted
+    ones. Rows are only counted where they lie: what is shuffled is at most 2 ** bits counts a task, group and wanted prefix.
+    ``rows`` is read once a pass. Null keys are not counted; a group without keys has a null one for all its ranks.
+    """
+    ids, state, upper = list(ids), None, None
+    for shift in [*range(64 - bits, 0, -bits), 0]:
+        cell = F.shiftright(F.col(key), shift).alias("__cell")
+        counted = F.count(key).alias("__cnt")
+        if state is None:
+            cells = rows.groupBy(*ids, cell).agg(counted).withColumn("n", F.sum("__cnt").over(W.partitionBy(*ids)))
+            cells, inside = cells.withColumn("wants", wants), ids
+        else:
+            prefixed = rows.withColumn("__prefix", F.shiftright(F.col(key), upper))
+            inside = [*ids, "__prefix"]
+            cells = join_on_keys(prefixed, state, inside).groupBy(*inside, cell).agg(counted, F.first("wants").alias("wants"))
+        cum = F.sum("__cnt").over(W.partitionBy(*inside).orderBy("__cell"))
+        cells = cells.withColumn("__before", cum - F.col("__cnt"))
+        before, cnt = F.col("__before"), F.col("__cnt")
+        # a null cell counts nothing; it holds the ranks of groups that have no key, none of which is above 0
+        here = F.filter("wants", lambda w: (w["r"] <= before + cnt) & ((w["r"] > before) | F.col("__cell").isNull()))
+        held = cells.withColumn("wants", F.transform(here, lambda w: w.withField("r", w["r"] - before))).where(F.size("wants") > 0)
+        state, upper = held.select(*ids, F.col("__cell").alias("__prefix"), "wants"), shift
+    return state.withColumnRenamed("__prefix", key)
+
+
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), slices: int | None = None,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), bits: int = 22,
 ) -> DataFrame:
     """Linear-interpolation quantiles: ``by..., Variable, p, value``. Null and NaN are ignored.
 
-    Equal values are counted where they lie, so that what is put in order is one row per distinct
-    value. A group without values has nulls.
+    The values' bits are written once, a column each, and the wanted ranks selected from them ``bits`` bits a pass. A group
+    without values has nulls.
     """
-    cells = [F.struct(F.lit(c).alias("Variable"), _number(c).alias("key")) for c in columns]
-    ids = [*by, "Variable"]
-    values = df.select(*by, F.inline(F.array(*cells))).groupBy(*ids, "key").agg(F.count("key").alias("cnt"))
-    ranked = running(values, ids, ["key"], F.col("cnt"), slices)
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
-    ranked = ranked.select(*ids, "key", "cnt", "cum", "n", wanted)
-    position = (F.col("n") - 1) * F.col("p")
-    first = F.floor(position + 1e-9) + 1
-    second = F.least(first + 1, F.col("n"))
-    weight = F.greatest(position - (first - 1), F.lit(0.0))
-    holds = lambda r: (F.col("cum") >= r) & (F.col("cum") - F.col("cnt") < r)
-    picked = ranked.groupBy(*ids, "p", "n").agg(
-        F.max(F.when(holds(first), F.col("key"))).alias("__lo"),
-        F.max(F.when(holds(second), F.col("key"))).alias("__hi"),
-    )
-    lo, hi = F.col("__lo"), F.col("__hi")
+    by, names = list(by), [f"__v{i}" for i in range(len(columns))]
+    narrow = written(df.select(*by, *[order_bits(F.col(c).cast("double")).alias(v) for c, v in zip(columns, names)]))
+    cells = [F.struct(F.lit(i).alias("__variable"), F.col(v).alias("__key")) for i, v in enumerate(names)]
+    rows = narrow.select(*by, F.inline(F.array(*cells)))
+
+    def want(p: float) -> list[Column]:
+        position = (F.col("n") - 1) * F.lit(p)
+        first = F.floor(position + 1e-9) + 1
+        weight = F.greatest(position - (first - 1), F.lit(0.0))
+        ends = (first, F.least(first + 1, F.col("n")))
+        # one of nothing is rank 0
+        return [F.struct(
+            F.least(r, F.col("n")).cast("long").alias("r"), F.lit(p).alias("p"), F.lit(i).alias("end"), weight.alias("weight"),
+        ) for i, r in enumerate(ends)]
+
+    wants = F.array(*[w for p in dict.fromkeys(map(float, probs)) for w in want(p)])
+    ids = [*by, "__variable"]
+    found = select_ranks(rows, ids, "__key", wants, bits).select(*ids, "__key", F.inline("wants"))
+    value = from_order_bits(F.col("__key"))
+    picked = found.groupBy(*ids, "p").agg(
+        F.max(F.when(F.col("end") == 0, value)).alias("__lo"), F.max(F.when(F.col("end") == 1, value)).alias("__hi"),
+        F.max("weight").alias("__w"))
+    lo, hi, weight = F.col("__lo"), F.col("__hi"), F.col("__w")
     value = F.when((lo == hi) | (weight < 1e-9), lo).otherwise((1 - weight) * lo + weight * hi)
-    return picked.select(*by, "Variable", "p", value.alias("value"))
+    name = F.element_at(F.array(*map(F.lit, columns)), F.col("__variable") + 1)
+    return picked.select(*by, name.alias("Variable"), "p", value.alias("value"))
 
 
 def quantile_columns(
-    df: DataFrame, wanted: Mapping[str, tuple[str, float]], by: Sequence[str] = (), slices: int | None = None,
+    df: DataFrame, wanted: Mapping[str, tuple[str, float]], by: Sequence[str] = (),
 ) -> DataFrame:
     """One row per group with a column per wanted ``name -> (column, probability)``."""
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     probs = sorted({p for _, p in wanted.values()})
-    return exact_quantiles(df, columns, probs, by, slices).groupBy(*by).agg(*[
+    return exact_quantiles(df, columns, probs, by).groupBy(*by).agg(*[
         F.max(F.when((F.col("Variable") == c) & (F.col("p") == float(p)), F.col("value"))).alias(name)
         for name, (c, p) in wanted.items()
     ])

@@ -133,11 +133,11 @@ add("outlier_summary", "Outlier_Rows:i; Unique_Customers:i; Total_Outlier_Spend:
 add("outlier_review", LINE, lambda s, d: U.outlier_review(U.flag_outliers(B.lines(s, d)), 30),
     "SELECT * FROM flagged ORDER BY TotalSpend DESC, CustomerID, InvoiceNo, ProductID, Quantity LIMIT 30", THRESHOLDS)
 add("quantiles_by_slices", "Variable:s; p:f; value:f",
-    lambda s, d: exact_quantiles(B.lines(s, d), ["Quantity", "TotalSpend"], [0.01, 0.25, 0.5, 0.9, 0.999], slices=7),
+    lambda s, d: exact_quantiles(B.lines(s, d), ["Quantity", "TotalSpend"], [0.01, 0.25, 0.5, 0.9, 0.999], bits=16),
     " UNION ALL ".join(f"SELECT '{c}' AS Variable, {p} AS p, {_QC.format(c=c, p=p)} AS value FROM lines"
                        for c in ("Quantity", "TotalSpend") for p in (0.01, 0.25, 0.5, 0.9, 0.999)), B.LINES)
 add("quantiles_by_group", "ProductID:i; p:f; value:f",
-    lambda s, d: exact_quantiles(B.lines(s, d), ["TotalSpend"], [0.5, 0.99], ["ProductID"], slices=5),
+    lambda s, d: exact_quantiles(B.lines(s, d), ["TotalSpend"], [0.5, 0.99], ["ProductID"]),
     " UNION ALL ".join(f"SELECT ProductID, {p} AS p, {_QC.format(c='TotalSpend', p=p)} AS value FROM lines GROUP BY 1"
                        for p in (0.5, 0.99)), B.LINES)
 add("outlier_by_category", "ProductCategory:s; Outlier_Rows:i; Outlier_Spend:f; Max_Quantity:i; Max_Line_Spend:f",

@@ -21,9 +21,9 @@ def skewed(spark):
     ).persist()
 
 
-@pytest.mark.parametrize("slices", [None, 1, 9])
-def test_quantiles_match_numpy(skewed, slices):
-    got = R.exact_quantiles(skewed, ["f", "m"], [0.0, 0.01, 0.5, 0.99, 0.999, 1.0], ["g"], slices).collect()
+@pytest.mark.parametrize("bits", [22, 11])
+def test_quantiles_match_numpy(skewed, bits):
+    got = R.exact_quantiles(skewed, ["f", "m"], [0.0, 0.01, 0.5, 0.99, 0.999, 1.0], ["g"], bits).collect()
     data = skewed.toPandas()
     assert len(got) == data.g.nunique() * 2 * 6
     for r in got:
@@ -31,6 +31,35 @@ def test_quantiles_match_numpy(skewed, slices):
         assert r.value == pytest.approx(expected, rel=1e-12)
 
 
+def test_order_bits_are_those_of_the_format(spark):
+    numbers = np.concatenate([
+        [0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, np.nextafter(1, 0), np.nextafter(1, 2), 1.7976931348623157e308, np.inf],
+        2.0 ** np.arange(-1022, 1024, 7), np.nextafter(2.0 ** np.arange(-1021, 1024, 7), 0),
+        np.random.default_rng(3).integers(1, 2047 << 52, 5_000).view(np.float64),
+    ])
+    numbers = np.concatenate([numbers, -numbers])
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(numbers)], "i int, x double")
+    got = df.select("i", R.order_bits(F.col("x")).alias("k")).select("i", "k", R.from_order_bits(F.col("k")).alias("x"))
+    for r in got.collect():
+        x = numbers[r.i]
+        assert r.k == int(np.abs(x).view(np.int64)) * (-1 if x < 0 else 1) and r.x == x
+
+
+def test_a_quantile_neither_sorts_nor_moves_its_rows(skewed, capsys):
+    R.exact_quantiles(skewed, ["m"], [0.5], ["g"]).explain()
+    plan = capsys.readouterr().out
+    assert "rangepartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_quantiles_of_numbers_that_share_all_leading_bits(spark):
+    df = spark.range(3_000).select(F.when(F.col("id") % 2 == 0, -1.0).otherwise(1.0).alias("s"), (1.0 + F.col("id") * 2.0**-52).alias("x"))
+    df = df.select("s", (F.col("s") * F.col("x")).alias("x"))
+    data = df.toPandas()
+    for r in R.exact_quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.7513], ["s"]).collect():
+        assert r.value == pytest.approx(np.quantile(data[data.s == r.s].x, r.p), rel=4e-16)
+    assert R.exact_quantiles(df.withColumn("s", F.lit(None).cast("string")), ["x"], [1.0], ["s"]).collect()[0].value == data.x.max()
+
+
 def test_no_slice_holds_a_hot_group(skewed):
     ranked = R.running(skewed.select("g", "m", "id"), ["g"], ["m", "id"], F.lit(1), 9)
     sizes = skewed.groupBy("g").count().collect()
