@@ -17,12 +17,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
-    """df with its rows numbered from 0 in the given order. Rows are range-partitioned and sorted once and written; only one row
-    count per partition is summed in one place."""
+def numbered(df: DataFrame, name: str, *order: Column, ranges: list[Column] | None = None) -> DataFrame:
+    """df with its rows numbered from 0 in the given order. Rows are range-partitioned (by `ranges`, shorter keys that never go
+    against the order, where given) and sorted once and written; only one row count per partition is summed in one place."""
     base, low = f"__{name}", (1 << 33) - 1
     parts = written(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(base, F.monotonically_increasing_id())
+        df.repartitionByRange(*(ranges or order)).sortWithinPartitions(*order).withColumn(base, F.monotonically_increasing_id())
     )
     part = F.shiftright(base, 33).alias("__part")
     counts = parts.groupBy(part).agg(F.count("*").alias("__n"))

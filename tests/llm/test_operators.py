@@ -84,6 +84,27 @@ def test_snapshots_that_end_inside_a_tied_turn(spark):
     assert sorted(map(tuple, got), key=str) == sorted(con.execute(chat.SQL).fetchall(), key=str)
 
 
+def test_turns_of_one_number_and_rows_without_an_id_are_cut_into_bounded_segments(spark):
+    from pyspark.sql import functions as F
+
+    loose = spark.range(3_000).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    hot = loose.select(F.lit(1).cast("long").alias("conv_id"), F.lit(7).cast("long").alias("turn"), "role", F.concat(F.repeat(F.lit("same beginning "), 9), F.col("text")).alias("text"))
+    got = chat.collapse(loose.unionByName(hot).repartition(5)).collect()
+    for key, first in ((None, lambda i: str(i)), (1, None)):
+        own = sorted((r for r in got if r.conv_id == key), key=lambda r: r.segment)
+        assert [r.segment for r in own] == list(range(12)) and [r.n_turns for r in own] == [256] * 11 + [184]
+        texts = [p.split("\n", 1)[1] for r in own for p in r.rendered.split("<|im_end|>\n")[:-1]]
+        assert texts == ([str(i) for i in range(3_000)] if first else sorted("same beginning " * 9 + str(i) for i in range(3_000)))
+
+
+def test_prefix_hashes_do_not_depend_on_groups(spark):
+    rows = [(k, i, "user", f"turn {i}") for k in (1, 2) for i in range(90)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = [sorted(map(tuple, chat.prefix_hashes(chat.ordered(df, b), g).select("conv_id", "pos", "n", "h1", "h2").collect())) for b, g in ((4, 3), (7, 2), (256, 65_536))]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 180
+    assert [x[1:] for x in found[0][:90]] == [x[1:] for x in found[0][90:]] and len({x[3] for x in found[0]}) == 90
+
+
 # ------------------------------------------------------------------ shards
 
 
