@@ -60,16 +60,19 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 def distinct_counts(df: DataFrame, columns: dict[str, str], nulls: bool = False) -> DataFrame:
     """One row: the distinct values of each ``output name -> column``, a null counting as one more if ``nulls``.
 
-    The used combinations are grouped once, then each column's values on their own: no row is
-    expanded once per counted column.
+    One scan groups by every column on its own: what is shuffled is each task's distinct values of each column, and a value
+    that many rows share counts once a task.
     """
-    used = df.groupBy(*dict.fromkeys(columns.values())).agg(F.count(F.lit(1)).alias("__n"))
-    out = None
-    for name, c in columns.items():
-        counted = F.count(F.lit(1)) if nulls else F.count(c)
-        one = used.groupBy(c).agg(F.sum("__n").alias("__n")).agg(counted.alias(name))
-        out = one if out is None else out.crossJoin(F.broadcast(one))
-    return out
+    used = list(dict.fromkeys(columns.values()))
+    keys = [F.col(f"`{c}`") for c in used]
+    values = df.groupingSets([[k] for k in keys], *keys).agg(F.grouping_id().alias("__set"))
+    every = (1 << len(used)) - 1  # grouping_id has a bit for each column that a row is not grouped by, the last column lowest
+
+    def counted(c: str) -> Column:
+        own = F.col("__set") == every ^ (1 << (len(used) - 1 - used.index(c)))
+        return F.count_if(own if nulls else own & F.col(f"`{c}`").isNotNull())
+
+    return values.agg(*[counted(c).alias(name) for name, c in columns.items()])
 
 
 def cardinality_profile(df: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -129,3 +129,15 @@ def test_histograms(spark, rows):
     assert len(bins) == 18 and sum(b["n"] for b in bins) == 5 and bins[0]["n"] == 1 and bins[-1]["n"] == 1
     constant = rows(charts.fixed_count_histogram(df.select((F.col("x") * 0).alias("x")), "x", 4))
     assert sum(b["n"] for b in constant) == 5
+
+
+def test_distinct_counts_in_one_scan(spark, capsys):
+    rows = [(i % 5 or None, f"t{i % 7}", None if i % 3 else float(i), i % 2 == 0) for i in range(1_000)]
+    df = spark.createDataFrame(rows, "a int, `b.c` string, d double, `__set2` boolean")
+    wanted = {"A": "a", "B": "b.c", "D": "d", "again": "a", "E": "__set2"}
+    assert quality.distinct_counts(df, wanted).first().asDict() == {"A": 4, "B": 7, "D": 334, "again": 4, "E": 2}
+    assert quality.distinct_counts(df, wanted, nulls=True).first().asDict() == {"A": 5, "B": 7, "D": 335, "again": 5, "E": 2}
+    assert quality.distinct_counts(df.where("false"), {"A": "a", "D": "d"}, nulls=True).first().asDict() == {"A": 0, "D": 0}
+    assert quality.distinct_counts(df, {"A": "a"}, nulls=True).first().A == 5
+    quality.distinct_counts(spark.range(10).selectExpr("id AS a", "id AS d"), {"A": "a", "D": "d"}).explain()
+    assert capsys.readouterr().out.count("Range (") == 1
