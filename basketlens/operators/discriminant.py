@@ -109,6 +109,22 @@ def predictor_columns(variables: Sequence[str], levels: Mapping[str, Sequence[st
 # --------------------------------------------------------------------------- model
 
 
+def posterior(scored: DataFrame, classes: Sequence, prefix: str) -> DataFrame:
+    """Class, posteriors and the largest one from the linear scores ``__d0, __d1...`` of the classes, which are dropped."""
+    k = range(len(classes))
+    scored = scored.withColumn("__best", F.greatest(*[f"__d{i}" for i in k]))
+    scored = scored.withColumns({f"__w{i}": F.exp(F.col(f"__d{i}") - F.col("__best")) for i in k})
+    scored = scored.withColumn("__total", add_up([F.col(f"__w{i}") for i in k]))
+    first_best = F.when(F.col("__d0") == F.col("__best"), F.lit(classes[0]))
+    for i in k[1:]:
+        first_best = first_best.when(F.col(f"__d{i}") == F.col("__best"), F.lit(classes[i]))
+    return scored.withColumns({
+        "Predicted_Cluster": first_best,
+        **{f"{prefix}{c}": F.col(f"__w{i}") / F.col("__total") for i, c in enumerate(classes)},
+        "Max_Cluster_Probability": F.greatest(*[f"__w{i}" for i in k]) / F.col("__total"),
+    }).drop("__best", "__total", *[f"__{x}{i}" for x in "dw" for i in k])
+
+
 @dataclass(frozen=True)
 class LdaFit:
     """Class priors, means and linear scores; classes x predictors numbers."""
@@ -138,19 +154,7 @@ class LdaFit:
 
         The class is the first one with the highest score; all are null if a predictor is.
         """
-        k = range(len(self.classes))
-        scored = df.withColumns({f"__d{i}": c for i, c in enumerate(self.score_columns())})
-        scored = scored.withColumn("__best", F.greatest(*[f"__d{i}" for i in k]))
-        scored = scored.withColumns({f"__w{i}": F.exp(F.col(f"__d{i}") - F.col("__best")) for i in k})
-        scored = scored.withColumn("__total", add_up([F.col(f"__w{i}") for i in k]))
-        first_best = F.when(F.col("__d0") == F.col("__best"), F.lit(self.classes[0]))
-        for i in k[1:]:
-            first_best = first_best.when(F.col(f"__d{i}") == F.col("__best"), F.lit(self.classes[i]))
-        return scored.withColumns({
-            "Predicted_Cluster": first_best,
-            **{f"{prefix}{c}": F.col(f"__w{i}") / F.col("__total") for i, c in enumerate(self.classes)},
-            "Max_Cluster_Probability": F.greatest(*[f"__w{i}" for i in k]) / F.col("__total"),
-        }).drop("__best", "__total", *[f"__{x}{i}" for x in "dw" for i in k])
+        return posterior(df.withColumns({f"__d{i}": c for i, c in enumerate(self.score_columns())}), self.classes, prefix)
 
     def prior_table(self, spark: SparkSession) -> DataFrame:
         rows = [(str(c), int(n), float(p)) for c, n, p in zip(self.classes, self.counts, self.priors)]

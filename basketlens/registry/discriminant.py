@@ -11,6 +11,7 @@ from ..functions import presets
 from ..operators import charts as V
 from ..operators import clustering as K
 from ..operators import discriminant as D
+from ..operators.levels import lda_fit_levels
 from ..sources import views
 from ..session import written
 from . import base as B
@@ -70,6 +71,12 @@ def test_predictions(s: SparkSession, d: str) -> DataFrame:
     return f.fit.predict(f.scaler.apply(f.split.where("not is_train")))
 
 
+def level_predictions(s: SparkSession, d: str) -> DataFrame:
+    """The same predictions with the levels as rows of tables."""
+    parts = written(split(s, d))
+    return lda_fit_levels(parts.where("is_train"), "KMeans_Cluster", X).predict(parts.where("not is_train"))
+
+
 def targeted(s: SparkSession, d: str) -> DataFrame:
     f = fitted(s, d)
     return D.target_priority(D.score_prospects(views.prospects(s, d), f.fit, f.scaler, f.labels))
@@ -173,6 +180,8 @@ add("lda_proportion_of_trace", "Discriminant:s; Eigenvalue:f; Trace_Share:f", la
     (SELECT pc, max(eigenvalue) AS e FROM lds GROUP BY 1)""", DISCRIMINANTS)
 add("lda_test_predictions", "CustomerID:i; KMeans_Cluster:i; Predicted_Cluster:i; " + PROBABILITIES, test_predictions,
     "SELECT * FROM tested", TESTED)
+add("lda_test_predictions_by_levels", "CustomerID:i; KMeans_Cluster:i; Predicted_Cluster:i; " + PROBABILITIES, level_predictions,
+    "SELECT * FROM tested", TESTED)
 add("lda_confusion_matrix", "Predicted_Cluster:i; Actual_Cluster:i; Customers:i",
     lambda s, d: D.confusion_matrix(test_predictions(s, d), range(1, 6)), "SELECT * FROM cells", CELLS)
 add("lda_overall_metrics", "Accuracy:f; Kappa:f; No_Information_Rate:f; Accuracy_P_Value:f",
