@@ -210,11 +210,10 @@ def learn(found: DataFrame) -> Trees:
     a few hundred out of a fixed number of formats and contexts."""
     fold = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS))
     fold = F.when(fold == 0, 0).otherwise(1)
-    sides = [
-        found.select(fold.alias("fold"), F.explode(side).alias("bits")).select("fold", "bits", F.lit(y).alias("y"))
-        for side, y in (("__hit", 1), ("__miss", 0))
-    ]
-    cells = sides[0].unionByName(sides[1]).groupBy("bits", "fold").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    marked = lambda side, y: F.transform(side, lambda b: F.struct(b.alias("bits"), F.lit(y).alias("y")))
+    # both sides from one scan of the texts
+    rows = found.select(fold.alias("fold"), F.inline(F.concat(marked("__hit", 1), marked("__miss", 0))))
+    cells = rows.groupBy("bits", "fold").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     return fit(sorted(tuple(r) for r in cells.collect()))
 
 
