@@ -1,12 +1,15 @@
 """Personal data: strict finders, loose candidate generators, and boosted trees that pick which candidates to redact as well.
 
 Base spans are the leftmost non-overlapping matches of each kind's strict pattern that pass its check. The generators propose
-more, overlapping them: obfuscated addresses, addresses with other separators, numbers without a country code. Every candidate
-is described by bits for its format and context. Candidates that overlap a base span of their kind are the positive examples,
-all others the negative ones; since the bits are few, all candidates of all documents are learned from as counts per bit
-pattern. Boosted trees are fitted on the counts of four fifths of the documents, and each kind's threshold is the lowest score
-whose precision on the remaining fifth is at least PRECISION (no candidate of a kind is taken if there is none). A candidate
-that touches no base span and reaches its threshold is added; base spans always stay.
+more, overlapping them: obfuscated addresses, numbers with other separators or without a country code. Candidates are labelled
+by evidence that their description leaves out: cards by the Luhn sum, addresses of hosts by parts up to 255, mail addresses by a
+last part of letters, phones by an international prefix. The description holds bits for the rest of the format and the context,
+with obfuscation undone and prefixes cut off, so the trees learn which formats in which surroundings bear out that evidence.
+Since the bits are few, all candidates of all documents are learned from as counts per bit pattern. Every fifth of
+the documents is scored by boosted trees fitted on the other four; each kind's scores are calibrated by isotonic regression, and
+its threshold is the lowest score whose calibrated precision, with one failure more than seen, is at least PRECISION (no
+candidate of a kind is taken if there is none). A candidate is added if it touches no base span, reaches its threshold and passes its kind's
+check itself; of added ones that overlap, those with a lower score than another go. Base spans always stay.
 
 Only DataFrame functions run on the cluster. Offsets count codepoints and ends are exclusive: they are summed from the lengths
 of the matches and of the text between them. The patterns are written so that a scan is linear and does not recurse, however
@@ -31,9 +34,10 @@ STRICT = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_AT, _DOT = r"(?:\(at\)|\[at\]|\{at\})", r"(?:\(dot\)|\[dot\])"
 LOOSE = {
-    "email": r"(?i)[a-z0-9._%+-]{1,64}\x20?(?:@|\(at\)|\[at\]|\{at\})\x20?[a-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[a-z0-9-]{1,63}){1,8}",
-    "ip": r"(?<![0-9])[0-9]{1,3}(?:\x20?(?:\.|\[\.\]|\(\.\))\x20?[0-9]{1,3}){3}(?![0-9])",
+    "email": rf"(?i)[a-z0-9._%+-]{{1,64}}(?:@|\x20?{_AT}\x20?)[a-z0-9-]{{1,63}}(?:(?:\.|\x20?{_DOT}\x20?)[a-z0-9-]{{1,63}}){{1,8}}",
+    "ip": r"(?<![0-9])[0-9]{1,3}(?:(?:\.|\x20?(?:\[\.\]|\(\.\))\x20?)[0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[\x20._-]{0,2}[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9])(?:(?:\+|00)[\x20]?)?(?:[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
 }
@@ -92,45 +96,67 @@ def base_spans(text: Column) -> Column:
     return F.concat(*map(of, KINDS))
 
 
+#: What the description of a candidate does not show: obfuscation, and the prefix that makes a phone certain.
+MASKS = {
+    "email": lambda m: F.regexp_replace(F.regexp_replace(m, rf"(?i)\x20?{_AT}\x20?", "@"), rf"(?i)\x20?{_DOT}\x20?", "."),
+    "ip": lambda m: F.regexp_replace(m, r"\x20?(?:\[\.\]|\(\.\))\x20?", "."),
+    "card": lambda m: m,
+    "phone": lambda m: F.regexp_replace(m, r"^(?:\+|00)\x20?(?:[0-9]{1,3}(?:[\x20.-]|(?=\()))?", ""),
+}
+#: Checks that an added span passes itself, on the candidate and on its masked form.
+ADDED = {
+    "email": lambda m, plain: plain.rlike(r"\.[A-Za-z]{2,}$"),
+    "ip": lambda m, plain: CHECKS["ip"](plain),
+    "card": lambda m, plain: _luhn(m),
+    "phone": lambda m, plain: CHECKS["phone"](m),
+}
+
+
 def _class_bits(c: Column) -> list[Column]:
     return [c == "", c.rlike(r"^\s"), c.rlike(r"^\p{L}"), c.rlike("^[0-9]")]
 
 
-def _bits(kind: str, s: Column) -> Column:
-    """The candidate's format and context, a bit for each property."""
-    m, last = s["m"], F.substring(s["before"], -1, 1)
-    n = F.length(_digits(m))
+def _bits(kind: str, m: Column, s: Column) -> Column:
+    """The format of a masked candidate and its context, a bit for each property."""
+    last, n = F.substring(s["before"], -1, 1), F.length(_digits(m))
     properties = [
         *(F.lit(kind == k) for k in KINDS),
-        *(n >= k for k in (1, 4, 7, 8, 10, 11, 13, 14, 15, 16, 17)),
-        m.rlike(r"[\x20]"), m.rlike("[.]"), m.rlike("-"), m.rlike(r"[(\[{]"), m.rlike("^[+]"), m.rlike(r"^(?:00|\()"),
-        m.rlike("@"), m.rlike(r"\.[A-Za-z]{2,}$"), F.length(m) > 30,
-        *_class_bits(last), *_class_bits(s["after"]), s["before"].rlike(r"\+[0-9]{0,3}[\x20-]?$"), s["before"].rlike(CUES),
+        *(n >= k for k in (1, 4, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17)),
+        m.rlike(r"[\x20]"), m.rlike("[.]"), m.rlike("-"), m.rlike("_"), m.rlike(r"[(]"), m.rlike(r"^\(?0"), m.rlike("^[3-6]"),
+        m.rlike("^[0-9]{4}[^0-9]"), m.rlike("[^0-9][0-9]{4}$"), m.rlike("[^0-9][0-9]{4,6}[^0-9]"), F.length(m) > 30,
+        *_class_bits(last), *_class_bits(s["after"]), s["before"].rlike(CUES),
     ]
     return sum((F.when(p, F.lit(1 << j)).otherwise(F.lit(0)).cast("long") for j, p in enumerate(properties)), F.lit(0).cast("long"))
 
 
 def candidate_spans(text: Column) -> Column:
-    """array<struct<kind, start, end, bits>> of all generators."""
+    """array<struct<kind, start, end, bits, ok, sure>> of all generators: `ok` if it may be added, `sure` if its evidence holds."""
 
     def of(kind):
         found = F.when(text.rlike(GATE[kind]), _matches(text, LOOSE[kind]))
-        span = lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _bits(kind, s).alias("bits"))
+
+        def span(s):
+            plain = MASKS[kind](s["m"])
+            ok = ADDED[kind](s["m"], plain)
+            sure = ok & s["m"].rlike(r"^(?:\+|00)") if kind == "phone" else ok
+            place = [F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")]
+            return F.struct(*place, _bits(kind, plain, s).alias("bits"), ok.alias("ok"), sure.alias("sure"))
+
         return F.coalesce(F.transform(found, span), F.array())
 
     return F.concat(*map(of, KINDS))
 
 
 def proposed(docs: DataFrame) -> DataFrame:
-    """docs with `__base` and `__more`, the candidates that touch no base span, and `__hit`, the bits of those that do."""
+    """docs with `__base`, with `__more`, the candidates that may be added and touch no base span, and with `__hit` and `__miss`,
+    the bits of all candidates whose evidence holds and of all others."""
     text = F.coalesce(F.col("text"), F.lit(""))
     both = docs.withColumn("__base", base_spans(text)).withColumn("__loose", candidate_spans(text))
     touch = lambda c: F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    own = lambda c: F.exists("__base", lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"]))
     return (
-        both.withColumn("__hit", F.transform(F.filter("__loose", own), lambda c: c["bits"]))
-        .withColumn("__miss", F.transform(F.filter("__loose", lambda c: ~own(c)), lambda c: c["bits"]))
-        .withColumn("__more", F.filter("__loose", lambda c: ~touch(c)))
+        both.withColumn("__hit", F.transform(F.filter("__loose", lambda c: c["sure"]), lambda c: c["bits"]))
+        .withColumn("__miss", F.transform(F.filter("__loose", lambda c: ~c["sure"]), lambda c: c["bits"]))
+        .withColumn("__more", F.transform(F.filter("__loose", lambda c: c["ok"] & ~touch(c)), lambda c: F.struct(c["kind"], c["start"], c["end"], c["bits"])))
         .drop("__loose")
     )
 
@@ -169,14 +195,27 @@ def _split(x, w, g, h, rows):
 
 
 def fit(cells: list) -> Trees:
-    """From (bits, fold, positive, negative) counts: trees on folds above 0, thresholds on fold 0."""
+    """From (bits, fold, positive, negative) counts: trees on all folds, thresholds from every fold's scores by trees that were
+    fitted on the others."""
     width = 62
     bits = np.array([c[0] for c in cells], np.int64)
     x = ((bits[:, None] >> np.arange(width)) & 1).astype(float)
     fold, pos, neg = (np.array([c[k] for c in cells], float) for k in (1, 2, 3))
-    use = fold > 0
-    w, y = np.concatenate([pos[use], neg[use]]), np.concatenate([np.ones(use.sum()), np.zeros(use.sum())])
-    xx, score, trees = np.concatenate([x[use], x[use]]), np.zeros(len(y)), []
+    scores, limits = np.zeros(len(cells)), {}
+    for k in range(FOLDS):
+        out = fold == k
+        scores[out] = _applied(_boosted(x[~out], pos[~out], neg[~out]), x[out])
+    for k, kind in enumerate(KINDS):
+        mine = x[:, k] == 1
+        limit = _limit(scores[mine], pos[mine], neg[mine])
+        if limit is not None:
+            limits[kind] = limit - 1e-9
+    return Trees(_boosted(x, pos, neg), 0.0, limits)
+
+
+def _boosted(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> list:
+    w, y = np.concatenate([pos, neg]), np.concatenate([np.ones(len(pos)), np.zeros(len(neg))])
+    xx, score, trees = np.concatenate([x, x]), np.zeros(len(y)), []
     for _ in range(ROUNDS if w.sum() else 0):
         p = 1 / (1 + np.exp(-score))
         g, h = p - y, p * (1 - p)
@@ -186,16 +225,20 @@ def fit(cells: list) -> Trees:
         tree = (a, (yes[0], yes[1] * RATE, yes[2] * RATE), (no[0], no[1] * RATE, no[2] * RATE))
         trees.append(tree)
         score += _applied([tree], xx)
-    scores, limits = _applied(trees, x), {}
-    for k, kind in enumerate(KINDS):
-        mine = (x[:, k] == 1) & (fold == 0)
-        order = np.argsort(-scores[mine], kind="stable")
-        s, p, q = scores[mine][order], np.cumsum(pos[mine][order]), np.cumsum(neg[mine][order])
-        last = np.append(s[1:] != s[:-1], True) if len(s) else np.zeros(0, bool)  # equal scores pass together
-        good = np.flatnonzero(last & (p > 0) & (p >= PRECISION * (p + q)))
-        if len(good):
-            limits[kind] = float(s[good[-1]]) - 1e-9
-    return Trees(trees, 0.0, limits)
+    return trees
+
+
+def _limit(scores: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> float | None:
+    """The lowest score whose isotonic precision, with a failure more, is at least PRECISION."""
+    blocks: list[list[float]] = []  # [lowest score, positive, all], precision falls from block to block
+    for score in np.unique(scores[pos + neg > 0])[::-1]:
+        same = scores == score
+        blocks.append([float(score), pos[same].sum(), pos[same].sum() + neg[same].sum()])
+        while len(blocks) > 1 and blocks[-1][1] * blocks[-2][2] >= blocks[-2][1] * blocks[-1][2]:
+            last = blocks.pop()
+            blocks[-1] = [last[0], blocks[-1][1] + last[1], blocks[-1][2] + last[2]]
+    good = [low for low, p, n in blocks if p >= PRECISION * (n + 1)]
+    return good[-1] if good else None
 
 
 def _applied(trees: list, x: np.ndarray) -> np.ndarray:
@@ -209,7 +252,6 @@ def learn(found: DataFrame) -> Trees:
     """Trees from the bits of all candidates of all documents; what comes to the driver is one row per bit pattern that occurs,
     a few hundred out of a fixed number of formats and contexts."""
     fold = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS))
-    fold = F.when(fold == 0, 0).otherwise(1)
     marked = lambda side, y: F.transform(side, lambda b: F.struct(b.alias("bits"), F.lit(y).alias("y")))
     # both sides from one scan of the texts
     rows = found.select(fold.alias("fold"), F.inline(F.concat(marked("__hit", 1), marked("__miss", 0))))
@@ -219,8 +261,11 @@ def learn(found: DataFrame) -> Trees:
 
 def all_spans(trees: Trees) -> Column:
     """array<struct<kind, start, end>> of base and taken candidates, by kind as listed and start."""
-    more = F.transform(F.filter("__more", trees.takes), lambda c: F.struct(c["kind"], c["start"], c["end"]))
-    both = F.array_distinct(F.concat("__base", more))
+    scored = F.transform(F.filter("__more", trees.takes), lambda c: F.struct(c["kind"], c["start"], c["end"], trees.score(c["bits"]).alias("score")))
+    beaten = lambda c, all_: F.exists(all_, lambda d: (d["start"] < c["end"]) & (c["start"] < d["end"]) & (d["score"] > c["score"]))
+    # bound once by the one-element array, so that candidates are scored once
+    best = F.flatten(F.transform(F.array(scored), lambda all_: F.filter(all_, lambda c: ~beaten(c, all_))))
+    both = F.array_distinct(F.concat("__base", F.transform(best, lambda c: F.struct(c["kind"], c["start"], c["end"]))))
     return F.concat(*(F.array_sort(of_kind(both, kind)) for kind in KINDS))
 
 

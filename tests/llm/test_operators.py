@@ -277,6 +277,55 @@ def test_phones_of_short_groups(spark):
     assert dict(texts_of(pii.redacted(df))) == dict(rows) | {1: "[PHONE]", 2: "call [PHONE] or [PHONE]!"}
 
 
+def luhn(prefix):
+    """The number with its check digit."""
+    return next(prefix + c for c in "0123456789" if sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, (prefix + c)[::-1]))) % 10 == 0)
+
+
+def test_which_candidates_are_added(spark):
+    rnd = random.Random(5)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    spaced = lambda d: f"{d[:4]} {d[4:10]} {d[10:]}"
+    rows, want = [], {}
+
+    def add(text, more):
+        want[len(rows)] = more and f"{more[0]}:{text.index(more[1])}:{text.index(more[1]) + len(more[1])}"
+        rows.append((len(rows), text))
+
+    for _ in range(1_500):
+        add(f"write to u{digits(3)}@host.org today", None)
+        add(f"call +44 {digits(2)} {digits(4)} {digits(4)} now", None)
+        add(f"host 10.{rnd.randint(0, 255)}.0.{rnd.randint(0, 255)} is up", None)
+        card = spaced(luhn("37" + digits(12)))
+        add(f"paid with {card} yesterday", ("card", card))  # 15 digits: no strict card
+        add(f"order {luhn('8' + digits(11)) if rnd.random() < 0.1 else '8' + digits(12)} shipped", None)  # 13 digits, few pass by chance
+        add(f"page {digits(3)} of {digits(3)}, version 3.{digits(1)}", None)
+    for _ in range(3):
+        mail, host, phone, bare = f"u{digits(3)} (at) host [dot] org", "10[.]7[.]0[.]9", f"0044 20 {digits(4)} {digits(4)}", f"20 {digits(4)} {digits(4)}"
+        add(f"write to {mail} today", ("email", mail))
+        add(f"host {host} is up", ("ip", host))
+        add(f"call {phone} now", ("phone", phone))
+        add(f"call {bare} now", ("phone", bare))
+        bad = spaced("37" + digits(12) + "0")
+        while luhn(bad.replace(" ", "")[:-1])[-1] == "0":
+            bad = spaced("37" + digits(12) + "0")
+        add(f"paid with {bad} yesterday", None)
+        add("host 300[.]7[.]0[.]9 is up", None)
+        add("list 1. 2. 3. 4 and you @ 5.pm there", None)
+    found = pii.proposed(spark.createDataFrame(rows, "doc_id long, text string"))
+    spans = pii.all_spans(pii.learn(found))
+    out = {r.doc_id: set(r.s.split(",")) - set(r.b.split(",")) for r in found.select("doc_id", pii.listed(F.col("__base")).alias("b"), pii.listed(spans).alias("s")).collect()}
+    assert {i: x for i, x in out.items() if x != ({want[i]} if want[i] else set())} == {}
+
+
+def test_limits_are_calibrated():
+    scores = np.array([3.0, 2.0, 1.0, 0.0])
+    assert pii._limit(scores, np.array([500.0, 400, 10, 0]), np.array([0.0, 2, 5, 90])) == 2.0
+    assert pii._limit(scores, np.array([20.0, 0, 0, 0]), np.zeros(4)) is None  # too few to be sure
+    assert pii._limit(scores, np.array([10.0, 400, 0, 0]), np.array([5.0, 0, 0, 9])) == 2.0  # pooled with what it should beat
+    assert pii._limit(np.empty(0), np.empty(0), np.empty(0)) is None
+
+
 # ------------------------------------------------------------------ BPE
 
 
