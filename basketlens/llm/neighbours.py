@@ -7,7 +7,8 @@ a current list enter it. Rounds end when few entries change. A node whose whole
 list is enlarged to all of its component and of every other component with saturated nodes that a bound on centres and radii
 does not rule out, compared in pairs of blocks of which only counts leave a task; components that so meet become one. The recall
 of links is audited against brute force for nodes by hash until SEEN of them have links (all nodes where so few have), and while
-it is low the graph gets further blocks and rounds; if these no longer raise it, the query fails.
+it is low the graph gets further blocks and rounds; if these no longer raise it, `exact_links` takes the place of the lists: all
+vectors lie in balls around leaders, and pairs of blocks whose balls may hold a link are compared in full.
 
 Links are those of cosine >= threshold in double precision. A row is left alone (no links, a component of its own) if its
 vec_id, label or vector is null, or the vector is empty, zero, or holds a null or non-finite component; without vec_id the
@@ -27,6 +28,8 @@ from pyspark.sql.window import Window
 from basketlens.llm.common import components, table, tell_workers, written
 
 K, TABLES, PLANES, BLOCK = 12, 4, 24, 256
+#: Nodes of a task that looks for their leaders.
+ROWS = 4096
 #: Parts of components whose centres are compared at a time; what rounding may add to an angle.
 BALLS, SLACK = 1024, 1e-6
 #: Nodes with links that an audit goes on to see; nodes audited at a time, at most.
@@ -213,6 +216,57 @@ def links_of(graph: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     return label.join(listed, "id").join(counted, "id", "left").select("id", others, "component")
 
 
+def exact_links(known: DataFrame, threshold: float) -> DataFrame:
+    """(id, others, component) of every node that has a link, without the graph: the way for nodes whose lists stay incomplete.
+    Nodes join the nearest of a number of leaders, drawn by hash, that grows with the root of their space; blocks of one leader, and those of
+    leaders whose balls are near enough to hold a link, are compared. A pair of blocks gives counts, and a link of every node
+    in it to the smallest node that it reaches there: enough for components, never more rows than nodes."""
+    first, n = F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("first"), F.count("*").alias("n")
+    sizes = known.groupBy("space").agg(n, first).withColumn("salts", F.ceil(F.col("n") / ROWS).cast("int"))
+    dealt = known.join(sizes, "space")
+    leads = (F.pmod(F.xxhash64("id", F.lit(3)), "n") < F.ceil(F.sqrt(F.col("n") / BLOCK))) | (F.col("id") == F.col("first"))
+    leaders = dealt.where(leads).select(F.col("space").alias("s"), F.col("id").alias("leader"), F.col("v").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("t"))
+    salted = dealt.withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")).select("space", "id", "v", "salt")
+
+    def join(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"id": [], "component": []}).astype("int64")
+        centres = centres.sort_values("leader")
+        best = (_unit(rows["v"]) @ _unit(centres["centre"]).T).argmax(1)
+        return pd.DataFrame({"id": rows["id"], "component": centres["leader"].to_numpy()[best]})
+
+    nearest = salted.groupBy("space", "salt").cogroup(leaders.groupBy("s", "t")).applyInPandas(join, "id long, component long")
+    placed = written(known.join(nearest, "id").withColumn("asks", F.lit(True)))
+    parts = placed.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    inside = written(placed.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")))
+    # both directions of a pair of blocks say the same
+    pairs = written(_near_balls(inside, threshold).where("struct(c, i) <= struct(d, j)").distinct())
+    sides = inside.select("space", "component", "part", "id", "v", "m")
+    mine = sides.withColumnsRenamed({"component": "c", "part": "i"}).join(pairs, ["c", "i"]).withColumn("mine", F.lit(True))
+    theirs = sides.withColumnsRenamed({"component": "d", "part": "j"}).join(pairs, ["d", "j"]).withColumn("mine", F.lit(False))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        ask = rows["mine"].to_numpy()
+        x, ids, m, same = _unit(rows["v"]), rows["id"].to_numpy(), rows["m"].to_numpy(), np.array_equal(np.sort(rows["id"][ask]), np.sort(rows["id"][~ask]))
+        near = (x[ask] @ x[~ask].T >= threshold) & (ids[ask][:, None] != ids[~ask][None])
+        a, b = ids[ask], ids[~ask]
+        most = np.iinfo(np.int64).max
+        low_a, low_b, before = a.copy(), b.copy(), None
+        while before is None or not np.array_equal(before, low_a):  # smallest ids run along the links until all rest
+            before = low_a.copy()
+            low_b = np.minimum(low_b, np.where(near, low_a[:, None], most).min(0, initial=most))
+            low_a = np.minimum(low_a, np.where(near, low_b[None], most).min(1, initial=most))
+        out = [pd.DataFrame({"id": a, "others": near @ m[~ask], "low": low_a})[near.any(1)]]
+        if not same:
+            out.append(pd.DataFrame({"id": b, "others": m[ask] @ near, "low": low_b})[near.any(0)])
+        return pd.concat(out)
+
+    met = written(mine.unionByName(theirs).groupBy("c", "i", "d", "j").applyInPandas(meet, "id long, others long, low long"))
+    label = components(met.select("id", "low").distinct(), "id", "low").withColumnRenamed("id", "node")
+    counted = met.groupBy("id").agg(F.sum("others").alias("others"))
+    return counted.join(label, counted["id"] == label["node"]).select("id", "others", "component")
+
+
 def recall(found: DataFrame, known: DataFrame, threshold: float, audited: int = AUDITED) -> float:
     """Links found over links there, of blocks of nodes in order of hash, from `audited` nodes on, until SEEN nodes with links are
     seen or all nodes are; a block's vectors go to every task."""
@@ -260,7 +314,8 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
         if got >= RECALL:
             break
         if attempt >= ATTEMPTS - 1 and got <= best:
-            raise RuntimeError(f"recall of links is {got:.4f} after {attempt + 1} attempts, {RECALL} is asked for")
+            found = written(exact_links(known, threshold))
+            break
         best = max(best, got)
     label = known.select("id", "m").join(found, "id", "left").select("id", (F.coalesce("others", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
     out = members.join(label, "id", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
