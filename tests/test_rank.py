@@ -125,3 +125,26 @@ def test_lowest_share_splits_ties_by_key(spark):
         ids = sorted(r.id for r in got.where(f"c = {c} and low").collect())
         own = [i for i in range(1_000) if i % 3 == c]
         assert ids == own[: math.ceil(0.7 * len(own))]
+
+
+def test_order_bits_in_steps_are_the_same(spark):
+    numbers = np.concatenate([
+        [0.0, -0.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, np.inf, np.nan],
+        2.0 ** np.arange(-1022, 1024, 3), np.nextafter(2.0 ** np.arange(-1021, 1024, 3), 0),
+        np.random.default_rng(4).integers(1, 2047 << 52, 2_000).view(np.float64),
+    ])
+    numbers = [None, *map(float, np.concatenate([numbers, -numbers]))]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double")
+    both = R.with_order_bits(df.withColumn("k", F.col("x")), "k").withColumn("old", R.order_bits(F.col("x")))
+    assert both.where("not (k <=> old)").count() == 0 and both.count() == len(numbers)
+
+
+def test_small_groups_and_few_values_take_one_pass(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(R, "written", lambda df, keep=R.written: tables.append(df.columns) or keep(df))
+    df = spark.range(3_000).select((F.col("id") % 1_000).alias("g"), (F.col("id") * 0.37).alias("x"), (F.col("id") % 50).alias("f"))
+    got = {r.g: (r.x, r.f) for r in R.quantile_columns(df, {"x": ("x", 0.5), "f": ("f", 0.9)}, ["g"]).collect()}
+    assert len(tables) == 2  # the values, then one pass
+    data = df.toPandas().groupby("g")
+    x, f = data.x.median(), data.f.quantile(0.9)
+    assert all(got[g] == (pytest.approx(x[g]), pytest.approx(f[g])) for g in range(1_000))
