@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -178,13 +179,21 @@ def profile_rating_summary(ratings: DataFrame, survey: Survey) -> DataFrame:
 # --------------------------------------------------------------------------- pooled model
 
 
-def with_terms(df: DataFrame, survey: Survey) -> DataFrame:
-    return df.withColumns({survey.price: F.col(survey.price).cast("double"), **survey.dummies()})
+def complete_terms(ratings: DataFrame, survey: Survey, *keep: str) -> DataFrame:
+    """``keep``, terms and rating of the complete ratings, as doubles.
+
+    The rows that least squares uses. Levels are looked up once a row, so that a dummy is one comparison.
+    """
+    known = [F.col(a).isin(list(levels)) for a, levels in survey.levels.items()]
+    rows = as_doubles(ratings, [survey.price, survey.rating], keep=[*keep, *survey.levels]).where(reduce(Column.__and__, known))
+    dummies = {
+        f"{a}{v}": F.when(F.col(a) == v, 1.0).otherwise(0.0) for a, levels in survey.levels.items() for v in levels[1:]}
+    return rows.withColumns(dummies).select(*keep, *[f"`{n}`" for n in (*survey.terms, survey.rating)])
 
 
 def pooled_fit(ratings: DataFrame, survey: Survey) -> OlsFit:
     """Rating on price and level dummies over all respondents."""
-    return ols_fit(with_terms(ratings, survey), survey.rating, survey.terms)
+    return ols_fit(complete_terms(ratings, survey), survey.rating, survey.terms)
 
 
 def part_worths(spark: SparkSession, fit: OlsFit, survey: Survey) -> DataFrame:
@@ -254,12 +263,12 @@ def respondent_coefficients(ratings: DataFrame, survey: Survey) -> DataFrame:
     """
     names = [*survey.terms, survey.rating]
     safe = [f"x{i}" for i in range(len(names))]
-    columns = with_terms(ratings, survey).select(survey.respondent, *[F.col(f"`{n}`").alias(s) for n, s in zip(names, safe)])
+    columns = complete_terms(ratings, survey, survey.respondent).toDF(survey.respondent, *safe)
     place, dummies = 1, []  # x0 is the price; the level dummies of an attribute exclude each other
     for levels in survey.levels.values():
         dummies.append(safe[place : place + len(levels) - 1])
         place += len(levels) - 1
-    rows = written(as_doubles(columns, safe, keep=[survey.respondent]))
+    rows = written(columns)
     sums = group_moments(rows, survey.respondent, safe, indicators=dummies)
     return sums.select(survey.respondent, _solver(survey)("cov", "mean").alias("coefficients"))
 

@@ -8,6 +8,7 @@ import pytest
 
 from basketlens.operators import conjoint
 from basketlens.functions.presets import SURVEY_LEVELS
+from basketlens.sources import schemas
 
 SURVEY = conjoint.Survey()
 WORTH = {
@@ -127,3 +128,20 @@ def test_importance(spark, full, rows):
     table = {r["Attribute"]: r for r in rows(conjoint.attribute_importance(conjoint.part_worths(spark, fit, SURVEY), full, SURVEY))}
     assert table["Price"]["Utility_Range"] == pytest.approx(1.25 * 3) and table["Format"]["Utility_Range"] == pytest.approx(3.0)
     assert sum(r["Importance"] for r in table.values()) == pytest.approx(1.0)
+
+
+def test_a_dummy_is_one_comparison(spark, monkeypatch):
+    data = [("r", 1, p, f, "Mild", "House blend", "No", r) for p, f, r in (
+        (1.0, "Instant", 3.0), (2.0, "Capsule", 4.0), (None, "Ground", 5.0), (float("nan"), "Ground", 5.0),
+        (3.0, None, 5.0), (3.0, "of a kind not listed", 5.0), (3.0, "Ground", None), (4.0, "Whole bean", 1.0))]
+    raw = spark.createDataFrame(data, schemas.RATINGS)
+    frames = []
+    monkeypatch.setattr(conjoint, "written", lambda df: frames.append(df) or df)
+    conjoint.respondent_coefficients(conjoint.prepare_ratings(raw, SURVEY), SURVEY)
+    rows = [tuple(r)[1:] for r in frames[0].orderBy("x0").collect()]
+    assert [r[0] for r in rows] == [1.0, 2.0, 4.0] and [r[-1] for r in rows] == [3.0, 4.0, 1.0]
+    formats = [f"format{v}" for v in SURVEY.levels["format"][1:]]
+    at = [SURVEY.terms.index(f) for f in formats]
+    assert [sum(r[i] for i in at) for r in rows] == [0.0 if f == SURVEY.levels["format"][0] else 1.0 for f in ("Instant", "Capsule", "Whole bean")]
+    plan = frames[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" IN (") <= 4 * len(SURVEY.levels)  # per attribute, not per dummy and its test for nulls
