@@ -39,6 +39,40 @@ def lines(raw):
     return quality.clean_transactions(raw, blank_is_missing=True).persist()
 
 
+def joins(line, part, order):
+    return line.join(part, "ProductID").join(order, "InvoiceNo").select(
+        "CustomerID", "InvoiceNo", "InvoiceDate", "ProductID", "ProductCategory", "UnitPrice", "Quantity")
+
+
+def test_clean_of_joined_tables(spark, rows):
+    """Repeated, null and unmatched keys in every table; wide rows are not grouped."""
+    line = spark.createDataFrame(
+        [(1, 1, 3), (1, 1, 3), (1, 1, 4), (1, 2, 1), (2, 1, None), (2, 1, None), (2, 3, 1), (None, 1, 1), (9, 1, 1), (3, 4, 2)],
+        "InvoiceNo long, ProductID long, Quantity int")
+    price = Decimal("2.00")
+    part = spark.createDataFrame(
+        [(1, "tea", price), (1, "tea", price), (1, "milk", price), (1, None, price), (2, " ", None), (3, None, price), (4, "eggs", price),
+         (None, "tea", price)], "ProductID long, ProductCategory string, UnitPrice decimal(12,2)")
+    order = spark.createDataFrame(
+        [(1, "a", D(2025, 1, 1)), (1, "a", D(2025, 1, 1)), (1, "b", D(2025, 1, 1)), (2, None, None), (3, "c", D(2025, 1, 2)), (None, "a", None)],
+        "InvoiceNo long, CustomerID string, InvoiceDate date")
+    for blank in (False, True):
+        got = quality.clean_transactions(line, blank, lookups=[part, order], join=joins)
+        expected = quality.clean_transactions(joins(line, part, order), blank)
+        assert got.schema == expected.schema and got.count() == (11 if blank else 13)
+        assert sorted(map(str, rows(got))) == sorted(map(str, rows(expected)))
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    top = min(i for i, x in enumerate(plan) if "Join" in x)
+    assert not any("Aggregate" in x for x in plan[:top])
+
+
+def test_registered_lines_group_no_joined_rows(spark):
+    from basketlens.registry import base
+
+    plan = base.lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("Aggregate" in x for x in plan[:min(i for i, x in enumerate(plan) if "Join" in x)])
+
+
 def extreme():
     return (F.col("CustomerID") == "C3") & (F.col("Quantity") == 1930)
 
