@@ -129,6 +129,27 @@ def test_customer_features(lines, rows):
     assert got["C4"]["Recency"] == 1 and got["C2"]["FocusBuyer"] == 0 and got["C2"]["FocusShare"] == 0.0
 
 
+def test_features_form_lines_once(spark, rows):
+    """Whatever is measured, each line is formed a single time; customers without a key keep their first line."""
+    formed = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(x):
+        formed.add(1)
+        return x
+
+    data = [(c, i, D(2025, 1, i), f"p{p}", f"g{p % 2}", p, Decimal(p), i * 10 + p) for c in ("a", "b", None) for i in (2, 1) for p in (3, 1, 2)]
+    lines = spark.createDataFrame(
+        data, "CustomerID string, InvoiceNo long, InvoiceDate date, ProductID string, ProductCategory string, Quantity int, "
+        "TotalSpend decimal(18,2), Age int").withColumn("Quantity", counted("Quantity"))
+    got = {r["CustomerID"]: r for r in rows(features.customer_features(lines, features.focus_category("g0"), ["Age"]))}
+    assert formed.value == len(data)
+    for customer, varied in (("a", (2, 3)), ("b", (2, 3)), (None, (None, None))):
+        r = got[customer]
+        assert (r["Frequency"], r["Monetary"], r["TotalQuantity"], r["FocusSpend"], r["FocusInvoices"]) == (2, 12, 12, 4, 2)
+        assert (r["CategoryDiversity"], r["ProductDiversity"]) == varied and r["Age"] == 11 and r["Recency"] == 1
+
+
 def test_first_line_wins_even_when_null(lines, rows):
     got = {r["CustomerID"]: r["Income"] for r in rows(features.first_row_values(lines, ["Income"]))}
     assert got["C4"] is None and got["C1"] == 1.0
