@@ -23,12 +23,15 @@ from basketlens.llm.common import in_chunks, table, tell_workers
 from basketlens.llm.words import mixed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Characters scanned at once, characters of a scan's block, and slices whose ids a worker keeps.
-CHUNK, BLOCK, CACHE = 1_000_000, 256, 400_000
+#: Characters scanned at once, characters of a scan's block and of its end, and slices whose ids a worker keeps.
+CHUNK, BLOCK, TAIL, CACHE = 1_000_000, 256, 8, 400_000
 #: A worker keeps a cache of up to so many slices from task to task; a larger one goes when its task ends.
 KEPT = 150_000
-#: Slices of up to so many bytes are handled as numbers; bits of their table, and ids after which it is emptied; no rank.
-SHORT, TABLE, STORED, NONE = 15, 18, 1_500_000, 1 << 40
+#: Slices of up to so many bytes are handled as numbers; bits of their table, and ids after which it is emptied; bits of the table
+#: that marks the pairs that merge; no rank.
+SHORT, TABLE, STORED, FILTER, NONE = 15, 20, 4_000_000, 21, (1 << 31) - 1
+#: Longer slices of up to so many bytes are merged so many together; those beyond one by one.
+LONG, ROWS = 63, 8_000
 
 # Symbols that the scanner reads. A space or other white space is `last` if something that is not white space follows it; an
 # apostrophe is `one` or `two` if that many letters of a contraction follow it. Symbols of a text's first character come after.
@@ -56,7 +59,7 @@ STARTS = [IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_WHITE, IN_WHITE, AFTER_SPACE, AF
 @lru_cache(1)
 def transitions() -> tuple[np.ndarray, np.ndarray]:
     """(next state, starts a slice), each flat by symbol * STATES + state; symbols from SYMBOLS on forget the state before."""
-    after = np.zeros((2 * SYMBOLS, STATES), np.uint8)
+    after = np.zeros((2 * SYMBOLS, STATES), np.intp)
     starts = np.ones((2 * SYMBOLS, STATES), bool)
     for symbol in range(SYMBOLS):
         after[symbol] = after[symbol + SYMBOLS] = STARTS[symbol]
@@ -89,9 +92,9 @@ def symbols(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     follows[:-1] = ~white[1:]
     follows &= ~begins[1 : len(codes) + 1]
     space = codes == 32
-    s[space] = SPACE_MID
-    s[white & follows] = WHITE_LAST
-    s[space & follows] = SPACE_LAST
+    np.putmask(s, space, SPACE_MID)
+    np.putmask(s, white & follows, WHITE_LAST)
+    np.putmask(s, space & follows, SPACE_LAST)
     quotes = np.flatnonzero(codes == 39)
     if len(quotes):
         ahead = np.concatenate([codes, np.zeros(2, codes.dtype)])
@@ -104,6 +107,14 @@ def symbols(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return s
 
 
+def _composed(after: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Each block's function: the state after it, for every state before it."""
+    whole = np.repeat(np.arange(STATES)[:, None], columns.shape[1], 1)
+    for column in columns:
+        whole = after.take(whole + column)
+    return whole
+
+
 def slice_starts(s: np.ndarray) -> np.ndarray:
     """Indices at which slices start, for the symbols of joined texts."""
     after, starts = transitions()
@@ -111,14 +122,17 @@ def slice_starts(s: np.ndarray) -> np.ndarray:
     wide = np.full(-(-n // BLOCK) * BLOCK, OTHER, np.uint8)
     wide[:n] = s
     columns = np.ascontiguousarray(wide.reshape(-1, BLOCK).T).astype(np.int16) * STATES  # [place in block, block]
-    whole = np.tile(np.arange(STATES, dtype=np.int16), (columns.shape[1], 1))
-    for column in columns:  # each block's function: the state after it, for every state before it
-        whole = after.take(whole + column[:, None])
+    whole = _composed(after, columns[-TAIL:])
+    # where a block's end gives one state whatever comes before it, so does the block; the others are composed in full
+    rest = np.flatnonzero((whole != whole[0]).any(0))
+    if len(rest):
+        whole[:, rest] = _composed(after, columns[:, rest])
+    whole = np.ascontiguousarray(whole.T)
     step = 1
     while step < len(whole):  # compose over blocks: 1, 2, 4, ... blocks at a time
-        whole = np.concatenate([whole[:step], np.take_along_axis(whole[step:], whole[:-step].astype(np.intp), 1)])
+        whole = np.concatenate([whole[:step], np.take_along_axis(whole[step:], whole[:-step], 1)])
         step *= 2
-    state = np.concatenate([np.zeros(1, np.uint8), whole[:-1, FRESH]])
+    state = np.concatenate([np.zeros(1, np.intp), whole[:-1, FRESH]])
     flags = np.empty(columns.shape, bool)
     for i, column in enumerate(columns):
         at = column + state
@@ -141,9 +155,15 @@ def _mixed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return mixed(low * np.uint64(0x9E3779B97F4A7C15) + mixed(high))
 
 
+def _filter(pairs: np.ndarray) -> np.ndarray:
+    """Where pairs, as one number each, are marked in a table of 1 << FILTER marks."""
+    return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER)).astype(np.intp)
+
+
 class Codec(dict):
     """Slices to their ids, for one vocabulary file. Slices of up to SHORT bytes are two numbers, which hold their bytes and their
-    length; a table keeps the ids of those met last, and new ones are merged together. Longer ones are kept in the dictionary."""
+    length; a table keeps the ids of those met last, and new ones are merged together. Longer ones are kept in the dictionary; of
+    those, new ones of up to LONG bytes are merged together too."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -159,15 +179,17 @@ class Codec(dict):
                  if (a := get(piece[:k])) is not None and (b := get(piece[k:])) is not None}
         self.pairs = np.fromiter(pairs, np.int64, len(pairs))
         order = np.argsort(self.pairs)
-        self.pairs, self.made = self.pairs[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
-        self.single = np.array([get(bytes([b]), -1) for b in range(256)], np.int64)
-        self.double = self._rank(*np.meshgrid(self.single, self.single, indexing="ij")).ravel()
+        self.pairs, self.made = self.pairs[order], np.fromiter(pairs.values(), np.int32, len(pairs))[order]
+        self.paired = np.zeros(1 << FILTER, bool)
+        self.paired[_filter(self.pairs)] = True
+        self.single = np.array([get(bytes([b]), -1) for b in range(256)], np.int32)
+        self.double = self._rank(np.repeat(self.single, 256), np.tile(self.single, 256))
         # the short pieces themselves, in the order of their two numbers
         short = [x for x in self.ranks if len(x) <= SHORT]
         data = np.frombuffer(b"".join(short) + bytes(16), np.uint8)
         sizes = np.array([len(x) for x in short], np.int64)
         low, high = _numbers(data, np.cumsum(sizes) - sizes, sizes)
-        key, rank = _mixed(low, high), np.array([self.ranks[x] for x in short], np.int64)
+        key, rank = _mixed(low, high), np.array([self.ranks[x] for x in short], np.int32)
         order = np.argsort(key)
         self.whole = key[order], low[order], high[order], rank[order]
         self.forget()
@@ -175,13 +197,13 @@ class Codec(dict):
     def forget(self) -> None:
         """Empties the table of short slices."""
         self.low, self.high = np.zeros((2, 1 << TABLE), np.uint64)
-        self.start, self.many = np.zeros((2, 1 << TABLE), np.int64)
-        self.store, self.used = np.zeros(1 << TABLE, np.int64), 0
+        self.start, self.many = np.zeros((2, 1 << TABLE), np.int32)
+        self.store, self.used = np.zeros(1 << TABLE, np.int32), 0
 
     def _keep(self, ids: np.ndarray) -> int:
         """Appends ids to the store; where they start."""
         if self.used + len(ids) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros(max(len(ids), len(self.store)), np.int64)])
+            self.store = np.concatenate([self.store, np.zeros(max(len(ids), len(self.store)), np.int32)])
         at = self.used
         self.store[at : at + len(ids)] = ids
         self.used += len(ids)
@@ -189,20 +211,23 @@ class Codec(dict):
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of what two pieces make, NONE where they make none."""
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where((self.pairs[at] == key) & (left >= 0) & (right >= 0), self.made[at], NONE)
+        key = left.astype(np.int64) << 32 | right
+        some = np.flatnonzero(self.paired[_filter(key)] & (left >= 0) & (right >= 0))  # most pairs make nothing
+        at = np.minimum(np.searchsorted(self.pairs, key[some]), len(self.pairs) - 1)
+        out = np.full(len(key), NONE, np.int32)
+        out[some] = np.where(self.pairs[at] == key[some], self.made[at], np.int32(NONE))
+        return out
 
     def merged_together(self, data: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merges many slices, a row of bytes each: in every turn each row merges its pair of lowest rank, the leftmost of equal
         ones. Ids row by row, and how many a row has."""
         width, many = data.shape[1], many.copy()
         column = np.arange(width)
-        ids = np.where(column < many[:, None], self.single[data], -1)
-        ranks = np.full(ids.shape, NONE)
+        ids = np.where(column < many[:, None], self.single[data], np.int32(-1))
+        ranks = np.full(ids.shape, NONE, np.int32)
         pairs = self.double[data[:, :-1].astype(np.intp) << 8 | data[:, 1:]]
-        ranks[:, :-1] = np.where(column[1:] < many[:, None], pairs, NONE)
-        rows, out = np.arange(len(ids)), np.full(ids.shape, -1)
+        ranks[:, :-1] = np.where(column[1:] < many[:, None], pairs, np.int32(NONE))
+        rows, out = np.arange(len(ids)), np.full(ids.shape, -1, np.int32)
         while len(rows):
             at = ranks.argmin(1)
             best = ranks[np.arange(len(rows)), at]
@@ -219,7 +244,7 @@ class Codec(dict):
             ids[every, at] = best
             many[rows] -= 1
             last = ids.shape[1] - 1
-            after = np.where(at < last, ids[every, np.minimum(at + 1, last)], -1)
+            after = np.where(at < last, ids[every, np.minimum(at + 1, last)], np.int32(-1))
             ranks[every, at] = self._rank(best, after)
             inner = at > 0
             ranks[every[inner], at[inner] - 1] = self._rank(ids[every[inner], at[inner] - 1], best[inner])
@@ -256,9 +281,13 @@ class Codec(dict):
             self.forget()
         sizes = np.diff(at, append=len(raw) - 16)
         start, many = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-        for k in np.flatnonzero(sizes > SHORT).tolist():
-            ids = self[raw[at[k] : at[k] + sizes[k]].tobytes()]
-            start[k], many[k] = self._keep(np.array(ids, np.int64)), len(ids)
+        long = np.flatnonzero(sizes > SHORT)
+        for some in (long[i : i + ROWS] for i in range(0, len(long), ROWS)):
+            pieces = [raw[a : a + n].tobytes() for a, n in zip(at[some].tolist(), sizes[some].tolist())]
+            self._learn({x for x in pieces if len(x) <= LONG and x not in self and x not in self.ranks})
+            for k, piece in zip(some.tolist(), pieces):
+                ids = self[piece]
+                start[k], many[k] = self._keep(np.array(ids, np.int64)), len(ids)
         short = np.flatnonzero(sizes <= SHORT)
         low, high = _numbers(raw, at[short], sizes[short])
         key = _mixed(low, high)
@@ -272,6 +301,17 @@ class Codec(dict):
         index = np.repeat(start - total + many, many) + np.arange(total[-1] if len(total) else 0)
         return self.store[index], many
 
+    def _learn(self, pieces: set[bytes]) -> None:
+        """Merges new slices of up to LONG bytes together and keeps their ids."""
+        if len(self) + len(pieces) > CACHE:
+            self.clear()
+        for width in range(SHORT + 8, LONG + 8, 8):  # slices of similar length together
+            some = [x for x in pieces if width - 8 < len(x) <= width]
+            if some:
+                data = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in some), np.uint8).reshape(-1, width)
+                ids, many = self.merged_together(data, np.array([len(x) for x in some]))
+                self.update((x, tuple(row[:n])) for x, row, n in zip(some, ids.tolist(), many.tolist()))
+
     def __missing__(self, piece: bytes) -> tuple[int, ...]:
         if len(self) >= CACHE:
             self.clear()

@@ -111,7 +111,8 @@ def bpe_slots(docs: DataFrame, length: int = LENGTH, key: int = KEY, vocabulary:
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(permuted(index.to_numpy(), count, key))
 
-    placed = parts.join(F.broadcast(offsets.drop("n")), "split").withColumn("slot", slot(F.col("offset") + F.col("at")))
+    # called nondeterministic so that a filter on the slots stays above it and each row's slot is worked out once
+    placed = parts.join(F.broadcast(offsets.drop("n")), "split").withColumn("slot", slot.asNondeterministic()(F.col("offset") + F.col("at")))
     return placed.drop("offset", "at", "split"), count
 
 

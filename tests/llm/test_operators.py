@@ -137,6 +137,14 @@ def test_shards_read_back(spark, documents, tmp_path, kind):
         assert (ids.tobytes() if kind == "bytes" else codec.decode(ids.tolist())).decode() == (text or "")
 
 
+def test_a_filter_on_slots_works_them_out_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a b"), (None, None), (3, "c " * 900)], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    rows, count = shards.bpe_slots(spark.read.parquet(str(tmp_path / "docs")), length=64)
+    wave = rows.where("slot >= 2 and slot < 5")
+    assert wave._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(r.slot for r in wave.collect()) == [2, 3, 4] and sorted(r.slot for r in rows.collect()) == list(range(count))
+
+
 def test_registered_shards_hold_vocabulary_ids(spark, documents, tmp_path, monkeypatch):
     monkeypatch.setattr(shards, "shared_folder", lambda _: str(tmp_path))
     where = shards.op2_shards(spark, FOLDER).collect()
@@ -358,6 +366,43 @@ def test_scan_crosses_its_blocks(monkeypatch):
     assert list(codec.encode([text, "", text])) == [want[0], [], want[0]]
 
 
+def test_ends_of_blocks_stand_for_them(monkeypatch):
+    codec = bpe.codec(bpe.default_vocabulary())
+    text = "don't  stop\n\n we'll've see 123 it's...  ok 're 'rest" * 40
+    want = list(codec.encode([text]))
+    for block in (2, 7, 64):
+        for tail in (1, 2, 3, 100):  # one symbol often leaves the state open
+            monkeypatch.setattr(bpe, "BLOCK", block)
+            monkeypatch.setattr(bpe, "TAIL", tail)
+            assert list(codec.encode([text])) == want
+
+
+def test_long_slices_are_merged_together(monkeypatch):
+    import public_tokenizers
+    import tiktoken
+
+    codec = bpe.Codec(bpe.default_vocabulary())
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    alone, merged = [], bpe.Codec.merged
+    monkeypatch.setattr(bpe.Codec, "merged", lambda self, piece: alone.append(len(piece)) or merged(self, piece))
+    rnd = random.Random(2)
+    texts = [" ".join("".join(rnd.choice("abcdeéing漢tion") for _ in range(rnd.randint(1, 80))) for _ in range(60)) for _ in range(30)]
+    monkeypatch.setattr(bpe, "ROWS", 7)
+    assert list(codec.encode(texts)) == [library.encode_ordinary(t) for t in texts]
+    assert alone and min(alone) > bpe.LONG == 63
+    monkeypatch.setattr(bpe, "CACHE", 20)  # emptied again and again
+    assert list(bpe.Codec(bpe.default_vocabulary()).encode(texts)) == [library.encode_ordinary(t) for t in texts]
+
+
+def test_table_keeps_most_of_many_slices(monkeypatch):
+    codec = bpe.Codec(bpe.default_vocabulary())
+    text = " ".join(np.base_repr(i * 7919 + 10**9, 26) for i in range(300_000)).translate(str.maketrans("0123456789", "qrstuvwxyz"))
+    first = list(codec.encoded([text]))[0]
+    new, seen = bpe.Codec._new, []
+    monkeypatch.setattr(bpe.Codec, "_new", lambda self, raw, at, *more: seen.append(len(at)) or new(self, raw, at, *more))
+    assert (list(codec.encoded([text]))[0] == first).all() and sum(seen) < 60_000
+
+
 def test_documents_come_back(documents):
     encoded = bpe.encode(documents)
     got = {r.doc_id: bytes(r.bytes) for r in bpe.decode(encoded).collect()}
